@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, lsh_forest, mixing, ordinal, quality_rules, secret_scan, token_binary, token_counts
+from . import byte_bpe, lsh_forest, mixing, ordinal, quality_rules, secret_scan, signature_tree, token_binary, token_counts
 from .common import configure, materialize
 
 
@@ -61,11 +61,15 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.score(docs, ["doc_id"], "doc_id long", model, least)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.join_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_secret_scans, op3_token_binary, op4_token_counts, op5_mixing,
-        op6_byte_bpe, op7_nearest, op9_quality_classifier,
+        op6_byte_bpe, op7_nearest, op9_quality_classifier, op10_jaccard_join,
     )
 }
 
