@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, lsh_forest, mixing, ordinal, quality_rules, secret_scan, signature_tree, token_binary, token_counts
+from . import byte_bpe, lsh_forest, mixing, ordinal, quality_rules, secret_scan, signature_tree, suffix_dedup, token_binary, token_counts
 from .common import configure, materialize
 
 
@@ -55,6 +55,10 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.nearest(rows, rows.where(F.col("vec_id") % 20 == 0))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model, least = ordinal.train(docs, _table(spark, sf_dir, "labels"))
@@ -69,7 +73,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_secret_scans, op3_token_binary, op4_token_counts, op5_mixing,
-        op6_byte_bpe, op7_nearest, op9_quality_classifier, op10_jaccard_join,
+        op6_byte_bpe, op7_nearest, op8_suffix_dedup, op9_quality_classifier, op10_jaccard_join,
     )
 }
 
