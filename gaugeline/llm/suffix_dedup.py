@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_tables, free_shuffles, map_texts, materialize, utf8
@@ -184,25 +184,31 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts (fp, salt, shards, c, n, context), sorted by anchor: repeats in this shard.
 
     Rows out: (fp, c, spans) for every context with repeats; of anchors in several
-    shards also one row a distinct string (value, single, fp, c, offset).
+    shards also (fp, part, packed): a shard's distinct strings of one fingerprint range.
     """
 
     def solve(rows):
         contexts = [r[5] for r in rows]
         owner, offset, hit, lead = shard_repeats(contexts, [r[4] for r in rows])
-        out = []
+        out, strings = [], {}
         cut = np.searchsorted(owner, np.arange(len(rows) + 1))
-        for i, (fp, _, shards, c, _, context) in enumerate(rows):
+        for i, (fp, salt, shards, c, _, context) in enumerate(rows):
             own = slice(cut[i], cut[i + 1])
             spans = runs(hit[own])
             if spans:
-                out.append((fp, c, spans, None, None, None))
+                out.append((fp, c, spans, None, None))
             if shards > 1:
                 sums, down = _prefix_sums(np.frombuffer(context, np.uint8))
                 at = offset[own][lead[own] | ~hit[own]]
-                value = mixed((sums[at + LENGTH] - sums[at]) * down[at]).view(np.int64)
-                single = ~hit[own][at]
-                out += [(fp, c, None, v, s, o) for v, s, o in zip(value.tolist(), single.tolist(), at.tolist())]
+                found = np.empty(len(at), STRING)
+                found["value"] = mixed((sums[at + LENGTH] - sums[at]) * down[at])
+                found["c"], found["at"], found["single"] = c, at, ~hit[own][at]
+                strings.setdefault((fp, salt, shards), []).append(found)
+        for (fp, _, shards), found in strings.items():
+            found = np.concatenate(found)
+            part = (found["value"] >> np.uint64(32)) * np.uint64(-(-shards // 16)) >> np.uint64(32)
+            for p in np.unique(part):
+                out.append((fp, None, None, int(p), found[part == p].tobytes()))
         return out
 
     held, size, key = [], 0, None
@@ -220,9 +226,11 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(solve(held))
 
 
+#: A distinct string of a shard: fingerprint, context, offset, and if it was single there.
+STRING = np.dtype([("value", "<u8"), ("c", "<i8"), ("at", "<i4"), ("single", "?")])
 _RESOLVED = pa.schema(
-    [("fp", pa.int64()), ("c", pa.int64()), ("spans", pa.list_(pa.int32())), ("value", pa.int64()),
-     ("single", pa.bool_()), ("at", pa.int32())]
+    [("fp", pa.int64()), ("c", pa.int64()), ("spans", pa.list_(pa.int32())), ("part", pa.int32()),
+     ("packed", pa.binary())]
 )
 
 
@@ -232,18 +240,29 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Single strings (fp, c, at) whose fingerprint another shard holds: the batch of a whole range."""
-    got = list(batches)
-    if not got:
-        return
-    table = pa.Table.from_batches(got)
-    value = table["value"].to_numpy()
-    ordered = np.sort(value)
-    copies = np.searchsorted(ordered, value, "right") - np.searchsorted(ordered, value, "left")
-    keep = pa.array((copies > 1) & table["single"].to_numpy(zero_copy_only=False))
-    out = table.select(["fp", "c", "at"]).filter(keep)
-    for batch in out.to_batches(max_chunksize=65536):
-        yield batch
+    """Packed strings (fp, part, packed), sorted by anchor and range: (fp, c, spans) of
+    the strings that were single in their shard and that another shard holds."""
+
+    def across(fp, packed):
+        found = np.frombuffer(b"".join(packed), STRING)
+        ordered = np.sort(found["value"])
+        copies = np.searchsorted(ordered, found["value"], "right") - np.searchsorted(ordered, found["value"], "left")
+        found = np.sort(found[(copies > 1) & found["single"]], order=["c", "at"])
+        cuts = np.flatnonzero(np.diff(found["c"])) + 1
+        return [(fp, int(x["c"][0]), np.repeat(x["at"], 2).tolist(), None, None) for x in np.split(found, cuts) if len(x)]
+
+    held, key = [], None
+    for batch in batches:
+        out = []
+        for fp, part, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            if (fp, part) != key:
+                if len(held) > 1:
+                    out += across(key[0], held)
+                held, key = [], (fp, part)
+            held.append(packed)
+        yield _rows(out).select(["fp", "c", "spans"])
+    if len(held) > 1:
+        yield _rows(across(key[0], held)).select(["fp", "c", "spans"])
 
 
 # --- the operator ---------------------------------------------------------------------------
@@ -306,14 +325,11 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         .repartition(parts, "fp", "salt").sortWithinPartitions("fp", "salt", "c")
     )
     solved = dealt.select("fp", "salt", "shards", "c", "n", "context").mapInArrow(
-        _resolve, "fp long, c long, spans array<int>, value long, single boolean, at int"
+        _resolve, "fp long, c long, spans array<int>, part int, packed binary"
     )
     solved = materialize(solved, "repeat-solved")
-    across = solved.where("value is not null").repartitionByRange(parts, "value").select("fp", "c", "value", "single", "at")
-    merged = across.mapInArrow(_merge, "fp long, c long, at int")
-    merged = merged.groupBy("fp", "c").agg(
-        F.flatten(F.collect_list(F.array("at", "at"))).alias("spans")
-    )
+    across = solved.where("packed is not null").repartition(parts, "fp", "part").sortWithinPartitions("fp", "part")
+    merged = across.select("fp", "part", "packed").mapInArrow(_merge, "fp long, c long, spans array<int>")
     by_class = solved.where("spans is not null").select("fp", "c", "spans").unionByName(merged)
     pairs = F.transform(
         F.expr("sequence(0, cast(size(spans) div 2 as int) - 1)"),
