@@ -1,5 +1,6 @@
 """All registered queries of the analytics operators."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans.queries import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "a1_stage_distribution"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
