@@ -1,5 +1,6 @@
 """All registered queries of the analytics operators."""
 
+from .plans import more  # noqa: F401  registers its queries
 from .plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "a1_stage_distribution"
