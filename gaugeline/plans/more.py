@@ -129,11 +129,11 @@ def w11_rollout_number(spark, d):
     return r.select("series_id", "pos", "g", n.cast("long").alias("rollout"))
 
 
-@query(f"""WITH {ERRORS} SELECT sample, model, round(mse - max(mse) FILTER (model = 'mean') OVER (PARTITION BY sample), 7) AS delta_vs_default FROM errors""")
+@query(f"""WITH {ERRORS} SELECT sample, model, round(mse - max(mse) FILTER (model = 'mean') OVER (PARTITION BY sample), 5) AS delta_vs_default FROM errors""")
 def w15_vs_default(spark, d):
     e = model_errors(spark, d)
     base = F.max(F.when(F.col("model") == "mean", F.col("mse"))).over(Window.partitionBy("sample"))
-    return e.select("sample", "model", F.round(F.col("mse") - base, 7).alias("delta_vs_default"))
+    return e.select("sample", "model", F.round(F.col("mse") - base, 5).alias("delta_vs_default"))
 
 
 @query("SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, CASE role WHEN 'user' THEN 0 ELSE 1 END, turn) - 1 AS new_index, count(*) OVER (PARTITION BY conv_id) AS turn_count FROM conversations")
