@@ -45,7 +45,7 @@ WINDOW = LENGTH - GRAM + 1
 SEGMENT = 1 << 17
 #: Contexts of one anchor in one shard, and bytes of one suffix array.
 SHARD_CONTEXTS = 256
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 3_000_000
 _PLACE = np.uint64((1 << 20) - 1)
 
 
