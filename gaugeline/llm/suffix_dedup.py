@@ -290,9 +290,10 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     rows = map_texts(docs, ["text", "key"], find, "key long, fp long, c long, low int, high int, place int")
     rows = materialize(rows, "repeat-anchors")
     often = rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
-    marked = rows.join(often.select("fp", (F.col("c0") != F.col("c1")).alias("differ")), "fp")
-    marked = materialize(marked, "repeat-marked")
-    drop_tables(spark, rows)
+    # Written first, so that both sides are dealt for the join alone and hot grams can be split.
+    often = materialize(often.select("fp", (F.col("c0") != F.col("c1")).alias("differ")), "repeat-grams")
+    marked = materialize(rows.join(often, "fp"), "repeat-marked")
+    drop_tables(spark, rows, often)
     free_shuffles(spark)
 
     open_ = marked.where("differ")
