@@ -37,8 +37,8 @@ TREES = 24
 SHARD_ROWS = 8192
 BLOCK_ROWS = 2048
 #: Candidates sought in each shard, as a share of its distinct vectors.
-SHARE = 0.4
-LEAST = 256
+SHARE = 0.6
+LEAST = 1024
 
 
 class Forest:
