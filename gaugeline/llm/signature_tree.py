@@ -14,10 +14,10 @@ is too small for the sizes.  Surviving leaf pairs are checked on the exact sets.
 
 Two rounds keep close families from yielding all their pairs: in the first, every
 set proposes one partner among its neighbours in the tree's order; what links is
-merged.  The second searches every bucket that still holds sets of different
-components, skips nodes of one component, and proposes every surviving pair; after
-it no link between components is left untested.  Buckets beyond ``BLOCK`` sets are
-cut into blocks that are searched pairwise, so tasks stay bounded.
+merged.  The second searches every bucket, skips nodes of one component, and proposes
+every surviving pair in the first bucket that both sets are in; after it no link
+between components is left untested.  Buckets beyond ``BLOCK`` sets are cut into
+blocks that are searched pairwise, so tasks stay bounded.
 
 Defined results: texts without words (and nulls) have no shingles and are alone;
 texts of fewer than five words have one shingle; equal sets link; the component's
@@ -44,6 +44,9 @@ FREQUENT, FREQUENT_HERE = 64, 8
 KNOWN_FREQUENT = 1 << 18
 #: Sets of a bucket searched in one task against one other block.
 BLOCK = 2048
+#: Earlier buckets that a set's row names.  Pairs that share one of them are proposed
+#: there; where more would be needed a pair comes twice and is made distinct.
+EARLIER = 16
 LEAF, FAN = 16, 8
 NEIGHBOURS = 32
 BITMAP_BITS = (256, 16384)
@@ -208,9 +211,9 @@ def _by_length(maps, n):
         yield np.flatnonzero(own), np.flatnonzero(longer)
 
 
-def propose(n, maps, comp, keys, block, first: bool) -> list[tuple[int, int]]:
-    """Candidate pairs of keys of one bucket (blocks 0 and 1, or 0 alone)."""
-    out = []
+def propose(n, maps, comp, keys, block, first: bool, earlier=None, across: bool = False) -> list[tuple[int, int]]:
+    """Candidate pairs of keys of one bucket, within its one block or ``across`` two."""
+    out, seen = [], [frozenset(e) for e in earlier or [()] * len(n)]
     for own, longer in _by_length(maps, n):
         at = np.concatenate([own, longer])
         words = folded([maps[i] for i in at])
@@ -230,10 +233,15 @@ def propose(n, maps, comp, keys, block, first: bool) -> list[tuple[int, int]]:
             out += zip(k[x].tolist(), k[best[x]].tolist())
         else:
             split = [np.flatnonzero(bl == v) for v in np.unique(bl)]
+            if len(split) == 1 and across:  # its pairs are found within the block
+                continue
             trees = [(s, Tree(size[s], words[s], c[s])) for s in split]
             (s, a), (t, b) = trees[0], trees[-1]
-            x, y = dual_traversal(a, b, len(trees) == 1)
-            out += zip(k[s[x]].tolist(), k[t[y]].tolist())
+            x, y = (side[found] for side, found in zip((s, t), dual_traversal(a, b, len(trees) == 1)))
+            place = at.tolist()
+            new = [seen[place[i]].isdisjoint(seen[place[j]]) for i, j in zip(x.tolist(), y.tolist())]
+            new = np.array(new, bool)
+            out += zip(k[x[new]].tolist(), k[y[new]].tolist())
     return [(x, y) if x < y else (y, x) for x, y in out if x != y]
 
 
@@ -241,24 +249,27 @@ PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _search(rows: DataFrame, first: bool) -> DataFrame:
-    """Distinct candidate pairs of the buckets in ``rows`` (token, skey, n, comp, bitmap)."""
-    counted = rows.withColumn("members", F.count("*").over(Window.partitionBy("token")))
+    """Distinct candidate pairs of the buckets in ``rows`` (token, members, skey, n, comp, bitmap, earlier)."""
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    placed = counted.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("skey"), "blocks").cast("int"))
+    placed = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("skey"), "blocks").cast("int"))
     if first:  # neighbours within a block are enough to merge families
-        keyed = placed.select("token", F.col("own").alias("i"), F.col("own").alias("j"), "own", "skey", "n", "comp", "bitmap")
+        nothing = F.array().cast("array<long>").alias("earlier")
+        keyed = placed.select(
+            "token", F.col("own").alias("i"), F.col("own").alias("j"), "own", "skey", "n", "comp", "bitmap", nothing
+        )
     else:
         keyed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
             "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-            "own", "skey", "n", "comp", "bitmap",
+            "own", "skey", "n", "comp", "bitmap", "earlier",
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(group):
-            own, keys, n, comp, maps = zip(*group)
+        def emit(group, key):
+            own, keys, n, comp, maps, earlier = zip(*group)
             pairs = propose(
-                np.array(n, np.int64), maps, np.array(comp, np.int64), np.array(keys, np.int64), np.array(own), first
-            )
+                np.array(n, np.int64), maps, np.array(comp, np.int64), np.array(keys, np.int64), np.array(own),
+                first, earlier, key[1] != key[2],
+            )
             return sorted(set(pairs))
 
         held, key = [], None
@@ -267,16 +278,16 @@ def _search(rows: DataFrame, first: bool) -> DataFrame:
             for token, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (token, i, j) != key:
                     if len(held) > 1:
-                        found += emit(held)
+                        found += emit(held, key)
                     held, key = [], (token, i, j)
                 held.append(row)
             yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], schema=PAIRS)
         if len(held) > 1:
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in emit(held)], schema=PAIRS)
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in emit(held, key)], schema=PAIRS)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = keyed.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "skey")
-    return grouped.select("token", "i", "j", "own", "skey", "n", "comp", "bitmap").mapInArrow(
+    return grouped.select("token", "i", "j", "own", "skey", "n", "comp", "bitmap", "earlier").mapInArrow(
         run, "a long, b long"
     ).distinct()
 
@@ -367,8 +378,13 @@ def join_documents(docs: DataFrame) -> DataFrame:
     # Buckets with the same members: the one of the least shingle stands for all.
     kept = shared.groupBy("least", "members", "sign").agg(F.min("token").alias("token")).select("token")
     maps = made.where("n > 0").select("skey", "bitmap").dropDuplicates(["skey"])
-    buckets = shared.select("token", "skey", "n").distinct().join(kept, "token").join(maps, "skey")
-    buckets = materialize(buckets.select("token", "skey", "n", "bitmap"), "jaccard-buckets")
+    of_set = shared.select("token", "skey", "n", "members").distinct().join(kept, "token").groupBy("skey").agg(
+        F.first("n").alias("n"),
+        F.array_sort(F.collect_list(F.struct("token", "members"))).alias("in"),  # no more than the set's prefix
+    )
+    buckets = of_set.join(maps, "skey").select("skey", "n", "bitmap", "in", F.posexplode("in").alias("at", "one"))
+    earlier = F.slice(F.col("in")["token"], 1, F.least("at", F.lit(EARLIER))).alias("earlier")
+    buckets = materialize(buckets.select("one.token", "one.members", "skey", "n", "bitmap", earlier), "jaccard-buckets")
     drop_tables(spark, shared)
     free_shuffles(spark)
 
@@ -376,14 +392,11 @@ def join_documents(docs: DataFrame) -> DataFrame:
     links = materialize(_verify(tested, docs, reps), "jaccard-links")
     comps = components(links)
     free_shuffles(spark)
-    named = buckets.join(comps, "skey", "left").withColumn("comp", F.coalesce("comp", "skey"))
-    open_ = (
-        named.withColumn("c0", F.min("comp").over(over)).withColumn("c1", F.max("comp").over(over))
-        .where("c0 < c1").drop("c0", "c1")
-    )
-    # Components as small numbers of one sign, so a node can say that it holds several.
-    open_ = open_.withColumn("comp", F.col("comp").bitwiseAND(F.lit(2**63 - 1)))
-    more = _search(open_, False).join(tested, ["a", "b"], "left_anti")
+    # Components as numbers of one sign, so a node can say that it holds several.
+    named = buckets.join(comps, "skey", "left").withColumn(
+        "comp", F.coalesce("comp", "skey").bitwiseAND(F.lit(2**63 - 1))
+    )
+    more = _search(named, False).join(tested, ["a", "b"], "left_anti")
     more = _verify(materialize(more, "jaccard-pairs"), docs, reps)
     comps = components(links.union(materialize(more, "jaccard-links")))
 
