@@ -39,6 +39,8 @@ from .shingles import PERCENT, linked, mixed, prefix_length, set_key, shingle_se
 
 #: Documents that hold a shingle from which it counts as frequent, in all and in a task's share.
 FREQUENT, FREQUENT_HERE = 64, 8
+#: Shingles that a task holds before it counts them.
+COUNTED = 2_000_000
 #: Frequent shingles that the order knows at most: 8 bytes each bound the broadcast.
 #: Any common order is exact, so this bound only moves work.
 KNOWN_FREQUENT = 1 << 18
@@ -72,7 +74,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
             for text in batch.column(0).to_pylist():
                 held.append(shingle_set(text))
                 size += len(held[-1])
-                if size > 8_000_000:
+                if size > COUNTED:
                     yield flush()
                     held, size = [], 0
         if held:
