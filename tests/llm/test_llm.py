@@ -71,6 +71,22 @@ def test_secrets():
     assert secret_scan.find_spans("private configuration_settings_1") == []
 
 
+@pytest.mark.parametrize("before", [
+    "AWS_SECRET_ACCESS_KEY=", "export PRIVATE_KEY=", "https://h.example/f?a=1&sig=", "?x=1&signature=", "pwd=", "auth=", "auth:",
+    "bearer: session=", "auth: name=", "PRIVATE_KEY ==",
+])
+def test_value_of_an_unquoted_name_is_measured(before):
+    for value in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYQz3vT8kLmn", "q9Zx7Lk2Vb8Tn4Rw6Yp1Hs3Jd5=="):
+        text = before + value + " end"
+        assert [k for _, _, k in secret_scan.find_spans(text)] == ["novel"] and value.strip("=") not in secret_scan.cut(text)
+        assert secret_scan.cut(text).endswith("[secret] end")
+
+
+def test_many_equals_signs_are_measured_once():
+    text = "key=" + "a=-" * 30000 + " auth x=short&y=" + "configuration_settings_1"
+    assert len(secret_scan.candidates(text, 4, 90004)) < 90000 and secret_scan.find_spans(text) == []
+
+
 def test_secret_scan_frame(docs, empty):
     got = {r["doc_id"]: r for r in secret_scan.scan(docs, ["doc_id"], "doc_id long").collect()}
     assert got[0]["spans"] == "" and got[0]["base_sha256"] == hashlib.sha256(b"").hexdigest()
