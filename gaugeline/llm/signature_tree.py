@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_tables, free_shuffles, map_texts, materialize
+from .common import WORD, drop_tables, free_shuffles, map_texts, materialize
 from .shingles import PERCENT, linked, mixed, prefix_length, set_key, shingle_set
 
 #: Documents that hold a shingle from which it counts as frequent, in all and in a task's share.
@@ -52,6 +52,15 @@ EARLIER = 16
 LEAF, FAN = 16, 8
 NEIGHBOURS = 32
 BITMAP_BITS = (256, 16384)
+#: Stands for a missing doc_id in joins.
+NO_ID = -(2**63)
+#: Working columns beside a document's own.
+_ID, _HASH = "__id", "__thash"
+
+
+def text_hash():
+    """64-bit hash that tells apart the texts under one doc_id."""
+    return F.xxhash64("text")
 
 
 # --- sets ---------------------------------------------------------------------------------
@@ -96,13 +105,13 @@ def bitmap(shingles: np.ndarray) -> bytes:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), skey, bitmap and prefix of every document."""
+    """doc_id, thash (of the text), n (set size), skey, bitmap and prefix of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))  # KNOWN_FREQUENT at most
 
     def make():
         frequent = shared.value
 
-        def apply(texts, doc_ids):
+        def apply(texts, doc_ids, hashes):
             n, keys, maps, out = [], [], [], []
             for text in texts:
                 s = shingle_set(text)
@@ -116,11 +125,12 @@ def prefixes(docs: DataFrame) -> DataFrame:
                     often = frequent[at] == s
                     s = np.concatenate([s[~often], s[often]])
                 out.append(s[:want].view(np.int64))
-            return [doc_ids, n, keys, maps, out]
+            return [doc_ids, hashes, n, keys, maps, out]
 
         return apply
 
-    return map_texts(docs, ["text", "doc_id"], make, "doc_id long, n int, skey long, bitmap binary, prefix array<long>")
+    schema = "doc_id long, thash long, n int, skey long, bitmap binary, prefix array<long>"
+    return map_texts(docs.withColumn("thash", text_hash()), ["text", "doc_id", "thash"], make, schema)
 
 
 # --- signature trees ----------------------------------------------------------------------
@@ -357,6 +367,18 @@ def components(links: DataFrame) -> DataFrame:
 
 def join_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
+    made, by_set = _join(docs)
+    return (
+        made.select("doc_id", "n", "skey").join(by_set.select("skey", "component"), "skey", "left")
+        .select(
+            "doc_id", F.col("n").cast("long").alias("n_shingles"),
+            F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        )
+    )
+
+
+def _join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``prefixes`` of the documents, and ``skey, comp, component`` (its smallest doc_id) of every set."""
     spark = docs.sparkSession
     made = materialize(prefixes(docs), "jaccard-prefixes")
     reps = made.where("n > 0").groupBy("skey").agg(F.min("doc_id").alias("rep"))
@@ -404,22 +426,24 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
     named = reps.join(comps, "skey", "left").withColumn("comp", F.coalesce("comp", "skey"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component"))
-    by_set = named.join(smallest, "comp").select("skey", "component")
-    return (
-        made.select("doc_id", "n", "skey").join(by_set, "skey", "left")
-        .select(
-            "doc_id", F.col("n").cast("long").alias("n_shingles"),
-            F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-        )
-    )
+    return made, named.join(smallest, "comp").select("skey", "comp", "component")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: the row(s) whose doc_id names it, all columns.
+    """One document of each component, all columns: smallest doc_id, then least hash of the text.
 
-    Rows that repeat a doc_id count as one document and stay once; rows without an
-    id stay unless a linked document has one.
+    A row without an id gives way to any linked document that has one.  Rows that
+    repeat both doc_id and text are one document; different texts under one doc_id
+    are several.  Texts without words are alone: each row of them without an id stays.
     """
-    named = join_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    first = docs.join(named, docs["doc_id"].eqNullSafe(named["doc_id"]), "left_semi")
-    return first.dropDuplicates(["doc_id"])
+    made, by_set = _join(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "thash")
+    placed = made.where("n > 0").select("doc_id", "thash", "skey").join(by_set.select("skey", "comp"), "skey")
+    first = placed.groupBy("comp").agg(F.min(order).alias("first")).select("first.doc_id", "first.thash")
+    alone = made.where("n = 0 and doc_id is not null").select("doc_id", "thash").distinct()
+    named = first.union(alone).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("thash").alias("h"))
+    keyed = docs.withColumn(_ID, F.coalesce("doc_id", F.lit(NO_ID))).withColumn(_HASH, text_hash())
+    kept = keyed.join(named, (F.col(_ID) == F.col("id")) & (F.col(_HASH) == F.col("h")), "left_semi")
+    kept = kept.dropDuplicates([_ID, _HASH]).select(*docs.columns)
+    wordless = F.col("text").isNull() | ~F.col("text").rlike(WORD)
+    return kept.union(docs.where(F.col("doc_id").isNull() & wordless))

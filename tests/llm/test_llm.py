@@ -232,6 +232,23 @@ def test_jaccard_join(spark, docs, empty):
     assert signature_tree.join_documents(empty).count() == 0
 
 
+def words(n, seed):
+    r = random.Random(seed)
+    return [f"w{r.randrange(10**6)}" for _ in range(n)]
+
+
+def test_keep_one_drops_no_clean_text(spark):
+    a, b, c, d = (" ".join(words(40, i)) for i in range(4))
+    near = a + " more"
+    rows = [
+        (1, a, "s", "x"), (5, near, "s", "x"), (5, b, "s", "x"), (5, b, "s", "x"), (None, near, "s", "x"), (None, c, "s", "x"),
+        (None, c, "s", "y"), (None, d, "s", "x"), (None, None, "s", "x"), (None, " ", "s", "x"), (7, "", "s", "x"), (7, "", "s", "x"),
+    ]
+    kept = signature_tree.keep_one(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "text").collect()
+    want = [(1, a), (5, b), (None, c), (None, d), (None, None), (None, " "), (7, "")]
+    assert sorted(map(tuple, kept), key=repr) == sorted(want, key=repr)
+
+
 def test_tree_finds_every_link():
     rng = np.random.default_rng(3)
     sets = []
