@@ -307,12 +307,19 @@ def _search(rows: DataFrame, first: bool) -> DataFrame:
 def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs whose exact sets link.  Sets are made anew for the pairs' documents."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("skey")).distinct()
-    needed = reps.join(keys, "skey").select("skey", F.col("rep").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(needed, "doc_id")
+    needed = reps.join(keys, "skey").select("skey", F.coalesce("rep", F.lit(NO_ID)).alias("id"), "thash")
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), text_hash().alias("thash"), "text")
+    texts = rows.join(needed, ["id", "thash"])
 
     def make():
+        done = set()  # keys of this task, 8 bytes each: rows that repeat a text are left out
+
         def apply(texts, keys):
-            found = [(k, s.tobytes()) for t, k in zip(texts, keys) for s in [shingle_set(t)] if set_key(s) == k]
+            found = []
+            for t, k in zip(texts, keys):
+                if k not in done and set_key(s := shingle_set(t)) == k:
+                    done.add(k)
+                    found.append((k, s.tobytes()))
             return [[k for k, _ in found], [s for _, s in found]]
 
         return apply
@@ -367,7 +374,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def join_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
-    made, by_set = _join(docs)
+    made, chosen, by_set = _join(docs)
+    by_set = by_set.join(chosen.select("comp", F.col("first.doc_id").alias("component")), "comp")
     return (
         made.select("doc_id", "n", "skey").join(by_set.select("skey", "component"), "skey", "left")
         .select(
@@ -377,17 +385,19 @@ def join_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def _join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``prefixes`` of the documents, and ``skey, comp, component`` (its smallest doc_id) of every set."""
+def _join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``prefixes`` of the documents; each component's first document; ``skey, comp`` of every set."""
     spark = docs.sparkSession
     made = materialize(prefixes(docs), "jaccard-prefixes")
-    reps = made.where("n > 0").groupBy("skey").agg(F.min("doc_id").alias("rep"))
+    # The document that stands for a set: smallest doc_id (a missing one last), then least hash of the text.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("rep"), "thash"))
+    reps = made.where("n > 0").groupBy("skey").agg(first.alias("first")).select("skey", "first.rep", "first.thash")
     reps = materialize(reps, "jaccard-reps")
 
     # One row a distinct set and prefix shingle; only shingles of two sets make buckets.
     # A missing doc_id takes part through a stand-in; equal sets without ids are one.
-    one = made.select("skey", "n", "prefix", F.coalesce("doc_id", F.lit(-(2**63))).alias("rep")).join(
-        reps.select("skey", F.coalesce("rep", F.lit(-(2**63))).alias("rep")), ["skey", "rep"]
+    one = made.select("skey", "n", "prefix", F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "thash").join(
+        reps.select("skey", F.coalesce("rep", F.lit(NO_ID)).alias("rep"), "thash"), ["skey", "rep", "thash"]
     )
     exploded = one.select("skey", "n", F.explode("prefix").alias("token"))
     over = Window.partitionBy("token")
@@ -425,8 +435,9 @@ def _join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     comps = components(links.union(materialize(more, "jaccard-links")))
 
     named = reps.join(comps, "skey", "left").withColumn("comp", F.coalesce("comp", "skey"))
-    smallest = named.groupBy("comp").agg(F.min("rep").alias("component"))
-    return made, named.join(smallest, "comp").select("skey", "comp", "component")
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("doc_id"), "thash"))
+    chosen = named.groupBy("comp").agg(first.alias("first"))
+    return made, chosen, named.select("skey", "comp")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -436,10 +447,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     repeat both doc_id and text are one document; different texts under one doc_id
     are several.  Texts without words are alone: each row of them without an id stays.
     """
-    made, by_set = _join(docs)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "thash")
-    placed = made.where("n > 0").select("doc_id", "thash", "skey").join(by_set.select("skey", "comp"), "skey")
-    first = placed.groupBy("comp").agg(F.min(order).alias("first")).select("first.doc_id", "first.thash")
+    made, chosen, _ = _join(docs)
+    first = chosen.select("first.doc_id", "first.thash")
     alone = made.where("n = 0 and doc_id is not null").select("doc_id", "thash").distinct()
     named = first.union(alone).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("thash").alias("h"))
     keyed = docs.withColumn(_ID, F.coalesce("doc_id", F.lit(NO_ID))).withColumn(_HASH, text_hash())

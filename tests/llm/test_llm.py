@@ -249,6 +249,19 @@ def test_keep_one_drops_no_clean_text(spark):
     assert sorted(map(tuple, kept), key=repr) == sorted(want, key=repr)
 
 
+def test_near_copies_without_ids_link(spark):
+    base, other = words(60, 7), words(60, 8)
+    step = [" ".join(base[i:i + 52]) for i in range(0, 9, 4)]  # neighbours link, the ends don't
+    assert not shingles.linked(shingles.shingle_set(step[0]), shingles.shingle_set(step[2]))
+    rows = [(9, step[0], "s", "x"), (None, step[1], "s", "x"), (4, step[2], "s", "x"), (None, " ".join(other), "s", "x")]
+    rows += [(None, " ".join(other[:-1]), "s", "x")] * 3
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = signature_tree.join_documents(docs).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(9, 4), (None, 4), (4, 4)] + [(None, None)] * 4, key=repr)
+    kept = signature_tree.keep_one(docs).collect()
+    assert len(kept) == 2 and [r["text"] for r in kept if r["doc_id"] is not None] == [step[2]]
+
+
 def test_tree_finds_every_link():
     rng = np.random.default_rng(3)
     sets = []
