@@ -82,6 +82,17 @@ def test_value_of_an_unquoted_name_is_measured(before):
         assert secret_scan.cut(text).endswith("[secret] end")
 
 
+def test_every_token_near_a_word_is_measured():
+    value = "q9Zx7Lk2Vb8Tn4Rw6Yp1Hs3Jd5"
+    for text in (
+        "auth: configuration_settings_1 " + value, '{"auth": "configuration_settings_1", "v": "' + value + '"}',
+        "auth: " + "0a" * 12 + " " + value, "auth: 83025716940285137649",
+    ):
+        assert "novel" in [k for _, _, k in secret_scan.find_spans(text)], text
+    assert value not in secret_scan.cut('{"auth": "configuration_settings_1", "v": "' + value + '"}')
+    assert secret_scan.find_spans("auth: x\n" + value) == [] and secret_scan.find_spans("auth " + " " * 48 + value) == []
+
+
 def test_many_equals_signs_are_measured_once():
     text = "key=" + "a=-" * 30000 + " auth x=short&y=" + "configuration_settings_1"
     assert len(secret_scan.candidates(text, 4, 90004)) < 90000 and secret_scan.find_spans(text) == []
