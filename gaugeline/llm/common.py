@@ -16,13 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 #: UTF-8 bytes ``bytes.split()`` cuts at exactly those six characters.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of one Arrow batch; texts can be long, so batches stay small.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch at most (one longer text is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the session options the operators rely on (small Arrow batches)."""
+    """Set the session options that the operators rely on: small Arrow batches.
+
+    They hold for the whole session; other queries only meet more, smaller batches.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -66,12 +70,12 @@ def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share, for intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``; a temporary folder is set
-    only where that is unset (local tests).
+    only where that is unset and driver and executors are one process (tests).
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.gaugeline.local.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.gaugeline.local.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="gaugeline-")
         spark.conf.set("spark.gaugeline.local.dir", found)
     return found

@@ -39,8 +39,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     mixed = mixing.mix(materialize(sizes, "mix-sizes"), F.col("size"))
-    taken = (F.col("copies") * F.col("size")).alias("taken")
-    return mixed.select("doc_id", "size", "source_size", "target", taken)
+    taken = (F.col("copies") * F.col("mix_size")).alias("taken")
+    return mixed.select("doc.doc_id", "doc.size", "source_size", "target", taken)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,11 @@ more), so no task ever holds a whole source: the innermost groups hold a 65,536t
 of a size class, the levels above at most 256 counts each.
 
 Defined results: null texts have size 0; the null source sorts last among sources;
-rows of equal id and size are interchangeable, so reruns agree whatever the row
-order; sources without words have the target 0 and nothing of them is taken; an
-empty table gives an empty table.
+rows of equal id and size are ordered by a hash of the text, so reruns agree whatever
+the row order (rows equal in all of these differ at most in further columns); a null
+id counts as an empty one; sources without words have the target 0 and nothing of them
+is taken; an empty table gives an empty table.  The input's columns travel inside one
+struct ``doc``, so they may have any names, those of the results included.
 """
 
 from __future__ import annotations
@@ -38,19 +40,24 @@ def word_count(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame, size: Column) -> DataFrame:
-    """Adds size, a null-safe source key, the size class and hash digits.
+    """``doc`` (all columns), size, a null-safe source key, the size class, hash digits and a tie-breaker.
 
     A class spans an eighth of an octave: four leading bits of the size.
     """
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
+    source = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))
+    packed = docs.select(
+        F.struct("*").alias("doc"), F.col("doc_id").alias("mix_id"), size.alias("mix_size"),
+        source.alias("mix_source"), digest.alias("mix_digest"), tie.alias("mix_tie"),
+    )
     return (
-        docs.withColumn("mix_size", size)
-        .withColumn("mix_source", F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source")))
+        packed
         .withColumn("mix_shift", F.greatest(F.length(F.bin("mix_size")) - 4, F.lit(0)))
         .withColumn("mix_class", F.expr("mix_shift * 16 + cast(shiftright(mix_size, mix_shift) as int)"))
-        .withColumn("mix_hash_a", F.substring(digest, 1, 2))
-        .withColumn("mix_hash_b", F.substring(digest, 3, 2))
-        .drop("mix_shift")
+        .withColumn("mix_hash_a", F.substring("mix_digest", 1, 2))
+        .withColumn("mix_hash_b", F.substring("mix_digest", 3, 2))
+        .drop("mix_shift", "mix_digest")
     )
 
 
@@ -88,7 +95,7 @@ def targets(counts: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, size: Column | None = None) -> DataFrame:
-    """Every document with size, source_size, target and ``copies`` (0, 1 or 2)."""
+    """Every document as ``doc``, with mix_size, source_size, target and ``copies`` (0, 1 or 2)."""
     rows = keyed(docs, word_count(F.col("text")) if size is None else size)
     counts = materialize(
         rows.groupBy(*_KEYS).agg(F.count("*").alias("docs"), F.sum("mix_size").alias("words")), "mix-counts"
@@ -114,21 +121,19 @@ def mix(docs: DataFrame, size: Column | None = None) -> DataFrame:
             (F.col(f"before_{size_class}") + F.col(f"before_{a}") + F.col(f"before_{b}")).alias("mix_base"),
         )
     )
-    innermost = Window.partitionBy(*_KEYS).orderBy("mix_size", "doc_id")
+    innermost = Window.partitionBy(*_KEYS).orderBy("mix_size", "mix_id", "mix_tie")
     placed = rows.withColumn("mix_rank", F.row_number().over(innermost)).join(bases, list(_KEYS))
     place = F.col("mix_base") + F.col("mix_rank")
     crossed = F.floor(F.col("offset") + F.col("copies_each") * place) - F.floor(
         F.col("offset") + F.col("copies_each") * (place - 1)
     )
-    return placed.withColumn("copies", crossed).select(
-        *docs.columns, F.col("mix_size"), "source_size", "target", "copies"
-    )
+    return placed.select("doc", "mix_size", "source_size", "target", crossed.alias("copies"))
 
 
 def sample(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as often as it was taken, same columns."""
     mixed = mix(docs).where("copies > 0")
-    return mixed.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
+    return mixed.select("doc", F.explode(F.expr("sequence(1L, copies)")).alias("time")).select("doc.*")
 
 
 #: The same rows in DuckDB SQL.

@@ -10,7 +10,7 @@ conjunction, so the order (and timing noise in it) never changes a result.
 Defined results: a null text has no words and counts as an empty text; it is
 rejected by the word-count rule.  Rows are judged one by one, so repeated rows
 and ties need no rule, an empty table gives an empty table, and further columns
-of the input pass through ``filter_documents`` untouched.
+of the input pass through ``filter_documents`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -125,18 +125,63 @@ RULES = (
 )
 
 
+def measured(texts: list[str | None], rules: tuple[Rule, ...] = RULES):
+    """Which texts each rule rejects, which measures it reads, and seconds a measure and rule.
+
+    A measure's seconds are its own: what it reads of other measures is charged to them.
+    """
+    seconds: dict[str, float] = dict.fromkeys(_COMPUTE, 0.0)
+    reads: list[set[str]] = [set() for _ in rules]
+    own, out = [0.0] * len(rules), np.zeros((len(rules), len(texts)), bool)
+    for t, text in enumerate(texts):
+        for i, rule in enumerate(rules):
+            m = Timed(text)
+            began = perf_counter()
+            out[i, t] = rule.rejects(m)
+            own[i] += perf_counter() - began - sum(m.took.values())
+            reads[i] |= set(m.took)
+            for name, took in m.took.items():
+                seconds[name] += took / len(rules)
+    # every measure was computed once for each rule that reads it
+    for name in seconds:
+        seconds[name] *= len(rules) / max(1, sum(name in r for r in reads))
+    return out, reads, seconds, own
+
+
+class Timed(Measures):
+    """Measures that keep the seconds each took by itself."""
+
+    def __init__(self, text: str | None):
+        super().__init__(text)
+        self.took: dict[str, float] = {}
+
+    def __getattr__(self, name: str):
+        if name.startswith("_") or name == "took":
+            raise AttributeError(name)
+        if name in self._kept:
+            return self._kept[name]
+        began, before = perf_counter(), sum(self.took.values())
+        value = super().__getattr__(name)
+        self.took[name] = perf_counter() - began - (sum(self.took.values()) - before)
+        return value
+
+
 def order_rules(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> tuple[int, ...]:
-    """Indices of ``rules``, greedily by rejections per second on what is left."""
-    cost, out = [], []
-    for rule in rules:
-        began = perf_counter()
-        out.append(np.fromiter((rule.rejects(Measures(t)) for t in texts), bool, len(texts)))
-        cost.append(perf_counter() - began + 1e-9)
-    left, order = np.ones(len(texts), bool), []
+    """Indices of ``rules``, greedily by rejections per second on what is left.
+
+    A rule costs its own test and the measures that no rule before it has read.
+    """
+    out, reads, seconds, own = measured(texts, rules)
+    left, order, have = np.ones(len(texts), bool), [], set()
+
+    def cost(i: int) -> float:
+        return own[i] + sum(seconds[name] for name in reads[i] - have) + 1e-9
+
     while len(order) < len(rules):
         rest = [i for i in range(len(rules)) if i not in order]
-        best = max(rest, key=lambda i: ((out[i] & left).sum() / cost[i], -cost[i], -i))
+        best = max(rest, key=lambda i: ((out[i] & left).sum() / cost(i), -cost(i), -i))
         order.append(best)
+        have |= reads[best]
         left &= ~out[best]
     return tuple(order)
 
@@ -144,12 +189,12 @@ def order_rules(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> tup
 def plan_cascade(
     docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = 256, chars: int = 65536
 ) -> tuple[int, ...]:
-    """Measure the rules on at most ``rows`` texts of at most ``chars`` characters.
+    """Measure the rules on the ``rows`` texts that come first by a hash, of at most ``chars`` characters.
 
     The bound keeps what reaches the driver under ``rows * chars`` characters.
     The sample decides the order only; every text meets every rule it needs.
     """
-    sample = docs.select("text").where(F.length("text") <= chars).limit(rows)
+    sample = docs.select("text").where(F.length("text") <= chars).orderBy(F.xxhash64("text")).limit(rows)
     return order_rules([r[0] for r in sample.collect()], rules)
 
 
@@ -163,8 +208,9 @@ def judge(
 ) -> DataFrame:
     """``columns`` of every document with the cascade's verdict.
 
-    ``schema`` gives the DDL of ``columns``.  Adds ``rejected_by_base`` (null unless
-    reporting: it needs all base rules), the ``report`` measures and ``kept``.
+    ``schema`` gives the DDL of ``columns``.  Adds the ``report`` measures, ``base_failed``
+    (null unless reporting: it needs all base rules) and ``kept``, which the cascade decides
+    before what is reported is measured.
     """
     order = plan_cascade(docs, rules) if order is None else order
     base = [r for r in rules if r.base]
@@ -175,10 +221,10 @@ def judge(
             out = [[] for _ in range(len(report) + 2)]
             for text in texts:
                 m = Measures(text)
+                out[-1].append(not any(r.rejects(m) for r in ordered))
                 for values, name in zip(out, report):
                     values.append(getattr(m, name))
                 out[-2].append(any(r.rejects(m) for r in base) if report else None)
-                out[-1].append(not any(r.rejects(m) for r in ordered))
             return [*rest, *out]
 
         return apply

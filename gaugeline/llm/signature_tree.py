@@ -17,12 +17,16 @@ set proposes one partner among its neighbours in the tree's order; what links is
 merged.  The second searches every bucket, skips nodes of one component, and proposes
 every surviving pair in the first bucket that both sets are in; after it no link
 between components is left untested.  Buckets beyond ``BLOCK`` sets are cut into
-blocks that are searched pairwise, so tasks stay bounded.
+blocks that are searched pairwise, so tasks stay bounded; in the second round a
+component of more than ``BLOCK`` sets of a bucket has blocks of its own, which meet
+every block but each other, so a large family costs its size and not its square.
 
 Defined results: texts without words (and nulls) have no shingles and are alone;
 texts of fewer than five words have one shingle; equal sets link; the component's
 name is its smallest doc_id, itself included, nulls ignored; rows that repeat a
-doc_id each get a row.  An empty table gives an empty table.
+doc_id each get a row.  Different sets whose 64-bit keys agree are told apart by a
+second hash and get new keys.  An empty table gives an empty table.  Further columns
+play no part in the join and may have any names but ``__id`` and ``__thash``.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, drop_tables, free_shuffles, map_texts, materialize
-from .shingles import PERCENT, linked, mixed, prefix_length, set_key, shingle_set
+from .shingles import PERCENT, linked, prefix_length, set_check, set_key, shingle_set
 
 #: Documents that hold a shingle from which it counts as frequent, in all and in a task's share.
 FREQUENT, FREQUENT_HERE = 64, 8
@@ -45,11 +49,13 @@ COUNTED = 2_000_000
 #: Any common order is exact, so this bound only moves work.
 KNOWN_FREQUENT = 1 << 18
 #: Sets of a bucket searched in one task against one other block.
-BLOCK = 2048
+BLOCK = 1024
 #: Earlier buckets that a set's row names.  Pairs that share one of them are proposed
 #: there; where more would be needed a pair comes twice and is made distinct.
 EARLIER = 16
 LEAF, FAN = 16, 8
+#: Bytes of bitmaps that a traversal gathers at a time.
+GATHERED = 32 << 20
 NEIGHBOURS = 32
 BITMAP_BITS = (256, 16384)
 #: Stands for a missing doc_id in joins.
@@ -105,18 +111,19 @@ def bitmap(shingles: np.ndarray) -> bytes:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, thash (of the text), n (set size), skey, bitmap and prefix of every document."""
+    """doc_id, thash (of the text), n (set size), skey, check, bitmap and prefix of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))  # KNOWN_FREQUENT at most
 
     def make():
         frequent = shared.value
 
         def apply(texts, doc_ids, hashes):
-            n, keys, maps, out = [], [], [], []
+            n, keys, checks, maps, out = [], [], [], [], []
             for text in texts:
                 s = shingle_set(text)
                 n.append(len(s))
                 keys.append(set_key(s))
+                checks.append(set_check(s))
                 maps.append(bitmap(s) if len(s) else b"")
                 want = prefix_length(len(s))
                 if len(frequent):
@@ -125,11 +132,11 @@ def prefixes(docs: DataFrame) -> DataFrame:
                     often = frequent[at] == s
                     s = np.concatenate([s[~often], s[often]])
                 out.append(s[:want].view(np.int64))
-            return [doc_ids, hashes, n, keys, maps, out]
+            return [doc_ids, hashes, n, keys, checks, maps, out]
 
         return apply
 
-    schema = "doc_id long, thash long, n int, skey long, bitmap binary, prefix array<long>"
+    schema = "doc_id long, thash long, n int, skey long, check long, bitmap binary, prefix array<long>"
     return map_texts(docs.withColumn("thash", text_hash()), ["text", "doc_id", "thash"], make, schema)
 
 
@@ -171,10 +178,18 @@ class Tree:
 
 
 def dual_traversal(a: Tree, b: Tree, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all leaf pairs of different components that may link."""
-    ia = ib = np.zeros(1, np.int64)
-    la, lb = len(a.levels) - 1, len(b.levels) - 1
-    while True:
+    """Positions of all leaf pairs of different components that may link.
+
+    Depth first in slices, so that the bitmaps gathered at a time stay bounded.
+    """
+    most = max(1, GATHERED // (4 * a.levels[0][2].shape[1] * 8))
+    root = np.zeros(1, np.int64)
+    stack, out_a, out_b = [(len(a.levels) - 1, len(b.levels) - 1, root, root)], [root[:0]], [root[:0]]
+    while stack:
+        la, lb, ia, ib = stack.pop()
+        if len(ia) > most:
+            stack += [(la, lb, ia[most:], ib[most:])]
+            ia, ib = ia[:most], ib[:most]
         low_a, high_a, all_a, any_a, own_a = (x[ia] for x in a.levels[la])
         low_b, high_b, all_b, any_b, own_b = (x[ib] for x in b.levels[lb])
         keep = ~((own_a == own_b) & (own_a >= 0))
@@ -182,17 +197,22 @@ def dual_traversal(a: Tree, b: Tree, same: bool) -> tuple[np.ndarray, np.ndarray
             keep &= (ia <= ib) if la else (ia < ib)
         keep &= _may_link(low_a, high_a, all_a, any_a, low_b, high_b, all_b, any_b)
         ia, ib = ia[keep], ib[keep]
-        if not len(ia) or la == lb == 0:
-            return ia, ib
-        if la >= lb and la:
+        if not len(ia):
+            continue
+        if la == lb == 0:
+            out_a.append(ia)
+            out_b.append(ib)
+        elif la >= lb and la:
             ia, ib = _children(ia, ib, a.fan(la), len(a.levels[la - 1][0]))
             la -= 1
             if same and lb == la + 1:
                 ib, ia = _children(ib, ia, b.fan(lb), len(b.levels[lb - 1][0]))
                 lb -= 1
+            stack.append((la, lb, ia, ib))
         else:
             ib, ia = _children(ib, ia, b.fan(lb), len(b.levels[lb - 1][0]))
-            lb -= 1
+            stack.append((la, lb - 1, ia, ib))
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def _children(node, other, fan, size):
@@ -226,6 +246,7 @@ def _by_length(maps, n):
 def propose(n, maps, comp, keys, block, first: bool, earlier=None, across: bool = False) -> list[tuple[int, int]]:
     """Candidate pairs of keys of one bucket, within its one block or ``across`` two."""
     out, seen = [], [frozenset(e) for e in earlier or [()] * len(n)]
+    comp = np.unique(comp, return_inverse=True)[1]  # from 0, so a node can say -1 for several
     for own, longer in _by_length(maps, n):
         at = np.concatenate([own, longer])
         words = folded([maps[i] for i in at])
@@ -260,20 +281,46 @@ def propose(n, maps, comp, keys, block, first: bool, earlier=None, across: bool
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` of buckets beyond ``BLOCK`` with the block of each (own) and all blocks it meets (other).
+
+    Components of more than ``BLOCK`` sets of a bucket have blocks of their own, after
+    those of all other sets.
+    """
+    size = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    counts = rows.groupBy("token", "comp").agg(F.count("*").alias("c")).withColumn("big", F.col("c") > BLOCK)
+    small = size(F.sum(F.when(~F.col("big"), F.col("c")).otherwise(0)))
+    own_blocks = F.sum(F.when(F.col("big"), size(F.col("c"))).otherwise(0)).cast("int")
+    of_token = counts.groupBy("token").agg(small.alias("small"), (small + own_blocks).alias("all"))
+    before = Window.partitionBy("token").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1)
+    large = counts.where("big").withColumn("width", size(F.col("c"))).select(
+        "token", "comp", "width", F.coalesce(F.sum("width").over(before), F.lit(0)).cast("int").alias("place")
+    )
+    placed = rows.join(of_token, "token").join(large, ["token", "comp"], "left")
+    first = F.coalesce(F.col("small") + F.col("place"), F.lit(0))
+    width = F.coalesce("width", "small")
+    placed = placed.withColumn("own", first + F.pmod(F.xxhash64("skey"), width).cast("int"))
+    others = F.filter(
+        F.sequence(F.lit(0), F.col("all") - 1), lambda o: F.col("width").isNull() | (o < first) | (o >= first + F.col("width"))
+    )
+    return placed.withColumn("other", F.explode(others))
+
+
+_ROW = ("own", "skey", "n", "comp", "bitmap", "earlier")
+
+
 def _search(rows: DataFrame, first: bool) -> DataFrame:
     """Distinct candidate pairs of the buckets in ``rows`` (token, members, skey, n, comp, bitmap, earlier)."""
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    placed = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("skey"), "blocks").cast("int"))
     if first:  # neighbours within a block are enough to merge families
-        nothing = F.array().cast("array<long>").alias("earlier")
-        keyed = placed.select(
-            "token", F.col("own").alias("i"), F.col("own").alias("j"), "own", "skey", "n", "comp", "bitmap", nothing
-        )
+        blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
+        placed = rows.withColumn("own", F.pmod(F.xxhash64("skey"), blocks).cast("int")).withColumn("other", F.col("own"))
+        placed = placed.withColumn("earlier", F.array().cast("array<long>"))
     else:
-        keyed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-            "own", "skey", "n", "comp", "bitmap", "earlier",
-        )
+        few = rows.where(F.col("members") <= BLOCK).withColumns({"own": F.lit(0), "other": F.lit(0)})
+        placed = few.select("token", "other", *_ROW).union(
+            _blocks(rows.where(F.col("members") > BLOCK)).select("token", "other", *_ROW)
+        )
+    keyed = placed.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *_ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(group, key):
@@ -299,33 +346,33 @@ def _search(rows: DataFrame, first: bool) -> DataFrame:
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = keyed.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "skey")
-    return grouped.select("token", "i", "j", "own", "skey", "n", "comp", "bitmap", "earlier").mapInArrow(
-        run, "a long, b long"
-    ).distinct()
+    return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs whose exact sets link.  Sets are made anew for the pairs' documents."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("skey")).distinct()
-    needed = reps.join(keys, "skey").select("skey", F.coalesce("rep", F.lit(NO_ID)).alias("id"), "thash")
+    needed = reps.join(keys, "skey").select(
+        "skey", F.coalesce("rep", F.lit(NO_ID)).alias("id"), "thash", F.col("low").alias("check")
+    )
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), text_hash().alias("thash"), "text")
     texts = rows.join(needed, ["id", "thash"])
 
     def make():
         done = set()  # keys of this task, 8 bytes each: rows that repeat a text are left out
 
-        def apply(texts, keys):
+        def apply(texts, keys, checks):
             found = []
-            for t, k in zip(texts, keys):
-                if k not in done and set_key(s := shingle_set(t)) == k:
+            for t, k, check in zip(texts, keys, checks):
+                if k not in done and set_check(s := shingle_set(t)) == check:
                     done.add(k)
                     found.append((k, s.tobytes()))
             return [[k for k, _ in found], [s for _, s in found]]
 
         return apply
 
-    sets = materialize(map_texts(texts, ["text", "skey"], make, "skey long, shingles binary"), "jaccard-sets")
-    sets = sets.dropDuplicates(["skey"])
+    stored = materialize(map_texts(texts, ["text", "skey", "check"], make, "skey long, shingles binary"), "jaccard-sets")
+    sets = stored.dropDuplicates(["skey"])
     both = pairs.join(sets.select(F.col("skey").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("skey").alias("b"), F.col("shingles").alias("y")), "b"
     )
@@ -336,7 +383,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
             keep = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    links = materialize(both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "jaccard-links")
+    drop_tables(docs.sparkSession, stored)
+    return links
 
 
 # --- components -----------------------------------------------------------------------------
@@ -349,8 +398,9 @@ def components(links: DataFrame) -> DataFrame:
     nodes on the least neighbour, so the number of rounds grows with the logarithm
     of the longest chain.  Nothing is gathered but counts.
     """
-    edges, before = materialize(links.select("a", "b").distinct(), "jaccard-edges"), None
-    while True:
+    spark = links.sparkSession
+    edges = materialize(links.select("a", "b").distinct(), "jaccard-edges")
+    while not _stars(edges):
         twice = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = twice.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = twice.join(least, "a").where("b > a and b != m").select(F.col("m").alias("a"), "b").distinct()
@@ -362,14 +412,21 @@ def components(links: DataFrame) -> DataFrame:
             .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         )
         done = materialize(small, "jaccard-edges")
-        now = done.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        drop_tables(edges.sparkSession, edges)
+        drop_tables(spark, edges)
         edges = done
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("a").alias("skey"), F.col("a").alias("comp")).distinct()
-    return materialize(roots.union(edges.select(F.col("b").alias("skey"), F.col("a").alias("comp"))), "jaccard-comps")
+    found = materialize(roots.union(edges.select(F.col("b").alias("skey"), F.col("a").alias("comp"))), "jaccard-comps")
+    drop_tables(spark, edges)
+    return found
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every key hangs on one other key at most, which itself hangs on none."""
+    ends = edges.select(F.col("b").alias("key"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(
+        edges.select("a", F.lit(0), F.lit(1))
+    )
+    keys = ends.groupBy("key").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return keys.where("hangs > 1 or (hangs = 1 and holds = 1)").isEmpty()
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -385,14 +442,32 @@ def join_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def representatives(made: DataFrame) -> DataFrame:
+    """``skey, rep, thash, low, high`` of every set that isn't empty: the document that stands
+    for it (smallest doc_id, a missing one last, then least hash of the text) and its checks."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("rep"), "thash"))
+    sets = made.where("n > 0").groupBy("skey").agg(first.alias("first"), F.min("check").alias("low"), F.max("check").alias("high"))
+    return sets.select("skey", "first.rep", "first.thash", "low", "high")
+
+
+def rekeyed(made: DataFrame, reps: DataFrame) -> DataFrame:
+    """``made`` with a new key for every set whose key means several sets, but for the least check."""
+    clash = reps.where("low <> high").select("skey", "low")
+    other = F.col("low").isNotNull() & (F.col("check") != F.col("low"))
+    new = F.when(other, F.xxhash64("skey", "check")).otherwise(F.col("skey"))
+    return made.join(clash, "skey", "left").withColumn("skey", new).select(*made.columns)
+
+
 def _join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``prefixes`` of the documents; each component's first document; ``skey, comp`` of every set."""
     spark = docs.sparkSession
     made = materialize(prefixes(docs), "jaccard-prefixes")
-    # The document that stands for a set: smallest doc_id (a missing one last), then least hash of the text.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("rep"), "thash"))
-    reps = made.where("n > 0").groupBy("skey").agg(first.alias("first")).select("skey", "first.rep", "first.thash")
-    reps = materialize(reps, "jaccard-reps")
+    reps = materialize(representatives(made), "jaccard-reps")
+    while not reps.where("low <> high").isEmpty():  # different sets of one key
+        old = made, reps
+        made = materialize(rekeyed(made, reps), "jaccard-prefixes")
+        reps = materialize(representatives(made), "jaccard-reps")
+        drop_tables(spark, *old)
 
     # One row a distinct set and prefix shingle; only shingles of two sets make buckets.
     # A missing doc_id takes part through a stand-in; equal sets without ids are one.
@@ -423,16 +498,15 @@ def _join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     free_shuffles(spark)
 
     tested = materialize(_search(buckets.withColumn("comp", F.col("skey")), True), "jaccard-pairs")
-    links = materialize(_verify(tested, docs, reps), "jaccard-links")
+    links = _verify(tested, docs, reps)
     comps = components(links)
     free_shuffles(spark)
-    # Components as numbers of one sign, so a node can say that it holds several.
-    named = buckets.join(comps, "skey", "left").withColumn(
-        "comp", F.coalesce("comp", "skey").bitwiseAND(F.lit(2**63 - 1))
-    )
-    more = _search(named, False).join(tested, ["a", "b"], "left_anti")
-    more = _verify(materialize(more, "jaccard-pairs"), docs, reps)
-    comps = components(links.union(materialize(more, "jaccard-links")))
+    named = buckets.join(comps, "skey", "left").withColumn("comp", F.coalesce("comp", "skey"))
+    more = materialize(_search(named, False).join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+    drop_tables(spark, buckets, comps, tested)
+    further = _verify(more, docs, reps)
+    comps = components(links.union(further))
+    drop_tables(spark, more, links, further)
 
     named = reps.join(comps, "skey", "left").withColumn("comp", F.coalesce("comp", "skey"))
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("doc_id"), "thash"))

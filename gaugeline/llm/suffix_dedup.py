@@ -18,11 +18,14 @@ contexts is spread over several shards; the strings that were single in their
 shard are then merged across shards in ranges of their fingerprints, by binary
 search in the sorted range.
 
-Grams, contexts and strings are compared across shards by 64-bit fingerprints.
+Grams, contexts and strings are compared across shards by 64-bit fingerprints.  Those
+of contexts and strings mix a polynomial over the integers modulo 2**64 with one over
+a prime field, so that texts made to agree in the first (Thue-Morse words) still differ.
 
 Defined results: a null text is empty; matches never cross documents; a text
 shorter than ``LENGTH`` loses nothing; rows that repeat a document repeat its
-strings, so both lose them.  An empty table gives an empty table.
+strings, so both lose them, nulls among the ids included.  An empty table gives an empty table.
+Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_tables, free_shuffles, map_texts, materialize, utf8
-from .shingles import _POWERS, mixed
+from .shingles import mixed
 
 LENGTH = 200
 GRAM = 64
@@ -49,11 +52,51 @@ SHARD_BYTES = 3_000_000
 _PLACE = np.uint64((1 << 20) - 1)
 
 
-def _prefix_sums(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _POWERS.upto(len(a) + 1)
-    sums = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum((a + np.uint64(1)) * up[:-1], out=sums[1:])
-    return sums, down
+class _Powers:
+    """Powers of a base and of its inverse modulo ``modulus``, as far as asked for."""
+
+    def __init__(self, base: int, modulus: int):
+        self.base, self.inverse, self.modulus = base, pow(base, -1, modulus), modulus
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            size = len(self.up)
+            self.up = np.concatenate([self.up, self._times(self.up, pow(self.base, size, self.modulus))])
+            self.down = np.concatenate([self.down, self._times(self.down, pow(self.inverse, size, self.modulus))])
+        return self.up[:n], self.down[:n]
+
+    def _times(self, values: np.ndarray, factor: int) -> np.ndarray:
+        product = values * np.uint64(factor)
+        return product if self.modulus == 1 << 64 else product % np.uint64(self.modulus)
+
+
+_PRIME = (1 << 31) - 1
+_RING, _FIELD = _Powers(0xD6E8FEB86659FD93, 1 << 64), _Powers(1_103_515_245, _PRIME)
+
+
+class Prints:
+    """Prefix sums of one stretch of bytes (below 2**24), for fingerprints of its strings."""
+
+    def __init__(self, a: np.ndarray):
+        plain = a + np.uint64(1)
+        up, self.down = _RING.upto(len(a) + 1)
+        self.sums = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum(plain * up[:-1], out=self.sums[1:])
+        up, self.field_down = _FIELD.upto(len(a) + 1)
+        self.field_sums = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum(plain * up[:-1], out=self.field_sums[1:])  # below 2**63: no wrap
+
+    def grams(self, size: int) -> np.ndarray:
+        """Fingerprint of every string of ``size`` bytes, from the first polynomial."""
+        return mixed((self.sums[size:] - self.sums[:-size]) * self.down[: len(self.sums) - size])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Fingerprints of some strings, from both polynomials."""
+        ring = (self.sums[ends] - self.sums[starts]) * self.down[starts]
+        field = (self.field_sums[ends] - self.field_sums[starts]) % np.uint64(_PRIME)
+        field = field * self.field_down[starts] % np.uint64(_PRIME)
+        return mixed(mixed(ring) + field)
 
 
 def anchors(data: bytes):
@@ -61,8 +104,8 @@ def anchors(data: bytes):
     out = []
     for at in range(0, len(data) - LENGTH + 1, SEGMENT):
         a = np.frombuffer(data, np.uint8)[at:at + SEGMENT + LENGTH - 1]
-        sums, down = _prefix_sums(a)
-        grams = mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(a) - GRAM + 1])
+        prints = Prints(a)
+        grams = prints.grams(GRAM)
         keys = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
         # Least key of every window: from the blocks that a window straddles.
         blocks = -(-len(keys) // WINDOW)
@@ -77,7 +120,7 @@ def anchors(data: bytes):
         low = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
         high = np.concatenate([low[1:], [n]]) - 1
         own = place[low]
-        context = (sums[high + LENGTH] - sums[low]) * down[low]
+        context = prints.of(low, high + LENGTH)
         context = mixed(context + mixed(((high - low) * 256 + own - low + 1).astype(np.uint64)))
         out.append((grams[own].view(np.int64), context.view(np.int64), low + at, high + at, own - low))
     return tuple(map(np.concatenate, zip(*out))) if out else None
@@ -198,10 +241,9 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if spans:
                 out.append((fp, c, spans, None, None))
             if shards > 1:
-                sums, down = _prefix_sums(np.frombuffer(context, np.uint8))
                 at = offset[own][lead[own] | ~hit[own]]
                 found = np.empty(len(at), STRING)
-                found["value"] = mixed((sums[at + LENGTH] - sums[at]) * down[at])
+                found["value"] = Prints(np.frombuffer(context, np.uint8)).of(at, at + LENGTH)
                 found["c"], found["at"], found["single"] = c, at, ~hit[own][at]
                 strings.setdefault((fp, salt, shards), []).append(found)
         for (fp, _, shards), found in strings.items():
@@ -346,9 +388,22 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     return same.unionByName(differing).groupBy("key").agg(F.collect_set("span").alias("spans"))
 
 
+def with_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a 64-bit ``key`` that rows of different id or text never share.
+
+    A second hash shows if two documents got one key; then all keys are made anew from both.
+    """
+    key, check = F.xxhash64("doc_id", "text"), F.xxhash64("text", "doc_id")
+    while True:
+        pairs = docs.select(key.alias("key"), check.alias("check")).groupBy("key")
+        if pairs.agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").isEmpty():
+            return docs.select("doc_id", "text", key.alias("key"))
+        key = F.xxhash64(key, check)
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
-    keyed = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    keyed = with_keys(docs)
     spans = materialize(removed_spans(keyed.select("key", "text")), "repeat-spans")
     free_shuffles(docs.sparkSession)
     joined = keyed.join(spans, "key", "left").withColumn("starts", F.col("spans.start")).withColumn("ends", F.col("spans.end"))

@@ -100,9 +100,9 @@ class Encoder:
     """Encodes whole texts with a tokenizers file whose pre-tokens never hold white space.
 
     A text is cut at ASCII white space, which the file's pre-tokenizer drops, and
-    each distinct word is encoded by the library once per worker: words below
-    U+0250 are normalized and split here and their pieces merged by the library's
-    model, all others (and special strings) pass through its whole pipeline.
+    each distinct word is encoded by the library once per worker: words that are below
+    U+0250 after normalizing and lowering are split here and their pieces merged by the
+    library's model, all others (and special strings) pass through its whole pipeline.
     """
 
     def __init__(self, path: str):
@@ -130,11 +130,14 @@ class Encoder:
             self.pieces.clear()
         for i, word in enumerate(words):
             text = word.decode()
-            if self.mark in word or BEYOND_LATIN.search(text):
+            if not text.isascii():  # the split sees what normalizing and lowering leave
+                text = unicodedata.normalize("NFC", text).lower()
+                if BEYOND_LATIN.search(text):
+                    rest.append(i)
+                    continue
+            if self.mark in word:
                 rest.append(i)
             else:
-                if not text.isascii():
-                    text = unicodedata.normalize("NFC", text)
                 out[i] = b"".join(map(self._piece, self.find(text.lower())))
         if rest:
             found = self.library.encode_batch([words[i].decode() for i in rest], add_special_tokens=False)

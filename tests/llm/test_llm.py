@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as tokens_dir
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeline.llm import (
     byte_bpe, lsh_forest, mixing, ordinal, quality_rules, secret_scan, shingles, signature_tree, suffix_dedup,
@@ -117,6 +118,18 @@ def test_token_binary_round_trip(spark, docs, empty):
     assert token_binary.stored(spark, empty, path).count() == 0
 
 
+def test_token_binary_words_of_every_small_code_point():
+    """Capitals whose small letters lie beyond the spelled-out classes, and special strings."""
+    encoder = token_binary.Encoder(tokens_dir.path("word_bpe_49k.json"))
+    special = [t.content for t in encoder.library.get_added_tokens_decoder().values()][:5]
+    texts = [f"a{chr(c)}b x{chr(c)} {chr(c)}" for c in range(1, 0x600)]
+    alphabet = [*map(chr, range(1, 0x250)), *special * 9, *" \n\u0130\u1e9e\u0301" * 9]
+    texts += ["".join(R.choices(alphabet, k=R.randint(1, 40))) for _ in range(3000)]
+    library = encoder.library.encode_batch(texts, add_special_tokens=False)
+    for text, ids, want in zip(texts, encoder.encode(texts, 2), library):
+        assert np.frombuffer(ids, np.uint32).tolist() == [*want.ids, 2], text
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes(bits):
     for n in (0, 1, 7, 5000):
@@ -145,32 +158,76 @@ def test_mixing(docs, empty):
     rows = got.collect()
     assert len(rows) == docs.count() and all(0 <= r["copies"] <= 2 for r in rows)
     total = sum(r["mix_size"] for r in rows)
-    targets = {r["source"]: (r["target"], r["source_size"]) for r in rows}
+    targets = {r["doc"]["source"]: (r["target"], r["source_size"]) for r in rows}
     assert sum(t for t, _ in targets.values()) == pytest.approx(1.5 * total)
     assert all(t <= 2 * s + 1e-9 for t, s in targets.values())
     assert rows_of(got) == rows_of(mixing.mix(docs.repartition(5)))
     assert mixing.sample(docs).count() == sum(r["copies"] for r in rows) and mixing.sample(empty).count() == 0
 
 
-def test_forest_recall(spark):
+def test_mixing_keeps_clashing_columns(docs):
+    names = ["offset", "target", "copies", "copy", "doc", "time", "mix_size", "source_size", "place"]
+    wide = docs.select("*", *(F.lit(f"{n}!").alias(n) for n in names))
+    got = mixing.sample(wide)
+    assert got.columns == wide.columns and rows_of(got.select(docs.columns)) == rows_of(mixing.sample(docs))
+    assert got.select(*names).distinct().collect() == [tuple(f"{n}!" for n in names)]
+
+
+def test_mixing_of_texts_under_one_id_agrees_across_runs(spark):
+    rows = [(i % 3 or None, f"{c} b c", "s", "x") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz" * 3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert rows_of(mixing.sample(df)) == rows_of(mixing.sample(df.repartition(7, "text")))
+
+
+def nearest_brute(x, q, k=20):
+    with np.errstate(over="ignore"):
+        scores = x @ x[q]
+    return [i for i in np.lexsort((np.arange(len(x)), -scores)) if i != q][:k]
+
+
+@pytest.mark.parametrize("kind", ["random", "clusters"])
+def test_forest_recall_on_part_of_a_shard(kind):
+    rng = np.random.default_rng(1)
+    n = 12000
+    x = rng.standard_normal((n, 32))
+    if kind == "clusters":
+        x = np.repeat(x[:: n // 400][:400], n // 400, axis=0) + 0.2 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    shard, asked = lsh_forest.Shard(np.arange(n), x), np.arange(0, n, 100)
+    q, found, _ = shard.search(asked, x[asked], 20)
+    hits = sum(len(set(found[q == i]) & set(nearest_brute(x, i))) for i in asked)
+    assert hits / (20 * len(asked)) >= 0.9
+    assert shard.examined / len(asked) / n < (0.5 if kind == "random" else 0.1)  # an index, not a scan
+
+
+def test_forest_frame(spark):
     x = np.random.default_rng(1).standard_normal((1200, 24))
     x[7] = x[8] = x[9]
     rows = [(i, v.tolist(), "e") for i, v in enumerate(x)] + [(9000, None, "e"), (9001, [0.0] * 24, "e"), (9020, [float("nan")] * 24, "e")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, extra string")
-    got = lsh_forest.nearest(df, df.where("vec_id % 20 = 0"), shard_rows=500).collect()
+    rows += [(None, x[3].tolist(), "e"), (20, x[20].tolist(), "e"), (9040, [None] * 24, "e")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
+    got = lsh_forest.nearest(df, df.where("vec_id % 20 = 0"), shard_rows=500, block_rows=16).collect()
     found = Counter()
     for r in got:
         assert r["score"] == pytest.approx(float(x[r["query_id"]] @ x[r["vec_id"]]))
         found[r["query_id"]] += 1
     hits = 0
     for q in range(0, 1200, 20):
-        s = x @ x[q]
-        best = [i for i in np.lexsort((np.arange(1200), -s)) if i != q][:20]
-        hits += len(set(best) & {r["vec_id"] for r in got if r["query_id"] == q})
+        hits += len(set(nearest_brute(x, q)) & {r["vec_id"] for r in got if r["query_id"] == q})
     assert set(found.values()) == {20} and hits / (60 * 20) >= 0.9
     assert lsh_forest.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_forest_odd_vectors(spark):
+    rows = [(0, [1e20, 0.0, 1.0]), (1, [1e20, 1e19]), (2, [1.0]), (3, [-1e20, 0.0, 0.0, 5.0]), (4, [1e-20, 1e-20]), (5, [1e160, 1e160])]
+    rows += [(0, [1e20, 0.0, 1.0]), (6, [2.0, 1.0]), (6, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in lsh_forest.nearest(df, df.where("vec_id in (0, 6)"), k=3).collect()]
+    top = {(q, rank): (v, s) for q, rank, v, s in got}
+    assert top[0, 1] == (5, 1e180) and top[0, 2] == (1, 1e40) and top[0, 3] == (6, 2e20)
+    assert top[6, 1] == (5, 2e160) and len(got) == 6  # of two vectors under one id the least asks
+
+
 def brute_repeats(texts):
     seen = Counter(t[i:i + 200] for t in texts for i in range(len(t) - 199))
     for t in texts:
@@ -273,6 +330,50 @@ def test_near_copies_without_ids_link(spark):
     assert len(kept) == 2 and [r["text"] for r in kept if r["doc_id"] is not None] == [step[2]]
 
 
+def thue_morse(n, flip=0):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+def test_structured_words_differ(spark):
+    words_ = [thue_morse(n, f) for n in (1024, 2048, 4096, 8192) for f in (0, 1)]
+    assert len(set(np.concatenate([shingles.word_hashes(w.encode()) for w in words_]).tolist())) == 8
+    rows = [(1, " ".join([thue_morse(1024)] * 6), "s", "x"), (2, " ".join([thue_morse(1024, 1)] * 6), "s", "x")]
+    got = signature_tree.join_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 2)}
+
+
+def test_sets_of_one_key_are_told_apart(spark, docs, monkeypatch):
+    want = rows_of(signature_tree.join_documents(docs))
+    made = signature_tree.prefixes(docs).withColumn("skey", F.col("skey") % 3)
+    reps = signature_tree.representatives(made)
+    while not reps.where("low <> high").isEmpty():
+        made = signature_tree.rekeyed(made, reps)
+        reps = signature_tree.representatives(made)
+    sets = len({shingle_brute(r["text"]) for r in docs.collect()} - {frozenset()})
+    assert reps.count() == sets and made.count() == docs.count() and want
+
+
+def test_large_families_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(signature_tree, "BLOCK", 8)
+    monkeypatch.setattr(signature_tree, "GATHERED", 4096)
+    base = words(60, 11)
+    rows = []
+    for i in range(70):  # a large family, and some that share its words but don't link with it
+        w = list(base)
+        w[R.randrange(60)] = f"z{i}"
+        rows.append((i, " ".join(w if i < 50 else w[: 25 + i // 10] + words(30, i // 7)), "s", "x"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    sets = {r[0]: shingle_brute(r[1]) for r in rows}
+    parent = dict.fromkeys(sets)
+    for i in sets:
+        linked = {parent[j] for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+        parent[i] = min(linked, default=i)
+        for j in range(i):
+            parent[j] = parent[i] if parent[j] in linked else parent[j]
+    got = {r["doc_id"]: r["component_id"] for r in signature_tree.join_documents(df).collect()}
+    assert got == parent and 1 < len(set(parent.values())) < 70
+
+
 def test_tree_finds_every_link():
     rng = np.random.default_rng(3)
     sets = []
@@ -306,9 +407,284 @@ def test_classifier_on_held_out_rows(spark, empty):
     assert (np.diff(ordinal.thresholds(model)) > 0).all()
     with pytest.raises(ValueError):
         ordinal.train(df, lab.limit(0))
+    # labels without a document take no place in the sample; grades beyond the scale are its ends
+    stray = spark.createDataFrame([(10**6 + i, 1, 0) for i in range(500)] + [(900, 7, 3)], "doc_id long, quality int, toxic int")
+    again, bound = ordinal.train(df.unionByName(df.where("doc_id < 50")), lab.where("doc_id < 400").union(stray.where("doc_id <> 900")), 400)
+    assert np.allclose(again, model) and bound == least
+    assert [ordinal.grade(q, t) for q, t in ((7, 0), (-1, 0), (1, 2), (0, 0))] == [2, 1, 0, 1]
     assert ordinal.score(empty, ["doc_id"], "doc_id long", model, least).count() == 0
 
 
+def test_classifier_gradient():
+    rng = np.random.default_rng(0)
+    rows = [(np.unique(rng.integers(0, 40, 6)), rng.random(ordinal.SHAPES)) for _ in range(30)]
+    y = rng.integers(0, 3, 30)
+    lengths = [len(b) for b, _ in rows]
+    data = (
+        y, np.repeat(np.arange(30), lengths), np.concatenate([b for b, _ in rows]),
+        np.repeat([ordinal.weight(k) for k in lengths], lengths), np.array([s for _, s in rows]), 1e-3,
+    )
+    p = ordinal.start()
+    p[:40], p[ordinal.BUCKETS:] = rng.standard_normal(40), p[ordinal.BUCKETS:] + rng.standard_normal(ordinal.SHAPES + 2) / 3
+    g = ordinal.gradient(p, *data)
+    for i in [*range(0, 40, 7), *range(ordinal.BUCKETS, len(p))]:
+        step = np.zeros_like(p)
+        step[i] = 1e-5
+        assert g[i] == pytest.approx((ordinal.loss(p + step, *data) - ordinal.loss(p - step, *data)) / 2e-5, abs=1e-6)
+
+
+def test_classifier_bound_moves_without_a_jump():
+    p = ordinal.start()
+    row = ([], np.array([0, 0, 0, 0, 0, 1.0]))
+    at = float(ordinal.tails_of(row, p)[-1])
+    bounds = [ordinal.bound([row] * n, [2] * n, p) for n in range(0, 400)]
+    assert bounds[0] == pytest.approx(0.5, abs=0.01) and bounds[-1] == pytest.approx(at)
+    assert max(np.abs(np.diff(bounds))) < 0.02
+
+
+def test_redaction_with_any_columns(spark):
+    rows = [(1, "password=hunter22 é", "a", "b"), (2, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars string, spans string")
+    assert rows_of(secret_scan.redact(df)) == [(1, "[secret] é", "a", "b"), (2, None, None, None)]
+    counted = df.withColumn("n_chars", F.lit(5))
+    assert rows_of(secret_scan.redact(counted).select("doc_id", "n_chars")) == [(1, 10), (2, 5)]
+
+
+def test_learned_identifiers(spark):
+    texts = ["the customer_record holds key q9Zx7Lk2Vb8Tn4Rw6 customer-link"] * 2 + ["customer_record once_only", None]
+    df = spark.createDataFrame([(i, t, "s", "x") for i, t in enumerate(texts)], SCHEMA)
+    learned = secret_scan.learn_identifiers(df).removesuffix(secret_scan.IDENTIFIERS).split()
+    assert learned == ["customer_record"]  # copies count once; what has a digit is no identifier
+    assert secret_scan.learn_identifiers(df.limit(0)) == secret_scan.IDENTIFIERS
+
+
+def odd_rows(spark):
+    """Nulls in every column, repeated rows, a text of several MB and columns of clashing names."""
+    long_text = " ".join(words(300_000, 3)) + " password=hunter22 " + "x" * 5000
+    rows = [(i, t, R.choice([None, "a"]), "c", "c") for i, t in enumerate(TEXTS[:40])]
+    rows += rows[:3] + [(None, None, None, None, None), (None, "a b c", None, None, None), (77, long_text, "a", "c", "c")]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, spans string, n_tokens string")
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Documents of ``odd_rows`` and the other tables of the smallest test data."""
+    import os
+
+    out = str(tmp_path_factory.mktemp("tables"))
+    odd_rows(spark).repartition(3).write.parquet(f"{out}/documents.parquet")
+    for name in ("embeddings", "labels"):
+        os.symlink(f"/root/testdata/sf0.001/{name}.parquet", f"{out}/{name}.parquet")
+    return out
+
+
+def entry(spark, folder, name):
+    from gaugeline.llm import entries
+
+    found = next(f for n, f in entries.QUERIES.items() if n.startswith(name + "_"))
+    docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source").collect()]
+    return found(spark, folder), docs
+
+
+def split(text):
+    return (text or "").encode().split()
+
+
+def test_op1_entry(spark, folder):
+    got, docs = entry(spark, folder, "op1")
+    want = []
+    for doc_id, text, _ in docs:
+        w, t = split(text), text or ""
+        grams = Counter(tuple(w[i:i + 8]) for i in range(len(w) - 7))
+        hit = {j for i in range(len(w) - 7) if grams[tuple(w[i:i + 8])] > 1 for j in range(i, i + 8)}
+        lines = [x for x in t.split("\n") if split(x)]
+        n = len(w)
+        want.append((doc_id, n, sum(len(x.decode()) for x in w), sum(c in "[#*$%&|<>]"[1:-1] for c in t), len(lines) - len(set(lines)), len(hit), n < 20 or 100 * len(hit) > 30 * n))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    assert rows_of(got.select(names)) == sorted(want, key=repr)
+    assert got.where("base_failed and kept").isEmpty() and not got.where("kept").isEmpty()
+
+
+def test_op2_entry(spark, folder):
+    import re
+
+    got, docs = entry(spark, folder, "op2")
+    assign = re.compile("([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+                        "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    want = []
+    for doc_id, text, _ in docs:
+        t = text or ""
+        spans = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 20]
+        spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if m.end() - m.start() >= 24]
+        digest = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
+        kinds = [sum(s[3] == k for s in spans) for k in ("assign", "access", "hex")]
+        want.append((doc_id, *kinds, hashlib.sha256(digest.encode()).hexdigest()))
+    assert rows_of(got.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")) == sorted(want, key=repr)
+
+
+def test_op3_entry(spark, folder):
+    got, docs = entry(spark, folder, "op3")
+    library, start, want = token_binary.Encoder(tokens_dir.path("word_bpe_49k.json")).library, 0, []
+    for doc_id, text, _ in sorted(docs, key=lambda r: (r[0] is not None, r[0], r[1] is not None, r[1] or "")):
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert rows_of(got) == sorted(want, key=repr)
+
+
+def test_op4_entry(spark, folder):
+    import sentencepiece
+
+    got, docs = entry(spark, folder, "op4")
+    model, want = sentencepiece.SentencePieceProcessor(model_file=tokens_dir.path("piece_bpe_32k.model")), []
+    for doc_id, text, _ in docs:
+        n = len(model.encode(text or ""))
+        want.append((doc_id, len((text or "").encode()), n, n > 4096))
+    assert rows_of(got) == sorted(want, key=repr)
+
+
+def test_op5_entry(spark, folder):
+    got, docs = entry(spark, folder, "op5")
+    sizes = Counter()
+    for _, text, source in docs:
+        sizes[source] += len(split(text))
+    rows = got.collect()
+    assert Counter((r["doc_id"], r["size"]) for r in rows) == Counter((d[0], len(split(d[1]))) for d in docs)
+    assert all(r["taken"] <= 2 * r["size"] and r["source_size"] in sizes.values() for r in rows)
+    total = sum(sizes.values())  # two sources: the larger one reaches its limit or its share
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    want = {s: 1.5 * total * weights[s] / sum(weights.values()) for s in order}
+    full = [s for s in order if want[s] > 2 * sizes[s]]
+    for s in full:
+        want[s] = 2.0 * sizes[s]
+    for s in order:
+        if s not in full:
+            want[s] = min(2.0 * sizes[s], 1.5 * total - sum(want[f] for f in full))
+    assert {(r["source_size"], round(r["target"], 6)) for r in rows} == {(sizes[s], round(want[s], 6)) for s in order}
+
+
+def test_op6_entry(spark, folder):
+    import tiktoken
+
+    got, docs = entry(spark, folder, "op6")
+    ranks = byte_bpe.load_ranks(tokens_dir.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("t", pat_str=tokens_dir.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for doc_id, text, _ in docs:
+        ids = library.encode_ordinary(text or "")
+        sha = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        want.append((doc_id, len(ids), sha, hashlib.sha256((text or "").encode()).hexdigest()))
+    assert rows_of(got) == sorted(want, key=repr)
+
+
+def test_op7_entry(spark, folder):
+    got = entry(spark, folder, "op7")[0].collect()
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in rows if r["embedding"] is not None}
+    hits = n = 0
+    for q in (v for v in vectors if v % 20 == 0):
+        scores = {v: float((x * vectors[q]).sum()) for v, x in vectors.items() if v != q}
+        best = sorted(scores, key=lambda v: (-scores[v], v))[:20]
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, len(best) + 1)) and all(r["score"] == scores[r["vec_id"]] for r in mine)
+        hits, n = hits + len(set(best) & {r["vec_id"] for r in mine}), n + len(best)
+    assert hits / n >= 0.9
+
+
+def test_op8_entry(spark, folder):
+    got, docs = entry(spark, folder, "op8")
+    rows = got.collect()
+    small = [d for d in docs if len(d[1] or "") < 100_000]  # the long one holds no other's strings
+    want = [(d[0], *x) for d, x in zip(small, brute_repeats([(d[1] or "").encode() for d in small]))]
+    assert sorted((tuple(r) for r in rows if r["doc_id"] != 77), key=repr) == sorted(want, key=repr)
+    long_one = next(r for r in rows if r["doc_id"] == 77)
+    text = next(d[1] for d in docs if d[0] == 77).encode()
+    kept = text[:-5000] + b""  # all but the run of one letter, which repeats itself
+    assert (long_one["n_bytes"], long_one["n_removed"], long_one["n_spans"]) == (len(text), 5000, 1)
+    assert long_one["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+
+
+def test_op9_entry(spark, folder):
+    got, docs = entry(spark, folder, "op9")
+    assert sorted(map(repr, (r[0] for r in got.select("doc_id").collect()))) == sorted(repr(d[0]) for d in docs)
+    assert got.where("expected_grade is null or kept is null or p_above_0 < p_top").isEmpty()
+
+
+def test_op10_entry(spark, folder):
+    got, docs = entry(spark, folder, "op10")
+    sets, comp = [(d[0], shingle_brute(d[1])) for d in docs], list(range(len(docs)))
+    for i, (_, a) in enumerate(sets):
+        for j in range(i):
+            b = sets[j][1]
+            if a and b and comp[i] != comp[j] and 100 * len(a & b) >= 75 * len(a | b):
+                comp = [comp[i] if c == comp[j] else c for c in comp]
+    want = []
+    for i, (doc_id, s) in enumerate(sets):
+        ids = [sets[j][0] for j in range(len(sets)) if comp[j] == comp[i] and sets[j][0] is not None]
+        want.append((doc_id, len(s), min(ids, default=None) if s else doc_id))
+    assert rows_of(got) == sorted(want, key=repr)
+
+
+def test_every_operator_takes_empty_tables(spark, folder, tmp_path):
+    from gaugeline.llm import entries
+
+    for name in ("documents", "embeddings"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, f in entries.QUERIES.items():
+        if name != "op9_quality_classifier":  # without a labelled document there is no model
+            assert f(spark, str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_stages_by_brute_force(spark, folder):
+    """Every stage on all that its predecessor kept, against a plain version of its rule."""
+    import tiktoken
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id is null or doc_id <> 77").unionByName(spark.createDataFrame(
+        [(100 + i, " ".join(words(60, 5)[i % 3:] + [f"tail{i}"]) + f" token=abcdef{i:02}", "b", "c", "c") for i in range(30)],
+        "doc_id long, text string, source string, spans string, n_tokens string",
+    ))
+    state = [tuple(r) for r in docs.collect()]
+    for (name, stage), step in zip(corpus_pipeline.STAGES[:-1], (plain_quality, plain_one_each, plain_redaction, None)):
+        docs = stage(spark, docs, folder)
+        after = [tuple(r) for r in docs.collect()]
+        if step:
+            assert sorted(after, key=repr) == sorted(step(state), key=repr), name
+        else:
+            assert set(after) <= set(state) and max(Counter(after).values()) <= 2 * max(Counter(state).values())
+            words_of = lambda rows: sum(len(split(r[1])) for r in rows)
+            assert words_of(after) == pytest.approx(1.5 * words_of(state), abs=2 * max(len(split(r[1])) for r in state))
+        state = after
+    ranks = byte_bpe.load_ranks(tokens_dir.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("t", pat_str=tokens_dir.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    want = [(r[0], np.array(library.encode_ordinary(r[1] or ""), "<u4").tobytes()) for r in state]
+    assert sorted(((r["doc_id"], bytes(r["ids"])) for r in last), key=repr) == sorted(want, key=repr)
+
+
+def plain_quality(rows):
+    return [r for r in rows if not any(rule.rejects(quality_rules.Measures(r[1])) for rule in quality_rules.RULES)]
+
+
+def plain_one_each(rows):
+    sets, comp = [shingle_brute(r[1]) for r in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and comp[i] != comp[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                comp = [comp[i] if c == comp[j] else c for c in comp]
+    best = {}
+    for r, c in zip(rows, comp):
+        best[c] = min(best.get(c, r), r, key=lambda x: (x[0] is None, x[0] or 0))
+    return list(best.values())
+
+
+def plain_redaction(rows):
+    return [(r[0], secret_scan.cut(r[1]), *r[2:]) for r in rows]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
