@@ -289,44 +289,6 @@ def g1_stage_rows(spark, d):
 # --- text ---------------------------------------------------------------------------------------------
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT doc_id, trim(line) <> '' AS full_, regexp_matches(line, '^.*[0-9]\\s*$') AS num FROM l)
-SELECT doc_id, count(*) FILTER (full_) AS lines, count(*) FILTER (full_ AND num) AS numeric_lines, CASE WHEN count(*) FILTER (full_) = 0 THEN 'empty' WHEN count(*) FILTER (full_ AND num) = count(*) FILTER (full_) THEN 'numeric_only'
- WHEN count(*) FILTER (full_ AND num) > 0 THEN 'mixed' ELSE 'invalid' END AS format FROM k GROUP BY 1""")
-def t11_t19_line_formats(spark, d):
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    numeric = F.filter(lines, lambda x: x.rlike(r"^.*[0-9]\s*$"))
-    n, m = F.size(lines).cast("long"), F.size(numeric).cast("long")
-    kind = F.when(n == 0, "empty").when(m == n, "numeric_only").when(m > 0, "mixed").otherwise("invalid")
-    return table(spark, d, "documents").select("doc_id", n.alias("lines"), m.alias("numeric_lines"), kind.alias("format"))
-
-
-@query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS x FROM documents)
-SELECT doc_id, array_to_string(x[greatest(len(x) - 2, 1):], chr(10)) AS tail, greatest(len(x) - 3, 0) AS omitted FROM l""")
-def t33_truncate_history(spark, d):
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    t = table(spark, d, "documents").select("doc_id", lines.alias("x"))
-    n = F.size("x")
-    return t.select("doc_id", F.array_join(F.slice("x", F.greatest(n - 2, F.lit(1)), F.lit(3)), "\n").alias("tail"), F.greatest(n - 3, F.lit(0)).cast("long").alias("omitted"))
-
-
-@query("""WITH m AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'x <tool_call>{"name": "a", "k": ' || user_id || '}</tool_call> y' WHEN 1 THEN '<tool_call>bad</tool_call><tool_call>{"name": "b"}</tool_call>' WHEN 2 THEN 'none' ELSE '<tool_call>{"k": 1}' END AS s FROM events)
-SELECT event_id, len(regexp_extract_all(s, '<tool_call>(.*?)</tool_call>', 1)) AS blocks,
- len(list_filter(regexp_extract_all(s, '<tool_call>(.*?)</tool_call>', 1), lambda x: json_valid(x))) AS valid, trim(regexp_replace(s, '<tool_call>.*?</tool_call>', '', 'g')) AS rest FROM m""")
-def t23_tool_calls(spark, d):
-    kind = F.col("event_id") % 4
-    s = (
-        F.when(kind == 0, F.concat(F.lit('x <tool_call>{"name": "a", "k": '), F.col("user_id").cast("string"), F.lit("}</tool_call> y")))
-        .when(kind == 1, '<tool_call>bad</tool_call><tool_call>{"name": "b"}</tool_call>').when(kind == 2, "none").otherwise('<tool_call>{"k": 1}')
-    )
-    m = table(spark, d, "events").select("event_id", s.alias("s"))
-    blocks = F.expr(r"regexp_extract_all(s, '(?s)<tool_call>(.*?)</tool_call>', 1)")
-    valid = F.filter(blocks, lambda x: F.get_json_object(x, "$.name").isNotNull())
-    return m.select(
-        "event_id", F.size(blocks).cast("long").alias("blocks"), F.size(valid).cast("long").alias("valid"),
-        F.trim(F.regexp_replace("s", r"(?s)<tool_call>.*?</tool_call>", "")).alias("rest"),
-    )
-
-
 @query(f"""WITH {TYPES}, g AS (SELECT series_id, max(pos) AS n, arg_max(epoch_us(ts), pos) AS t1, arg_max(epoch_us(ts), pos) FILTER (pos < m) AS t0 FROM (SELECT *, max(pos) OVER (PARTITION BY series_id) AS m FROM s) GROUP BY 1)
 SELECT series_id, i AS step, t1 + (t1 - t0) * (i + 1) AS at_us FROM g, range(8) r(i)""")
 def d3_future_timestamps(spark, d):

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from gaugeline import registry
@@ -21,10 +22,20 @@ def duck():
     return con
 
 
+def plain(v):
+    """A value as lists, rounded numbers, strings and None, whatever frame it comes from."""
+    if hasattr(v, "tolist"):
+        v = v.tolist()
+    if isinstance(v, (list, tuple)):
+        return [plain(x) for x in v]
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and v != v:
+        return None
+    return round(float(v), 5) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+
+
 def normal(frame):
     frame = frame[sorted(frame.columns)].astype(object)
-    value = lambda v: None if v is None or v != v or str(v) == "<NA>" else round(float(v), 5) + 0.0 if isinstance(v, float) else str(v)
-    return sorted(([value(v) for v in row] for row in frame.itertuples(index=False)), key=repr)
+    return sorted(([plain(v) for v in row] for row in frame.itertuples(index=False)), key=repr)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
