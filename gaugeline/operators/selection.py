@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import ratio
+from .ordering import kept, numbered, quantiles
+
 
 def rank_models(errors: DataFrame) -> DataFrame:
     """Models of each sample by (mse, name), with margin to the second and the default."""
@@ -25,17 +28,25 @@ def route_info(errors: DataFrame, default: str) -> DataFrame:
     gain = F.col("default_error") - F.col("best_error")
     margin = F.col("second_error") - F.col("best_error")
     return out.withColumns({
-        "improvement": F.round(gain, 7), "improvement_rel": F.round(gain / F.col("default_error"), 6),
-        "margin_rel": F.round(margin / F.greatest("best_error", F.lit(1e-8)), 6),
+        "improvement": F.round(gain, 7), "improvement_rel": F.round(ratio(gain, F.col("default_error")), 6),
+        "margin_rel": F.round(ratio(margin, F.col("second_error")), 6),
     })
 
 
-def override_thresholds(routes: DataFrame, default: str, q: float = 0.8, floor: float = 0.35) -> DataFrame:
-    """Of each other best model: the q-quantile of its relative improvement, at least ``floor``."""
-    return (
-        routes.where(F.col("best") != default).groupBy("best")
-        .agg(F.round(F.greatest(F.percentile("improvement_rel", F.lit(q)), F.lit(floor)), 6).alias("threshold"))
-    )
+def override_thresholds(
+    routes: DataFrame, models: list[str], default: str, q: float = 0.8, floor: float = 0.35
+) -> DataFrame:
+    """Of each model but the default: the q-quantile of its positive relative improvements, at least ``floor``.
+
+    Fit it on the training split only; models that never win get the floor.
+    """
+    spark = routes.sparkSession
+    named = spark.createDataFrame([(m,) for m in models if m != default], "best string")
+    gains = routes.where((F.col("best") != default) & (F.col("improvement_rel") > 0))
+    found = quantiles(gains, "improvement_rel", (q,), ("best",))
+    return named.join(found, "best", "left").select(
+        "best", F.round(F.greatest(F.coalesce("q0", F.lit(0.0)), F.lit(floor)), 6).alias("threshold")
+    )
 
 
 def triage(routes: DataFrame, thresholds: DataFrame, default: str, keep: float = 0.05, margin: float = 0.08) -> DataFrame:
@@ -54,37 +65,211 @@ def triage(routes: DataFrame, thresholds: DataFrame, default: str, keep: float =
     ).withColumn("confidence", F.when(F.col("bucket") == "keep", F.when(F.col("best") == default, "high").otherwise("mid")).when(F.col("bucket") == "override", "high").otherwise(""))
 
 
-def evenly_spaced(rows: DataFrame, order: str, k: int, rule: str = "half_even") -> DataFrame:
-    """``k`` rows at positions i*(n-1)/(k-1), rounded half to even, or floored."""
-    place = F.row_number().over(Window.orderBy(order)) - 1
-    numbered = rows.withColumn("place", place).withColumn("n", F.count("*").over(Window.partitionBy()))
-    i = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    raw = F.col("i") * (F.col("n") - 1) / F.lit(k - 1)
-    spot = F.bround(raw) if rule == "half_even" else F.floor(raw)
-    wanted = numbered.select("n").limit(1).select("n", i.alias("i")).select(spot.cast("int").alias("place")).distinct()
-    return numbered.join(wanted, "place").drop("n")
+def evenly_spaced(rows: DataFrame, order: str, k: int, rule: str = "half_even", single: str = "middle") -> DataFrame:
+    """``k`` rows at places i * (n - 1) / (k - 1) of the order, rounded half to even, or floored.
+
+    All rows where there are no more than ``k``; of one, the middle or the first one; none for ``k`` < 1.
+    """
+    return _at_places(numbered(rows, order), k, rule, single, fill=False)
+
+
+def evenly_spaced_filled(rows: DataFrame, order: str, k: int) -> DataFrame:
+    """Exactly ``k`` rows: even places, and where two fall together the first rows not yet taken; one: the first."""
+    return _at_places(numbered(rows, order), k, "half_even", "first", fill=True)
+
+
+def even_places(k: int, n: Column, rule: str = "half_even", single: str = "middle") -> Column:
+    """Zero-based places of ``k`` evenly spaced of ``n`` rows, as an array."""
+    if k <= 0:
+        return F.array().cast("array<long>")
+    if k == 1:
+        return F.array((F.floor(n / 2) if single == "middle" else F.lit(0)).cast("long"))
+    spot = lambda i: i * (n - 1) / F.lit(k - 1)
+    turn = F.bround if rule == "half_even" else F.floor
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: turn(spot(i)).cast("long")))
+
+
+def _at_places(placed: DataFrame, k: int, rule: str, single: str, fill: bool) -> DataFrame:
+    n = placed.agg(F.count("*").alias("_n"))
+    wanted = n.select("_n", even_places(k, F.col("_n"), rule, single).alias("_wanted"))
+    if fill:
+        spare = F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(max(2 * k, 1)).cast("long")), "_wanted")
+        wanted = wanted.withColumn("_wanted", F.concat("_wanted", F.slice(spare, F.lit(1), F.lit(k) - F.size("_wanted"))))
+    joined = placed.crossJoin(F.broadcast(wanted))  # one row of k places
+    take = (F.col("_n") <= k) if k > 0 else F.lit(fill)
+    return joined.where(take | F.array_contains("_wanted", F.col("place"))).drop("_n", "_wanted")
+
 
+def bucket_best(rows: DataFrame, order: str, score: str | list, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Best row (earliest of equals) of each of ``k`` contiguous buckets of the order, within equal ``by``.
 
-def bucket_best(rows: DataFrame, order: str, score: str, k: int) -> DataFrame:
-    """Best row (earliest of equals) of each of ``k`` contiguous buckets of the order."""
-    n = F.count("*").over(Window.partitionBy())
-    r = rows.withColumn("place", F.row_number().over(Window.orderBy(order)) - 1).withColumn("n", n)
-    # bucket b holds places floor(b n / k) to floor((b + 1) n / k)
-    r = r.withColumn("bucket", F.floor(((F.col("place") + 1) * k - 1) / F.col("n")))
-    w = Window.partitionBy("bucket").orderBy(F.desc(score), order)
-    return r.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "n", "place")
+    Bucket b holds places floor(b n / k) to floor((b + 1) n / k); with no more rows than
+    ``k`` every row is its own.  ``score`` may be several columns, compared in turn.
+    """
+    scores = [score] if isinstance(score, str) else score
+    r = numbered(rows, order, by=by)
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    r = r.join(F.broadcast(sizes), list(by)) if by else r.crossJoin(F.broadcast(sizes))  # a row a group
+    bucket = F.floor(((F.col("place") + 1) * k - 1) / F.col("_n"))
+    r = r.withColumn("bucket", F.when(F.col("_n") <= k, F.col("place")).otherwise(bucket))
+    w = Window.partitionBy(*by, "bucket").orderBy(*map(F.desc, scores), order)
+    return r.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_n", "place")
 
 
-def quota(rows: DataFrame, group: str, best: str, key: str, total: int, groups: int) -> DataFrame:
-    """``total // groups`` best rows of each group, then the best of the rest."""
-    each = total // groups
-    r = rows.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(best), key)))
-    first = r.where(F.col("rn") <= each)
-    rest = r.where(F.col("rn") > each).orderBy(F.desc(best), key)
-    taken = F.count("*").over(Window.partitionBy())
-    spare = first.withColumn("t", taken).select((F.lit(total) - F.col("t")).alias("spare")).limit(1)
-    fill = rest.withColumn("o", F.row_number().over(Window.orderBy(F.desc(best), key))).crossJoin(F.broadcast(spare))  # one row
-    return first.unionByName(fill.where("o <= spare").drop("o", "spare")).drop("rn")
+def balanced_selection(rows: DataFrame, order: str, score: str | list, model: str, total: int) -> DataFrame:
+    """``total`` rows: as many bucket winners of each model as divide evenly, then of the rest, then by score.
+
+    Expects few models; ``order`` identifies a row.
+    """
+    names = [r[0] for r in rows.select(model).distinct().orderBy(model).limit(total + 1).collect()]
+    each = total // len(names) if 0 < len(names) <= total else 0
+    columns = rows.columns
+    if rows.count() <= total:
+        return rows
+    taken = bucket_best(rows, order, score, each, (model,)).select(*columns) if each and len(names) > 1 else rows.limit(0)
+    taken = kept(taken)
+    missing = total - taken.count()
+    if missing <= 0:
+        return taken
+    rest = rows.join(taken.select(order), order, "left_anti")
+    return taken.unionByName(bucket_best(rest, order, score, missing).select(*columns))
+
+
+def quota_selection(
+    rows: DataFrame, order: str, score: str | list, model: str, total: int, quotas: list[tuple[Column, float]]
+) -> DataFrame:
+    """``total`` rows: for each (condition, share) up to ceil(share * total) rows that meet it, then a balanced fill.
+
+    The first quota is spread over the order alone, later ones over the models as well.
+    """
+    taken = rows.limit(0)
+    for i, (condition, share) in enumerate(quotas):
+        pool = rows.where(condition).join(taken.select(order), order, "left_anti")
+        want = min(int(-(-share * total // 1)), total - taken.count())
+        if want > 0:
+            pick = pool if pool.count() <= want else None
+            if pick is None:
+                pick = bucket_best(pool, order, score, want).select(*rows.columns) if i == 0 else balanced_selection(pool, order, score, model, want)
+            taken = kept(taken.unionByName(pick.select(*rows.columns)))
+    rest = rows.join(taken.select(order), order, "left_anti")
+    want = total - taken.count()
+    return taken.unionByName(balanced_selection(rest, order, score, model, want).select(*rows.columns)) if want > 0 else taken
+
+
+def quota(rows: DataFrame, group: str, best: str, key: str, total: int, groups: list[str]) -> DataFrame:
+    """``total`` rows by rank in their group: an equal quota of one at least, the remainder to the
+    first of the present ``groups`` in their order, then the best of all leftovers."""
+    spark = rows.sparkSession
+    present = {r[0] for r in rows.select(group).distinct().limit(len(groups) + 1).collect()}
+    present = [g for g in groups if g in present]
+    if total <= 0 or not present:
+        return rows.limit(0)
+    each = max(1, total // len(present))
+    extra = max(0, total - each * len(present))
+    shares = [(g, i, each + (i < extra)) for i, g in enumerate(present)]
+    q = spark.createDataFrame(shares, "_group string, _model int, _quota int")  # a row a group
+    w = Window.partitionBy(group).orderBy(F.desc(best), F.desc(key))
+    r = rows.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(q), F.col(group) == F.col("_group"))
+    first = r.where("_rn <= _quota")
+    first = first.orderBy("_model", "_rn").limit(total) if each * len(present) > total else first
+    fill = r.where("_rn > _quota").orderBy(F.desc(best), F.desc(key), "_rn").limit(max(0, total - min(total, _size(first))))
+    return first.unionByName(fill).drop("_rn", "_group", "_model", "_quota")
+
+
+def _size(rows: DataFrame) -> int:
+    return rows.count()
+
+
+def keep_selection(rows: DataFrame, default: str, k: int) -> DataFrame:
+    """``k`` keeps, evenly spaced in the order default-best first, then improvement, then index."""
+    order = F.struct((F.col("best") != default).alias("o1"), F.col("improvement_rel").alias("o2"), F.col("sample").alias("o3"))
+    return evenly_spaced(rows.withColumn("_order", order), "_order", k).drop("_order", "place")
+
+
+def half_and_half(labelled: DataFrame, default: str, models: list[str], total: int, fill: bool) -> DataFrame:
+    """Up to half keeps, the rest overrides balanced over models; ``fill`` takes leftovers by index."""
+    keeps, overrides = (labelled.where(F.col("bucket") == b) for b in ("keep", "override"))
+    n_keep = min(keeps.count(), max(1, total // 2))
+    n_over = min(overrides.count(), max(1, total - n_keep))
+    chosen = keep_selection(keeps, default, n_keep).unionByName(
+        quota(overrides, "best", "improvement_rel", "sample", n_over, [m for m in models if m != default])
+    )
+    if fill:
+        chosen = kept(chosen)
+        missing = total - chosen.count()
+        if missing > 0:
+            rest = labelled.where(F.col("bucket") != "ambiguous").join(chosen.select("sample"), "sample", "left_anti")
+            chosen = chosen.unionByName(rest.orderBy("sample").limit(missing))
+    return chosen
+
+
+def repeated_to_ratio(rows: DataFrame, source: str, stage: str, wanted: str, share: float) -> DataFrame:
+    """Copies of whole source groups of one stage, in turn, until that stage holds ``share`` of all rows.
+
+    Adds ``copy``; every source with the stage is repeated as a whole, the first ones once more.
+    """
+    own = rows.where(F.col(stage) == wanted)
+    n = rows.agg(F.count(F.when(F.col(stage) == wanted, 1)).alias("a"), F.count("*").alias("n")).first()
+    target = int(-(-share * (n["n"] - n["a"]) // (1 - share)))
+    groups = own.groupBy(source).agg(F.count("*").alias("_rows"))
+    placed = numbered(groups, source, name="_place")
+    before = placed.select("_place", "_rows")
+    sums = running_sum(before, "_place", "_rows", "_before")
+    total = max(n["a"], 1)
+    rounds, rest = divmod(max(0, target - n["a"]), total)
+    placed = placed.join(sums.select("_place", "_before"), "_place")
+    times = F.lit(1 + rounds) + F.when(F.col("_before") < rest, 1).otherwise(0)
+    repeated = own.join(placed.select(source, times.alias("_times")), source)
+    others = rows.where(F.col(stage) != wanted).withColumn("copy", F.lit(0))
+    return copies(repeated, F.col("_times")).drop("_times").unionByName(others.select(*rows.columns, "copy"))
+
+
+def running_sum(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over the rows before each, by blocks of the dense ``order`` (places from 0)."""
+    block = rows.withColumn("_block", F.floor(F.col(order) / 65536))
+    sums = block.groupBy("_block").agg(F.sum(value).alias("_sum"))  # a row for 65,536 places
+    base = sums.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return block.join(F.broadcast(base), "_block").withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("_block", "_base")
+
+
+def downsampled(rows: DataFrame, key: str, priority: Column, target: int) -> DataFrame:
+    """``target`` rows: those of ``priority`` first, and of the others an even, floored spread (all if fewer)."""
+    first, rest = rows.where(priority), rows.where(~F.coalesce(priority, F.lit(False)))
+    n = first.count()
+    if n >= target:
+        return evenly_spaced(first, key, target, "floor", "first").drop("place")
+    return first.unionByName(evenly_spaced(rest, key, target - n, "floor", "first").drop("place"))
+
+
+def oversampled(rows: DataFrame, group: str, key: str, seed: int = 17) -> DataFrame:
+    """Every class up to the largest; which rows repeat goes by a hash of their key."""
+    return balance_classes(rows.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)), group, "_h").drop("_h")
+
+
+def shuffled_head(rows: DataFrame, key: str, n: int, seed: int = 17) -> DataFrame:
+    """``n`` rows that come first by a hash of seed and key, the same in every run."""
+    return rows.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), key).limit(n)
+
+
+def by_category(rows: DataFrame, categories: list[tuple[str, Column, list[Column], int]], key: str) -> DataFrame:
+    """Rows picked category by category (name, condition, order, limit), none twice; adds ``category``."""
+    chosen = None
+    for name, condition, order, limit in categories:
+        pool = rows.where(condition)
+        if chosen is not None:
+            pool = pool.join(chosen.select(key), key, "left_anti")
+        pick = pool.orderBy(*order, key).limit(limit).withColumn("category", F.lit(name))
+        chosen = kept(pick if chosen is None else chosen.unionByName(pick))
+    return chosen
+
+
+def spread_per_group(rows: DataFrame, group: str, key: str, k: int) -> DataFrame:
+    """Evenly spaced ``k`` rows of each group (the middle one for one)."""
+    placed = numbered(rows, key, by=(group,))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    r = placed.join(F.broadcast(sizes), group).where((F.col("_n") <= k) | F.array_contains(even_places(k, F.col("_n")), F.col("place")))
+    return r.drop("_n")
 
 
 def top_fraction(rows: DataFrame, group: str, best: str, key: str, share: float) -> DataFrame:
@@ -100,11 +285,12 @@ def copies(rows: DataFrame, n: Column) -> DataFrame:
 
 def balance_classes(rows: DataFrame, group: str, key: str) -> DataFrame:
     """Every class up to the largest: full repeats, and one more of the first rows."""
-    w = Window.partitionBy(group)
-    r = rows.withColumn("rn", F.row_number().over(w.orderBy(key))).withColumn("n", F.count("*").over(w))
-    r = r.withColumn("most", F.max("n").over(Window.partitionBy()))
-    times = F.floor(F.col("most") / F.col("n")) + F.when(F.col("rn") <= F.col("most") % F.col("n"), 1).otherwise(0)
-    return copies(r, times).drop("rn", "n", "most")
+    r = numbered(rows, key, by=(group,), name="_at")
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    most = sizes.agg(F.max("_n").alias("_most"))  # one row
+    r = r.join(F.broadcast(sizes), group).crossJoin(F.broadcast(most))
+    times = F.floor(F.col("_most") / F.col("_n")) + F.when(F.col("_at") < F.col("_most") % F.col("_n"), 1).otherwise(0)
+    return copies(r, times).drop("_at", "_n", "_most")
 
 
 def group_advantages(steps: DataFrame) -> DataFrame:
@@ -117,19 +303,20 @@ def group_advantages(steps: DataFrame) -> DataFrame:
 
 
 def gae(steps: DataFrame, gamma: float = 0.9, lam: float = 0.8) -> DataFrame:
-    """Generalised advantage of every step: a fold over the reversed trajectory."""
+    """Generalised advantage of every step.
+
+    adv(t) is the sum of (gamma lam)^k delta(t + k): a fold over the trajectory from its end,
+    whose state is one number, at every step over what follows it.  Work grows with the
+    square of a trajectory's steps, which are few; nothing is concatenated.
+    """
     w = Window.partitionBy("trajectory").orderBy("step")
     delta = F.col("reward") + gamma * F.coalesce(F.lead("value").over(w), F.lit(0.0)) - F.col("value")
-    rows = steps.withColumn("delta", delta).groupBy("trajectory").agg(
-        F.array_sort(F.collect_list(F.struct("step", "delta"))).alias("steps")
-    )
-    folded = F.aggregate(
-        F.reverse("steps"), F.expr("cast(array() as array<struct<step:bigint,adv:double>>)"),
-        lambda acc, x: F.concat(acc, F.array(F.struct(
-            x["step"].alias("step"),
-            (x["delta"] + gamma * lam * F.coalesce(F.try_element_at(acc, F.lit(-1))["adv"], F.lit(0.0))).alias("adv"),
-        ))),
-    )
-    return rows.select("trajectory", F.explode(folded).alias("s")).select(
-        "trajectory", "s.step", F.round("s.adv", 6).alias("advantage")
-    )
+    rows = steps.withColumn("delta", delta)
+    ahead = F.collect_list("delta").over(w.rowsBetween(0, Window.unboundedFollowing))
+    folded = F.aggregate(F.reverse(ahead), F.lit(0.0), lambda acc, d: d + gamma * lam * acc)
+    return rows.select("trajectory", "step", F.round(folded, 6).alias("advantage"))
+
+
+def spanning_trajectories(steps: DataFrame) -> DataFrame:
+    """Trajectories that stand in more than one group: group statistics would be wrong for them."""
+    return steps.groupBy("trajectory").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b").select("trajectory")

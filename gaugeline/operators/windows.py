@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays
+from ..functions.scores import ratio
+from .ordering import kept, quantiles
+
 
 def along(*more: str):
     return Window.partitionBy("series_id", *more).orderBy("pos")
@@ -21,18 +25,18 @@ def build_windows(series: DataFrame, history: int, horizon: int) -> DataFrame:
     return rows.where((F.size("history") == history) & (F.size("future") == horizon))
 
 
-def build_windows_bucketed(series: DataFrame, history: int, horizon: int, bucket: int) -> DataFrame:
-    """The same windows for very long series, in tasks of ``bucket`` positions.
-
-    Rows near a bucket's end go to the bucket before as well, so one series needn't
-    be one task.
-    """
-    reach = history + horizon - 1
+def spread(series: DataFrame, reach: int, bucket: int) -> DataFrame:
+    """Rows with the buckets of ``bucket`` positions that need them: the own one, and the one
+    before for rows within ``reach`` of a bucket's start.  One series needn't be one task."""
     own = F.floor(F.col("pos") / bucket).cast("long")
     first = F.greatest(F.floor((F.col("pos") - reach) / bucket).cast("long"), F.lit(0))
-    spread = series.withColumn("bucket", F.explode(F.sequence(first, own)))
+    return series.withColumn("bucket", F.explode(F.sequence(first, own)))
+
+
+def build_windows_bucketed(series: DataFrame, history: int, horizon: int, bucket: int = 512) -> DataFrame:
+    """The same windows for series of any length, in groups of ``bucket`` positions."""
     past, ahead = along("bucket").rowsBetween(-(history - 1), 0), along("bucket").rowsBetween(1, horizon)
-    rows = spread.select(
+    rows = spread(series, history + horizon - 1, bucket).select(
         "series_id", "bucket", (F.col("pos") - history + 1).alias("start"),
         F.collect_list("value").over(past).alias("history"), F.collect_list("value").over(ahead).alias("future"),
     )
@@ -40,47 +44,76 @@ def build_windows_bucketed(series: DataFrame, history: int, horizon: int, bucket
     return rows.where(full & (F.floor(F.col("start") / bucket) == F.col("bucket"))).drop("bucket")
 
 
+def split_windows(series: DataFrame, history: int, horizon: int, sizes: dict[str, int], bucket: int = 512) -> DataFrame:
+    """Windows of consecutive splits of each series, named with their sizes in rows; none crosses a split."""
+    edge, split = 0, None
+    start = F.lit(None)
+    for name, size in sizes.items():
+        inside = (F.col("pos") >= edge) & (F.col("pos") < edge + size)
+        split = F.when(inside, name) if split is None else split.when(inside, name)
+        start = F.when(inside, edge).otherwise(start)
+        edge += size
+    parts = series.withColumn("split", split).withColumn("edge", start).where("split is not null")
+    parts = parts.withColumns({"series_id": F.struct("series_id", "split", "edge"), "pos": F.col("pos") - F.col("edge")})
+    w = build_windows_bucketed(parts, history, horizon, bucket)
+    return w.select("series_id.series_id", "series_id.split", (F.col("start") + F.col("series_id.edge")).alias("start"), "history", "future")
+
+
 def at(xs: str, i: Column) -> Column:
     """Element of an array column by a zero-based position."""
     return F.element_at(xs, (i + 1).cast("int"))
 
 
-def permutation_entropy(xs: str) -> Column:
-    """Order-3 permutation entropy of an array, over ln 6, clipped to [0, 1]."""
-    i = F.sequence(F.lit(0), F.size(xs) - 3)
+def pattern(a: Column, b: Column, c: Column) -> Column:
+    """Number of the order (by stable sort) of three values."""
+    return (
+        F.when((a <= b) & (b <= c), 0).when((a <= c) & (c < b), 1).when((b < a) & (a <= c), 2)
+        .when((b <= c) & (c < a), 3).when((c < a) & (a <= b), 4).otherwise(5)
+    )
 
-    def pattern(k: Column) -> Column:
-        a, b, c = at(xs, k), at(xs, k + 1), at(xs, k + 2)
-        return (
-            F.when((a <= b) & (b <= c), 0).when((a <= c) & (c < b), 1).when((b < a) & (a <= c), 2)
-            .when((b <= c) & (c < a), 3).when((c < a) & (a <= b), 4).otherwise(5)
-        )
 
-    kinds = F.transform(i, pattern)
-    n = (F.size(xs) - 2).cast("double")
-    terms = F.transform(
-        F.array(*map(F.lit, range(6))), lambda k: F.size(F.filter(kinds, lambda x: x == k)).cast("double") / n
-    )
-    total = F.aggregate(terms, F.lit(0.0), lambda acc, p: acc - p * F.log(p + 1e-12))
-    return F.when(F.size(xs) < 3, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total / F.log(F.lit(6.0)))))
+def entropy_of(counts: list[Column]) -> Column:
+    """Order-3 permutation entropy from the counts of the six orders, over ln 6, clipped to [0, 1]; 0 without any."""
+    n = sum(counts[1:], counts[0]).cast("double")
+    terms = [c / n * F.log(c / n + 1e-12) for c in counts]
+    share = -sum(terms[1:], terms[0]) / F.log(F.lit(6.0))
+    return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
 
 
 def quality_measures(xs: str) -> dict[str, Column]:
-    """Largest share of 25 equal bins, share near the extremes, constant flag."""
-    low, high, n = F.array_min(xs), F.array_max(xs), F.size(xs).cast("double")
-    bins = F.transform(xs, lambda x: F.least(F.floor((x - low) / (high - low) * 25), F.lit(24)).cast("int"))
-    most = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda k: F.size(F.filter(bins, lambda b: b == k))))
+    """Largest share of 25 equal bins, share near the extremes, constant flag and share of missing or infinite values."""
+    all_ = F.col(xs)
+    ok = F.filter(all_, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    low, high, n = F.array_min(ok), F.array_max(ok), F.size(ok).cast("double")
+    bins = F.array_sort(F.transform(ok, lambda x: F.least(F.floor((x - low) / (high - low) * 25), F.lit(24)).cast("int")))
+    start = F.struct(F.lit(-1).alias("bin"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def longest(s: Column, b: Column) -> Column:
+        run = F.when(s["bin"] == b, s["run"] + 1).otherwise(1)
+        return F.struct(b.alias("bin"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
+
     margin = F.greatest((high - low) * 0.01, F.lit(1e-3))
-    near = F.size(F.filter(xs, lambda x: (x <= low + margin) | (x >= high - margin)))
+    near = F.size(F.filter(ok, lambda x: (x <= low + margin) | (x >= high - margin)))
+    lost = F.size(all_) - F.size(ok)
     return {
-        "bin_share": F.when(high == low, 1.0).otherwise(most / n),
-        "saturation": near / n,
-        "constant": (high - low) < 1e-3,
+        "bin_share": F.when(lost > 0, 0.0).when(high == low, 1.0).otherwise(F.aggregate(bins, start, longest)["most"] / n),
+        "saturation": F.when(n == 0, 0.0).otherwise(near / n),
+        "constant": F.coalesce(arrays.deviation(ok) < 1e-3, F.lit(True)),
+        "dropout": lost / F.size(all_),
     }
 
 
+def quality_issue(bin_share: Column, saturation: Column, constant: Column, dropout: Column) -> Column:
+    return (bin_share >= 0.25) | (saturation >= 0.08) | constant | (dropout > 0)
+
+
 def banded(value: Column, low: Column, high: Column) -> Column:
-    return F.when(value.isNull(), "unknown").when(value <= low, "low").when(value <= high, "medium").otherwise("high")
+    """low, medium or high by two cuts; unknown without a finite value, medium without cuts."""
+    unknown = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+    return (
+        F.when(unknown, "unknown").when(low.isNull() | high.isNull(), "medium")
+        .when(value <= low, "low").when(value <= high, "medium").otherwise("high")
+    )
 
 
 def stage(error_band: Column, entropy_band: Column) -> Column:
@@ -92,22 +125,47 @@ def stage(error_band: Column, entropy_band: Column) -> Column:
     )
 
 
-def curriculum(series: DataFrame, history: int = 24, horizon: int = 8) -> DataFrame:
-    """Windows with entropy, naive error, their tertile bands and the difficulty stage."""
-    w = build_windows(series, history, horizon)
-    last = F.element_at("history", -1)
-    w = w.select(
-        "series_id", "start", F.round(permutation_entropy("history"), 6).alias("entropy"),
-        F.round(F.aggregate("future", F.lit(0.0), lambda acc, x: acc + (x - last) * (x - last)) / horizon, 8).alias("error"),
+def measured_windows(series: DataFrame, history: int, horizon: int, bucket: int = 512) -> DataFrame:
+    """``series_id, start``, entropy, naive error and quality measures of every full window, in buckets.
+
+    The order of each three neighbours is found once a row; a window only counts them.
+    """
+    w = along("bucket")
+    rows = spread(series, history + horizon - 1, bucket)
+    x = F.col("value")
+    rows = rows.withColumn("kind", pattern(x, F.lead("value", 1).over(w), F.lead("value", 2).over(w)))
+    past, ahead, triples = (w.rowsBetween(a, b) for a, b in ((-(history - 1), 0), (1, horizon), (-(history - 1), -2)))
+    rows = rows.select(
+        "series_id", "bucket", (F.col("pos") - history + 1).alias("start"), x.alias("last"),
+        F.collect_list("value").over(past).alias("history"), F.collect_list("value").over(ahead).alias("future"),
+        *(F.sum((F.col("kind") == k).cast("int")).over(triples).alias(f"kind{k}") for k in range(6)),
+    )
+    full = (F.size("history") == history) & (F.size("future") == horizon)
+    rows = rows.where(full & (F.floor(F.col("start") / bucket) == F.col("bucket")))
+    last = F.col("last")
+    return rows.select(
+        "series_id", "start", F.round(entropy_of([F.col(f"kind{k}") for k in range(6)]), 6).alias("entropy"),
+        F.round(F.aggregate("future", F.lit(0.0), lambda acc, y: acc + (y - last) * (y - last)) / horizon, 8).alias("error"),
         *(c.alias(k) for k, c in quality_measures("history").items()),
     )
-    cuts = w.groupBy("series_id").agg(
-        *(F.percentile(c, F.lit(q)).alias(f"{c}_{k}") for c in ("error", "entropy") for k, q in ((1, 1 / 3), (2, 2 / 3)))
-    )
-    w = w.join(cuts, "series_id")
+
+
+def tertiles(rows: DataFrame, by: str, *columns: str) -> DataFrame:
+    """Cuts at a third and two thirds of each column's finite values, as ``c_1`` and ``c_2``."""
+    cuts = rows.select(by).distinct()
+    for c in columns:
+        q = quantiles(rows, c, (1 / 3, 2 / 3), (by,)).select(by, F.col("q0").alias(f"{c}_1"), F.col("q1").alias(f"{c}_2"))
+        cuts = cuts.join(q, by, "left")
+    return cuts
+
+
+def curriculum(series: DataFrame, history: int = 24, horizon: int = 8) -> DataFrame:
+    """Windows with entropy, naive error, their tertile bands and the difficulty stage."""
+    w = kept(measured_windows(series, history, horizon))
+    w = w.join(F.broadcast(tertiles(w, "series_id", "error", "entropy")), "series_id")  # a row a series
     bands = {c: banded(F.col(c), F.col(f"{c}_1"), F.col(f"{c}_2")) for c in ("error", "entropy")}
     w = w.withColumns({f"{c}_band": b for c, b in bands.items()})
-    flag = (F.col("bin_share") > 0.25) | (F.col("saturation") > 0.08) | F.col("constant")
+    flag = quality_issue(F.col("bin_share"), F.col("saturation"), F.col("constant"), F.col("dropout"))
     return w.withColumn("stage", stage(F.col("error_band"), F.col("entropy_band"))).withColumn("quality_issue", flag)
 
 
@@ -133,30 +191,40 @@ def features(series: DataFrame) -> DataFrame:
     return s.groupBy("series_id").agg(
         F.count("*").alias("n_points"), r(F.first("median"), "median"),
         r(F.median(F.abs(F.col("value") - F.col("median"))), "mad"),
-        r(F.sum(dev * (F.col("back1") - F.col("mean"))) / F.sum(dev * dev), "acf1"),
-        r(F.coalesce(F.sum(dev * (F.col("back24") - F.col("mean"))) / F.sum(dev * dev), F.lit(0.0)), "acf24"),
+        r(ratio(F.sum(dev * (F.col("back1") - F.col("mean"))), F.sum(dev * dev)), "acf1"),
+        r(F.coalesce(ratio(F.sum(dev * (F.col("back24") - F.col("mean"))), F.sum(dev * dev)), F.lit(0.0)), "acf24"),
         r(F.max(F.abs("cusum")), "cusum_max"),
-        r((quart(0.975) - quart(0.025)) / (quart(0.75) - quart(0.25)), "quantile_kurtosis"),
+        r(ratio(quart(0.975) - quart(0.025), quart(0.75) - quart(0.25)), "quantile_kurtosis"),
         r(F.max(F.abs("d1")), "max_slope"), r(F.max(F.abs("d2")), "max_second_diff"),
         r(F.avg(near.cast("double")), "saturation"), r(F.stddev_pop("value"), "sd"),
+        r(F.min_by("value", "pos"), "start"), r(F.max_by("value", "pos"), "end"),
         r(F.max_by("value", "pos") - F.min_by("value", "pos"), "net_change"), r(F.avg(F.abs("d1")), "mean_abs_step"),
         r(F.regr_slope("value", "back1"), "ar1_slope"), r(F.regr_intercept("value", "back1"), "ar1_intercept"),
     )
 
 
-def direction(net: Column, eps: float = 1e-6) -> Column:
-    return F.when(net > eps, "up").when(net < -eps, "down").otherwise("flat")
-
-
 def turning_points(series: DataFrame) -> DataFrame:
-    """Points not below, or not above, both neighbours; ends lean on their mirrored neighbours."""
+    """Points not below, or not above, two neighbours on either side.
+
+    Before the first point stand the third and the second, after the last one the last
+    but one and the last itself; series of fewer than five points have none.
+    """
     w = along()
-    n = F.count("*").over(Window.partitionBy("series_id"))
-    x = F.col("value")
-    left = F.coalesce(F.lag("value").over(w), F.lead("value").over(w))
-    right = F.coalesce(F.lead("value").over(w), x)
-    s = series.withColumn("peak", (x >= left) & (x >= right)).withColumn("valley", (x <= left) & (x <= right))
-    return s.withColumn("n", n).where("n >= 5").drop("n")
+    back = lambda k: F.lag("value", k).over(w)
+    ahead = lambda k: F.lead("value", k).over(w)
+    s = series.withColumns({
+        "n": F.count("*").over(Window.partitionBy("series_id")),
+        # left of place 0: places 2 and 1; of place 1: places 1 and 0
+        "l2": F.when(F.col("pos") == 0, ahead(2)).when(F.col("pos") == 1, F.col("value")).otherwise(back(2)),
+        "l1": F.when(F.col("pos") == 0, ahead(1)).otherwise(back(1)),
+        # right of the last place: the one before and itself; of the last but one: the last and itself
+        "r1": F.coalesce(ahead(1), back(1)),
+        "r2": F.when(ahead(2).isNotNull(), ahead(2)).otherwise(F.col("value")),
+    })
+    x, others = F.col("value"), [F.col(c) for c in ("l2", "l1", "r1", "r2")]
+    every = lambda test: test(others[0]) & test(others[1]) & test(others[2]) & test(others[3])
+    s = s.withColumn("peak", every(lambda o: x >= o)).withColumn("valley", every(lambda o: x <= o))
+    return s.where("n >= 5").drop("n", "l2", "l1", "r1", "r2")
 
 
 def longest_monotone_run(series: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..operators import selection as sel
 from ..operators import windows as win
+from ..operators.ordering import kept, numbered, quantiles
 from ..sources.tables import model_errors, series, table
 from .queries import CURRICULUM, ERRORS, ROUTES, STEPS, TYPES, USERS, query, routes, steps
 
@@ -19,16 +20,16 @@ def count_if(c):
 # --- joins and audits ------------------------------------------------------------------------
 
 
-@query("""SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 4 <> 0""")
+@query("""SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'HOUSEHOLD'""")
 def j4_inner_lookup(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 4 <> 0")
+    c = table(spark, d, "customer").where("c_mktsegment <> 'HOUSEHOLD'")
     return table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
 
 
-@query("""SELECT (SELECT count(*) FROM orders SEMI JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) c ON o_custkey = c_custkey) AS matched,
- (SELECT count(*) FROM orders ANTI JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) c ON o_custkey = c_custkey) AS missed""")
+@query("""SELECT (SELECT count(*) FROM orders SEMI JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'HOUSEHOLD') c ON o_custkey = c_custkey) AS matched,
+ (SELECT count(*) FROM orders ANTI JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'HOUSEHOLD') c ON o_custkey = c_custkey) AS missed""")
 def j5_match_and_miss_counts(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("hit"))
+    c = table(spark, d, "customer").where("c_mktsegment <> 'HOUSEHOLD'").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("hit"))
     j = table(spark, d, "orders").join(c, "o_custkey", "left")
     return j.agg(count_if(F.col("hit").isNotNull()).alias("matched"), count_if(F.col("hit").isNull()).alias("missed"))
 
@@ -47,13 +48,12 @@ def j10_threshold_lookup(spark, d):
     return j.groupBy("l_returnflag").agg(count_if(F.col("l_discount") >= F.coalesce("bound", F.lit(1.0))).alias("over"), F.count("*").alias("n"))
 
 
-@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_id % 50 = 0), b AS (SELECT DISTINCT user_id FROM events WHERE event_id % 70 = 1)
+@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type IN ('error', 'purchase')), b AS (SELECT DISTINCT user_id FROM events WHERE event_type NOT IN ('error', 'purchase'))
 SELECT (SELECT count(*) FROM a) AS left_ids, (SELECT count(*) FROM b) AS right_ids, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS overlap""")
 def j14_split_overlap(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy("user_id").agg(F.max((F.col("event_id") % 50 == 0)).alias("a"), F.max((F.col("event_id") % 70 == 1)).alias("b")).agg(
-        count_if(F.col("a")).alias("left_ids"), count_if(F.col("b")).alias("right_ids"), count_if(F.col("a") & F.col("b")).alias("overlap")
-    )
+    left = F.col("event_type").isin("error", "purchase")
+    sides = table(spark, d, "events").groupBy("user_id").agg(F.max(left).alias("a"), F.max(~left).alias("b"))
+    return sides.agg(count_if(F.col("a")).alias("left_ids"), count_if(F.col("b")).alias("right_ids"), count_if(F.col("a") & F.col("b")).alias("overlap"))
 
 
 @query(f"""WITH {USERS}, p AS (SELECT * FROM s WHERE series_id % 2 = 0), q AS (SELECT series_id - 1 AS series_id, pos, value FROM s WHERE series_id % 2 = 1)
@@ -84,19 +84,22 @@ def a5_agreement_ratio(spark, d):
     return both.agg(F.count("*").alias("compared"), F.round(F.avg((F.col("a") == F.col("b")).cast("int")), 6).alias("agreement"))
 
 
-@query(f"""WITH {ERRORS}, m AS (SELECT model, avg(mse) AS a, avg(mae) AS b FROM errors GROUP BY 1) SELECT model AS default_expert FROM m ORDER BY a, b, model LIMIT 1""")
+@query(f"""WITH {ERRORS}, g AS (SELECT *, mse - min(mse) OVER (PARTITION BY sample) AS regret FROM errors), m AS (SELECT model, round(avg(mse), 6) AS a, round(avg(regret), 6) AS b, quantile_disc(regret, 0.9) AS c FROM g GROUP BY 1)
+SELECT model AS default_expert FROM m ORDER BY a, b, c, model LIMIT 1""")
 def a8_default_expert(spark, d):
-    m = model_errors(spark, d).groupBy("model").agg(F.avg("mse").alias("a"), F.avg("mae").alias("b"))
-    return m.orderBy("a", "b", "model").limit(1).select(F.col("model").alias("default_expert"))
+    e = kept(model_errors(spark, d).withColumn("regret", F.col("mse") - F.min("mse").over(Window.partitionBy("sample"))))
+    m = e.groupBy("model").agg(F.round(F.avg("mse"), 6).alias("a"), F.round(F.avg("regret"), 6).alias("b"))
+    m = m.join(quantiles(e, "regret", (0.9,), ("model",), nearest=True), "model")
+    return m.orderBy("a", "b", "q0", "model").limit(1).select(F.col("model").alias("default_expert"))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 1/3.0), 6) AS low, round(quantile_cont(value, 2/3.0), 6) AS high, max(value) AS most, min(value) AS least FROM events GROUP BY 1")
 def a9_tertiles(spark, d):
+    e = table(spark, d, "events")
     finite = F.when(~F.isnan("value"), F.col("value"))
-    return table(spark, d, "events").groupBy("event_type").agg(
-        F.round(F.percentile("value", F.lit(1 / 3)), 6).alias("low"), F.round(F.percentile("value", F.lit(2 / 3)), 6).alias("high"),
-        F.max(finite).alias("most"), F.min(finite).alias("least"),
-    )
+    ends = e.groupBy("event_type").agg(F.max(finite).alias("most"), F.min(finite).alias("least"))
+    q = quantiles(e, "value", (1 / 3, 2 / 3), ("event_type",))
+    return ends.join(q, "event_type").select("event_type", F.round("q0", 6).alias("low"), F.round("q1", 6).alias("high"), "most", "least")
 
 
 @query("""SELECT conv_id, count(*) AS steps, min(length(text)) AS fastest, round(avg(length(text)), 5) AS mean, max(length(text)) AS slowest,
@@ -129,18 +132,11 @@ def w11_rollout_number(spark, d):
     return r.select("series_id", "pos", "g", n.cast("long").alias("rollout"))
 
 
-@query(f"""WITH {ERRORS} SELECT sample, model, round(mse - max(mse) FILTER (model = 'mean') OVER (PARTITION BY sample), 5) AS delta_vs_default FROM errors""")
-def w15_vs_default(spark, d):
-    e = model_errors(spark, d)
-    base = F.max(F.when(F.col("model") == "mean", F.col("mse"))).over(Window.partitionBy("sample"))
-    return e.select("sample", "model", F.round(F.col("mse") - base, 5).alias("delta_vs_default"))
-
-
 @query("SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, CASE role WHEN 'user' THEN 0 ELSE 1 END, turn) - 1 AS new_index, count(*) OVER (PARTITION BY conv_id) AS turn_count FROM conversations")
 def w17_reindex(spark, d):
     order = F.when(F.col("role") == "user", 0).otherwise(1)
-    n = F.row_number().over(Window.orderBy("conv_id", order, "turn")) - 1
-    return table(spark, d, "conversations").select("conv_id", "turn", n.cast("long").alias("new_index"), F.count("*").over(Window.partitionBy("conv_id")).alias("turn_count"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", order.alias("_o"), F.count("*").over(Window.partitionBy("conv_id")).alias("turn_count"))
+    return numbered(rows, "conv_id", "_o", "turn", name="new_index").select("conv_id", "turn", "new_index", "turn_count")
 
 
 @query(f"""WITH {ROUTES}, r AS (SELECT sample, best, row_number() OVER (PARTITION BY best ORDER BY margin_rel DESC, sample) AS k, count(*) OVER (PARTITION BY best) AS n FROM routes)
@@ -218,25 +214,6 @@ def c2_length_penalty(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", p.alias("penalty"))
 
 
-RULES = f"""WITH {USERS}, a AS (SELECT *, avg(value) OVER e AS mean, median(value) OVER e AS med, lag(value) OVER (PARTITION BY series_id ORDER BY pos) AS b FROM s WINDOW e AS (PARTITION BY series_id)),
-c AS (SELECT *, sum(value - med) OVER (PARTITION BY series_id ORDER BY pos) AS cs FROM a),
-f AS (SELECT series_id, sum((value - mean) * (b - mean)) / sum((value - mean) * (value - mean)) AS acf1, max(abs(cs)) AS cusum FROM c GROUP BY 1)"""
-
-
-@query(RULES + """, z AS (SELECT series_id, round(0.10 + CASE WHEN acf1 >= 0.92 THEN 1.5 WHEN acf1 >= 0.88 THEN 0.75 ELSE 0 END, 6) AS smooth, round(0.15 + CASE WHEN acf1 < 0.05 THEN 0.5 ELSE 0 END, 6) AS periodic,
- round(CASE WHEN cusum >= 700 THEN 0.75 ELSE 0.0 END, 6) AS shifting FROM f)
-SELECT *, CASE WHEN smooth >= periodic AND smooth >= shifting THEN 'smooth' WHEN periodic >= shifting THEN 'periodic' ELSE 'shifting' END AS top FROM z""")
-def c8_rule_scores(spark, d):
-    f = win.features(series(spark, d, "user_id"))
-    z = f.select(
-        "series_id", F.round(0.10 + F.when(F.col("acf1") >= 0.92, 1.5).when(F.col("acf1") >= 0.88, 0.75).otherwise(0.0), 6).alias("smooth"),
-        F.round(0.15 + F.when(F.col("acf1") < 0.05, 0.5).otherwise(0.0), 6).alias("periodic"),
-        F.round(F.when(F.col("cusum_max") >= 700, 0.75).otherwise(0.0), 6).alias("shifting"),
-    )
-    s, p, q = F.col("smooth"), F.col("periodic"), F.col("shifting")
-    return z.withColumn("top", F.when((s >= p) & (s >= q), "smooth").when(p >= q, "periodic").otherwise("shifting"))
-
-
 # --- selection, rebalancing, generators -----------------------------------------------------------------
 
 
@@ -254,25 +231,22 @@ def b1_source_frame(spark, d):
     return a.where(F.when(F.col("has"), F.col("o_orderstatus") == "P").otherwise(F.col("o_orderkey") == F.col("m"))).select("o_custkey", "o_orderkey")
 
 
-@query("""WITH g AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant'), n AS (SELECT count(*) FILTER (role <> 'assistant') AS o, count(*) FILTER (role = 'assistant') AS a FROM conversations),
-e AS (SELECT greatest(ceil(0.7 * o / 0.3) - a, 0)::BIGINT AS extra FROM n), r AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS k, count(*) OVER () AS c FROM conversations WHERE role = 'assistant')
-SELECT conv_id, turn, 1 + extra // c + CASE WHEN k < extra % c THEN 1 ELSE 0 END AS times FROM r, e""")
-def b2_oversample_counts(spark, d):
-    c = table(spark, d, "conversations")
-    own = F.col("role") == "assistant"
-    n = c.agg(F.greatest(F.ceil(0.7 * count_if(~own) / 0.3) - count_if(own), F.lit(0)).cast("long").alias("extra"))
-    k = F.row_number().over(Window.orderBy("conv_id", "turn")) - 1
-    r = c.where(own).select("conv_id", "turn", k.alias("k"), F.count("*").over(Window.partitionBy()).alias("c")).crossJoin(F.broadcast(n))  # one row
-    return r.select("conv_id", "turn", (1 + F.floor(F.col("extra") / F.col("c")) + F.when(F.col("k") < F.col("extra") % F.col("c"), 1).otherwise(0)).alias("times"))
+@query("""WITH n AS (SELECT count(*) FILTER (role <> 'assistant') AS o, count(*) FILTER (role = 'assistant') AS a FROM conversations), e AS (SELECT greatest(ceil(0.7 * o / (1 - 0.7))::BIGINT - a, 0) AS extra, a FROM n),
+g AS (SELECT conv_id, count(*) AS k FROM conversations WHERE role = 'assistant' GROUP BY 1), b AS (SELECT *, coalesce(sum(k) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
+m AS (SELECT conv_id, 1 + extra // a + CASE WHEN before < extra % a THEN 1 ELSE 0 END AS times FROM b, e)
+SELECT conv_id, turn, role, count(*) AS copies FROM (SELECT c.conv_id, turn, role, unnest(range(CASE WHEN role = 'assistant' THEN times ELSE 1 END)) FROM conversations c LEFT JOIN m USING (conv_id)) GROUP BY ALL""")
+def b2_oversample_sources(spark, d):
+    r = sel.repeated_to_ratio(table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", "role", "assistant", 0.7)
+    return r.groupBy("conv_id", "turn", "role").agg(F.count("*").alias("copies"))
 
 
 @query("""SELECT user_id, list_distinct_ordered AS kinds, array_to_string(list_distinct_ordered, '->') AS signature, len(list_filter(['click', 'view', 'error'], lambda x: NOT list_contains(list_distinct_ordered, x))) AS missing FROM (
- SELECT user_id, list(event_type ORDER BY f) AS list_distinct_ordered FROM (SELECT user_id, event_type, min(event_id) AS f FROM events WHERE event_id % 9 = 0 GROUP BY ALL) GROUP BY 1)""")
+ SELECT user_id, list(event_type ORDER BY f) AS list_distinct_ordered FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY ALL) GROUP BY 1)""")
 def b9_b11_ordered_dedupe(spark, d):
-    e = table(spark, d, "events").where("event_id % 9 = 0").groupBy("user_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("all")
+    first = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    e = first.groupBy("user_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("kinds")
     )
-    e = e.withColumn("kinds", F.array_distinct("all"))
     need = F.array(F.lit("click"), F.lit("view"), F.lit("error"))
     return e.select("user_id", "kinds", F.array_join("kinds", "->").alias("signature"), F.size(F.array_except(need, "kinds")).cast("long").alias("missing"))
 

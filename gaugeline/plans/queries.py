@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..operators import selection as sel
 from ..operators import windows as win
+from ..operators.ordering import kept, quantiles
 from ..sources.tables import daily, keyed_last, model_errors, series, table
 
 QUERIES: dict = {}
@@ -29,11 +30,12 @@ ROUTES = ERRORS + """, rk AS (SELECT *, row_number() OVER (PARTITION BY sample O
 r0 AS (SELECT sample, max(model) FILTER (rank = 1) AS best, max(mse) FILTER (rank = 1) AS best_error, max(model) FILTER (rank = 2) AS second,
   max(mse) FILTER (rank = 2) AS second_error, max(mse) FILTER (model = 'mean') AS default_error, bool_or(rank <= 2) FILTER (model = 'mean') AS default_in_top2
   FROM rk GROUP BY 1),
-routes AS (SELECT *, round(default_error - best_error, 7) AS improvement, round((default_error - best_error) / default_error, 6) AS improvement_rel,
-  round((second_error - best_error) / greatest(best_error, 1e-8), 6) AS margin_rel FROM r0)"""
+routes AS (SELECT *, round(default_error - best_error, 7) AS improvement, round(CASE WHEN default_error = 0 THEN 0.0 ELSE (default_error - best_error) / default_error END, 6) AS improvement_rel,
+  round(CASE WHEN second_error = 0 THEN 0.0 ELSE (second_error - best_error) / second_error END, 6) AS margin_rel FROM r0)"""
 STEPS = """t AS (SELECT conv_id % 40 AS grp, conv_id AS trajectory, turn AS step, (length(text) % 97)::DOUBLE / 97 AS reward,
   (length(text) % 13)::DOUBLE / 13 AS value FROM conversations)"""
 DEFAULT = "mean"
+MODELS = ["naive", "seasonal", "mean", "drift"]
 
 
 def query(sql: str | None = None):
@@ -67,19 +69,19 @@ def routes(spark: SparkSession, d: str) -> DataFrame:
   f AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING))
 SELECT series_id, start, round(hs, 3) AS history_sum, round(fs, 3) AS future_sum, first_value FROM w WHERE hn = 24 AND fn = 8""")
 def w1_sliding_windows(spark, d):
-    w = win.build_windows(series(spark, d), 24, 8)
+    w = win.build_windows_bucketed(series(spark, d), 24, 8)
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 3)
     return w.select("series_id", F.col("start").cast("long"), total("history").alias("history_sum"), total("future").alias("future_sum"), win.at("history", F.lit(0)).alias("first_value"))
 
 
-ORACLE_SQL["w1_sliding_windows_bucketed"] = ORACLE_SQL["w1_sliding_windows"]
-
-
-@query(ORACLE_SQL["w1_sliding_windows"])
-def w1_sliding_windows_bucketed(spark, d):
-    w = win.build_windows_bucketed(series(spark, d), 24, 8, 512)
+@query(f"""WITH {TYPES}, k AS (SELECT *, CASE WHEN pos < 300 THEN 'train' WHEN pos < 360 THEN 'val' WHEN pos < 460 THEN 'test' END AS split FROM s WHERE pos < 460),
+w AS (SELECT series_id, split, pos - 23 AS start, sum(value) OVER h AS hs, count(*) OVER h AS hn, sum(value) OVER f AS fs, count(*) OVER f AS fn FROM k
+ WINDOW h AS (PARTITION BY series_id, split ORDER BY pos ROWS 23 PRECEDING), f AS (PARTITION BY series_id, split ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING))
+SELECT series_id, split, start, round(hs, 3) AS history_sum, round(fs, 3) AS future_sum FROM w WHERE hn = 24 AND fn = 8""")
+def w1_split_windows(spark, d):
+    w = win.split_windows(series(spark, d), 24, 8, {"train": 300, "val": 60, "test": 100}, 128)
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 3)
-    return w.select("series_id", F.col("start").cast("long"), total("history").alias("history_sum"), total("future").alias("future_sum"), win.at("history", F.lit(0)).alias("first_value"))
+    return w.select("series_id", "split", F.col("start").cast("long"), total("history").alias("history_sum"), total("future").alias("future_sum"))
 
 
 CURRICULUM = f"""WITH {TYPES}, g AS (SELECT series_id, pos - 23 AS start, list(value) OVER h AS x, list(value) OVER f AS y FROM s
@@ -95,11 +97,11 @@ m AS (SELECT series_id, start, round(list_sum(list_transform(y, lambda v: (v - x
 b AS (SELECT series_id, start, least(floor((v - lo) / (hi - lo) * 25), 24) AS bin, count(*) AS c FROM (SELECT *, unnest(x) AS v FROM m) GROUP BY ALL),
 bs AS (SELECT series_id, start, max(c) / 24.0 AS bin_share FROM b GROUP BY ALL),
 a AS (SELECT m.series_id, m.start, entropy, error, CASE WHEN hi = lo THEN 1.0 ELSE bin_share END AS bin_share,
-  len(list_filter(x, lambda v: v <= lo + greatest((hi - lo) * 0.01, 1e-3) OR v >= hi - greatest((hi - lo) * 0.01, 1e-3))) / 24.0 AS sat, hi - lo < 1e-3 AS cons
+  len(list_filter(x, lambda v: v <= lo + greatest((hi - lo) * 0.01, 1e-3) OR v >= hi - greatest((hi - lo) * 0.01, 1e-3))) / 24.0 AS sat, list_stddev_pop(x) < 1e-3 AS cons
   FROM m JOIN e USING (series_id, start) JOIN bs USING (series_id, start)),
 t AS (SELECT series_id, quantile_cont(error, 1/3.0) AS e1, quantile_cont(error, 2/3.0) AS e2, quantile_cont(entropy, 1/3.0) AS p1, quantile_cont(entropy, 2/3.0) AS p2 FROM a GROUP BY 1),
 bands AS (SELECT a.*, CASE WHEN error <= e1 THEN 'low' WHEN error <= e2 THEN 'medium' ELSE 'high' END AS error_band,
-  CASE WHEN entropy <= p1 THEN 'low' WHEN entropy <= p2 THEN 'medium' ELSE 'high' END AS entropy_band, bin_share > 0.25 OR sat > 0.08 OR cons AS quality_issue FROM a JOIN t USING (series_id)),
+  CASE WHEN entropy <= p1 THEN 'low' WHEN entropy <= p2 THEN 'medium' ELSE 'high' END AS entropy_band, bin_share >= 0.25 OR sat >= 0.08 OR cons AS quality_issue FROM a JOIN t USING (series_id)),
 staged AS (SELECT *, CASE WHEN entropy_band = 'high' THEN 'hard' WHEN error_band = 'low' AND entropy_band = 'low' THEN 'easy' ELSE 'medium' END AS stage FROM bands)
 """
 
@@ -129,7 +131,7 @@ SELECT series_id, count(*) AS n_points, round(any_value(med), 5) AS median, roun
  round((quantile_cont(value, 0.975) - quantile_cont(value, 0.025)) / (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)), 5) AS quantile_kurtosis,
  round(max(abs(d1)), 5) AS max_slope, round(max(abs(d2)), 5) AS max_second_diff,
  round(avg((value <= lo + mg OR value >= hi - mg)::INT), 5) AS saturation, round(stddev_pop(value), 5) AS sd,
- round(arg_max(value, pos) - arg_min(value, pos), 5) AS net_change, round(avg(abs(d1)), 5) AS mean_abs_step,
+ round(arg_min(value, pos), 5) AS start, round(arg_max(value, pos), 5) AS "end", round(arg_max(value, pos) - arg_min(value, pos), 5) AS net_change, round(avg(abs(d1)), 5) AS mean_abs_step,
  round(regr_slope(value, b1), 5) AS ar1_slope, round(regr_intercept(value, b1), 5) AS ar1_intercept FROM c GROUP BY series_id""")
 def m1_m15_series_features(spark, d):
     return win.features(series(spark, d, "user_id"))
@@ -153,9 +155,9 @@ def m20_moving_average(spark, d):
     return m.select("series_id", F.col("pos").cast("long"), F.round("trend", 4).alias("trend"), F.round("season", 4).alias("season"))
 
 
-@query(f"""WITH {USERS}, n AS (SELECT *, coalesce(lag(value) OVER w, lead(value) OVER w) AS a, coalesce(lead(value) OVER w, value) AS b, count(*) OVER (PARTITION BY series_id) AS c
- FROM s WINDOW w AS (PARTITION BY series_id ORDER BY pos))
-SELECT series_id, count(*) FILTER (value >= a AND value >= b) AS peaks, count(*) FILTER (value <= a AND value <= b) AS valleys FROM n WHERE c >= 5 GROUP BY 1""")
+@query(f"""WITH {USERS}, a AS (SELECT series_id, list(value ORDER BY pos) AS x FROM s GROUP BY 1 HAVING count(*) >= 5), w AS (SELECT series_id, list_concat(list_concat([x[3], x[2]], x), [x[-2], x[-1]]) AS y, len(x) AS n FROM a),
+p AS (SELECT series_id, y, i FROM w, range(3, 100) r(i) WHERE i <= n + 2)
+SELECT series_id, count(*) FILTER (y[i] >= y[i-2] AND y[i] >= y[i-1] AND y[i] >= y[i+1] AND y[i] >= y[i+2]) AS peaks, count(*) FILTER (y[i] <= y[i-2] AND y[i] <= y[i-1] AND y[i] <= y[i+1] AND y[i] <= y[i+2]) AS valleys FROM p GROUP BY 1""")
 def m21_turning_points(spark, d):
     t = win.turning_points(series(spark, d, "user_id"))
     return t.groupBy("series_id").agg(F.count(F.when(F.col("peak"), 1)).alias("peaks"), F.count(F.when(F.col("valley"), 1)).alias("valleys"))
@@ -202,19 +204,19 @@ def c23_route_info(spark, d):
     return routes(spark, d)
 
 
-THRESHOLDS = ROUTES + """, th AS (SELECT best, round(greatest(quantile_cont(improvement_rel, 0.8), 0.35), 6) AS threshold FROM routes WHERE best <> 'mean' GROUP BY 1)"""
+THRESHOLDS = ROUTES + """, md(best) AS (VALUES ('naive'), ('seasonal'), ('drift')), th AS (SELECT md.best, round(greatest(coalesce(quantile_cont(improvement_rel, 0.8) FILTER (improvement_rel > 0), 0.0), 0.35), 6) AS threshold FROM md LEFT JOIN routes USING (best) GROUP BY 1)"""
 TRIAGE = THRESHOLDS + """, tr AS (SELECT routes.*, coalesce(threshold, 1.0) AS threshold, CASE WHEN best = 'mean' OR improvement_rel <= 0.05 THEN 'keep'
  WHEN improvement_rel >= coalesce(threshold, 1.0) AND (margin_rel >= 0.08 OR NOT default_in_top2) THEN 'override' ELSE 'ambiguous' END AS bucket FROM routes LEFT JOIN th USING (best))"""
 
 
 @query(f"WITH {THRESHOLDS} SELECT * FROM th")
 def a10_override_thresholds(spark, d):
-    return sel.override_thresholds(routes(spark, d), DEFAULT)
+    return sel.override_thresholds(routes(spark, d), MODELS, DEFAULT)
 
 
 def triaged(spark, d):
-    r = routes(spark, d)
-    return sel.triage(r, sel.override_thresholds(r, DEFAULT), DEFAULT)
+    r = kept(routes(spark, d))
+    return sel.triage(r, sel.override_thresholds(r, MODELS, DEFAULT), DEFAULT)
 
 
 @query(f"""WITH {TRIAGE} SELECT sample, best, bucket, CASE bucket WHEN 'keep' THEN 'keep_default' WHEN 'override' THEN 'override_to_' || best ELSE '' END AS label,
@@ -233,27 +235,25 @@ def a11_triage_summary(spark, d):
 @query(f"""WITH {ERRORS}, b AS (SELECT *, mse - min(mse) OVER (PARTITION BY sample) AS regret FROM errors)
 SELECT model, round(avg(mse), 2) AS mean_mse, round(avg(regret), 2) AS mean_regret, quantile_disc(regret, 0.9) AS p90, quantile_disc(regret, 0.95) AS p95 FROM b GROUP BY 1""")
 def a7_expert_summary(spark, d):
-    e = model_errors(spark, d).withColumn("regret", F.col("mse") - F.min("mse").over(Window.partitionBy("sample")))
-    return e.groupBy("model").agg(
-        F.round(F.avg("mse"), 2).alias("mean_mse"), F.round(F.avg("regret"), 2).alias("mean_regret"),
-        F.expr("percentile_disc(0.9) within group (order by regret)").alias("p90"),
-        F.expr("percentile_disc(0.95) within group (order by regret)").alias("p95"),
-    )
+    e = kept(model_errors(spark, d).withColumn("regret", F.col("mse") - F.min("mse").over(Window.partitionBy("sample"))))
+    q = quantiles(e, "regret", (0.9, 0.95), ("model",), nearest=True)
+    means = e.groupBy("model").agg(F.round(F.avg("mse"), 2).alias("mean_mse"), F.round(F.avg("regret"), 2).alias("mean_regret"))
+    return means.join(q, "model").select("model", "mean_mse", "mean_regret", F.col("q0").alias("p90"), F.col("q1").alias("p95"))
 
 
-@query(f"""WITH {ROUTES} SELECT sample, round((default_error - best_error) / default_error, 6) AS risk_value,
- CASE WHEN (default_error - best_error) / default_error >= 0.15 THEN 'risky' ELSE 'safe' END AS risk_label FROM routes""")
+@query(f"""WITH {ROUTES} SELECT sample, round(CASE WHEN default_error = 0 THEN 0.0 ELSE (default_error - best_error) / default_error END, 6) AS risk_value,
+ CASE WHEN default_error <> 0 AND (default_error - best_error) / default_error >= 0.15 THEN 'risky' ELSE 'safe' END AS risk_label FROM routes""")
 def c25_risk_label(spark, d):
-    risk = (F.col("default_error") - F.col("best_error")) / F.col("default_error")
+    risk = scores.ratio(F.col("default_error") - F.col("best_error"), F.col("default_error"))
     return routes(spark, d).select("sample", F.round(risk, 6).alias("risk_value"), F.when(risk >= 0.15, "risky").otherwise("safe").alias("risk_label"))
 
 
 # --- joins -----------------------------------------------------------------------------------
 
 
-@query("""SELECT o_orderkey, c_name, coalesce(c_acctbal, -1.0) AS bal FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 > 0) c ON o_custkey = c_custkey""")
+@query("""SELECT o_orderkey, c_name, coalesce(c_acctbal, -1.0) AS bal FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') c ON o_custkey = c_custkey""")
 def j1_left_lookup(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 3 > 0")
+    c = table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'")
     return table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name", F.coalesce("c_acctbal", F.lit(-1.0)).alias("bal"))
 
 
@@ -272,12 +272,12 @@ def j6_resume_split(spark, d):
     return done.unionByName(c.join(o, "c_custkey", "left_anti").select("c_custkey", F.lit(False).alias("done")))
 
 
-@query("""SELECT coalesce(b.k, a.k) AS k, coalesce(b.v, a.v) AS v FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0) a
-FULL JOIN (SELECT c_custkey AS k, -c_acctbal AS v FROM customer WHERE c_custkey % 3 = 0) b ON a.k = b.k""")
+@query("""SELECT coalesce(b.k, a.k) AS k, coalesce(b.v, a.v) AS v FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal > 0) a
+FULL JOIN (SELECT c_custkey AS k, -c_acctbal AS v FROM customer WHERE c_mktsegment = 'BUILDING') b ON a.k = b.k""")
 def j7_upsert(spark, d):
     c = table(spark, d, "customer")
-    old = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    new = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), (-F.col("c_acctbal")).alias("w"))
+    old = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    new = c.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k"), (-F.col("c_acctbal")).alias("w"))
     return old.join(new, "k", "full").select("k", F.coalesce("w", "v").alias("v"))
 
 
@@ -307,11 +307,12 @@ def a13_confusion(spark, d):
     return scores.confusion(table(spark, d, "labels"), F.col("toxic") == 0, F.col("quality") == 1)
 
 
-@query("""WITH u AS (SELECT event_type, user_id, avg(value) AS m, CASE WHEN count(*) > 1 THEN stddev_samp(value) ELSE 0 END AS s, count(*) AS n FROM events GROUP BY ALL)
+@query("""WITH u AS (SELECT event_type, user_id, avg(value) FILTER (NOT isnan(value)) AS m, CASE WHEN count(*) FILTER (NOT isnan(value)) > 1 THEN stddev_samp(value) FILTER (NOT isnan(value)) ELSE 0 END AS s, count(*) AS n FROM events GROUP BY ALL)
 SELECT event_type, round(avg(m), 4) AS mean_at_n, round(avg(s), 4) AS std_at_n, max(n) AS n FROM u GROUP BY 1""")
 def a22_mean_std_at_n(spark, d):
     u = table(spark, d, "events").groupBy("event_type", "user_id").agg(
-        F.avg("value").alias("m"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("s"), F.count("*").alias("n")
+        F.avg(F.when(~F.isnan("value"), F.col("value"))).alias("m"),
+        F.coalesce(F.stddev_samp(F.when(~F.isnan("value"), F.col("value"))), F.lit(0.0)).alias("s"), F.count("*").alias("n"),
     )
     return u.groupBy("event_type").agg(F.round(F.avg("m"), 4).alias("mean_at_n"), F.round(F.avg("s"), 4).alias("std_at_n"), F.max("n").alias("n"))
 
@@ -355,14 +356,30 @@ def k3_evenly_spaced_floor(spark, d):
 b AS (SELECT o.*, i AS bucket FROM o JOIN range(20) r(i) ON place >= floor(i * n / 20) AND place < floor((i + 1) * n / 20))
 SELECT c_custkey, c_acctbal, bucket FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY c_acctbal DESC, c_custkey) AS k FROM b) WHERE k = 1""")
 def k4_bucket_best(spark, d):
-    return sel.bucket_best(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey", "c_acctbal", 20)
+    return sel.bucket_best(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey", "c_acctbal", 20).withColumn("bucket", F.col("bucket").cast("long"))
+
 
+SEGMENTS = ["MACHINERY", "AUTOMOBILE", "BUILDING", "HOUSEHOLD", "FURNITURE", "NONE"]
+BALANCED = """WITH m AS (SELECT s, row_number() OVER (ORDER BY i) - 1 AS j FROM (SELECT unnest(['MACHINERY', 'AUTOMOBILE', 'BUILDING', 'HOUSEHOLD', 'FURNITURE', 'NONE']) AS s, generate_subscripts([1, 2, 3, 4, 5, 6], 1) AS i) WHERE s IN (SELECT c_mktsegment FROM customer)),
+q AS (SELECT s, j, greatest(1, {0} // (SELECT count(*) FROM m)) + CASE WHEN j < greatest(0, {0} - greatest(1, {0} // (SELECT count(*) FROM m)) * (SELECT count(*) FROM m)) THEN 1 ELSE 0 END AS quota FROM m),
+r AS (SELECT c_custkey, c_mktsegment, c_acctbal, j, quota, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey DESC) AS k FROM customer JOIN q ON s = c_mktsegment),
+z AS (SELECT *, row_number() OVER (ORDER BY (k > quota), CASE WHEN k <= quota THEN j ELSE 0 END, CASE WHEN k <= quota THEN k ELSE 0 END, c_acctbal DESC, c_custkey DESC) AS o FROM r)
+SELECT c_custkey, c_mktsegment, c_acctbal FROM z WHERE o <= {0}"""
 
-@query("""WITH r AS (SELECT c_custkey, c_mktsegment, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer),
-f AS (SELECT * FROM r WHERE k <= 4), z AS (SELECT *, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS o FROM r WHERE k > 4)
-SELECT c_custkey, c_mktsegment, c_acctbal FROM f UNION ALL SELECT c_custkey, c_mktsegment, c_acctbal FROM z WHERE o <= 23 - (SELECT count(*) FROM f)""")
+
+@query(BALANCED.format(23))
 def k7_balanced_quota(spark, d):
-    return sel.quota(table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_mktsegment", "c_acctbal", "c_custkey", 23, 5)
+    return sel.quota(table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_mktsegment", "c_acctbal", "c_custkey", 23, SEGMENTS)
+
+
+@query(BALANCED.format(3))
+def k7_fewer_than_groups(spark, d):
+    return sel.quota(table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_mktsegment", "c_acctbal", "c_custkey", 3, SEGMENTS)
+
+
+@query("""WITH o AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place, count(*) OVER () AS n FROM customer) SELECT c_custkey FROM o WHERE place = n // 2""")
+def k2_one_row(spark, d):
+    return sel.evenly_spaced(table(spark, d, "customer").select("c_custkey"), "c_custkey", 1).select("c_custkey")
 
 
 @query("""SELECT c_custkey, c_mktsegment, k AS rn FROM (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,9 +24,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One series: the sum of order prices of each date."""
     orders = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day"))
     sums = orders.agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
-    return sums.select(
-        F.lit("orders").alias("series_id"), (F.row_number().over(Window.orderBy("day")) - 1).alias("pos"), "day", "value"
-    )
+    return numbered(sums, "day", name="pos").select(F.lit("orders").alias("series_id"), "pos", "day", "value")
 
 
 def keyed_last(rows: DataFrame, key: str, order: str) -> DataFrame:
