@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(c: Column, f) -> Column:
+    """``f`` of a column that is computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def at(xs: Column, i: Column) -> Column:
     """Element by a zero-based position."""
     return F.element_at(xs, (i + 1).cast("int"))
@@ -16,28 +21,29 @@ def total(xs: Column) -> Column:
 
 
 def mean(xs: Column) -> Column:
-    return F.when(F.size(xs) > 0, total(xs) / F.size(xs)).otherwise(0.0)
+    return let(xs, lambda v: F.when(F.size(v) > 0, total(v) / F.size(v)).otherwise(0.0))
 
 
 def deviation(xs: Column) -> Column:
     """Population standard deviation."""
-    m = mean(xs)
-    return F.sqrt(mean(F.transform(xs, lambda x: (x - m) * (x - m))))
+    return let(xs, lambda v: let(mean(v), lambda m: F.sqrt(mean(F.transform(v, lambda x: (x - m) * (x - m))))))
 
 
 def median(xs: Column) -> Column:
-    s, n = F.array_sort(xs), F.size(xs)
-    middle = (at(s, F.floor((n - 1) / 2)) + at(s, F.floor(n / 2))) / 2
-    return F.when(n > 0, middle).otherwise(0.0)
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        return F.when(n > 0, (at(s, F.floor((n - 1) / 2)) + at(s, F.floor(n / 2))) / 2).otherwise(0.0)
+
+    return let(F.array_sort(xs), middle)
 
 
 def mad(xs: Column) -> Column:
-    m = median(xs)
-    return median(F.transform(xs, lambda x: F.abs(x - m)))
+    return let(xs, lambda v: let(median(v), lambda m: median(F.transform(v, lambda x: F.abs(x - m)))))
 
 
 def diffs(xs: Column) -> Column:
-    return F.transform(F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0))), lambda x, i: x - at(xs, i))
+    rest = lambda v: F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0)))
+    return let(xs, lambda v: F.transform(rest(v), lambda x, i: x - at(v, i)))
 
 
 def diff_mad(xs: Column) -> Column:
@@ -59,42 +65,40 @@ def head(xs: Column, n: Column) -> Column:
 
 
 def tail(xs: Column, n: Column) -> Column:
-    n = F.greatest(F.least(n.cast("int"), F.size(xs)), F.lit(0))
-    return F.slice(xs, F.size(xs) - n + 1, n)
+    k = lambda v: F.greatest(F.least(n.cast("int"), F.size(v)), F.lit(0))
+    return let(xs, lambda v: F.slice(v, F.size(v) - k(v) + 1, k(v)))
 
 
-def both(p: Column, t: Column) -> tuple[Column, Column]:
-    """Two arrays cut to the shorter one's length."""
-    n = F.least(F.size(p), F.size(t))
-    return head(p, n), head(t, n)
+def with_both(p: Column, t: Column, f) -> Column:
+    """``f(p, t)`` of two arrays cut to the shorter one's length, each computed once; null where that is 0."""
+    n = lambda v: F.least(F.size(v["p"]), F.size(v["t"]))
+    cut = lambda v: F.struct(head(v["p"], n(v)).alias("p"), head(v["t"], n(v)).alias("t"))
+    pair = let(F.struct(p.alias("p"), t.alias("t")), cut)
+    return let(pair, lambda v: F.when(F.size(v["p"]) > 0, f(v["p"], v["t"])))
 
 
 def mse(p: Column, t: Column) -> Column:
     """Over the common length; null without one."""
-    p, t = both(p, t)
-    return F.when(F.size(p) > 0, mean(F.zip_with(p, t, lambda a, b: (a - b) * (a - b))))
+    return with_both(p, t, lambda a, b: mean(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
 
 
 def mae(p: Column, t: Column) -> Column:
-    p, t = both(p, t)
-    return F.when(F.size(p) > 0, mean(F.zip_with(p, t, lambda a, b: F.abs(a - b))))
+    return with_both(p, t, lambda a, b: mean(F.zip_with(a, b, lambda x, y: F.abs(x - y))))
 
 
 def scaled_by(xs: Column, truth: Column) -> Column:
     """Centred and scaled by the truth's mean and deviation (1e-8 at least)."""
-    m, s = mean(truth), F.greatest(deviation(truth), F.lit(1e-8))
-    return F.transform(xs, lambda x: (x - m) / s)
+    scale = F.struct(mean(truth).alias("m"), F.greatest(deviation(truth), F.lit(1e-8)).alias("s"))
+    return let(scale, lambda k: F.transform(xs, lambda x: (x - k["m"]) / k["s"]))
 
 
 def norm_mse(p: Column, t: Column) -> Column:
-    p, t = both(p, t)
-    s = F.greatest(deviation(t), F.lit(1e-8))
-    return mse(p, t) / (s * s)
+    scale = lambda b: F.greatest(deviation(b), F.lit(1e-8))
+    return with_both(p, t, lambda a, b: mse(a, b) / F.pow(scale(b), F.lit(2.0)))
 
 
 def norm_mae(p: Column, t: Column) -> Column:
-    p, t = both(p, t)
-    return mae(p, t) / F.greatest(deviation(t), F.lit(1e-8))
+    return with_both(p, t, lambda a, b: mae(a, b) / F.greatest(deviation(b), F.lit(1e-8)))
 
 
 def kernel(n: Column) -> Column:
@@ -105,22 +109,20 @@ def kernel(n: Column) -> Column:
 
 def trend(xs: Column) -> Column:
     """Centred moving average with repeated ends."""
-    n = F.size(xs)
-    k = kernel(n)
-    half = ((k - 1) / 2).cast("int")
-    places = F.sequence(F.lit(0), n - 1)
-
-    def one(i: Column) -> Column:
-        return F.aggregate(
-            F.sequence(i - half, i + half), F.lit(0.0),
-            lambda a, j: a + at(xs, F.greatest(F.least(j, n - 1), F.lit(0))),
+
+    def smooth(v: Column) -> Column:
+        n, k = F.size(v), kernel(F.size(v))
+        half = F.floor(k / 2).cast("int")
+        one = lambda i: F.aggregate(
+            F.sequence(i - half, i + half), F.lit(0.0), lambda a, j: a + at(v, F.greatest(F.least(j, n - 1), F.lit(0)))
         ) / k
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<double>"))
 
-    return F.when(n > 0, F.transform(places, one)).otherwise(F.array().cast("array<double>"))
+    return let(xs, smooth)
 
 
 def season(xs: Column) -> Column:
-    return F.zip_with(xs, trend(xs), lambda x, t: x - t)
+    return let(xs, lambda v: F.zip_with(v, trend(v), lambda x, t: x - t))
 
 
 def turning_points(xs: Column, low: bool) -> Column:
@@ -129,18 +131,22 @@ def turning_points(xs: Column, low: bool) -> Column:
     Before the first point stand the third and the second, after the last one the last
     but one and the last; fewer than five points have none.
     """
-    n = F.size(xs)
-    wide = F.concat(
-        F.array(at(xs, F.lit(2)), at(xs, F.lit(1))), xs, F.array(at(xs, n - 2), at(xs, n - 1))
-    )
 
-    def turns(i: Column) -> Column:
-        x, others = at(wide, i + 2), [at(wide, i + k) for k in (0, 1, 3, 4)]
-        test = [(x <= o) if low else (x >= o) for o in others]
-        return test[0] & test[1] & test[2] & test[3]
+    def turns(wide: Column):
+        def test(i: Column) -> Column:
+            x, others = at(wide, i + 2), [at(wide, i + k) for k in (0, 1, 3, 4)]
+            each = [(x <= o) if low else (x >= o) for o in others]
+            return each[0] & each[1] & each[2] & each[3]
 
-    found = F.filter(F.sequence(F.lit(0), n - 1), turns)
-    return F.when(n >= 5, found).otherwise(F.array().cast("array<int>"))
+        return test
+
+    def find(v: Column) -> Column:
+        n = F.size(v)
+        wide = F.concat(F.array(at(v, F.lit(2)), at(v, F.lit(1))), v, F.array(at(v, n - 2), at(v, n - 1)))
+        found = let(wide, lambda w: F.filter(F.sequence(F.lit(0), n - 1), turns(w)))
+        return F.when(n >= 5, found).otherwise(F.array().cast("array<int>"))
+
+    return let(xs, find)
 
 
 def greedy_hits(points: Column, truth: Column, tolerance: int = 2) -> Column:
@@ -160,43 +166,45 @@ def greedy_hits(points: Column, truth: Column, tolerance: int = 2) -> Column:
 
 def suffix_repetition(xs: Column, max_period: int = 8, min_repeats: int = 2, atol: float = 1e-8) -> Column:
     """``struct(repeats, period)`` of the suffix that repeats over the most points; 0, 0 without one."""
-    n = F.size(xs)
-
-    def repeats(p: int) -> Column:
-        def equal(j: Column) -> Column:
-            back = F.sequence(F.lit(1), F.lit(p))
-            return F.forall(back, lambda i: F.abs(at(xs, n - i) - at(xs, n - i - j * p)) <= atol)
 
+    def repeats(v: Column, p: int) -> Column:
+        n = F.size(v)
         whole = F.floor(n / p).cast("int")
+        equal = lambda j: F.forall(F.sequence(F.lit(1), F.lit(p)), lambda i: F.abs(at(v, n - i) - at(v, n - i - j * p)) <= atol)
         same = F.transform(F.sequence(F.lit(1), F.greatest(whole - 1, F.lit(1))), lambda j: F.when(j < whole, equal(j)).otherwise(False))
-        stop = F.array_position(same, F.lit(False))
-        return F.when(whole >= min_repeats, F.when(stop == 0, whole).otherwise(stop)).otherwise(0).cast("int")
+        count = let(F.array_position(same, F.lit(False)), lambda stop: F.when(stop == 0, whole).otherwise(stop.cast("int")))
+        return F.when(whole >= min_repeats, count).otherwise(0)
 
-    best = F.struct(F.lit(0).alias("repeats"), F.lit(0).alias("period"))
-    for p in range(1, max_period + 1):
-        r = repeats(p)
-        gain = (r >= min_repeats) & (r * p > best["repeats"] * F.greatest(best["period"], F.lit(1)))
-        best = F.when(gain, F.struct(r.alias("repeats"), F.lit(p).alias("period"))).otherwise(best)
-    return best
+    def best(v: Column) -> Column:
+        found = F.array(*(F.struct(repeats(v, p).alias("repeats"), F.lit(p).alias("period")) for p in range(1, max_period + 1)))
+        better = lambda b, c: (c["repeats"] >= min_repeats) & (c["repeats"] * c["period"] > b["repeats"] * F.greatest(b["period"], F.lit(1)))
+        start = F.struct(F.lit(0).alias("repeats"), F.lit(0).alias("period"))
+        return F.aggregate(found, start, lambda b, c: F.when(better(b, c), c).otherwise(b))
+
+    return let(xs, best)
 
 
 def tail_run(xs: Column, atol: float = 0.0) -> Column:
     """Points at the end that equal the last one."""
-    last = F.element_at(xs, -1)
-    back = F.transform(F.reverse(xs), lambda x: F.abs(x - last) <= atol)
-    stop = F.array_position(back, F.lit(False))
-    return F.when(F.size(xs) == 0, 0).when(stop == 0, F.size(xs)).otherwise(stop - 1).cast("long")
+
+    def run(v: Column) -> Column:
+        back = F.transform(F.reverse(v), lambda x: F.abs(x - F.element_at(v, -1)) <= atol)
+        return let(F.array_position(back, F.lit(False)), lambda stop: F.when(stop == 0, F.size(v)).otherwise(stop - 1))
+
+    return F.when(F.size(xs) == 0, 0).otherwise(let(xs, run)).cast("long")
 
 
 def stats(xs: Column) -> Column:
     """``struct(start, end, mean, sd, net, step)``: step is the mean absolute one."""
-    first, last = F.get(xs, F.lit(0)), F.get(xs, F.size(xs) - 1)
-    none = F.size(xs) == 0
-    zero = lambda c: F.when(none, 0.0).otherwise(c)
-    return F.struct(
-        zero(first).alias("start"), zero(last).alias("end"), mean(xs).alias("mean"), deviation(xs).alias("sd"),
-        zero(last - first).alias("net"), mean(F.transform(diffs(xs), F.abs)).alias("step"),
-    )
+
+    def of(v: Column) -> Column:
+        ends = F.coalesce(F.get(v, F.lit(0)), F.lit(0.0)), F.coalesce(F.get(v, F.size(v) - 1), F.lit(0.0))
+        return F.struct(
+            ends[0].alias("start"), ends[1].alias("end"), mean(v).alias("mean"), deviation(v).alias("sd"),
+            (ends[1] - ends[0]).alias("net"), mean(F.transform(diffs(v), F.abs)).alias("step"),
+        )
+
+    return let(xs, of)
 
 
 def direction(net: Column, eps: float = 1e-6) -> Column:
@@ -205,16 +213,18 @@ def direction(net: Column, eps: float = 1e-6) -> Column:
 
 def delta_summary(p: Column, t: Column, eps: float = 1e-8) -> Column:
     """``struct(changed, first, last, span, mean_abs, max_abs)`` over the places that differ."""
-    p, t = both(p, t)
-    gap = F.zip_with(p, t, lambda a, b: F.abs(a - b))
-    moved = F.filter(F.transform(gap, lambda g, i: F.when(g > eps, i)), lambda i: i.isNotNull())
-    first, last = F.array_min(moved), F.array_max(moved)
-    sizes = F.filter(gap, lambda g: g > eps)
-    return F.struct(
-        F.size(moved).cast("long").alias("changed"), first.cast("long").alias("first"), last.cast("long").alias("last"),
-        F.coalesce(last - first + 1, F.lit(0)).cast("long").alias("span"), mean(sizes).alias("mean_abs"),
-        F.coalesce(F.array_max(sizes), F.lit(0.0)).alias("max_abs"),
-    )
+
+    def of(gap: Column) -> Column:
+        moved = F.filter(F.transform(gap, lambda g, i: F.when(g > eps, i)), lambda i: i.isNotNull())
+        sizes = F.filter(gap, lambda g: g > eps)
+        return let(F.struct(moved.alias("m"), sizes.alias("s")), lambda v: F.struct(
+            F.size(v["m"]).cast("long").alias("changed"), F.array_min(v["m"]).cast("long").alias("first"),
+            F.array_max(v["m"]).cast("long").alias("last"),
+            F.coalesce(F.array_max(v["m"]) - F.array_min(v["m"]) + 1, F.lit(0)).cast("long").alias("span"),
+            mean(v["s"]).alias("mean_abs"), F.coalesce(F.array_max(v["s"]), F.lit(0.0)).alias("max_abs"),
+        ))
+
+    return let(with_both(p, t, lambda a, b: F.zip_with(a, b, lambda x, y: F.abs(x - y))), of)
 
 
 # --- local edits of a forecast (M32, M33) -------------------------------------------------------------
@@ -222,55 +232,74 @@ def delta_summary(p: Column, t: Column, eps: float = 1e-8) -> Column:
 
 def spikes(xs: Column) -> Column:
     """Inner places whose steps to both neighbours are large and go back: zero-based."""
-    bound = F.greatest(3 * diff_mad(xs), F.lit(1e-4))
 
-    def spike(i: Column) -> Column:
-        left, right = at(xs, i) - at(xs, i - 1), at(xs, i + 1) - at(xs, i)
-        return (F.abs(left) > bound) & (F.abs(right) > bound) & (left * right < 0)
+    def find(v: Column) -> Column:
+        def spike(bound: Column):
+            def test(i: Column) -> Column:
+                left, right = at(v, i) - at(v, i - 1), at(v, i + 1) - at(v, i)
+                return (F.abs(left) > bound) & (F.abs(right) > bound) & (left * right < 0)
+
+            return test
 
-    inner = F.when(F.size(xs) >= 3, F.sequence(F.lit(1), F.size(xs) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.filter(inner, spike)
+        inner = F.when(F.size(v) >= 3, F.sequence(F.lit(1), F.size(v) - 2)).otherwise(F.array().cast("array<int>"))
+        return let(F.greatest(3 * diff_mad(v), F.lit(1e-4)), lambda bound: F.filter(inner, spike(bound)))
+
+    return let(xs, find)
 
 
 def smoothed(xs: Column) -> Column:
     """Spikes replaced from left to right by the mean of their neighbours (the left one already smoothed)."""
-    at_spike = spikes(xs)
 
-    def step(done: Column, i: Column) -> Column:
-        left, right = F.element_at(done, -1), at(xs, i + 1)
-        value = F.when(F.array_contains(at_spike, i), 0.5 * (left + right)).otherwise(at(xs, i))
-        return F.concat(done, F.array(value))
+    def fold(v: Column) -> Column:
+        def step(places: Column):
+            def one(done: Column, i: Column) -> Column:
+                middle = 0.5 * (F.element_at(done, -1) + at(v, i + 1))
+                return F.concat(done, F.array(F.when(F.array_contains(places, i), middle).otherwise(at(v, i))))
+
+            return one
+
+        rest = F.when(F.size(v) > 1, F.sequence(F.lit(1), F.size(v) - 1)).otherwise(F.array().cast("array<int>"))
+        return let(spikes(v), lambda places: F.aggregate(rest, head(v, F.lit(1)), step(places)))
 
-    rest = F.when(F.size(xs) > 1, F.sequence(F.lit(1), F.size(xs) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(rest, head(xs, F.lit(1)), step)
+    return let(xs, fold)
 
 
 def _tails(xs: Column, history: Column) -> Column:
     return F.least(F.lit(12), F.size(xs), F.size(history))
 
 
+def _gap(xs: Column, history: Column, of, scale, times: float) -> Column:
+    """Half of ``of(history) - of(xs)`` over the last points where it is large for the history; null elsewhere."""
+    pair = F.struct(xs.alias("x"), history.alias("h"))
+
+    def test(v: Column) -> Column:
+        w = _tails(v["x"], v["h"])
+        bound = F.greatest(times * F.greatest(scale(v["h"]), F.lit(1e-4)), F.lit(1e-4))
+        gap = of(tail(v["h"], w), w) - of(tail(v["x"], w), w)
+        return F.when(w >= 4, let(gap, lambda g: F.when(F.abs(g) > bound, 0.5 * g)))
+
+    return let(pair, test)
+
+
 def level_gap(xs: Column, history: Column) -> Column:
-    """What the last points should rise by; null where level is fine."""
-    w = _tails(xs, history)
-    gap = mean(tail(history, w)) - mean(tail(xs, w))
-    return F.when((w >= 4) & (F.abs(gap) > F.greatest(1.5 * F.greatest(mad(history), F.lit(1e-4)), F.lit(1e-4))), 0.5 * gap)
+    """What the last points should rise by; null where the level is fine."""
+    return _gap(xs, history, lambda v, w: mean(v), mad, 1.5)
 
 
 def slope_gap(xs: Column, history: Column) -> Column:
-    w = _tails(xs, history)
-    slope = lambda v: (F.element_at(v, -1) - at(v, F.size(v) - w)) / F.greatest(w - 1, F.lit(1))
-    gap = F.when(w >= 4, slope(history) - slope(xs))
-    return F.when(F.abs(gap) > F.greatest(2 * F.greatest(diff_mad(history), F.lit(1e-4)), F.lit(1e-4)), 0.5 * gap)
+    """What each of the last points should rise by over the one before; null where the slope is fine."""
+    slope = lambda v, w: let(v, lambda u: (F.element_at(u, -1) - F.element_at(u, 1)) / F.greatest(w - 1, F.lit(1)))
+    return _gap(xs, history, slope, diff_mad, 2.0)
 
 
 def level_adjusted(xs: Column, history: Column) -> Column:
     w, gap = _tails(xs, history), F.coalesce(level_gap(xs, history), F.lit(0.0))
-    return F.transform(xs, lambda x, i: F.when(i >= F.size(xs) - w, x + gap).otherwise(x))
+    return let(gap, lambda g: F.transform(xs, lambda x, i: F.when(i >= F.size(xs) - w, x + g).otherwise(x)))
 
 
 def slope_adjusted(xs: Column, history: Column) -> Column:
     w, gap = _tails(xs, history), F.coalesce(slope_gap(xs, history), F.lit(0.0))
-    return F.transform(xs, lambda x, i: x + gap * F.greatest(i - (F.size(xs) - w), F.lit(0)))
+    return let(gap, lambda g: F.transform(xs, lambda x, i: x + g * F.greatest(i - (F.size(xs) - w), F.lit(0))))
 
 
 def local_edits(xs: Column, history: Column) -> Column:
@@ -292,9 +321,15 @@ def edits_for(edits: Column, model: Column) -> Column:
 
 def meaningful(base: Column, edited: Column, truth: Column) -> Column:
     """Whether an edit is local and gains enough over ``base``: more than half a percent in either error, and any in MSE."""
-    n, delta = F.size(base), delta_summary(edited, base)
-    few = (delta["changed"] > 0) & (delta["changed"] <= F.least(F.lit(24), F.greatest(F.lit(4), F.floor(n / 4))))
-    near = delta["span"] <= F.least(F.lit(32), F.greatest(F.lit(8), F.floor(n / 3)))
-    gain = lambda error: error(base, truth) - error(edited, truth)
-    enough = lambda error: gain(error) > F.greatest(F.lit(1e-6), 0.005 * error(base, truth))
-    return few & near & (enough(mse) | enough(mae)) & (gain(mse) > 1e-8)
+    made = F.struct(
+        delta_summary(edited, base).alias("d"), mse(base, truth).alias("m0"), mse(edited, truth).alias("m1"),
+        mae(base, truth).alias("a0"), mae(edited, truth).alias("a1"), F.size(base).alias("n"),
+    )
+
+    def test(v: Column) -> Column:
+        few = (v["d"]["changed"] > 0) & (v["d"]["changed"] <= F.least(F.lit(24), F.greatest(F.lit(4), F.floor(v["n"] / 4))))
+        near = v["d"]["span"] <= F.least(F.lit(32), F.greatest(F.lit(8), F.floor(v["n"] / 3)))
+        enough = lambda k: v[f"{k}0"] - v[f"{k}1"] > F.greatest(F.lit(1e-6), 0.005 * v[f"{k}0"])
+        return few & near & (enough("m") | enough("a")) & (v["m0"] - v["m1"] > 1e-8)
+
+    return let(made, test)

@@ -50,25 +50,27 @@ def recovery_penalty(reason: Column, predicted: Column, expected: Column) -> Col
 
 def season_trend_score(p: Column, t: Column) -> Column:
     """Closeness of season and trend of the normalised values; 0 below five common points."""
-    n, m = F.size(p), F.size(t)
-    a, b = arrays.both(p, t)
-    a, b = arrays.scaled_by(a, b), arrays.scaled_by(b, b)
-    part = lambda f, weight: weight / (1 + F.log1p(arrays.mse(f(a), f(b))))
-    both = part(arrays.season, SEASON_WEIGHT) + part(arrays.trend, TREND_WEIGHT)
-    return F.when(F.least(n, m) >= 5, both * F.least(n / m, F.lit(1.0))).otherwise(0.0)
+    part = lambda f, a, b, weight: weight / (1 + F.log1p(arrays.mse(f(a), f(b))))
+
+    def score(v: Column) -> Column:
+        a, b = v["a"], v["b"]
+        return part(arrays.season, a, b, SEASON_WEIGHT) + part(arrays.trend, a, b, TREND_WEIGHT)
+
+    scaled = lambda a, b: F.struct(arrays.scaled_by(a, b).alias("a"), arrays.scaled_by(b, b).alias("b"))
+    both = arrays.with_both(p, t, lambda a, b: arrays.let(scaled(a, b), score))
+    return F.when(F.least(F.size(p), F.size(t)) >= 5, both * F.least(F.size(p) / F.size(t), F.lit(1.0))).otherwise(0.0)
 
 
 def turning_point_score(p: Column, t: Column, tolerance: int = 2) -> Column:
     """Share of the truth's peaks and valleys that the forecast's come near to."""
-    n, m = F.size(p), F.size(t)
-    a, b = arrays.both(p, t)
 
-    def side(low: bool) -> Column:
-        truth = arrays.turning_points(b, low)
-        hits = arrays.greedy_hits(arrays.turning_points(a, low), truth, tolerance)
-        return F.when(F.size(truth) > 0, hits / F.size(truth) * TURN_WEIGHT).otherwise(0.0)
+    def side(a: Column, b: Column, low: bool) -> Column:
+        hits = lambda truth: arrays.greedy_hits(arrays.turning_points(a, low), truth, tolerance)
+        share = lambda truth: F.when(F.size(truth) > 0, hits(truth) / F.size(truth) * TURN_WEIGHT).otherwise(0.0)
+        return arrays.let(arrays.turning_points(b, low), share)
 
-    return F.when(F.least(n, m) >= 5, (side(False) + side(True)) * F.least(n / m, F.lit(1.0))).otherwise(0.0)
+    both = arrays.with_both(p, t, lambda a, b: side(a, b, False) + side(a, b, True))
+    return F.when(F.least(F.size(p), F.size(t)) >= 5, both * F.least(F.size(p) / F.size(t), F.lit(1.0))).otherwise(0.0)
 
 
 def with_reward(df: DataFrame, solution: str, truth: str, allow_recovery: bool) -> DataFrame:
