@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from ..functions.scores import ratio
 from .ordering import kept, numbered, quantiles
 
@@ -252,14 +253,22 @@ def shuffled_head(rows: DataFrame, key: str, n: int, seed: int = 17) -> DataFram
     return rows.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), key).limit(n)
 
 
-def by_category(rows: DataFrame, categories: list[tuple[str, Column, list[Column], int]], key: str) -> DataFrame:
-    """Rows picked category by category (name, condition, order, limit), none twice; adds ``category``."""
+def by_category(rows: DataFrame, categories: list[tuple], key: str) -> DataFrame:
+    """Rows picked category by category, none twice; adds ``category``.
+
+    A category is (name, condition, order, limit, varied): where ``varied`` names a column,
+    the first row of each of its values comes before the others.
+    """
     chosen = None
-    for name, condition, order, limit in categories:
+    for name, condition, order, limit, varied in categories:
         pool = rows.where(condition)
         if chosen is not None:
             pool = pool.join(chosen.select(key), key, "left_anti")
-        pick = pool.orderBy(*order, key).limit(limit).withColumn("category", F.lit(name))
+        if varied:
+            first = F.row_number().over(Window.partitionBy(varied).orderBy(*order, key))
+            pool = pool.withColumn("_later", first > 1)
+            order = ["_later", *order]
+        pick = pool.orderBy(*order, key).limit(limit).select(*rows.columns, F.lit(name).alias("category"))
         chosen = kept(pick if chosen is None else chosen.unionByName(pick))
     return chosen
 
@@ -320,3 +329,113 @@ def gae(steps: DataFrame, gamma: float = 0.9, lam: float = 0.8) -> DataFrame:
 def spanning_trajectories(steps: DataFrame) -> DataFrame:
     """Trajectories that stand in more than one group: group statistics would be wrong for them."""
     return steps.groupBy("trajectory").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b").select("trajectory")
+
+
+# --- filters and lookups ------------------------------------------------------------------------------
+
+
+def in_stages(rows: DataFrame, stage: str, allowed: list[str]) -> DataFrame:
+    """Rows of some stages, whatever their case and surrounding space; an error where none is left."""
+    return rows.where(F.lower(F.trim(F.coalesce(F.col(stage), F.lit("")))).isin(*allowed))
+
+
+def confident(rows: DataFrame, stage: str, source: str, tier: str, least: str) -> DataFrame:
+    """Drops only routing rows of heuristic origin whose tier ranks below ``least``."""
+    clean = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    rank = F.when(clean(tier) == "high", 2).when(clean(tier) == "mid", 1).otherwise(0)
+    low = rank < {"low": 0, "mid": 1, "high": 2}[least]
+    return rows.where(~((clean(stage) == "routing") & (clean(source) == "heuristic") & low))
+
+
+def parts(rows: DataFrame, required: Column, valid: Column) -> DataFrame:
+    """Adds ``part``: skipped where not required, else checked or invalid."""
+    return rows.withColumn("part", F.when(~required, "skipped").when(valid, "checked").otherwise("invalid"))
+
+
+def strict_lookup(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Inner lookup in which a miss is an error, raised by the job that reads the row."""
+    hit = found.withColumn("_hit", F.lit(True))
+    joined = rows.join(hit, key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return joined.where(F.when(F.col("_hit").isNull(), missing.cast("boolean")).otherwise(True)).drop("_hit")
+
+
+def annotated(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``found`` where it has the key; on a clash of names the found value wins."""
+    other = [c for c in found.columns if c != key]
+    f = found.select(key, *(F.col(c).alias(f"_{c}") for c in other), F.lit(True).alias("_hit"))
+    j = rows.join(f, key, "left")
+    own = [F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in other else F.col(c) for c in rows.columns]
+    return j.select(*own, *(F.col(f"_{c}").alias(c) for c in other if c not in rows.columns))
+
+
+def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows compared and the share that agrees, case and space apart; blanks don't count, missing ones read ``none``."""
+    clean = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("none"))))
+    both = rows.select(clean(a).alias("_a"), clean(b).alias("_b")).where("_a <> '' and _b <> ''")
+    return both.agg(F.count("*").alias("compared"), F.round(F.avg((F.col("_a") == F.col("_b")).cast("int")), 6).alias("agreement"))
+
+
+# --- ranks, candidates, repeats ------------------------------------------------------------------------
+
+
+def rank_by_score(rows: DataFrame, models: list[str]) -> DataFrame:
+    """Rank of each sample's models by score, best first; ties keep the order of ``models``."""
+    place = F.array_position(F.array(*map(F.lit, models)), F.col("model"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("sample").orderBy(F.desc("score"), place)))
+
+
+def reference_teacher(rows: DataFrame, error: str, score: str, models: list[str]) -> DataFrame:
+    """The model of least finite error (name decides ties), else of the best score (order of ``models``)."""
+    e = F.col(error)
+    ok = e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf"))
+    place = F.array_position(F.array(*map(F.lit, models)), F.col("model"))
+    return rows.groupBy("sample").agg(F.coalesce(
+        F.min(F.when(ok, F.struct(e.alias("e"), "model")))["model"],
+        F.min(F.struct((-F.col(score)).alias("s"), place.alias("p"), "model"))["model"],
+    ).alias("teacher"))
+
+
+def top_pool(rows: DataFrame, group: str, best: str, key: str, total: int, groups: int, share: float) -> DataFrame:
+    """Of each group the best: an even part of ``total`` or a share of the group, whichever is more."""
+    w = Window.partitionBy(group)
+    r = rows.withColumn("_rn", F.row_number().over(w.orderBy(F.desc(best), key))).withColumn("_n", F.count("*").over(w))
+    wanted = F.least(F.col("_n"), F.greatest(F.lit(max(1, -(-total // groups))), F.ceil(F.col("_n") * share)))
+    return r.where(F.col("_rn") <= wanted).drop("_rn", "_n")
+
+
+GAPS = ("level", "mean", "trend", "step", "volatility")
+
+
+def visible_gains(rows: DataFrame, sample: str, candidate: str, default: str, forecast: str, recent: str) -> DataFrame:
+    """Five gaps of each candidate to the recent history, and its gains over the default candidate's.
+
+    Where a sample lacks its default the first candidate stands in.
+    """
+    r = rows.withColumns({"_x": arrays.stats(F.col(forecast)), "_v": arrays.stats(F.col(recent))})
+    x, v = (lambda k: F.col(f"_x.{k}")), (lambda k: F.col(f"_v.{k}"))
+    gaps = {
+        "level": F.abs(x("start") - v("end")), "mean": F.abs(x("mean") - v("mean")), "trend": F.abs(x("net") - v("net")),
+        "step": F.abs(x("step") - v("step")), "volatility": F.abs(x("sd") - v("sd")),
+    }
+    r = r.withColumns({f"{k}_gap": c for k, c in gaps.items()})
+    r = r.withColumn("_match", arrays.direction(F.col("_x.net")) == arrays.direction(F.col("_v.net")))
+    w = Window.partitionBy(sample)
+    order = F.struct((F.col(candidate) != F.col(default)).alias("other"), F.col(candidate).alias("id"))
+    base = lambda c: F.min_by(c, order).over(w)
+    out = {f"{k}_gain": base(F.col(f"{k}_gap")) - F.col(f"{k}_gap") for k in GAPS}
+    out["direction_gain"] = F.col("_match").cast("int") - base(F.col("_match").cast("int"))
+    return r.withColumns(out).drop("_x", "_v", "_match")
+
+
+def repeated_where(rows: DataFrame, condition: Column, times: int) -> DataFrame:
+    """Rows with the condition ``times`` times, others once; ``copy`` counts from 0."""
+    n = F.when(F.coalesce(condition, F.lit(False)), times).otherwise(1)
+    kept_columns = [c for c in rows.columns if c != "copy"]
+    return copies(rows.withColumn("_times", n).select(*kept_columns, "_times"), F.col("_times")).drop("_times")
+
+
+def distinct_candidates(candidates: Column) -> Column:
+    """Candidates (ops, values) without those equal to an earlier one in ops and values to six places."""
+    rounded = F.transform(candidates, lambda c: F.struct(c["ops"].alias("o"), F.transform(c["values"], lambda v: F.round(v, 6)).alias("v")))
+    return arrays.let(rounded, lambda r: F.filter(candidates, lambda c, i: F.array_position(r, F.element_at(r, i + 1)) == i + 1))

@@ -75,15 +75,6 @@ def m27_m30_positional_errors(spark, d):
 # --- aggregates --------------------------------------------------------------------------------
 
 
-@query("""SELECT count(*) AS compared, round(avg((lower(trim(l.role)) = lower(trim(r.role)))::INT), 6) AS agreement FROM conversations l
- JOIN conversations r ON l.conv_id = r.conv_id AND r.turn = l.turn + 2 WHERE trim(l.role) <> '' AND trim(r.role) <> ''""")
-def a5_agreement_ratio(spark, d):
-    c = table(spark, d, "conversations")
-    later = F.lead("role", 2).over(Window.partitionBy("conv_id").orderBy("turn"))
-    both = c.select(F.lower(F.trim("role")).alias("a"), F.lower(F.trim(later)).alias("b")).where("a <> '' and b <> ''")
-    return both.agg(F.count("*").alias("compared"), F.round(F.avg((F.col("a") == F.col("b")).cast("int")), 6).alias("agreement"))
-
-
 @query(f"""WITH {ERRORS}, g AS (SELECT *, mse - min(mse) OVER (PARTITION BY sample) AS regret FROM errors), m AS (SELECT model, round(avg(mse), 6) AS a, round(avg(regret), 6) AS b, quantile_disc(regret, 0.9) AS c FROM g GROUP BY 1)
 SELECT model AS default_expert FROM m ORDER BY a, b, c, model LIMIT 1""")
 def a8_default_expert(spark, d):
@@ -201,12 +192,6 @@ def f2_curriculum_slices(spark, d):
     return win.curriculum(series(spark, d)).select(F.explode(phases).alias("phase")).groupBy("phase").agg(F.count("*").alias("windows"))
 
 
-@query("""SELECT doc_id, source FROM documents WHERE NOT (lang = 'en' AND source = 'src0' AND (CASE WHEN n_chars > 3000 THEN 2 WHEN n_chars > 1000 THEN 1 ELSE 0 END) < 1)""")
-def f3_confidence_filter(spark, d):
-    tier = F.when(F.col("n_chars") > 3000, 2).when(F.col("n_chars") > 1000, 1).otherwise(0)
-    return table(spark, d, "documents").where(~((F.col("lang") == "en") & (F.col("source") == "src0") & (tier < 1))).select("doc_id", "source")
-
-
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN g = 0 THEN 0.0 WHEN g = 1 THEN 0.03 WHEN g = 2 THEN 0.05 WHEN g <= 5 THEN 0.08 WHEN g <= 20 THEN 0.12 WHEN g <= 100 THEN 0.18 ELSE 0.24 END
  + CASE WHEN p > e THEN least((p - e) / e, 1.0) * 0.05 ELSE 0.0 END AS penalty FROM (SELECT *, l_quantity AS p, 24.0::DOUBLE AS e, abs(l_quantity - 24) AS g FROM lineitem)""")
 def c2_length_penalty(spark, d):

@@ -419,15 +419,6 @@ def w13_gae(spark, d):
     return sel.gae(steps(spark, d))
 
 
-@query(f"""WITH {STEPS} SELECT grp, count(DISTINCT trajectory) AS trajectories, count(*) AS steps, round(avg(reward), 6) AS mean_reward,
- round(quantile_cont(reward, 0.95), 6) AS p95, max(step) AS longest FROM t GROUP BY 1""")
-def a17_validation_row(spark, d):
-    return steps(spark, d).groupBy("grp").agg(
-        F.count_distinct("trajectory").alias("trajectories"), F.count("*").alias("steps"), F.round(F.avg("reward"), 6).alias("mean_reward"),
-        F.round(F.percentile("reward", F.lit(0.95)), 6).alias("p95"), F.max("step").alias("longest"),
-    )
-
-
 @query("SELECT conv_id, arg_max(text, turn) FILTER (role = 'assistant' AND trim(text) <> '') AS content FROM conversations GROUP BY 1")
 def t24_last_assistant(spark, d):
     keep = (F.col("role") == "assistant") & (F.trim("text") != "")
