@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and the controls 9-13.  On
 #: UTF-8 bytes ``bytes.split()`` cuts at exactly those six characters.
@@ -92,6 +93,20 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sample_texts(docs: DataFrame, rows: int, chars: int) -> list[str]:
+    """The ``rows`` distinct texts of at most ``chars`` characters that come first by a hash.
+
+    ``rows * chars`` bounds what reaches the driver.  The hashes alone are ordered; texts
+    are read again for those that are in, so no task gathers more than the sample.
+    """
+    short = docs.select("text", F.xxhash64("text").alias("mark")).where(F.length("text") <= chars)
+    last = short.select("mark").distinct().orderBy("mark").limit(rows).agg(F.max("mark")).first()[0]
+    if last is None:
+        return []
+    picked = short.where(F.col("mark") <= last).groupBy("mark").agg(F.min("text").alias("text"))
+    return [r["text"] for r in sorted(picked.collect(), key=lambda r: r["mark"])]
+
+
 def drop_tables(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by ``materialize`` once nothing reads them any more."""
     jvm = spark.sparkContext._jvm

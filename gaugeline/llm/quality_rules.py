@@ -21,9 +21,8 @@ from time import perf_counter
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import SPACES, map_texts, utf8
+from .common import SPACES, map_texts, sample_texts, utf8
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -189,13 +188,11 @@ def order_rules(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> tup
 def plan_cascade(
     docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = 256, chars: int = 65536
 ) -> tuple[int, ...]:
-    """Measure the rules on the ``rows`` texts that come first by a hash, of at most ``chars`` characters.
+    """Measure the rules on ``sample_texts``: ``rows`` of at most ``chars`` characters.
 
-    The bound keeps what reaches the driver under ``rows * chars`` characters.
     The sample decides the order only; every text meets every rule it needs.
     """
-    sample = docs.select("text").where(F.length("text") <= chars).orderBy(F.xxhash64("text")).limit(rows)
-    return order_rules([r[0] for r in sample.collect()], rules)
+    return order_rules(sample_texts(docs, rows, chars), rules)
 
 
 def judge(
