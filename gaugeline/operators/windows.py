@@ -254,3 +254,27 @@ def moving_average(series: DataFrame, kernel: int) -> DataFrame:
     after = F.greatest(F.col("pos") + half - (n - 1), F.lit(0))
     trend = (F.sum("value").over(w) + before * first + after * last) / kernel
     return series.withColumn("trend", trend).withColumn("season", F.col("value") - F.col("trend"))
+
+
+#: Where stamps are made from nothing: 2000-01-01, in microseconds.
+ANCHOR = 946684800000000
+
+
+def repaired_stamps(rows: DataFrame, stamp: str, step: int) -> DataFrame:
+    """Adds ``at_us``, a full set of stamps (microseconds) for ``series_id, pos``.
+
+    All stamps valid: as they are.  None: from the anchor by ``step``.  Several: from the
+    first valid one by the most frequent positive gap of valid neighbours (the first seen of
+    equals).  One: from it by ``step``.
+    """
+    valid = rows.where(F.col(stamp).isNotNull()).select("series_id", "pos", F.col(stamp).alias("_t"))
+    gaps = valid.select("series_id", "pos", (F.lead("_t").over(along()) - F.col("_t")).alias("_gap")).where("_gap > 0")
+    counted = gaps.groupBy("series_id", "_gap").agg(F.count("*").alias("_c"), F.min("pos").alias("_p"))
+    gap = counted.groupBy("series_id").agg(F.min(F.struct((-F.col("_c")).alias("c"), "_p", "_gap"))["_gap"].alias("_gap"))
+    known = rows.groupBy("series_id").agg(
+        F.count(stamp).alias("_c"), F.count("*").alias("_n"), F.min(F.when(F.col(stamp).isNotNull(), F.struct("pos", F.col(stamp).alias("t")))).alias("_f")
+    )
+    j = rows.join(known, "series_id").join(gap, "series_id", "left")
+    from_first = F.col("_f.t") + (F.col("pos") - F.col("_f.pos")) * F.when(F.col("_c") > 1, F.coalesce("_gap", F.lit(step))).otherwise(F.lit(step))
+    at_us = F.when(F.col("_c") == F.col("_n"), F.col(stamp)).when(F.col("_c") == 0, F.lit(ANCHOR) + F.col("pos") * step).otherwise(from_first)
+    return j.select(*rows.columns, at_us.alias("at_us"))

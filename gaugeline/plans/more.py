@@ -236,15 +236,6 @@ def b9_b11_ordered_dedupe(spark, d):
     return e.select("user_id", "kinds", F.array_join("kinds", "->").alias("signature"), F.size(F.array_except(need, "kinds")).cast("long").alias("missing"))
 
 
-@query("""SELECT conv_id, turn, role, CASE role WHEN 'assistant' THEN 'final' ELSE 'prompt' END || '_' || i AS stage, i AS stage_order FROM conversations, LATERAL (SELECT unnest(range(CASE role WHEN 'assistant' THEN 2 ELSE 1 END)) AS i)""")
-def g1_stage_rows(spark, d):
-    c = table(spark, d, "conversations")
-    n = F.when(F.col("role") == "assistant", 2).otherwise(1)
-    c = sel.copies(c.select("conv_id", "turn", "role"), n).withColumnRenamed("copy", "stage_order")
-    kind = F.when(F.col("role") == "assistant", "final").otherwise("prompt")
-    return c.select("conv_id", "turn", "role", F.concat_ws("_", kind, F.col("stage_order").cast("string")).alias("stage"), F.col("stage_order").cast("long"))
-
-
 # --- text ---------------------------------------------------------------------------------------------
 
 

@@ -273,7 +273,7 @@ g AS (SELECT series_id, cand, abs(x[1] - v[-1]) AS level, abs(list_avg(x) - list
  abs(list_stddev_pop(x) - list_stddev_pop(v)) AS volatility FROM c)"""
 
 
-@query(f"""WITH {VISIBLE} SELECT series_id, g.cand, round(d.level - g.level, 5) AS level_gain, round(d.mean - g.mean, 5) AS mean_gain, round(d.trend - g.trend, 5) AS trend_gain, round(d.step - g.step, 5) AS step_gain, round(d.volatility - g.volatility, 5) AS volatility_gain
+@query(f"""WITH {VISIBLE} SELECT series_id, g.cand, round(d.level - g.level, 6) AS level_gain, round(d.mean - g.mean, 6) AS mean_gain, round(d.trend - g.trend, 6) AS trend_gain, round(d.step - g.step, 6) AS step_gain, round(d.volatility - g.volatility, 6) AS volatility_gain
  FROM g JOIN g d USING (series_id) WHERE d.cand = CASE WHEN series_id % 2 = 0 THEN 1 ELSE 0 END""")
 def w15_visible_gains(spark, d):
     n = F.count("*").over(Window.partitionBy("series_id"))
@@ -283,7 +283,7 @@ def w15_visible_gains(spark, d):
     c = w.withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("x", F.transform("y", lambda q: q * (F.col("cand") + 1) / 2))
     default = F.when(F.col("series_id") % 2 == 0, 1).otherwise(9)  # no candidate 9: the first stands in
     g = sel.visible_gains(c.withColumn("default_id", default), "series_id", "cand", "default_id", "x", "v")
-    return g.select("series_id", F.col("cand").cast("long"), *(F.round(f"{k}_gain", 5).alias(f"{k}_gain") for k in sel.GAPS))
+    return g.select("series_id", F.col("cand").cast("long"), *(F.round(f"{k}_gain", 6).alias(f"{k}_gain") for k in sel.GAPS))
 
 
 @query("SELECT event_id, coalesce(list_position(CASE event_id % 3 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN ['b', 'a'] ELSE ['b'] END, 'a'), 0) - 1 AS gold_rank FROM events")
