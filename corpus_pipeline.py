@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugeline.llm import byte_bpe, mixing, quality_rules, secret_scan, signature_tree
-from gaugeline.llm.common import configure, materialize
+from gaugeline.llm.common import configure, drop_tables, materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +54,15 @@ STAGES = [
     ("byte_bpe", token_ids),
 ]
 
-#: SQL can't express byte-level merges; the stages are tested against brute force.
+#: SQL can't express byte-level merges; the chain is tested stage by stage against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of ``sf_dir``; a stage's table goes once the next one is written."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_tables(spark, *written)
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

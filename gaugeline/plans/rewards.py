@@ -94,13 +94,13 @@ k2 AS (SELECT *, CASE WHEN abs(lg) > greatest(1.5 * greatest(hm, 1e-4), 1e-4) TH
 
 @query(f"""WITH RECURSIVE {EDITS}, sm AS (SELECT series_id, start, x, sp, 1 AS i, [x[1]] AS done FROM k2 UNION ALL SELECT series_id, start, x, sp, i + 1, list_append(done, CASE WHEN list_contains(sp, i + 1) THEN 0.5 * (done[-1] + x[i + 2]) ELSE x[i + 1] END) FROM sm WHERE i < {N}),
 fin AS (SELECT series_id, start, done FROM sm WHERE i = {N})
-SELECT k2.series_id, k2.start, len(sp) AS spikes, round(list_sum(done), 4) AS smoothed_sum, round(level, 6) AS level_gap, round(slope, 6) AS slope_gap, round(x[{N}] + coalesce(level, 0), 6) AS level_last, round(x[{N}] + 11 * coalesce(slope, 0), 6) AS slope_last,
+SELECT k2.series_id, k2.start, len(sp) AS spikes, round(list_sum(done), 8) AS smoothed_sum, round(level, 6) AS level_gap, round(slope, 6) AS slope_gap, round(x[{N}] + coalesce(level, 0), 6) AS level_last, round(x[{N}] + 11 * coalesce(slope, 0), 6) AS slope_last,
  (len(sp) > 0)::INT + (level IS NOT NULL)::INT + (slope IS NOT NULL)::INT AS edits, round(dm, 6) AS diff_mad FROM k2 JOIN fin USING (series_id, start)""")
 def m2_m32_m33_g4_local_edits(spark, d):
     x, h = F.col("y"), F.col("x")
     last = lambda v: r(F.element_at(v, -1))
     return pairs(spark, d).select(
-        "series_id", "start", F.size(arrays.spikes(x)).cast("long").alias("spikes"), r(arrays.total(arrays.smoothed(x)), 4).alias("smoothed_sum"),
+        "series_id", "start", F.size(arrays.spikes(x)).cast("long").alias("spikes"), r(arrays.total(arrays.smoothed(x)), 8).alias("smoothed_sum"),
         r(arrays.level_gap(x, h)).alias("level_gap"), r(arrays.slope_gap(x, h)).alias("slope_gap"), last(arrays.level_adjusted(x, h)).alias("level_last"),
         last(arrays.slope_adjusted(x, h)).alias("slope_last"), F.size(arrays.local_edits(x, h)).cast("long").alias("edits"), r(arrays.diff_mad(x)).alias("diff_mad"),
     )

@@ -110,10 +110,10 @@ def d5_last_stamp(spark, d):
 
 @query(f"""WITH {PAIRS}, m AS (SELECT series_id, start, y, 'naive' AS model, list_transform(range(1, {N + 1}), lambda i: x[{N}]) AS p FROM w UNION ALL SELECT series_id, start, y, 'mean', list_transform(range(1, {N + 1}), lambda i: list_avg(x)) FROM w
  UNION ALL SELECT series_id, start, y, 'drift', list_transform(range(1, {N + 1}), lambda i: x[{N}] + (x[{N}] - x[1]) / {N - 1} * i) FROM w UNION ALL SELECT series_id, start, y, 'nobody', NULL FROM w)
-SELECT series_id, start, model, CASE WHEN p IS NOT NULL THEN round(list_avg(list_transform(range(1, {N + 1}), lambda i: (p[i] - y[i]) ** 2)), 5) END AS mse, CASE WHEN p IS NULL THEN 'unknown model nobody' END AS error FROM m""")
+SELECT series_id, start, model, CASE WHEN p IS NOT NULL THEN round(sqrt(list_avg(list_transform(range(1, {N + 1}), lambda i: (p[i] - y[i]) ** 2))), 6) END AS rmse, CASE WHEN p IS NULL THEN 'unknown model nobody' END AS error FROM m""")
 def p1_p7_p8_scored_forecasts(spark, d):
     f = forecasts.predict(pairs(spark, d), "x", ["naive", "mean", "drift", "nobody"], N, N)
-    return forecasts.scored(f, "forecast", "y").select("series_id", "start", "model", F.round("mse", 5).alias("mse"), "error")
+    return forecasts.scored(f, "forecast", "y").select("series_id", "start", "model", F.round(F.sqrt("mse"), 6).alias("rmse"), "error")
 
 
 @query()

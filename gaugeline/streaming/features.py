@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, path: str, schema, per_trigger: int = 8) -> DataFrame:
-    """Files of a Parquet table as an unbounded stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    """Files of a Parquet table (a folder or one file) as an unbounded stream."""
+    glob = f"{path[:-1]}[{path[-1]}]"  # a pattern may name one file, a plain path only a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(glob)
 
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
