@@ -27,7 +27,7 @@ from .common import BEYOND_LATIN, Memory, latin_pattern, map_texts, utf8
 
 LONGEST = 256
 #: Distinct pre-tokens that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _NONE = np.int32(2**31 - 1)
 

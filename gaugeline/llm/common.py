@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of one Arrow batch at most (one longer text is a batch of its own).
-BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -94,17 +94,18 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def sample_texts(docs: DataFrame, rows: int, chars: int) -> list[str]:
-    """The ``rows`` distinct texts of at most ``chars`` characters that come first by a hash.
+    """Texts of the ``rows`` documents whose ids come first by a hash, those over ``chars`` characters left out.
 
-    ``rows * chars`` bounds what reaches the driver.  The hashes alone are ordered; texts
-    are read again for those that are in, so no task gathers more than the sample.
+    ``rows * chars`` bounds what reaches the driver.  The first pass reads ids alone; the
+    second takes one text of each chosen id (nulls among the ids are one id).
     """
-    short = docs.select("text", F.xxhash64("text").alias("mark")).where(F.length("text") <= chars)
-    last = short.select("mark").distinct().orderBy("mark").limit(rows).agg(F.max("mark")).first()[0]
+    mark = F.xxhash64("doc_id").alias("mark")
+    last = docs.select(mark).distinct().orderBy("mark").limit(rows).agg(F.max("mark")).first()[0]
     if last is None:
         return []
-    picked = short.where(F.col("mark") <= last).groupBy("mark").agg(F.min("text").alias("text"))
-    return [r["text"] for r in sorted(picked.collect(), key=lambda r: r["mark"])]
+    picked = docs.select(mark, "text").where((F.col("mark") <= last) & (F.length("text") <= chars))
+    one = picked.groupBy("mark").agg(F.min("text").alias("text"))
+    return [r["text"] for r in sorted(one.collect(), key=lambda r: r["mark"])]
 
 
 def drop_tables(spark: SparkSession, *tables: DataFrame) -> None:

@@ -44,7 +44,7 @@ from .shingles import PERCENT, linked, prefix_length, set_check, set_key, shingl
 #: Documents that hold a shingle from which it counts as frequent, in all and in a task's share.
 FREQUENT, FREQUENT_HERE = 64, 8
 #: Shingles that a task holds before it counts them.
-COUNTED = 2_000_000
+COUNTED = 1_000_000
 #: Frequent shingles that the order knows at most: 8 bytes each bound the broadcast.
 #: Any common order is exact, so this bound only moves work.
 KNOWN_FREQUENT = 1 << 18
