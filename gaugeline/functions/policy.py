@@ -236,10 +236,6 @@ def batch_divisor(total: Column, target: Column) -> Column:
     ))[0]["size"] * -1)
 
 
-def gate_passes(rates: list[Column], threshold: float) -> Column:
-    return F.coalesce(F.least(*rates) >= threshold, F.lit(False))
-
-
 def can_still_pass(successes: list[Column], seen: Column, total: Column, threshold: float) -> Column:
     left = F.greatest(total - seen, F.lit(0))
     return F.least(*((s + left) / F.greatest(total, F.lit(1)) for s in successes)) >= threshold

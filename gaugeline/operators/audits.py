@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +132,42 @@ def max_share(rows: DataFrame, column: str) -> DataFrame:
     return n.agg(F.round(F.max("n") / F.sum("n"), 6).alias("max_share"))
 
 
-def windows_of(sizes: list[int]) -> list[int]:
-    """First rows of consecutive blocks."""
-    return [0, *accumulate(sizes)][:-1]
+def routing_summary(rows: DataFrame) -> DataFrame:
+    """One row over routing results: requested, teacher, heuristic, best, second, tier, regret, gold and predicted overrides.
+
+    ``rows``: requested, teacher, heuristic, best, second, tier, regret, delta, gold_override, predicted_override.
+    """
+    exact, top2 = F.col("requested") == F.col("best"), F.col("requested").isin(F.col("best"), F.col("second"))
+    sure, gold, said = F.col("tier").isin("mid", "high"), F.col("gold_override"), F.col("predicted_override")
+    share = lambda c, among=None: F.coalesce(rate(c, among), F.lit(0.0))
+    s = rows.agg(
+        F.count("*").alias("n"), share(F.col("requested") == F.col("teacher")).alias("teacher_rate"), share(F.col("requested") == F.col("heuristic")).alias("heuristic_rate"),
+        share(exact).alias("exact_rate"), share(top2).alias("top2_rate"), count_if(sure).alias("sure"), share(exact, sure).alias("sure_exact_rate"),
+        F.avg("regret").alias("mean_regret"), F.avg(F.when(sure, F.col("regret"))).alias("sure_mean_regret"), F.avg("delta").alias("mean_delta"),
+        F.count_distinct("requested").alias("coverage"), count_if(gold & said).alias("tp"), count_if(~gold & said).alias("fp"), count_if(gold & ~said).alias("fn"),
+        count_if(~gold & ~said).alias("tn"), share(exact, gold).alias("override_exact_rate"), share(said).alias("override_share"),
+    )
+    tp, fp, fn, tn = (F.col(k).cast("double") for k in ("tp", "fp", "fn", "tn"))
+    f1 = lambda hit, a, b: ratio(2 * hit, 2 * hit + a + b)
+    s = s.withColumns({
+        "override_precision": ratio(tp, tp + fp), "override_recall": ratio(tp, tp + fn), "override_f1": f1(tp, fp, fn),
+        "macro_f1": (f1(tp, fp, fn) + f1(tn, fn, fp)) / 2,
+    })
+    whole = {"n", "sure", "coverage", "tp", "fp", "fn", "tn"}
+    rounded = s.select(*(F.col(c) if c in whole else F.round(c, 6).alias(c) for c in s.columns))
+    return rounded.crossJoin(max_share(rows, "requested"))  # one row each
+
+
+def two_level_timing(steps: DataFrame, trajectory: str, step: str, seconds: str) -> DataFrame:
+    """Least, mean and largest time of a step and of a trajectory, and which were the slowest (the first of equals)."""
+    first = lambda c, *by: F.min(F.struct((-F.col(c)).alias("t"), *by))
+    by_step = steps.agg(
+        F.min(seconds).alias("step_min"), F.avg(seconds).alias("step_mean"), F.max(seconds).alias("step_max"), first(seconds, trajectory, step).alias("_s")
+    )
+    whole = steps.groupBy(trajectory).agg(F.sum(seconds).alias("total"))
+    by_whole = whole.agg(F.min("total").alias("whole_min"), F.avg("total").alias("whole_mean"), F.max("total").alias("whole_max"), first("total", trajectory).alias("_w"))
+    both = by_step.crossJoin(by_whole)  # one row each
+    return both.select(
+        "step_min", F.round("step_mean", 6).alias("step_mean"), "step_max", F.col(f"_s.{trajectory}").alias("slowest_step_of"), F.col(f"_s.{step}").alias("slowest_step"),
+        "whole_min", F.round("whole_mean", 6).alias("whole_mean"), "whole_max", F.col(f"_w.{trajectory}").alias("slowest"),
+    )

@@ -173,14 +173,10 @@ def quota(rows: DataFrame, group: str, best: str, key: str, total: int, groups:
     r = rows.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(q), F.col(group) == F.col("_group"))
     first = r.where("_rn <= _quota")
     first = first.orderBy("_model", "_rn").limit(total) if each * len(present) > total else first
-    fill = r.where("_rn > _quota").orderBy(F.desc(best), F.desc(key), "_rn").limit(max(0, total - min(total, _size(first))))
+    fill = r.where("_rn > _quota").orderBy(F.desc(best), F.desc(key), "_rn").limit(max(0, total - min(total, first.count())))
     return first.unionByName(fill).drop("_rn", "_group", "_model", "_quota")
 
 
-def _size(rows: DataFrame) -> int:
-    return rows.count()
-
-
 def keep_selection(rows: DataFrame, default: str, k: int) -> DataFrame:
     """``k`` keeps, evenly spaced in the order default-best first, then improvement, then index."""
     order = F.struct((F.col("best") != default).alias("o1"), F.col("improvement_rel").alias("o2"), F.col("sample").alias("o3"))
@@ -335,7 +331,7 @@ def spanning_trajectories(steps: DataFrame) -> DataFrame:
 
 
 def in_stages(rows: DataFrame, stage: str, allowed: list[str]) -> DataFrame:
-    """Rows of some stages, whatever their case and surrounding space; an error where none is left."""
+    """Rows of some stages, whatever their case and surrounding space."""
     return rows.where(F.lower(F.trim(F.coalesce(F.col(stage), F.lit("")))).isin(*allowed))
 
 
@@ -439,3 +435,17 @@ def distinct_candidates(candidates: Column) -> Column:
     """Candidates (ops, values) without those equal to an earlier one in ops and values to six places."""
     rounded = F.transform(candidates, lambda c: F.struct(c["ops"].alias("o"), F.transform(c["values"], lambda v: F.round(v, 6)).alias("v")))
     return arrays.let(rounded, lambda r: F.filter(candidates, lambda c, i: F.array_position(r, F.element_at(r, i + 1)) == i + 1))
+
+
+def keep_share_selection(labelled: DataFrame, default: str, models: list[str], total: int, keep_share: float) -> DataFrame:
+    """``total`` rows of which ``keep_share`` are keeps, with one override of each class at least; leftovers by index fill up."""
+    keeps, overrides = (labelled.where(F.col("bucket") == b) for b in ("keep", "override"))
+    n = overrides.agg(F.count("*").alias("n"), F.count_distinct("best").alias("k")).first()
+    wanted = min(n["n"], max(n["k"], round(total * max(0.0, 1.0 - keep_share))))
+    chosen = quota(overrides, "best", "improvement_rel", "sample", wanted, [m for m in models if m != default])
+    chosen = kept(chosen.unionByName(keep_selection(keeps, default, max(total - wanted, 0))))
+    missing = total - chosen.count()
+    if missing > 0:
+        rest = labelled.join(chosen.select("sample"), "sample", "left_anti")
+        chosen = chosen.unionByName(rest.orderBy("sample").limit(missing))
+    return chosen

@@ -325,12 +325,12 @@ def a24_majority_vote(spark, d):
     return c.withColumn("k", F.row_number().over(w)).where("k = 1").select("user_id", F.col("event_type").alias("majority"), "votes", "value")
 
 
-@query("""SELECT l_returnflag, round(avg(l_quantity), 4) AS mean, max(l_quantity) AS most, min(l_quantity) AS least, round(avg((l_discount >= 0.1)::INT), 6) AS clip_ratio,
+@query("""SELECT l_returnflag, round(avg(l_quantity), 4) AS mean, max(l_quantity) AS most, min(l_quantity) AS least, round(avg((l_discount >= 0.1)::INT), 6) AS clip_ratio, round(avg((l_tax = 0)::INT), 6) AS aborted_ratio,
  round(1 - var_samp(l_extendedprice - l_quantity * 1000) / (var_samp(l_extendedprice) + 1e-5), 5) AS explained FROM lineitem GROUP BY 1""")
 def a19_batch_metrics(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(
         F.round(F.avg("l_quantity"), 4).alias("mean"), F.max("l_quantity").alias("most"), F.min("l_quantity").alias("least"),
-        F.round(F.avg((F.col("l_discount") >= 0.1).cast("int")), 6).alias("clip_ratio"),
+        F.round(F.avg((F.col("l_discount") >= 0.1).cast("int")), 6).alias("clip_ratio"), F.round(F.avg((F.col("l_tax") == 0).cast("int")), 6).alias("aborted_ratio"),
         F.round(1 - F.var_samp(F.col("l_extendedprice") - F.col("l_quantity") * 1000) / (F.var_samp("l_extendedprice") + 1e-5), 5).alias("explained"),
     )
 

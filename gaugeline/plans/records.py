@@ -418,3 +418,44 @@ def b10_candidate_dedupe(spark, d):
 def b12_step_counts(spark, d):
     c = sel.copies(table(spark, d, "conversations").select("conv_id", "turn"), 1 + F.col("turn") % 3)
     return c.select("conv_id", "turn", F.col("copy").cast("long"))
+
+
+@query(f"""WITH {TRIAGE}, q AS (SELECT *, CASE sample % 4 WHEN 0 THEN 'naive' WHEN 1 THEN best WHEN 2 THEN second ELSE 'mean' END AS req, CASE sample % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'mid' ELSE 'low' END AS tier, bucket = 'override' AS gold, sample % 2 = 0 AS said FROM tr),
+conf AS (SELECT count(*) FILTER (gold AND said) AS tp, count(*) FILTER (NOT gold AND said) AS fp, count(*) FILTER (gold AND NOT said) AS fn, count(*) FILTER (NOT gold AND NOT said) AS tn FROM q), shares AS (SELECT req, count(*) AS n FROM q GROUP BY 1)
+SELECT count(*) AS n, round(avg((req = best)::INT), 6) AS teacher_rate, round(avg((req = 'drift')::INT), 6) AS heuristic_rate, round(avg((req = best)::INT), 6) AS exact_rate, round(avg((req IN (best, second))::INT), 6) AS top2_rate, count(*) FILTER (tier <> 'low') AS sure, round(avg((req = best)::INT) FILTER (tier <> 'low'), 6) AS sure_exact_rate,
+ round(avg(improvement), 6) AS mean_regret, round(avg(improvement) FILTER (tier <> 'low'), 6) AS sure_mean_regret, round(avg(improvement_rel), 6) AS mean_delta, count(DISTINCT req) AS coverage, any_value(tp) AS tp, any_value(fp) AS fp, any_value(fn) AS fn, any_value(tn) AS tn,
+ round(coalesce(avg((req = best)::INT) FILTER (gold), 0), 6) AS override_exact_rate, round(avg(said::INT), 6) AS override_share, round(coalesce(any_value(tp / nullif(tp + fp, 0)), 0), 6) AS override_precision, round(coalesce(any_value(tp / nullif(tp + fn, 0)), 0), 6) AS override_recall,
+ round(coalesce(any_value(2 * tp / nullif(2 * tp + fp + fn, 0)), 0), 6) AS override_f1, round((coalesce(any_value(2 * tp / nullif(2 * tp + fp + fn, 0)), 0) + coalesce(any_value(2 * tn / nullif(2 * tn + fp + fn, 0)), 0)) / 2, 6) AS macro_f1, (SELECT round(max(n) / sum(n), 6) FROM shares) AS max_share FROM q, conf""")
+def a13_routing_probe(spark, d):
+    s = F.col("sample")
+    t = triaged(spark, d).select(
+        F.when(s % 4 == 0, "naive").when(s % 4 == 1, F.col("best")).when(s % 4 == 2, F.col("second")).otherwise("mean").alias("requested"), F.col("best").alias("teacher"),
+        F.lit("drift").alias("heuristic"), "best", "second", F.when(s % 3 == 0, "high").when(s % 3 == 1, "mid").otherwise("low").alias("tier"),
+        F.col("improvement").alias("regret"), F.col("improvement_rel").alias("delta"), (F.col("bucket") == "override").alias("gold_override"), (s % 2 == 0).alias("predicted_override"),
+    )
+    return audits.routing_summary(kept(t))
+
+
+@query("""WITH w AS (SELECT conv_id, sum(length(text)) AS t FROM conversations GROUP BY 1), s AS (SELECT min(length(text)) AS a, round(avg(length(text)), 6) AS b, max(length(text)) AS c FROM conversations), f AS (SELECT conv_id, turn FROM conversations ORDER BY length(text) DESC, conv_id, turn LIMIT 1)
+SELECT any_value(a) AS step_min, any_value(b) AS step_mean, any_value(c) AS step_max, (SELECT conv_id FROM f) AS slowest_step_of, (SELECT turn FROM f) AS slowest_step, min(t)::BIGINT AS whole_min, round(avg(t), 6) AS whole_mean, max(t)::BIGINT AS whole_max, (SELECT conv_id FROM w ORDER BY t DESC, conv_id LIMIT 1) AS slowest FROM w, s""")
+def a21_two_level_timing(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("seconds"))
+    return audits.two_level_timing(c, "conv_id", "turn", "seconds")
+
+
+@query("SELECT o_orderkey, o_custkey, c_name AS o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING'")
+def j4_right_wins(spark, d):
+    c = table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("o_orderpriority"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return sel.annotated(o.join(c.select("o_custkey"), "o_custkey", "left_semi"), c, "o_custkey").select("o_orderkey", "o_custkey", "o_orderpriority")
+
+
+_K11 = _HALVES.replace("least(o, greatest(1, 12 - k)) AS o FROM nk", "least(o, greatest((SELECT count(DISTINCT best) FROM tr WHERE bucket = 'override'), round_even(12 * 0.3, 0)::INT)) AS o FROM nk").replace(
+    "WHERE n <= k OR (k = 1 AND place = n // 2) OR (k > 1 AND place IN (SELECT round_even(i * (n - 1) / greatest(k - 1, 1)::DOUBLE, 0)::INT FROM range(0, 12) r(i) WHERE i < k))",
+    "WHERE n <= 12 - o OR (12 - o > 1 AND place IN (SELECT round_even(i * (n - 1) / greatest(11 - o, 1)::DOUBLE, 0)::INT FROM range(0, 12) r(i) WHERE i < 12 - o))",
+).replace("WHERE bucket <> 'ambiguous' AND sample NOT IN (SELECT sample FROM both_)", "WHERE sample NOT IN (SELECT sample FROM both_)")
+
+
+@query(f"WITH {_K11} SELECT sample FROM both_ UNION ALL SELECT sample FROM lf WHERE w <= 12 - (SELECT count(*) FROM both_)")
+def k11_keep_share(spark, d):
+    return sel.keep_share_selection(kept(triaged(spark, d)), DEFAULT, MODELS, 12, 0.7).select("sample")

@@ -309,6 +309,13 @@ def test_batch_divisors(spark):
 # --- sources ------------------------------------------------------------------------------------------------
 
 
+def test_upsert(spark):
+    from gaugeline.streaming import features
+
+    old, new = (spark.createDataFrame(r, "k long, v string") for r in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]))
+    assert sorted(map(tuple, features.upsert(new, old, "k").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
 def test_contracts(spark, tmp_path):
     with pytest.raises(ValueError):
         files.parse_phases("stage1, nope")
