@@ -361,10 +361,12 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     # Rows that repeat a document cut the same contexts again.
     contexts = materialize(contexts.dropDuplicates(["fp", "c"]).drop("key"), "repeat-contexts")
     free_shuffles(spark)
-    shards = contexts.groupBy("fp").agg(F.ceil(F.count("*") / SHARD_CONTEXTS).cast("int").alias("shards"))
+    # Anchors of several shards are few: contexts stay where they are, and only those are spread.
+    many = contexts.groupBy("fp").agg(F.ceil(F.count("*") / SHARD_CONTEXTS).cast("int").alias("many")).where("many > 1")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = (
-        contexts.join(shards, "fp").withColumn("salt", F.pmod("c", "shards").cast("int"))
+        contexts.join(many, "fp", "left").withColumn("shards", F.coalesce("many", F.lit(1)))
+        .withColumn("salt", F.pmod("c", "shards").cast("int"))
         .repartition(parts, "fp", "salt").sortWithinPartitions("fp", "salt", "c")
     )
     solved = dealt.select("fp", "salt", "shards", "c", "n", "context").mapInArrow(
