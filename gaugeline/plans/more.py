@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import arrays, scores
 from ..operators import selection as sel
 from ..operators import windows as win
 from ..operators.ordering import kept, numbered, quantiles
@@ -177,7 +177,7 @@ def m35_fit_to_horizon(spark, d):
 def m31_unique_ratio_direction(spark, d):
     net = F.max_by("value", "pos") - F.min_by("value", "pos")
     return series(spark, d, "user_id").groupBy("series_id").agg(
-        F.round(F.count_distinct(F.round("value", 6)) / F.count("*"), 6).alias("unique_ratio"), win.direction(net).alias("direction")
+        F.round(F.count_distinct(F.round("value", 6)) / F.count("*"), 6).alias("unique_ratio"), arrays.direction(net).alias("direction")
     )
 
 
