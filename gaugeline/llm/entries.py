@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, lsh_forest, mixing, ordinal, quality_rules, secret_scan, signature_tree, suffix_dedup, token_binary, token_counts
+from . import (
+    byte_bpe, divergence, lsh_forest, minhash, mixing, ordinal, phrases, quality_rules, secret_scan, signature_tree, suffix_dedup,
+    token_binary, token_counts,
+)
 from .common import configure, materialize
 
 
@@ -69,12 +72,29 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_tree.join_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_secret_scans, op3_token_binary, op4_token_counts, op5_mixing,
         op6_byte_bpe, op7_nearest, op8_suffix_dedup, op9_quality_classifier, op10_jaccard_join,
+        op11_minhash_dedup, op12_source_divergence, op13_phrase_mining,
     )
 }
 
-ORACLE_SQL = {"op5_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL = {
+    "op5_mixing": mixing.ORACLE_SQL,
+    "op12_source_divergence": divergence.ORACLE_SQL,
+    "op13_phrase_mining": phrases.ORACLE_SQL,
+}

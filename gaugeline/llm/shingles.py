@@ -57,16 +57,16 @@ def word_hashes(data: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Distinct shingles of a text, ascending: A-Z lowered, words cut at ASCII white space.
 
-    Fewer words than ``WIDTH`` make one shingle; no word makes none.
+    Fewer words than ``width`` make one shingle; no word makes none.
     """
     h = word_hashes(utf8(text).lower())
     n = len(h)
     if not n:
         return h
-    width = min(n, WIDTH)
+    width = min(n, width)
     out = h[: n - width + 1] + np.uint64(width)
     for i in range(1, width):
         out = (out ^ (out >> np.uint64(29))) * _A + h[i: n - width + 1 + i]
@@ -87,14 +87,14 @@ def set_check(shingles: np.ndarray) -> int:
     return _signed(xxhash.xxh3_64_intdigest(shingles.tobytes()))
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two ascending sets link."""
-    if not len(a) or not len(b) or PERCENT * max(len(a), len(b)) > 100 * min(len(a), len(b)):
+    if not len(a) or not len(b) or percent * max(len(a), len(b)) > 100 * min(len(a), len(b)):
         return False
     at = np.searchsorted(a, b)
     at[at == len(a)] = 0
     common = int((a[at] == b).sum())
-    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def prefix_length(n: int) -> int:

@@ -26,7 +26,7 @@ texts of fewer than five words have one shingle; equal sets link; the component'
 name is its smallest doc_id, itself included, nulls ignored; rows that repeat a
 doc_id each get a row.  Different sets whose 64-bit keys agree are told apart by a
 second hash and get new keys.  An empty table gives an empty table.  Further columns
-play no part in the join and may have any names but ``__id`` and ``__thash``.
+play no part in the join and may have any names.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, drop_tables, free_shuffles, map_texts, materialize
-from .shingles import PERCENT, linked, prefix_length, set_check, set_key, shingle_set
+from .shingles import PERCENT, WIDTH, linked, prefix_length, set_check, set_key, shingle_set
 
 #: Documents that hold a shingle from which it counts as frequent, in all and in a task's share.
 FREQUENT, FREQUENT_HERE = 64, 8
@@ -60,8 +60,6 @@ NEIGHBOURS = 32
 BITMAP_BITS = (256, 16384)
 #: Stands for a missing doc_id in joins.
 NO_ID = -(2**63)
-#: Working columns beside a document's own.
-_ID, _HASH = "__id", "__thash"
 
 
 def text_hash():
@@ -111,14 +109,14 @@ def bitmap(shingles: np.ndarray) -> bytes:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, thash (of the text), n (set size), skey, check, bitmap and prefix of every document."""
+    """doc_id, thash (of the text), n (set size), skey, check, bitmap, prefix and its count of rare shingles, which come first."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))  # KNOWN_FREQUENT at most
 
     def make():
         frequent = shared.value
 
         def apply(texts, doc_ids, hashes):
-            n, keys, checks, maps, out = [], [], [], [], []
+            n, keys, checks, maps, out, rare = [], [], [], [], [], []
             for text in texts:
                 s = shingle_set(text)
                 n.append(len(s))
@@ -131,13 +129,16 @@ def prefixes(docs: DataFrame) -> DataFrame:
                     at[at == len(frequent)] = 0
                     often = frequent[at] == s
                     s = np.concatenate([s[~often], s[often]])
+                    rare.append(min(want, len(s) - int(often.sum())))
+                else:
+                    rare.append(want)
                 out.append(s[:want].view(np.int64))
-            return [doc_ids, hashes, n, keys, checks, maps, out]
+            return [doc_ids, hashes, n, keys, checks, maps, out, rare]
 
         return apply
 
-    schema = "doc_id long, thash long, n int, skey long, check long, bitmap binary, prefix array<long>"
-    return map_texts(docs.withColumn("thash", text_hash()), ["text", "doc_id", "thash"], make, schema)
+    schema = "doc_id long, thash long, n int, skey long, check long, bitmap binary, prefix array<long>, rare int"
+    return map_texts(docs.select("text", "doc_id", text_hash().alias("thash")), ["text", "doc_id", "thash"], make, schema)
 
 
 # --- signature trees ----------------------------------------------------------------------
@@ -309,7 +310,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
 _ROW = ("own", "skey", "n", "comp", "bitmap", "earlier")
 
 
-def _search(rows: DataFrame, first: bool) -> DataFrame:
+def search(rows: DataFrame, first: bool) -> DataFrame:
     """Distinct candidate pairs of the buckets in ``rows`` (token, members, skey, n, comp, bitmap, earlier)."""
     if first:  # neighbours within a block are enough to merge families
         blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
@@ -349,7 +350,7 @@ def _search(rows: DataFrame, first: bool) -> DataFrame:
     return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The pairs whose exact sets link.  Sets are made anew for the pairs' documents."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("skey")).distinct()
     needed = reps.join(keys, "skey").select(
@@ -364,7 +365,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
         def apply(texts, keys, checks):
             found = []
             for t, k, check in zip(texts, keys, checks):
-                if k not in done and set_check(s := shingle_set(t)) == check:
+                if k not in done and set_check(s := shingle_set(t, width)) == check:
                     done.add(k)
                     found.append((k, s.tobytes()))
             return [[k for k, _ in found], [s for _, s in found]]
@@ -380,7 +381,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (batch.column(i).to_pylist() for i in (2, 3))
-            keep = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)]
+            keep = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     links = materialize(both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "jaccard-links")
@@ -432,6 +433,11 @@ def _stars(edges: DataFrame) -> bool:
 def join_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     made, chosen, by_set = _join(docs)
+    return named_documents(made, chosen, by_set)
+
+
+def named_documents(made: DataFrame, chosen: DataFrame, by_set: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document of ``made``."""
     by_set = by_set.join(chosen.select("comp", F.col("first.doc_id").alias("component")), "comp")
     return (
         made.select("doc_id", "n", "skey").join(by_set.select("skey", "component"), "skey", "left")
@@ -461,33 +467,27 @@ def rekeyed(made: DataFrame, reps: DataFrame) -> DataFrame:
 def _join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``prefixes`` of the documents; each component's first document; ``skey, comp`` of every set."""
     spark = docs.sparkSession
-    made = materialize(prefixes(docs), "jaccard-prefixes")
-    reps = materialize(representatives(made), "jaccard-reps")
-    while not reps.where("low <> high").isEmpty():  # different sets of one key
-        old = made, reps
-        made = materialize(rekeyed(made, reps), "jaccard-prefixes")
-        reps = materialize(representatives(made), "jaccard-reps")
-        drop_tables(spark, *old)
+    made, reps = keyed_sets(prefixes(docs), "jaccard-prefixes")
 
     # One row a distinct set and prefix shingle; only shingles of two sets make buckets.
-    # A missing doc_id takes part through a stand-in; equal sets without ids are one.
-    one = made.select("skey", "n", "prefix", F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "thash").join(
-        reps.select("skey", F.coalesce("rep", F.lit(NO_ID)).alias("rep"), "thash"), ["skey", "rep", "thash"]
-    )
-    exploded = one.select("skey", "n", F.explode("prefix").alias("token"))
+    one = distinct_sets(made, reps).select("skey", "n", "rare", F.posexplode("prefix").alias("at", "token"))
+    sign = F.sum(F.xxhash64("skey").cast("decimal(20,0)"))
+    of_token = {"least": F.min("skey"), "most": F.max("skey"), "members": F.count("*")}
+    # Frequent shingles: tasks add up their sets before the shuffle, so one of all documents is no task of its own.
+    often = one.where("at >= rare")
+    totals = often.groupBy("token").agg(*(c.alias(k) for k, c in of_token.items()), sign.cast("string").alias("sign"))
+    # The others, each in few sets, get the same figures in place.
     over = Window.partitionBy("token")
-    shared = (
-        exploded.withColumn("least", F.min("skey").over(over)).withColumn("most", F.max("skey").over(over))
-        .where("least < most")
-        .withColumn("members", F.count("*").over(over))
-        .withColumn("sign", F.sum(F.xxhash64("skey").cast("decimal(20,0)")).over(over).cast("string"))
-    )
+    rare = one.where("at < rare").select(
+        "token", "skey", "n", *(c.over(over).alias(k) for k, c in of_token.items()), sign.over(over).cast("string").alias("sign"),
+    )
+    shared = rare.unionByName(often.select("token", "skey", "n").join(totals, "token")).where("least < most")
     shared = materialize(shared.select("token", "skey", "n", "least", "members", "sign"), "jaccard-shared")
     free_shuffles(spark)
     # Buckets with the same members: the one of the least shingle stands for all.
     kept = shared.groupBy("least", "members", "sign").agg(F.min("token").alias("token")).select("token")
     maps = made.where("n > 0").select("skey", "bitmap").dropDuplicates(["skey"])
-    of_set = shared.select("token", "skey", "n", "members").distinct().join(kept, "token").groupBy("skey").agg(
+    of_set = shared.select("token", "skey", "n", "members").join(kept, "token").groupBy("skey").agg(
         F.first("n").alias("n"),
         F.array_sort(F.collect_list(F.struct("token", "members"))).alias("in"),  # no more than the set's prefix
     )
@@ -497,21 +497,48 @@ def _join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     drop_tables(spark, shared)
     free_shuffles(spark)
 
-    tested = materialize(_search(buckets.withColumn("comp", F.col("skey")), True), "jaccard-pairs")
-    links = _verify(tested, docs, reps)
+    tested = materialize(search(buckets.withColumn("comp", F.col("skey")), True), "jaccard-pairs")
+    links = verify(tested, docs, reps)
     comps = components(links)
     free_shuffles(spark)
     named = buckets.join(comps, "skey", "left").withColumn("comp", F.coalesce("comp", "skey"))
-    more = materialize(_search(named, False).join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+    more = materialize(search(named, False).join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
     drop_tables(spark, buckets, comps, tested)
-    further = _verify(more, docs, reps)
+    further = verify(more, docs, reps)
     comps = components(links.union(further))
     drop_tables(spark, more, links, further)
+    return (made, *first_documents(reps, comps))
+
+
+def keyed_sets(made: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``made`` (doc_id, thash, n, skey, check and more) and its ``representatives``, written; every key means one set."""
+    made = materialize(made, name)
+    reps = materialize(representatives(made), "jaccard-reps")
+    while not reps.where("low <> high").isEmpty():  # different sets of one key
+        old = made, reps
+        made = materialize(rekeyed(made, reps), name)
+        reps = materialize(representatives(made), "jaccard-reps")
+        drop_tables(made.sparkSession, *old)
+    return made, reps
+
+
+def distinct_sets(made: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows of ``made`` that stand for their sets, one a set.
+
+    A missing doc_id takes part through a stand-in; equal sets without ids are one.
+    """
+    keys = ["skey", "rep", "thash"]
+    found = made.withColumn("rep", F.coalesce("doc_id", F.lit(NO_ID))).join(
+        reps.select("skey", F.coalesce("rep", F.lit(NO_ID)).alias("rep"), "thash"), keys
+    )
+    return found.dropDuplicates(keys).select(*made.columns)  # dealt as the join dealt it
+
 
+def first_documents(reps: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each component's first document, and ``skey, comp`` of every set."""
     named = reps.join(comps, "skey", "left").withColumn("comp", F.coalesce("comp", "skey"))
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("doc_id"), "thash"))
-    chosen = named.groupBy("comp").agg(first.alias("first"))
-    return made, chosen, named.select("skey", "comp")
+    return named.groupBy("comp").agg(first.alias("first")), named.select("skey", "comp")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -525,8 +552,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = chosen.select("first.doc_id", "first.thash")
     alone = made.where("n = 0 and doc_id is not null").select("doc_id", "thash").distinct()
     named = first.union(alone).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("thash").alias("h"))
-    keyed = docs.withColumn(_ID, F.coalesce("doc_id", F.lit(NO_ID))).withColumn(_HASH, text_hash())
-    kept = keyed.join(named, (F.col(_ID) == F.col("id")) & (F.col(_HASH) == F.col("h")), "left_semi")
-    kept = kept.dropDuplicates([_ID, _HASH]).select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("doc"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), text_hash().alias("h"))
+    kept = keyed.join(named, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select("doc.*")
     wordless = F.col("text").isNull() | ~F.col("text").rlike(WORD)
     return kept.union(docs.where(F.col("doc_id").isNull() & wordless))
