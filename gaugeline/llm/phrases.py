@@ -2,10 +2,11 @@
 
 Frequent phrases of up to ``LONGEST`` words grow to the right as in PrefixSpan:
 
-1. A count-min sketch (fixed size, never underestimating) of all words and neighbouring
-   word pairs of a language tells which can't be frequent; no phrase holds one of these.
+1. Two count-min sketches (fixed size, never underestimating) tell what can't be frequent:
+   one of all words and neighbouring pairs of a language, one of the longer sequences that
+   hold possible pairs only.  No frequent phrase holds what one of them rules out.
 2. Projection: every occurrence of a possible word is a pointer with what may still
-   follow it, up to ``LONGEST`` words and the first impossible pair.  Tasks add up equal
+   follow it, up to ``LONGEST`` words and the first impossible sequence.  Tasks add up equal
    ones and the table is dealt by sorted ranges, so a prefix's pointers lie together, one
    task a prefix; a prefix that holds a third of all rows is cut over several ranges.
 3. Growth: the pointers of a prefix are grouped by the word that follows, supports are
@@ -42,7 +43,7 @@ from .shingles import _A, mixed
 LEAST, SHORTEST, LONGEST = 100, 2, 5
 #: Phrases of a language in the report.
 RANKS = 2000
-#: The sketch: cells of a row and rows.
+#: The sketches: cells of a row and rows.
 WIDTH, DEPTH = 1 << 23, 2
 #: Different projected sequences that a task holds before it passes them on, and rows of a chunk of growth.
 HELD, CHUNK = 400_000, 100_000
@@ -88,28 +89,57 @@ class Words:
         self.pairs = mixed(mixed(self.words[:-1] * _A) + self.words[1:])
 
 
+    def linked(self, bits: np.ndarray, width: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word: whether it may be frequent, and whether with the next one."""
+        single, pair = possible(bits, self.words, width, depth), np.zeros(len(self.words), bool)
+        at = np.flatnonzero(self.near & single[:-1] & single[1:])
+        pair[at[possible(bits, self.pairs[at], width, depth)]] = True
+        return single, pair
+
+    def longer(self, pair: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Starts and hashes of the sequences of 3 to ``LONGEST`` words all of whose pairs may be frequent."""
+        at = np.flatnonzero(pair)
+        h = self.pairs[at]
+        for k in range(2, LONGEST):
+            on = pair[at + k - 1]
+            at, h = at[on], h[on]
+            h = mixed(mixed(h * _A) + self.words[at + k])
+            yield at, h
+
+
 def _by_lang(langs: list[str], texts: list[str | None]):
     groups = defaultdict(list)
     for lang, text in zip(langs, texts):
         groups[lang].append(text)
     for lang, own in groups.items():
-        yield Words(lang, own), lang
+        w = Words(lang, own)
+        if len(w.words):
+            yield w, lang
 
 
-def _count():
-    def apply(langs, texts, sketch):
-        for w, _ in _by_lang(langs, texts):
-            sketch.add(w.words)
-            sketch.add(w.pairs[w.near])
+def project(rows: DataFrame, least: int = LEAST, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
+    """``lang, key, n``: how often each sequence of words follows a pointer; ``key`` null counts all words."""
+    context = rows.sparkSession.sparkContext
 
-    return apply
+    def count_pairs():
+        def apply(langs, texts, sketch):
+            for w, _ in _by_lang(langs, texts):
+                sketch.add(w.words)
+                sketch.add(w.pairs[w.near])
 
+        return apply
 
-def project(rows: DataFrame, least: int = LEAST, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
-    """``lang, key, n``: how often each sequence of words follows a pointer; ``key`` null counts all words."""
-    bits = rows.sparkSession.sparkContext.broadcast(  # depth * width / 8 bytes
-        reached(rows, _count, width, depth, least, "phrases-sketch")
-    )
+    short = context.broadcast(reached(rows, count_pairs, width, depth, least, "phrases-sketch"))  # depth * width / 8 bytes
+
+    def count_longer():
+        def apply(langs, texts, sketch):
+            for w, _ in _by_lang(langs, texts):
+                for _, hashes in w.longer(w.linked(short.value, width, depth)[1]):
+                    sketch.add(hashes)
+
+        return apply
+
+    long_ = context.broadcast(reached(rows, count_longer, width, depth, least, "phrases-sketch"))  # the same
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, totals = defaultdict(Counter), Counter()
@@ -124,16 +154,13 @@ def project(rows: DataFrame, least: int = LEAST, width: int = WIDTH, depth: int
         for batch in batches:
             for w, lang in _by_lang(*(c.to_pylist() for c in batch.columns)):
                 totals[lang] += len(w.words)
-                single = possible(bits.value, w.words, width, depth)
-                linked = np.zeros(len(w.words), bool)
-                at = np.flatnonzero(w.near & single[:-1] & single[1:]) if len(single) else np.empty(0, np.int64)
-                linked[at[possible(bits.value, w.pairs[at], width, depth)]] = True
+                single, pair = w.linked(short.value, width, depth)
+                more = pair.astype(np.int64)  # words that follow, at most
+                for k, (at, hashes) in enumerate(w.longer(pair), 2):
+                    at = at[possible(long_.value, hashes, width, depth)]
+                    more[at[more[at] == k - 1]] = k
                 first = np.flatnonzero(single)
-                last, on = first.copy(), np.ones(len(first), bool)
-                for _ in range(LONGEST - 1):
-                    on &= linked[last]
-                    last += on
-                data = w.data
+                data, last = w.data, first + more[first]
                 held[lang].update([data[s:e] for s, e in zip(w.starts[first].tolist(), w.ends[last].tolist())])
             if sum(map(len, held.values())) > HELD:
                 yield from emit()
