@@ -47,7 +47,7 @@ def quantiles(rows: DataFrame, value: str, qs: tuple[float, ...], by: tuple[str,
     finite = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).alias("_v"))
     ranked = numbered(finite, "_v", by=by, name="_p")
     sizes = finite.groupBy(*by).agg(F.count("*").alias("_n"))
-    j = ranked.join(F.broadcast(sizes), list(by)) if by else ranked.crossJoin(F.broadcast(sizes))  # a row a group
+    j = ranked.join(sizes, list(by)) if by else ranked.crossJoin(F.broadcast(sizes))  # without groups one row
     out = []
     for i, q in enumerate(qs):
         spot = F.greatest(F.ceil(F.col("_n") * q) - 1, F.lit(0)) if nearest else (F.col("_n") - 1) * F.lit(float(q))

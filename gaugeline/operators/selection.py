@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..functions.scores import ratio
 from .ordering import kept, numbered, quantiles
+from .scans import affine_suffix
 
 
 def rank_models(errors: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def bucket_best(rows: DataFrame, order: str, score: str | list, k: int, by: tupl
     scores = [score] if isinstance(score, str) else score
     r = numbered(rows, order, by=by)
     sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
-    r = r.join(F.broadcast(sizes), list(by)) if by else r.crossJoin(F.broadcast(sizes))  # a row a group
+    r = r.join(sizes, list(by)) if by else r.crossJoin(F.broadcast(sizes))  # without groups one row
     bucket = F.floor(((F.col("place") + 1) * k - 1) / F.col("_n"))
     r = r.withColumn("bucket", F.when(F.col("_n") <= k, F.col("place")).otherwise(bucket))
     w = Window.partitionBy(*by, "bucket").orderBy(*map(F.desc, scores), order)
@@ -227,15 +228,35 @@ def running_sum(rows: DataFrame, order: str, value: str, name: str) -> DataFrame
     sums = block.groupBy("_block").agg(F.sum(value).alias("_sum"))  # a row for 65,536 places
     base = sums.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inner = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return block.join(F.broadcast(base), "_block").withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("_block", "_base")
+    return block.join(base, "_block").withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("_block", "_base")
+
+
+def kept_by_ratio(rows: DataFrame, kind: str, key: str, priority: Column, share: float) -> DataFrame:
+    """``rows`` without the keeps that stand in the way of a ``share`` of local edits.
+
+    Keeps may number floor(local * (1 - share) / share) less the rows of other kinds.  Of
+    the keeps by ``key``, those of ``priority`` come first (the first ones if they are too many); the
+    rest is an even, floored spread of the others.  Nothing changes where a kind is
+    missing, the share is met, or the keeps are few enough.
+    """
+    n = rows.agg(*(F.count(F.when(F.col(kind) == k, 1)).alias(k) for k in ("local_refine", "validated_keep")), F.count("*").alias("all")).first()
+    local, keeps = n["local_refine"], n["validated_keep"]
+    if share <= 0 or not local or not keeps or local / n["all"] >= share:
+        return rows
+    target = max(int(local * (1.0 - share) / share) - (n["all"] - local - keeps), 0)
+    if keeps <= target:
+        return rows
+    own = F.coalesce(F.col(kind) == "validated_keep", F.lit(False))
+    return rows.where(~own).unionByName(downsampled(rows.where(own), key, priority, target))
 
 
 def downsampled(rows: DataFrame, key: str, priority: Column, target: int) -> DataFrame:
-    """``target`` rows: those of ``priority`` first, and of the others an even, floored spread (all if fewer)."""
-    first, rest = rows.where(priority), rows.where(~F.coalesce(priority, F.lit(False)))
+    """``target`` rows: the first ones of ``priority`` by key, then of the others an even, floored spread (all if fewer)."""
+    priority = F.coalesce(priority, F.lit(False))
+    first, rest = rows.where(priority), rows.where(~priority)
     n = first.count()
     if n >= target:
-        return evenly_spaced(first, key, target, "floor", "first").drop("place")
+        return first.orderBy(key).limit(max(target, 0))
     return first.unionByName(evenly_spaced(rest, key, target - n, "floor", "first").drop("place"))
 
 
@@ -273,7 +294,7 @@ def spread_per_group(rows: DataFrame, group: str, key: str, k: int) -> DataFrame
     """Evenly spaced ``k`` rows of each group (the middle one for one)."""
     placed = numbered(rows, key, by=(group,))
     sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    r = placed.join(F.broadcast(sizes), group).where((F.col("_n") <= k) | F.array_contains(even_places(k, F.col("_n")), F.col("place")))
+    r = placed.join(sizes, group).where((F.col("_n") <= k) | F.array_contains(even_places(k, F.col("_n")), F.col("place")))
     return r.drop("_n")
 
 
@@ -293,7 +314,7 @@ def balance_classes(rows: DataFrame, group: str, key: str) -> DataFrame:
     r = numbered(rows, key, by=(group,), name="_at")
     sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
     most = sizes.agg(F.max("_n").alias("_most"))  # one row
-    r = r.join(F.broadcast(sizes), group).crossJoin(F.broadcast(most))
+    r = r.join(sizes, group).crossJoin(F.broadcast(most))
     times = F.floor(F.col("_most") / F.col("_n")) + F.when(F.col("_at") < F.col("_most") % F.col("_n"), 1).otherwise(0)
     return copies(r, times).drop("_at", "_n", "_most")
 
@@ -308,18 +329,16 @@ def group_advantages(steps: DataFrame) -> DataFrame:
 
 
 def gae(steps: DataFrame, gamma: float = 0.9, lam: float = 0.8) -> DataFrame:
-    """Generalised advantage of every step.
+    """Generalised advantage of every step: adv(t) = delta(t) + gamma * lam * adv(t + 1), as a scan of affine maps.
 
-    adv(t) is the sum of (gamma lam)^k delta(t + k): a fold over the trajectory from its end,
-    whose state is one number, at every step over what follows it.  Work grows with the
-    square of a trajectory's steps, which are few; nothing is concatenated.
+    ``trajectory, step, reward, value``.  A trajectory of any length is many tasks; work is linear in its steps.
     """
-    w = Window.partitionBy("trajectory").orderBy("step")
-    delta = F.col("reward") + gamma * F.coalesce(F.lead("value").over(w), F.lit(0.0)) - F.col("value")
-    rows = steps.withColumn("delta", delta)
-    ahead = F.collect_list("delta").over(w.rowsBetween(0, Window.unboundedFollowing))
-    folded = F.aggregate(F.reverse(ahead), F.lit(0.0), lambda acc, d: d + gamma * lam * acc)
-    return rows.select("trajectory", "step", F.round(folded, 6).alias("advantage"))
+    rows = numbered(steps, "step", by=("trajectory",), name="pos").withColumnRenamed("trajectory", "series_id")
+    following = rows.select("series_id", (F.col("pos") - 1).alias("pos"), F.col("value").alias("_next"))
+    rows = rows.join(following, ["series_id", "pos"], "left")
+    delta = F.col("reward") + gamma * F.coalesce("_next", F.lit(0.0)) - F.col("value")
+    maps = rows.select("series_id", "pos", "step", F.lit(gamma * lam).alias("a"), delta.alias("b"))
+    return affine_suffix(maps, "a", "b", "y").select(F.col("series_id").alias("trajectory"), "step", F.round("y", 6).alias("advantage"))
 
 
 def spanning_trajectories(steps: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..functions.scores import ratio
 from .ordering import kept, quantiles
+from .scans import BUCKET, bucketed, inside, last_known, running_total
 
 
 def along(*more: str):
@@ -80,27 +81,32 @@ def entropy_of(counts: list[Column]) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
 
 
-def quality_measures(xs: str) -> dict[str, Column]:
-    """Largest share of 25 equal bins, share near the extremes, constant flag and share of missing or infinite values."""
-    all_ = F.col(xs)
-    ok = F.filter(all_, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    low, high, n = F.array_min(ok), F.array_max(ok), F.size(ok).cast("double")
-    bins = F.array_sort(F.transform(ok, lambda x: F.least(F.floor((x - low) / (high - low) * 25), F.lit(24)).cast("int")))
+def with_quality_measures(rows: DataFrame, xs: str) -> DataFrame:
+    """Adds the largest share of 25 equal bins, the share near the extremes, a constant flag and the share of missing or infinite values.
+
+    What every element is compared with (extremes, margin) is a column of the stage before,
+    so no lambda computes it again for each element.
+    """
+    finite = F.filter(F.col(xs), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    rows = rows.withColumn("_ok", finite)
+    rows = rows.withColumns({"_low": F.array_min("_ok"), "_high": F.array_max("_ok"), "_n": F.size("_ok").cast("double")})
+    low, high, n = F.col("_low"), F.col("_high"), F.col("_n")
+    rows = rows.withColumns({"_margin": F.greatest((high - low) * 0.01, F.lit(1e-3)), "_width": high - low, "_lost": F.size(xs) - F.size("_ok")})
+    bins = F.array_sort(F.transform("_ok", lambda x: F.least(F.floor((x - low) / F.col("_width") * 25), F.lit(24)).cast("int")))
     start = F.struct(F.lit(-1).alias("bin"), F.lit(0).alias("run"), F.lit(0).alias("most"))
 
     def longest(s: Column, b: Column) -> Column:
         run = F.when(s["bin"] == b, s["run"] + 1).otherwise(1)
         return F.struct(b.alias("bin"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
 
-    margin = F.greatest((high - low) * 0.01, F.lit(1e-3))
-    near = F.size(F.filter(ok, lambda x: (x <= low + margin) | (x >= high - margin)))
-    lost = F.size(all_) - F.size(ok)
-    return {
-        "bin_share": F.when(lost > 0, 0.0).when(high == low, 1.0).otherwise(F.aggregate(bins, start, longest)["most"] / n),
+    near = F.size(F.filter("_ok", lambda x: (x <= F.col("_floor")) | (x >= F.col("_ceiling"))))
+    rows = rows.withColumns({"_floor": low + F.col("_margin"), "_ceiling": high - F.col("_margin"), "_deviation": arrays.deviation(F.col("_ok"))})
+    return rows.withColumns({
+        "bin_share": F.when(F.col("_lost") > 0, 0.0).when(high == low, 1.0).otherwise(F.aggregate(bins, start, longest)["most"] / n),
         "saturation": F.when(n == 0, 0.0).otherwise(near / n),
-        "constant": F.coalesce(arrays.deviation(ok) < 1e-3, F.lit(True)),
-        "dropout": lost / F.size(all_),
-    }
+        "constant": F.coalesce(F.col("_deviation") < 1e-3, F.lit(True)),
+        "dropout": F.col("_lost") / F.size(xs),
+    }).drop("_ok", "_low", "_high", "_n", "_margin", "_width", "_lost", "_floor", "_ceiling", "_deviation")
 
 
 def quality_issue(bin_share: Column, saturation: Column, constant: Column, dropout: Column) -> Column:
@@ -143,11 +149,11 @@ def measured_windows(series: DataFrame, history: int, horizon: int, bucket: int
     full = (F.size("history") == history) & (F.size("future") == horizon)
     rows = rows.where(full & (F.floor(F.col("start") / bucket) == F.col("bucket")))
     last = F.col("last")
-    return rows.select(
+    rows = rows.select(
         "series_id", "start", F.round(entropy_of([F.col(f"kind{k}") for k in range(6)]), 6).alias("entropy"),
-        F.round(F.aggregate("future", F.lit(0.0), lambda acc, y: acc + (y - last) * (y - last)) / horizon, 8).alias("error"),
-        *(c.alias(k) for k, c in quality_measures("history").items()),
+        F.round(F.aggregate("future", F.lit(0.0), lambda acc, y: acc + (y - last) * (y - last)) / horizon, 8).alias("error"), "history",
     )
+    return with_quality_measures(rows, "history").drop("history")
 
 
 def tertiles(rows: DataFrame, by: str, *columns: str) -> DataFrame:
@@ -162,80 +168,89 @@ def tertiles(rows: DataFrame, by: str, *columns: str) -> DataFrame:
 def curriculum(series: DataFrame, history: int = 24, horizon: int = 8) -> DataFrame:
     """Windows with entropy, naive error, their tertile bands and the difficulty stage."""
     w = kept(measured_windows(series, history, horizon))
-    w = w.join(F.broadcast(tertiles(w, "series_id", "error", "entropy")), "series_id")  # a row a series
+    w = w.join(tertiles(w, "series_id", "error", "entropy"), "series_id")
     bands = {c: banded(F.col(c), F.col(f"{c}_1"), F.col(f"{c}_2")) for c in ("error", "entropy")}
     w = w.withColumns({f"{c}_band": b for c, b in bands.items()})
     flag = quality_issue(F.col("bin_share"), F.col("saturation"), F.col("constant"), F.col("dropout"))
     return w.withColumn("stage", stage(F.col("error_band"), F.col("entropy_band"))).withColumn("quality_issue", flag)
 
 
-def features(series: DataFrame) -> DataFrame:
-    """One row of SQL-able features for each series (frames and aggregates only)."""
-    w = along()
-    everything = Window.partitionBy("series_id")
-    s = (
-        series.withColumn("median", F.median("value").over(everything))
-        .withColumn("mean", F.avg("value").over(everything))
-        .withColumn("n", F.count("*").over(everything))
-        .withColumn("d1", F.col("value") - F.lag("value").over(w))
-        .withColumn("d2", F.col("value") - 2 * F.lag("value", 1).over(w) + F.lag("value", 2).over(w))
-        .withColumn("back1", F.lag("value", 1).over(w)).withColumn("back24", F.lag("value", 24).over(w))
-        .withColumn("low", F.min("value").over(everything)).withColumn("high", F.max("value").over(everything))
-        .withColumn("cusum", F.sum(F.col("value") - F.col("median")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def features(series: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """One row of features for each series; a series of any length is many tasks.
+
+    Medians and quantiles come from ranges of values, neighbours from buckets of positions
+    with a halo of 24 places, the running sum from state carried between buckets.
+    """
+    s = kept(series.select("series_id", F.col("pos").cast("long").alias("pos"), "value"))
+    q = quantiles(s, "value", (0.025, 0.25, 0.5, 0.75, 0.975), ("series_id",))
+    base = s.groupBy("series_id").agg(
+        F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n_points"),
+        F.stddev_pop("value").alias("sd"), F.min_by("value", "pos").alias("start"), F.max_by("value", "pos").alias("end"),
     )
+    base = kept(base.join(q.withColumnRenamed("q2", "median"), "series_id"))
+    away = s.join(base.select("series_id", "median"), "series_id").select("series_id", "pos", F.abs(F.col("value") - F.col("median")).alias("away"), (F.col("value") - F.col("median")).alias("value"))
+    mad = quantiles(away, "away", (0.5,), ("series_id",)).select("series_id", F.col("q0").alias("mad"))
+    sums = running_total(bucketed(away, bucket=bucket), "value", "cusum").groupBy("series_id").agg(F.max(F.abs("cusum")).alias("cusum_max"))
+
+    w = inside()
+    steps = bucketed(s, back=24, bucket=bucket).select(
+        "series_id", "value", "own", (F.col("value") - F.lag("value").over(w)).alias("d1"),
+        (F.col("value") - 2 * F.lag("value", 1).over(w) + F.lag("value", 2).over(w)).alias("d2"),
+        F.lag("value", 1).over(w).alias("back1"), F.lag("value", 24).over(w).alias("back24"),
+    ).where("own")
+    steps = steps.join(base.select("series_id", "mean", "low", "high"), "series_id")
     dev = F.col("value") - F.col("mean")
     margin = F.greatest((F.col("high") - F.col("low")) * 0.01, F.lit(1e-3))
     near = (F.col("value") <= F.col("low") + margin) | (F.col("value") >= F.col("high") - margin)
-    quart = lambda q: F.percentile("value", F.lit(q))
-    r = lambda c, name: F.round(c, 5).alias(name)
-    return s.groupBy("series_id").agg(
-        F.count("*").alias("n_points"), r(F.first("median"), "median"),
-        r(F.median(F.abs(F.col("value") - F.col("median"))), "mad"),
-        r(ratio(F.sum(dev * (F.col("back1") - F.col("mean"))), F.sum(dev * dev)), "acf1"),
-        r(F.coalesce(ratio(F.sum(dev * (F.col("back24") - F.col("mean"))), F.sum(dev * dev)), F.lit(0.0)), "acf24"),
-        r(F.max(F.abs("cusum")), "cusum_max"),
-        r(ratio(quart(0.975) - quart(0.025), quart(0.75) - quart(0.25)), "quantile_kurtosis"),
-        r(F.max(F.abs("d1")), "max_slope"), r(F.max(F.abs("d2")), "max_second_diff"),
-        r(F.avg(near.cast("double")), "saturation"), r(F.stddev_pop("value"), "sd"),
-        r(F.min_by("value", "pos"), "start"), r(F.max_by("value", "pos"), "end"),
-        r(F.max_by("value", "pos") - F.min_by("value", "pos"), "net_change"), r(F.avg(F.abs("d1")), "mean_abs_step"),
-        r(F.regr_slope("value", "back1"), "ar1_slope"), r(F.regr_intercept("value", "back1"), "ar1_intercept"),
+    found = steps.groupBy("series_id").agg(
+        ratio(F.sum(dev * (F.col("back1") - F.col("mean"))), F.sum(dev * dev)).alias("acf1"),
+        F.coalesce(ratio(F.sum(dev * (F.col("back24") - F.col("mean"))), F.sum(dev * dev)), F.lit(0.0)).alias("acf24"),
+        F.max(F.abs("d1")).alias("max_slope"), F.max(F.abs("d2")).alias("max_second_diff"),
+        F.avg(near.cast("double")).alias("saturation"), F.avg(F.abs("d1")).alias("mean_abs_step"),
+        F.regr_slope("value", "back1").alias("ar1_slope"), F.regr_intercept("value", "back1").alias("ar1_intercept"),
     )
+    r = lambda c, name: F.round(c, 5).alias(name)
+    plain = ("median", "mad", "acf1", "acf24", "cusum_max", "max_slope", "max_second_diff", "saturation", "sd", "start", "end", "mean_abs_step", "ar1_slope", "ar1_intercept")
+    return base.join(found, "series_id").join(mad, "series_id").join(sums, "series_id").select(
+        "series_id", "n_points", *(r(c, c) for c in plain),
+        r(ratio(F.col("q4") - F.col("q0"), F.col("q3") - F.col("q1")), "quantile_kurtosis"), r(F.col("end") - F.col("start"), "net_change"),
+    )
 
 
-def turning_points(series: DataFrame) -> DataFrame:
+def turning_points(series: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Points not below, or not above, two neighbours on either side.
 
     Before the first point stand the third and the second, after the last one the last
     but one and the last itself; series of fewer than five points have none.
     """
-    w = along()
+    w = inside()
     back = lambda k: F.lag("value", k).over(w)
     ahead = lambda k: F.lead("value", k).over(w)
-    s = series.withColumns({
-        "n": F.count("*").over(Window.partitionBy("series_id")),
+    s = bucketed(series, 2, 2, bucket).withColumns({
         # left of place 0: places 2 and 1; of place 1: places 1 and 0
         "l2": F.when(F.col("pos") == 0, ahead(2)).when(F.col("pos") == 1, F.col("value")).otherwise(back(2)),
         "l1": F.when(F.col("pos") == 0, ahead(1)).otherwise(back(1)),
         # right of the last place: the one before and itself; of the last but one: the last and itself
         "r1": F.coalesce(ahead(1), back(1)),
         "r2": F.when(ahead(2).isNotNull(), ahead(2)).otherwise(F.col("value")),
-    })
+    }).where("own").drop("own", "bucket")
     x, others = F.col("value"), [F.col(c) for c in ("l2", "l1", "r1", "r2")]
     every = lambda test: test(others[0]) & test(others[1]) & test(others[2]) & test(others[3])
     s = s.withColumn("peak", every(lambda o: x >= o)).withColumn("valley", every(lambda o: x <= o))
-    return s.where("n >= 5").drop("n", "l2", "l1", "r1", "r2")
+    long_enough = series.groupBy("series_id").agg(F.count("*").alias("n")).where("n >= 5").select("series_id")
+    return s.join(long_enough, "series_id", "left_semi").drop("l2", "l1", "r1", "r2")
 
 
-def longest_monotone_run(series: DataFrame) -> DataFrame:
-    """Longest run of steps in one direction over the points; a still step extends a run."""
-    w = along()
-    signed = series.withColumn("s", F.signum(F.col("value") - F.lag("value").over(w))).where("s is not null")
-    signed = signed.withColumn(
-        "prev", F.coalesce(F.last(F.when(F.col("s") != 0, F.col("s")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    )
-    breaks = F.when((F.col("s") == 0) | (F.col("s") == F.col("prev")), 0).otherwise(1)
-    runs = signed.withColumn("run", F.sum(breaks).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def longest_monotone_run(series: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Longest run of steps in one direction over the points; a still step extends a run.
+
+    The last direction and the number of runs before are carried from bucket to bucket.
+    """
+    steps = bucketed(series, back=1, bucket=bucket).withColumn("s", F.signum(F.col("value") - F.lag("value").over(inside())))
+    steps = steps.where("own and s is not null").drop("own")
+    steps = last_known(steps, F.when(F.col("s") != 0, F.col("s")), "prev")
+    breaks = F.when((F.col("s") == 0) | (F.col("s") == F.coalesce("prev", F.lit(0.0))), 0).otherwise(1)
+    runs = running_total(steps.withColumn("break", breaks), "break", "run")
     sizes = runs.groupBy("series_id", "run").agg(F.count("*").alias("steps"))
     longest = sizes.groupBy("series_id").agg(F.max("steps").alias("longest"))
     return longest.join(series.groupBy("series_id").agg(F.count("*").alias("n")), "series_id").select(
@@ -243,17 +258,16 @@ def longest_monotone_run(series: DataFrame) -> DataFrame:
     )
 
 
-def moving_average(series: DataFrame, kernel: int) -> DataFrame:
+def moving_average(series: DataFrame, kernel: int, bucket: int = BUCKET) -> DataFrame:
     """Trend by a centred mean with replicated ends, and what is left (season)."""
     half = kernel // 2
-    everything = Window.partitionBy("series_id")
-    w = along().rowsBetween(-half, half)
-    first, last = F.min_by("value", "pos").over(everything), F.max_by("value", "pos").over(everything)
-    n = F.count("*").over(everything)
+    ends = series.groupBy("series_id").agg(F.min_by("value", "pos").alias("_first"), F.max_by("value", "pos").alias("_last"), F.count("*").alias("_n"))
+    near = bucketed(series, half, half, bucket).withColumn("_sum", F.sum("value").over(inside().rowsBetween(-half, half))).where("own")
     before = F.greatest(F.lit(half) - F.col("pos"), F.lit(0))
-    after = F.greatest(F.col("pos") + half - (n - 1), F.lit(0))
-    trend = (F.sum("value").over(w) + before * first + after * last) / kernel
-    return series.withColumn("trend", trend).withColumn("season", F.col("value") - F.col("trend"))
+    after = F.greatest(F.col("pos") + half - (F.col("_n") - 1), F.lit(0))
+    trend = (F.col("_sum") + before * F.col("_first") + after * F.col("_last")) / kernel
+    out = near.join(ends, "series_id").withColumn("trend", trend).withColumn("season", F.col("value") - F.col("trend"))
+    return out.select(*series.columns, "trend", "season")
 
 
 #: Where stamps are made from nothing: 2000-01-01, in microseconds.

@@ -17,19 +17,24 @@ from .rewards import EDITS, N, PAIRS, pairs, r
 # --- renderers ---------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {USERS}, l AS (SELECT series_id, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S') || ' a=' || printf('%.4f', value) || ' OT=' || printf('%.4f', value / 2), chr(10) ORDER BY pos) AS h FROM s WHERE pos < 4 GROUP BY 1)
-SELECT series_id, '[Task] Multivariate time-series forecasting.' || chr(10) || 'Target Column: OT' || chr(10) || 'Observed Covariates: a' || chr(10) || 'Lookback Window: 4' || chr(10) || 'Forecast Horizon: 2' || chr(10) || 'Requirements:' || chr(10) || '1) Look.' || chr(10) || '2) Say.' || chr(10) || 'Historical Data:' || chr(10) || h AS prompt FROM l""")
+def _blocks(spark, d, size):
+    """Whole user series, ``size`` rows to a block."""
+    s = series(spark, d, "user_id").withColumn("date", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return s.withColumn("key", F.struct("series_id", F.floor(F.col("pos") / size).alias("block")))
+
+
+@query(f"""WITH {USERS}, l AS (SELECT series_id, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S') || ' a=' || printf('%.4f', value) || ' OT=' || printf('%.4f', value / 2), chr(10) ORDER BY pos) AS h, pos // 4 AS block FROM s GROUP BY series_id, pos // 4)
+SELECT series_id, block, '[Task] Multivariate time-series forecasting.' || chr(10) || 'Target Column: OT' || chr(10) || 'Observed Covariates: a' || chr(10) || 'Lookback Window: 4' || chr(10) || 'Forecast Horizon: 2' || chr(10) || 'Requirements:' || chr(10) || '1) Look.' || chr(10) || '2) Say.' || chr(10) || 'Historical Data:' || chr(10) || h AS prompt FROM l""")
 def t27_prompt(spark, d):
-    s = series(spark, d, "user_id").where("pos < 4").withColumns({"a": F.col("value"), "OT": F.col("value") / 2, "date": F.date_format("ts", "yyyy-MM-dd HH:mm:ss")})
-    h = render.named_rows(s, "series_id", "pos", "date", ["a", "OT"])
+    s = _blocks(spark, d, 4).withColumns({"a": F.col("value"), "OT": F.col("value") / 2})
+    h = render.named_rows(s, "key", "pos", "date", ["a", "OT"])
     p = render.task_prompt("Multivariate time-series forecasting.", F.lit("OT"), F.array(F.lit("a")), F.lit(4), F.lit(2), ["Look.", "Say."], F.col("text"))
-    return h.select("series_id", p.alias("prompt"))
+    return h.select("key.series_id", "key.block", p.alias("prompt"))
 
 
-@query(f"""WITH {USERS} SELECT series_id, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || printf('%.4f', value), chr(10) ORDER BY pos) AS truth FROM s WHERE pos < 5 GROUP BY 1""")
+@query(f"""WITH {USERS} SELECT series_id, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || printf('%.4f', value), chr(10) ORDER BY pos) AS truth, pos // 5 AS block FROM s GROUP BY series_id, pos // 5""")
 def t28_truth(spark, d):
-    s = series(spark, d, "user_id").where("pos < 5").withColumn("date", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-    return render.value_rows(s, "series_id", "pos", "date", "value", "truth")
+    return render.value_rows(_blocks(spark, d, 5), "key", "pos", "date", "value", "truth").select("key.series_id", "key.block", "truth")
 
 
 _WRITTEN = "list_transform(x, lambda v: printf('%.4f', v))"

@@ -253,7 +253,7 @@ def w3_rank_by_score(spark, d):
 
 
 @query(f"""WITH {ERRORS}, k AS (SELECT *, CASE WHEN sample % 3 = 0 OR model = 'naive' THEN NULL ELSE mse END AS e, -mae AS score FROM errors)
-SELECT sample, coalesce(arg_min(model, (e, model)) FILTER (e IS NOT NULL), arg_max(model, score)) AS teacher FROM k GROUP BY 1""")
+SELECT sample, coalesce(arg_min(model, (e, model)) FILTER (e IS NOT NULL), arg_min(model, (-score, list_position(['naive', 'seasonal', 'mean', 'drift'], model)))) AS teacher FROM k GROUP BY 1""")
 def w4_reference_teacher(spark, d):
     e = model_errors(spark, d).withColumns({
         "error": F.when((F.col("sample") % 3 == 0) | (F.col("model") == "naive"), float("nan")).otherwise(F.col("mse")), "score": -F.col("mae"),
@@ -386,10 +386,44 @@ def k18_shuffled_head(spark, d):
 # --- rebalancing ------------------------------------------------------------------------------------------------
 
 
-@query("""WITH p AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0), o AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place, count(*) OVER () AS n FROM customer WHERE c_acctbal >= 0), k AS (SELECT 40 - count(*) AS k FROM p)
-SELECT c_custkey FROM p UNION ALL SELECT c_custkey FROM o, k WHERE n <= k OR place IN (SELECT floor(i * (n - 1) / (k - 1))::INT FROM range(40) r(i) WHERE i < k)""")
-def b3_b4_downsample(spark, d):
-    return sel.downsampled(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey", F.col("c_acctbal") < 0, 40).select("c_custkey")
+#: Kinds of the customers: a segment of local edits, one of other rows, keeps; {0} is the share, {1} the least balance of no priority.
+_KINDS = """k AS (SELECT c_custkey, c_acctbal < {1} AS first, CASE c_mktsegment WHEN 'BUILDING' THEN 'local_refine' WHEN 'MACHINERY' THEN 'other' ELSE 'validated_keep' END AS kind FROM customer),
+t AS (SELECT greatest(floor(count(*) FILTER (kind = 'local_refine') * (1.0::DOUBLE - {0}::DOUBLE) / {0}::DOUBLE) - count(*) FILTER (kind = 'other'), 0)::INT AS t, count(*) FILTER (kind = 'validated_keep') AS n FROM k),
+p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i FROM k WHERE kind = 'validated_keep' AND first), m AS (SELECT t, greatest(t - (SELECT count(*) FROM p), 0) AS r, n FROM t),
+o AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place, count(*) OVER () AS n FROM k WHERE kind = 'validated_keep' AND NOT first)
+SELECT c_custkey FROM k WHERE kind <> 'validated_keep' UNION ALL SELECT c_custkey FROM k, t WHERE kind = 'validated_keep' AND n <= t UNION ALL SELECT c_custkey FROM p, m WHERE n > t AND i <= t
+UNION ALL SELECT c_custkey FROM o, m WHERE m.n > t AND r > 0 AND (o.n <= r OR place IN (SELECT CASE WHEN r = 1 THEN 0 ELSE floor(i * (o.n - 1) / (r - 1)) END FROM range(100000) g(i) WHERE i < r))"""
+
+
+def _kinds(spark, d):
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "local_refine").when(F.col("c_mktsegment") == "MACHINERY", "other").otherwise("validated_keep")
+    return table(spark, d, "customer").select("c_custkey", "c_acctbal", kind.alias("kind"))
+
+
+@query("WITH " + _KINDS.format(0.3, 0))
+def b3_downsample_keeps(spark, d):
+    return sel.kept_by_ratio(_kinds(spark, d), "kind", "c_custkey", F.col("c_acctbal") < 0, 0.3).select("c_custkey")
+
+
+@query("WITH " + _KINDS.format(0.4, 6000))
+def b3_more_priority_than_room(spark, d):
+    return sel.kept_by_ratio(_kinds(spark, d), "kind", "c_custkey", F.col("c_acctbal") < 6000, 0.4).select("c_custkey")
+
+
+#: The refinement rows alone count; rows of other stages all stay.
+_TURNS = """q AS (SELECT conv_id * 1000 + turn AS row_id, role = 'assistant' AS own, CASE length(text) % 4 WHEN 0 THEN 'local_refine' ELSE 'validated_keep' END AS kind, length(text) % 8 = 1 AS first FROM conversations), k AS (SELECT * FROM q WHERE own),
+t AS (SELECT floor(count(*) FILTER (kind = 'local_refine') * (1.0::DOUBLE - 0.4::DOUBLE) / 0.4::DOUBLE)::INT AS t, count(*) FILTER (kind = 'validated_keep') AS n, count(*) AS a FROM k), p AS (SELECT row_id, row_number() OVER (ORDER BY row_id) AS i FROM k WHERE kind = 'validated_keep' AND first), m AS (SELECT *, greatest(t - (SELECT count(*) FROM p), 0) AS r FROM t),
+o AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS place, count(*) OVER () AS n FROM k WHERE kind = 'validated_keep' AND NOT first)"""
+
+
+@query(f"WITH {_TURNS} SELECT row_id FROM q WHERE NOT own OR kind = 'local_refine' UNION ALL SELECT row_id FROM p, m WHERE n > t AND t < a AND i <= t UNION ALL SELECT row_id FROM k, m WHERE kind = 'validated_keep' AND NOT (n > t AND t < a) UNION ALL SELECT row_id FROM o, m WHERE m.n > t AND t < a AND r > 0 AND (o.n <= r OR place IN (SELECT CASE WHEN r = 1 THEN 0 ELSE floor(i * (o.n - 1) / (r - 1)) END FROM range(100000) g(i) WHERE i < r))")
+def b4_downsample_refinement(spark, d):
+    size = F.length("text")
+    q = table(spark, d, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), (F.col("role") == "assistant").alias("own"),
+        F.when(size % 4 == 0, "local_refine").otherwise("validated_keep").alias("kind"), (size % 8 == 1).alias("first"),
+    )
+    return sel.kept_by_ratio(q.where("own"), "kind", "row_id", F.col("first"), 0.4).unionByName(q.where("not own")).select("row_id")
 
 
 @query("SELECT conv_id, turn, 1 + CASE WHEN role = 'assistant' AND turn > 3 THEN 2 ELSE 0 END + CASE WHEN role = 'assistant' AND length(text) % 2 = 0 THEN 1 ELSE 0 END AS times FROM conversations")

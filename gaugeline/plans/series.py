@@ -72,14 +72,14 @@ def m17_sanitized(spark, d):
 # --- time stamps --------------------------------------------------------------------------------------------
 
 
-STAMPS = f"""{USERS}, k AS (SELECT series_id, pos, CASE WHEN series_id % 4 = 0 OR (series_id % 4 = 1 AND pos % 3 = 1) OR (series_id % 4 = 2 AND pos = 5) THEN epoch_us(date_trunc('hour', ts)) + pos * 60000000 END AS t FROM s WHERE pos < 20)"""
+STAMPS = f"""{USERS}, k AS (SELECT series_id, pos, CASE WHEN series_id % 4 = 0 OR (series_id % 4 = 1 AND pos % 3 = 1) OR (series_id % 4 = 2 AND pos = 5) THEN epoch_us(date_trunc('hour', ts)) + pos * 60000000 END AS t FROM s)"""
 
 
 @query(f"""WITH {STAMPS}, v AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY pos) AS i, lead(t) OVER (PARTITION BY series_id ORDER BY pos) - t AS gap FROM k WHERE t IS NOT NULL), fq AS (SELECT series_id, gap FROM (SELECT series_id, gap, row_number() OVER (PARTITION BY series_id ORDER BY count(*) DESC, min(pos)) AS n FROM v WHERE gap > 0 GROUP BY series_id, gap) WHERE n = 1),
 g AS (SELECT series_id, count(t) AS c, count(*) AS n, min(pos) FILTER (t IS NOT NULL) AS p0, arg_min(t, pos) FILTER (t IS NOT NULL) AS t0 FROM k GROUP BY 1)
 SELECT series_id, pos, CASE WHEN c = n THEN t WHEN c = 0 THEN 946684800000000 + pos * 3600000000 WHEN c > 1 THEN t0 + (pos - p0) * coalesce(gap, 3600000000) ELSE t0 + (pos - p0) * 3600000000 END AS at_us FROM k JOIN g USING (series_id) LEFT JOIN fq USING (series_id)""")
 def d2_repaired_stamps(spark, d):
-    s = series(spark, d, "user_id").where("pos < 20")
+    s = series(spark, d, "user_id")
     i, p = F.col("series_id") % 4, F.col("pos")
     t = F.unix_micros(F.date_trunc("hour", F.col("ts").cast("timestamp"))) + p * 60000000
     k = s.select("series_id", p.cast("long").alias("pos"), F.when((i == 0) | ((i == 1) & (p % 3 == 1)) | ((i == 2) & (p == 5)), t).alias("t"))
@@ -97,7 +97,7 @@ def d4_valid_stamps(spark, d):
 
 @query(f"WITH {STAMPS} SELECT series_id, arg_max({{'t': t}}, pos).t AS last_us FROM k GROUP BY 1")
 def d5_last_stamp(spark, d):
-    s = series(spark, d, "user_id").where("pos < 20")
+    s = series(spark, d, "user_id")
     i, p = F.col("series_id") % 4, F.col("pos")
     t = F.unix_micros(F.date_trunc("hour", F.col("ts").cast("timestamp"))) + p * 60000000
     k = s.select("series_id", "pos", F.when((i == 0) | ((i == 1) & (p % 3 == 1)) | ((i == 2) & (p == 5)), t).alias("t"))

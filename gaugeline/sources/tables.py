@@ -13,11 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str, by: str = "event_type") -> DataFrame:
-    """``series_id, pos, ts, value``: events of one type or user, in time order."""
-    order = Window.partitionBy(by).orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
-        F.col(by).alias("series_id"), (F.row_number().over(order) - 1).alias("pos"), "ts", "value"
-    )
+    """``series_id, pos, ts, value``: events of one type or user, in time order; places come from ranges, so one type is many tasks."""
+    rows = table(spark, sf_dir, "events").select(F.col(by).alias("series_id"), "ts", "event_id", "value")
+    return numbered(rows, "ts", "event_id", by=("series_id",), name="pos").select("series_id", "pos", "ts", "value")
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
