@@ -13,7 +13,12 @@ TOOLS = (
     "extract_basic_statistics", "extract_within_channel_dynamics", "extract_forecast_residuals",
     "extract_data_quality", "extract_event_summary",
 )
-NEEDS = {"arima": (0, 1, 2), "patchtst": (0, 1, 4), "itransformer": (0, 1, 4), "chronos2": (0, 1, 2, 3)}
+NEEDS = {
+    "arima": ("extract_basic_statistics", "extract_within_channel_dynamics", "extract_forecast_residuals"),
+    "patchtst": ("extract_basic_statistics", "extract_within_channel_dynamics", "extract_event_summary"),
+    "itransformer": ("extract_basic_statistics", "extract_within_channel_dynamics", "extract_event_summary"),
+    "chronos2": ("extract_basic_statistics", "extract_within_channel_dynamics", "extract_forecast_residuals", "extract_data_quality"),
+}
 KEEP = "keep_default"
 
 
@@ -64,12 +69,12 @@ def plan(f: Column) -> Column:
         rival = F.filter(ranked(p["scores"]), lambda r: r["model"] != p["primary"])[0]
         gap = F.coalesce(*(F.when(p["primary"] == m, p["scores"][m]) for m in MODELS)) + rival["loss"]
 
-        def needed(i: int) -> Column:
-            asks = lambda model: model.isin(*(m for m in MODELS if i in NEEDS[m]))
-            want = (F.lit(i == 0) | asks(p["primary"])) | ((gap <= 0.75) & asks(rival["model"]))
-            return want | (stressed if i == 3 else F.lit(False)) | (eventful if i == 4 else F.lit(False))
+        def needed(tool: str) -> Column:
+            asks = lambda model: model.isin(*(m for m in MODELS if tool in NEEDS[m]))
+            extra = {"extract_basic_statistics": F.lit(True), "extract_data_quality": stressed, "extract_event_summary": eventful}
+            return asks(p["primary"]) | ((gap <= 0.75) & asks(rival["model"])) | extra.get(tool, F.lit(False))
 
-        tools = F.array_compact(F.array(*(F.when(needed(i), F.lit(t)) for i, t in enumerate(TOOLS))))
+        tools = F.array_compact(F.array(*(F.when(needed(t), F.lit(t)) for t in TOOLS)))
         return F.struct(p["primary"].alias("primary"), rival["model"].alias("runner_up"), gap.alias("gap"), tools.alias("tools"))
 
     scores = model_scores(f)
@@ -201,7 +206,7 @@ def first_finite(*columns: Column) -> Column:
 
 def support_signals(tools: Column, edits: Column) -> Column:
     """Array of ``struct(edit, signals)``: what speaks for each edit, given the tools that ran."""
-    residuals, dynamics = (F.array_contains(tools, TOOLS[i]) for i in (2, 1))
+    residuals, dynamics = (F.array_contains(tools, t) for t in ("extract_forecast_residuals", "extract_within_channel_dynamics"))
     said = {
         "isolated_spike_smoothing": ((residuals, "residual_spike_signal"), (dynamics, "irregular_local_spike")),
         "local_level_adjust": ((residuals, "residual_level_shift"),),
@@ -241,15 +246,6 @@ def can_still_pass(successes: list[Column], seen: Column, total: Column, thresho
     return F.least(*((s + left) / F.greatest(total, F.lit(1)) for s in successes)) >= threshold
 
 
-def tool_gate(stage: Column, name: Column, seen_before: Column, predicted: Column, attempts: Column, budget: int) -> Column:
-    """Why a tool call isn't allowed, null where it is."""
-    routing = name.isin("predict_time_series", "route_time_series")
-    return (
-        F.when(predicted, "call_after_prediction").when(routing & (stage == "diagnostic"), "routing_in_diagnostic_turn")
-        .when(~routing & seen_before, "duplicate_feature_tool").when(routing & (attempts >= budget), "retry_budget_spent")
-    )
-
-
 def top_gains(gains: Column, n: int = 2) -> Column:
     """Names of the largest gains over the default, smaller own gap first among equals.
 

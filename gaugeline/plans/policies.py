@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import policy
+from ..operators import trajectories
+from ..operators.ordering import kept, numbered
 from ..sources.tables import table
 from .queries import query
 
@@ -130,7 +132,7 @@ SELECT event_id, edit, coalesce(nullif(concat_ws('|', CASE WHEN res THEN CASE ed
  CASE WHEN dyn AND edit = 'isolated_spike_smoothing' THEN 'irregular_local_spike' WHEN dyn AND edit = 'local_slope_adjust' THEN 'local_slope_shift' END), ''), 'none') AS signals FROM x""")
 def c26_support_signals(spark, d):
     e = F.col("event_id")
-    tools = F.array_compact(F.array(F.when(e % 2 == 0, policy.TOOLS[2]), F.when(e % 5 == 0, policy.TOOLS[1])))
+    tools = F.array_compact(F.array(F.when(e % 2 == 0, 'extract_forecast_residuals'), F.when(e % 5 == 0, 'extract_within_channel_dynamics')))
     edits = F.when(e % 3 == 0, F.array(F.lit("isolated_spike_smoothing"), F.lit("local_level_adjust"))).when(e % 3 == 1, F.array(F.lit("local_slope_adjust"))).otherwise(F.array().cast("array<string>"))
     s = table(spark, d, "events").select("event_id", F.explode(policy.support_signals(tools, edits)).alias("s"))
     return s.select("event_id", "s.edit", F.array_join("s.signals", "|").alias("signals"))
@@ -145,24 +147,64 @@ def c28_c29_scores(spark, d):
     )
 
 
-@query("""WITH k AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'extract_data_quality' WHEN 1 THEN 'route_time_series' ELSE 'extract_event_summary' END AS name, role FROM conversations),
-w AS (SELECT *, row_number() OVER (PARTITION BY conv_id, name ORDER BY turn) > 1 AS again, coalesce(max((name = 'route_time_series' AND role = 'assistant')::INT) OVER p, 0) AS predicted, coalesce(sum((name = 'route_time_series')::INT) OVER p, 0) AS tries FROM k WINDOW p AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT conv_id, turn, CASE WHEN predicted = 1 THEN 'call_after_prediction' WHEN name LIKE 'route%' AND turn < 2 THEN 'routing_in_diagnostic_turn' WHEN name NOT LIKE 'route%' AND again THEN 'duplicate_feature_tool' WHEN name LIKE 'route%' AND tries >= 2 THEN 'retry_budget_spent' END AS refused FROM w""")
+#: Calls of the users' events, ten to a trajectory and two to a turn, in the words that both engines share.
+_CALLS = {
+    "name": "CASE event_id * 7 % 11 WHEN 0 THEN 'extract_basic_statistics' WHEN 1 THEN 'extract_within_channel_dynamics' WHEN 2 THEN 'extract_forecast_residuals' WHEN 3 THEN 'extract_data_quality' WHEN 4 THEN 'extract_event_summary' WHEN 5 THEN 'predict_time_series' WHEN 6 THEN 'sum_up' ELSE 'route_time_series' END",
+    "decision": "CASE event_id % 4 WHEN 0 THEN 'keep_default' WHEN 1 THEN ' Override' WHEN 2 THEN 'override' END",
+    "model": "CASE event_id % 5 WHEN 0 THEN 'ARIMA ' WHEN 1 THEN 'chronos2' WHEN 2 THEN 'nobody' WHEN 3 THEN '' END",
+    "works": "event_id % 3 = 0", "stage": "CASE event_id % 13 WHEN 0 THEN ' Routing' WHEN 1 THEN 'diagnostic' WHEN 2 THEN '' END",
+}
+_REQUIRED = "CASE user_id % 4 WHEN 1 THEN array('extract_basic_statistics') WHEN 2 THEN array('extract_event_summary', 'extract_data_quality', ' ') WHEN 3 THEN CASE WHEN user_id % 8 = 3 THEN array('x') ELSE array(' ') END END"
+BUDGET, STEPS_SET = 2, 5
+_TOOL_LIST = "['extract_basic_statistics', 'extract_within_channel_dynamics', 'extract_forecast_residuals', 'extract_data_quality', 'extract_event_summary']"
+#: The same rules as a loop over calls: one step a call, each verdict changing the state that the next one meets.
+FOLD = f"""RECURSIVE e0 AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS p FROM events),
+e1 AS (SELECT user_id * 1000 + p // 10 AS tid, p % 10 AS pos, p % 10 // 2 AS turn, {", ".join(f"{v} AS {k}" for k, v in _CALLS.items())}, {_REQUIRED.replace("array(", "[").replace(")", "]")} AS req FROM e0),
+e2 AS (SELECT *, lower(trim(coalesce(stage, ''))) AS given, lower(trim(coalesce(decision, ''))) AS dec, CASE WHEN trim(coalesce(model, '')) = '' THEN '__missing__' ELSE lower(trim(model)) END AS mdl, name IN ('predict_time_series', 'route_time_series') AS rt, list_contains({_TOOL_LIST}, name) AS kn,
+ list_filter(coalesce(req, []::VARCHAR[]), lambda t: trim(t) <> '') AS ask FROM e1),
+e AS (SELECT *, CASE WHEN len(list_intersect(ask, {_TOOL_LIST})) > 0 THEN list_filter({_TOOL_LIST}, lambda t: list_contains(ask, t)) ELSE ask END AS need FROM e2),
+z AS (SELECT tid, -1 AS pos, -1 AS turn, '' AS by_rule, '' AS stg, NULL::VARCHAR AS refused, []::VARCHAR[] AS seq, 0 AS tries, false AS hit, 0 AS illegal, '' AS asked, '' AS err, 0 AS step, '' AS pst FROM e WHERE pos = 0
+ UNION ALL SELECT tid, pos, turn, by_rule, stg, v, CASE WHEN v IS NULL AND NOT rt THEN list_append(seq, name) ELSE seq END, tries + (v IS NULL AND rt)::INT, hit OR (v IS NULL AND rt AND works), illegal + (hit)::INT,
+  CASE WHEN v IN ('invalid_decision') THEN '' WHEN rt AND (v IS NULL OR v IN ('invalid_model', 'retry_budget_spent')) THEN want ELSE asked END,
+  CASE WHEN v IN ('invalid_decision', 'invalid_model') THEN v WHEN rt AND v IS NULL THEN CASE WHEN works THEN '' ELSE 'prediction_failed' END ELSE err END,
+  CASE WHEN v IS NULL AND rt AND works THEN turn + 1 ELSE step END, CASE WHEN v IS NULL AND rt AND works THEN stg ELSE pst END
+  FROM (SELECT *, CASE WHEN hit THEN 'call_after_prediction' WHEN rt THEN CASE WHEN stg = 'diagnostic' THEN 'routing_in_diagnostic_turn' WHEN len(seq) = 0 THEN 'no_completed_diagnostic_tool' WHEN name = 'route_time_series' AND dec NOT IN ('keep_default', 'override') THEN 'invalid_decision'
+    WHEN want NOT IN ('arima', 'patchtst', 'itransformer', 'chronos2') THEN 'invalid_model' WHEN tries >= {BUDGET} THEN 'retry_budget_spent' END
+    WHEN stg = 'routing' THEN 'feature_tool_in_routing_turn' WHEN list_contains(seq, name) THEN 'duplicate_feature_tool' WHEN NOT kn THEN 'unknown_tool' END AS v
+   FROM (SELECT *, CASE WHEN given <> '' THEN given ELSE by_rule END AS stg, CASE WHEN name = 'predict_time_series' OR dec = 'override' THEN mdl WHEN dec = 'keep_default' THEN 'patchtst' ELSE '' END AS want
+    FROM (SELECT z.tid, e.pos, e.turn, CASE WHEN e.turn = z.turn THEN z.by_rule WHEN hit THEN 'refinement' WHEN len(need) = 0 THEN CASE WHEN len(seq) > 0 THEN 'routing' ELSE 'diagnostic' END WHEN len(list_filter(need, lambda t: NOT list_contains(seq, t))) > 0 THEN 'diagnostic' ELSE 'routing' END AS by_rule,
+     given, name, dec, mdl, rt, kn, works, seq, tries, hit, illegal, asked, err, step, pst FROM z JOIN e ON e.tid = z.tid AND e.pos = z.pos + 1))))"""
+
+
+def tool_calls(spark, d):
+    """Calls and required tools of the users' events."""
+    e = table(spark, d, "events").select("event_id", "user_id", "ts")
+    n = numbered(e, "ts", "event_id", by=("user_id",), name="p")
+    part, p = F.floor(F.col("p") / 10), F.col("p") % 10
+    calls = n.select(
+        (F.col("user_id") * 1000 + part).alias("series_id"), "user_id", p.alias("pos"), F.floor(p / 2).cast("long").alias("turn"), *(F.expr(v).alias(k) for k, v in _CALLS.items())
+    )
+    calls = kept(calls)
+    required = calls.groupBy("series_id").agg(F.first("user_id").alias("user_id")).select("series_id", F.expr(_REQUIRED).alias("required"))
+    return calls.drop("user_id"), required
+
+
+@query(f"WITH {FOLD} SELECT tid AS series_id, pos, stg AS stage, refused, tries AS attempts FROM z WHERE pos >= 0")
 def c32_tool_gate(spark, d):
-    from pyspark.sql import Window
-
-    t = F.col("turn")
-    name = F.when(t % 3 == 0, "extract_data_quality").when(t % 3 == 1, "route_time_series").otherwise("extract_event_summary")
-    k = table(spark, d, "conversations").select("conv_id", "turn", "role", name.alias("name"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    routed = F.col("name") == "route_time_series"
-    seen = F.row_number().over(Window.partitionBy("conv_id", "name").orderBy("turn")) > 1
-    predicted = F.coalesce(F.max(routed & (F.col("role") == "assistant")).over(past), F.lit(False))
-    tries = F.coalesce(F.sum(routed.cast("int")).over(past), F.lit(0))
-    k = k.withColumns({"seen": seen, "predicted": predicted, "tries": tries})
-    stage = F.when(t < 2, "diagnostic").otherwise("routing")
-    return k.select("conv_id", "turn", policy.tool_gate(stage, F.col("name"), F.col("seen"), F.col("predicted"), F.col("tries"), 2).alias("refused"))
+    calls, required = tool_calls(spark, d)
+    return trajectories.gated(calls, required, BUDGET, "patchtst").select("series_id", "pos", "stage", "refused", "attempts")
+
+
+@query(f"""WITH {FOLD}, f AS (SELECT z.*, e.name, e.need, ask, list_filter({_TOOL_LIST}, lambda t: list_contains(seq, t)) AS ex FROM z JOIN e USING (tid, pos)),
+l AS (SELECT tid, turn, arg_max({{'a': tries, 'h': hit, 'i': illegal, 'q': asked, 'r': err, 's': step, 't': pst, 'u': seq, 'x': ex, 'n': CASE WHEN len(ask) = 0 THEN ex ELSE need END}}, pos) AS s, arg_min(stg, pos) AS stage, string_agg(name, '->' ORDER BY pos) AS calls, count(*) AS c, count(refused) AS rc FROM f GROUP BY 1, 2),
+m AS (SELECT *, len(list_filter(s.n, lambda t: NOT list_contains(s.x, t))) AS miss FROM l)
+SELECT tid AS series_id, turn, stage AS turn_stage, calls AS tool_call_sequence, c AS tool_call_count, rc AS refused_calls, s.a AS attempts, s.h::INT AS prediction_calls, s.i AS illegal_calls, s.q AS requested_model, s.r AS tool_error, s.s AS prediction_step, s.t AS prediction_stage,
+ CASE WHEN len(s.u) = 0 THEN 'none' ELSE array_to_string(s.u, '->') END AS feature_tool_signature, len(s.u) AS feature_tool_count, CASE WHEN len(s.n) = 0 THEN 'none' ELSE array_to_string(s.n, '->') END AS required_signature, len(s.n) AS required_count, miss AS missing,
+ CASE WHEN len(s.x) = 0 THEN 'none' ELSE array_to_string(s.x, '|') END AS analysis_signature, round(CASE WHEN len(s.n) = 0 THEN 0.0 ELSE (len(s.n) - miss) / len(s.n) END, 6) AS coverage, {max(STEPS_SET, BUDGET + 2)} AS step_budget,
+ CASE WHEN s.r <> '' THEN 'tool_error' WHEN miss > 0 THEN 'policy_gap' ELSE 'ok' END AS debug_bucket, CASE WHEN s.r <> '' THEN 'prediction_tool_error' WHEN miss > 0 THEN 'missing_required_diagnostics' ELSE 'ok' END AS debug_reason, CASE WHEN s.r <> '' THEN 100 WHEN miss > 0 THEN 30 ELSE 0 END AS debug_severity FROM m""")
+def c30_turn_log(spark, d):
+    calls, required = tool_calls(spark, d)
+    return trajectories.turn_log(calls, required, BUDGET, "patchtst", STEPS_SET).withColumn("coverage", F.round("coverage", 6))
 
 
 @query("""SELECT event_id, array_to_string(list_transform(list_sort([{'a': -(event_id % 5), 'b': event_id % 3, 'c': 'level'}, {'a': -(event_id % 4), 'b': event_id % 2, 'c': 'mean'}, {'a': -(user_id % 3), 'b': 1, 'c': 'trend'}, {'a': -2, 'b': 2, 'c': 'step'}])[:2], lambda s: s.c), ',') AS shown FROM events""")
