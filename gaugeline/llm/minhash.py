@@ -8,8 +8,8 @@ their Jaccard similarity, however few shingles there are.  ``BANDS`` bands of ``
 are bucket keys.  A pair of similarity 0.8 misses all of them with a chance of
 (1 - 0.8**5)**64 = 1e-11; pairs above, with less.
 
-In a bucket the set of the least key is the hub, and all others are proposed with it
-alone: a star, so candidates grow with a bucket's size and not its square.  Stars are
+In a bucket the set of the least key is the hub; every set is proposed with one hub, that
+of most of its buckets: stars, so there are no more candidates than sets.  Stars are
 confirmed on the full sets, and what links is merged.  What stars leave open are pairs of
 different components that share a bucket: buckets that still hold several components are
 searched by the signature trees' exact bounds, in blocks, so that no link of a bucket is lost.
@@ -84,9 +84,12 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def stars(buckets: DataFrame) -> DataFrame:
-    """``a, b`` (a < b): each set of a bucket (token, skey) with the bucket's least, once."""
+    """``a, b`` (a < b): each set b of a bucket (token, skey) with one of its buckets' least sets, the one it shares most buckets with."""
     hubs = buckets.groupBy("token").agg(F.min("skey").alias("a"), F.max("skey").alias("most")).where("a < most")
-    return buckets.join(hubs.select("token", "a"), "token").where("skey <> a").select("a", F.col("skey").alias("b")).distinct()
+    met = buckets.join(hubs.select("token", "a"), "token").where("skey <> a").select("skey", "a")
+    counted = met.repartition("skey").groupBy("skey", "a").agg(F.count("*").alias("n"))
+    best = counted.groupBy("skey").agg(F.min(F.struct((-F.col("n")).alias("n"), "a")).alias("hub"))
+    return best.select("hub.a", F.col("skey").alias("b"))
 
 
 def open_buckets(buckets: DataFrame, comps: DataFrame, maps: DataFrame) -> DataFrame:
