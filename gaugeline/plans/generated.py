@@ -10,6 +10,7 @@ from ..operators import windows as win
 from ..sources import files
 from ..sources.tables import series, table
 from ..streaming import features as streams
+from ..streaming import state
 from .policies import PLAN, features
 from .queries import CURRICULUM, TYPES, USERS, query
 from .rewards import EDITS, N, PAIRS, pairs, r
@@ -244,6 +245,62 @@ def stream_event_windows(spark, d):
     return streams.run_available(streams.windowed(events), files.scratch(spark, "stream"))
 
 
+def _arriving(spark, rows, order, pieces, name):
+    """A folder of ``rows`` in several files."""
+    path = files.scratch(spark, name)
+    rows.repartitionByRange(pieces, order).write.parquet(path)
+    return path
+
+
+@query(f"""WITH {TYPES}, w AS (SELECT series_id, pos - 23 AS start, sum(value) OVER h AS hs, count(*) OVER h AS hn, sum(value) OVER f AS fs, count(*) OVER f AS fn, first_value(value) OVER h AS first_value FROM s
+ WINDOW h AS (PARTITION BY series_id ORDER BY pos ROWS 23 PRECEDING), f AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING))
+SELECT series_id, start, round(hs, 3) AS history_sum, round(fs, 3) AS future_sum, first_value FROM w WHERE hn = 24 AND fn = 8""")
+def stream_count_windows(spark, d):
+    """W1 as a stream: rows arrive in four spans of time, every run goes on from the checkpoint, and one stops between a batch's writing and its commit."""
+    e = table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    edges = [float("-inf"), *e.select(F.unix_micros("ts").alias("us")).approxQuantile("us", [0.25, 0.5, 0.75], 0.01), float("inf")]
+    end = e.agg((F.max("ts") + F.expr("INTERVAL 2 HOURS")).alias("ts")).select(F.lit(None).cast("string").alias("event_type"), "ts", F.lit(-1).cast("long").alias("event_id"), F.lit(0.0).alias("value"))
+    path, out = files.scratch(spark, "arriving"), files.scratch(spark, "windows")
+    log = state.BatchLog(f"{out}/table")
+    us = F.unix_micros("ts")
+    spans = [e.where((us >= low) & (us < high)) for low, high in zip(edges, edges[1:])]
+    for i, rows in enumerate([*spans, end]):  # after the last row one of a later time lets the watermark pass them all
+        rows.write.mode("append").parquet(path)
+        for stop in (True, False) if i == 2 else (False,):
+            arriving = spark.readStream.schema(e.schema).parquet(path)
+            state.run(state.count_windows(arriving, "event_type", 24, 8, "1 hour"), f"{out}/checkpoint", log.store, 0 if stop else None)
+    w = log.read(spark, state.WINDOWS)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 3)
+    return w.select("series_id", "start", total("history").alias("history_sum"), total("future").alias("future_sum"), win.at("history", F.lit(0)).alias("first_value"))
+
+
+@query("""SELECT coalesce(b.k, a.k) AS k, coalesce(b.v, a.v) AS v FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal > 0) a
+FULL JOIN (SELECT c_custkey AS k, -c_acctbal AS v FROM customer WHERE c_mktsegment = 'BUILDING') b ON a.k = b.k""")
+def j7_stream_upsert(spark, d):
+    """J7 as a stream: what is there, then overriding rows in several batches, one of them stored twice, and a compaction between."""
+    c, schema = table(spark, d, "customer"), "k long, v double, seq long"
+    old = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit(0).cast("long").alias("seq"))
+    new = c.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k"), (-F.col("c_acctbal")).alias("v"), F.lit(1).cast("long").alias("seq"))
+    path, out = _arriving(spark, new, "k", 3, "overriding"), files.scratch(spark, "upserts")
+    log = state.UpsertLog(f"{out}/table", "k", "seq")
+    log.store(old, -1)
+    for stop in (1, None):
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        state.run(arriving, f"{out}/checkpoint", log.store, stop)
+        log.compact(spark, schema)
+    return log.current(spark, schema).select("k", "v")
+
+
+@query("SELECT c_custkey AS k, c_acctbal > 0 AS reused FROM customer")
+def j6_stream_resume(spark, d):
+    """J6 as a resumed run: keys that a stored batch has are reused, the others are still to do."""
+    c, schema = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit(0).cast("long").alias("seq")), "k long, v double, seq long"
+    log = state.UpsertLog(f"{files.scratch(spark, 'resumed')}/table", "k", "seq")
+    log.store(c.where("v > 0"), 0)
+    pending = log.pending(spark, c, schema)
+    return pending.select("k", F.lit(False).alias("reused")).unionByName(c.join(pending.select("k"), "k", "left_anti").select("k", F.lit(True).alias("reused")))
+
+
 @query(f"""WITH {TYPES}, l AS (SELECT series_id, arg_max(value, pos) AS v FROM s GROUP BY 1), g AS (SELECT series_id, max(value) - min(value) AS spread FROM s GROUP BY 1) SELECT series_id, step, v AS value, round(spread, 6) AS spread FROM l JOIN g USING (series_id), range(1, 4) r(step)""")
 def udf_registry(spark, d):
     udfs.register(spark)
