@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import policy, text
-from ..operators import audits
+from ..operators import audits, validation
 from ..operators import selection as sel
 from ..operators.ordering import kept
 from ..sources.tables import model_errors, series, table
@@ -198,6 +198,70 @@ def _validation(spark, d, e, v):
     )
 
 
+#: Every column that a validation row reads, in the words that both engines share.
+_READ = {
+    "score": "CASE WHEN event_id % 9 = 0 THEN -1.0D WHEN event_id % 10 <> 0 THEN value / 500 END", "trainer_seq_score": "CASE WHEN event_id % 7 <> 0 THEN value / 400 END",
+    "pred_len": "CASE event_id % 6 WHEN 0 THEN 94 WHEN 1 THEN 95 WHEN 2 THEN NULL ELSE 96 END", "expected_len": "96", "orig_mse": "CASE WHEN event_id % 17 <> 0 THEN value END", "orig_mae": "value / 2",
+    "norm_mse": "CASE WHEN event_id % 5 <> 0 THEN value / 100 END", "norm_mae": "value / 200", "has_answer_tag": "event_id % 8 > 0", "has_answer_close": "event_id % 12 > 0", "was_clipped": "event_id % 21 = 0",
+    "format_failure_reason": "CASE event_id % 11 WHEN 0 THEN 'missing_answer_close_tag' WHEN 1 THEN 'length_mismatch:2!=3' WHEN 2 THEN 'invalid_answer_shape:lines=2' WHEN 3 THEN 'ok' ELSE '' END",
+    "final_answer_reject_reason": "CASE event_id % 13 WHEN 0 THEN 'missing_answer_block' WHEN 1 THEN 'invalid_answer_shape:x' WHEN 2 THEN 'length_mismatch' WHEN 3 THEN NULL ELSE '' END",
+    "workflow_status": "CASE WHEN event_id % 15 = 0 THEN 'rejected' WHEN event_id % 15 = 1 THEN '' ELSE 'accepted' END", "workflow_violation_reason": "CASE WHEN event_id % 2 = 0 THEN 'no Diagnostic turn' END",
+    "prediction_tool_error": "CASE WHEN event_id % 19 = 0 THEN 'boom' ELSE '' END", "prediction_call_count": "CASE WHEN event_id % 14 <> 0 THEN CAST(event_id % 3 AS DOUBLE) END",
+    "illegal_turn3_tool_call_count": "CASE WHEN event_id % 4 <> 0 THEN CAST(event_id % 2 AS DOUBLE) END", "missing_required_feature_tool_count": "CAST(event_id % 3 AS DOUBLE)",
+    "selected_forecast_exact_copy": "event_id % 6 = 1", "refinement_improved": "event_id % 5 = 1", "refinement_degraded": "event_id % 7 = 1", "prediction_model_defaulted": "event_id % 23 = 0",
+    "invalid_tool_call_name_count": "CAST(event_id % 2 AS DOUBLE)", "tool_call_json_decode_error_count": "CASE WHEN event_id % 3 = 0 THEN 2.0D END", "invalid_tool_call_name_sequence": "CASE event_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'a->b' WHEN 2 THEN ' b ->c->' END",
+    "selected_model": "CASE event_id % 5 WHEN 0 THEN 'arima' WHEN 1 THEN 'patchtst' WHEN 2 THEN 'chronos2' WHEN 3 THEN 'itransformer' END", "offline_best_model": "CASE event_id % 4 WHEN 0 THEN ' ARIMA' WHEN 1 THEN 'patchtst' ELSE '' END",
+    "selected_forecast_orig_mse": "CASE WHEN event_id % 6 <> 0 THEN value * 2 END", "reference_teacher_error": "CASE WHEN event_id % 5 <> 0 THEN value / 3 END", "final_vs_selected_mse": "value / 7", "refinement_delta_orig_mse": "CASE WHEN event_id % 3 > 0 THEN value - 50 END",
+    "analysis_coverage_ratio": "CAST(event_id % 4 AS DOUBLE) / 4", "strict_score": "value / 600", "recovered_score": "value / 550", "recovery_gap": "CASE WHEN event_id % 2 = 0 THEN value / 900 END", "raw_overrun_penalty": "CAST(event_id % 3 AS DOUBLE) / 10",
+    "answer_line_count": "CAST(90 + event_id % 9 AS DOUBLE)", "turn3_horizon_clamped": "event_id % 9 = 4", "turn3_horizon_clamp_discarded_lines": "CASE WHEN event_id % 9 = 4 THEN 3.0D END", "turn3_horizon_clamp_valid_prefix_lines": "CAST(event_id % 97 AS DOUBLE)",
+    "turn3_horizon_clamp_raw_answer_lines": "CAST(event_id % 101 AS DOUBLE)", "turn3_horizon_clamp_reason": "CASE WHEN event_id % 9 = 4 THEN 'too_long' WHEN event_id % 9 = 5 THEN '' END", "think_token_len": "CAST(event_id % 300 AS DOUBLE)", "answer_token_len": "CAST(event_id % 900 AS DOUBLE)",
+    "wrote_expected_rows_before_stop": "event_id % 3 = 2", "feature_tool_count": "CAST(event_id % 6 AS DOUBLE)", "required_feature_tool_count": "CAST(event_id % 4 AS DOUBLE)", "raw_tool_call_block_count": "CAST(event_id % 3 AS DOUBLE)",
+    "response_token_len": "CAST(event_id * 7 % 1000 AS DOUBLE)", "run_name": "CASE WHEN event_type = 'click' THEN 'one' WHEN event_id % 2 = 0 THEN 'two' ELSE 'three' END", "generation_stop_reason": "CASE event_id % 3 WHEN 0 THEN 'eos' WHEN 1 THEN 'length' ELSE '' END",
+    "generation_finish_reason": "CASE event_id % 3 WHEN 0 THEN 'stop' END", "turn_stage": "CASE event_id % 3 WHEN 0 THEN 'routing' WHEN 1 THEN 'refinement' ELSE '' END", "refinement_decision_name": "CASE event_id % 2 WHEN 0 THEN 'keep_baseline' END",
+}
+_PLAIN = {  # means of finite values, by the column they are of
+    "trainer_seq_score": "", "selected_forecast_orig_mse": "", "final_vs_selected_mse": "", "refinement_delta_orig_mse": "", "analysis_coverage_ratio": "", "strict_score": "", "recovered_score": "", "recovery_gap": "", "raw_overrun_penalty": "",
+    "answer_line_count": "", "turn3_horizon_clamp_discarded_lines": "", "turn3_horizon_clamp_valid_prefix_lines": "", "turn3_horizon_clamp_raw_answer_lines": "", "think_token_len": "", "answer_token_len": "", "feature_tool_count": "", "required_feature_tool_count": "",
+    "missing_required_feature_tool_count": "", "prediction_call_count": "", "raw_tool_call_block_count": "", "response_token_len": "", "orig_mse": " FILTER (ok)", "orig_mae": " FILTER (ok)", "norm_mse": " FILTER (ok)", "norm_mae": " FILTER (ok)",
+}
+_SHARE = {  # shares of all rows
+    "reward_negative_one_ratio": "coalesce(score <= -0.99, false)", "final_answer_accept_ratio": "acc", "success_ratio": "ok", "format_failure_ratio": "bucket = 'format_failure'", "workflow_rejected_ratio": "workflow_status = 'rejected'", "tool_error_ratio": "bucket = 'tool_error'",
+    "prediction_call_not_once_ratio": "coalesce(prediction_call_count <> 1, false)", "missing_required_feature_tool_ratio": "missing_required_feature_tool_count > 0", "invalid_tool_call_name_ratio": "invalid_tool_call_name_count > 0",
+    "tool_call_json_decode_error_ratio": "coalesce(tool_call_json_decode_error_count > 0, false)", "pred_len_94_95_ratio": "coalesce(pred_len IN (94, 95), false)",
+    "length_mismatch_ratio": "coalesce(pred_len <> expected_len, false) OR starts_with(ff, 'invalid_answer_shape') OR starts_with(rr, 'invalid_answer_shape') OR starts_with(ff, 'length_mismatch') OR starts_with(rr, 'length_mismatch')",
+    "patchtst_share": "m = 'patchtst'", "itransformer_share": "m = 'itransformer'", "arima_share": "m = 'arima'", "chronos2_share": "m = 'chronos2'", "unknown_model_share": "m = 'unknown'",
+    **{f"{c}_ratio": c for c in ("prediction_model_defaulted", "selected_forecast_exact_copy", "refinement_improved", "refinement_degraded", "turn3_horizon_clamped", "wrote_expected_rows_before_stop")},
+}
+_LISTS = {  # distributions: the field and how many of its values
+    "debug_bucket_distribution": ("bucket", 0), "debug_reason_distribution": ("reason", 0), "selected_model_distribution": ("m", 0), "format_failure_reason_distribution": ("ff", 8), "final_answer_reject_reason_distribution": ("rr", 8),
+    "generation_stop_reason_distribution": ("generation_stop_reason", 6), "generation_finish_reason_distribution": ("generation_finish_reason", 6), "turn3_horizon_clamp_reason_distribution": ("turn3_horizon_clamp_reason", 6), "workflow_status_distribution": ("workflow_status", 0),
+    "turn_stage_distribution": ("turn_stage", 0), "run_name_distribution": ("run_name", 0), "invalid_tool_call_name_distribution": ("unnest(string_split(coalesce(invalid_tool_call_name_sequence, ''), '->'))", 8), "refinement_decision_distribution": ("refinement_decision_name", 0),
+}
+
+
+def _list_sql(field: str, n: int) -> str:
+    counts = f"SELECT event_type, trim(v) AS v, count(*) AS c FROM (SELECT event_type, {field} AS v FROM x) WHERE v IS NOT NULL AND trim(v) NOT IN ('', 'none') GROUP BY event_type, trim(v)"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY c DESC, v) AS k FROM ({counts})"
+    return f"(SELECT event_type, string_agg(v || '=' || c, ',' ORDER BY {'k' if n else 'v'}) AS t FROM ({ranked}) WHERE k <= {n or 'k'} GROUP BY event_type)"
+
+
+@query("WITH r AS (SELECT event_type, " + ", ".join(f"{v.replace('.0D', '.0::DOUBLE')} AS {k}" for k, v in _READ.items()) + """ FROM events), w AS (SELECT *, coalesce(format_failure_reason, '') AS ff, coalesce(final_answer_reject_reason, '') AS rr, coalesce(selected_model, 'unknown') AS m, coalesce(score, trainer_seq_score) AS sc,
+ CASE WHEN coalesce(final_answer_reject_reason, '') <> '' THEN final_answer_reject_reason WHEN format_failure_reason <> 'ok' THEN format_failure_reason ELSE '' END AS why FROM r),
+b AS (SELECT *, CASE WHEN prediction_tool_error <> '' THEN 'tool_error' WHEN workflow_status = 'rejected' THEN 'workflow_violation' WHEN why <> '' THEN 'format_failure' WHEN sc <= -0.99 THEN 'hard_failure' WHEN refinement_degraded THEN 'quality_regression' WHEN prediction_model_defaulted OR missing_required_feature_tool_count > 0 THEN 'policy_gap' ELSE 'ok' END AS bucket,
+ CASE WHEN prediction_tool_error <> '' THEN 'prediction_tool_error' WHEN workflow_status = 'rejected' THEN CASE WHEN illegal_turn3_tool_call_count > 0 THEN 'illegal_refinement_tool_call' WHEN prediction_call_count <> 1 THEN 'prediction_call_count_invalid' WHEN missing_required_feature_tool_count > 0 OR lower(workflow_violation_reason) LIKE '%diagnostic%' THEN 'missing_required_diagnostics' ELSE 'workflow_rejected' END
+ WHEN why <> '' THEN CASE WHEN why LIKE 'invalid_answer_shape%' THEN 'invalid_answer_shape' WHEN why LIKE 'length_mismatch%' THEN 'length_mismatch' ELSE why END WHEN sc <= -0.99 THEN 'negative_one_reward' WHEN refinement_degraded THEN 'refinement_degraded' WHEN prediction_model_defaulted THEN 'prediction_model_defaulted' WHEN missing_required_feature_tool_count > 0 THEN 'missing_required_diagnostics' ELSE 'ok' END AS reason,
+ coalesce(has_answer_tag AND has_answer_close AND pred_len = expected_len AND rr = '', false) AS acc, selected_forecast_orig_mse - reference_teacher_error AS rs, orig_mse - reference_teacher_error AS rf FROM w), x AS (SELECT *, acc AND workflow_status <> 'rejected' AND orig_mse IS NOT NULL AND orig_mae IS NOT NULL AS ok FROM b),
+g AS (SELECT event_type, count(*) AS total_samples, count(*) FILTER (starts_with(ff, 'missing_answer_close_tag')) AS missing_answer_close_tag_count, count(*) FILTER (starts_with(ff, 'invalid_answer_shape') OR starts_with(rr, 'invalid_answer_shape')) AS invalid_answer_shape_count, count(*) FILTER (was_clipped) AS was_clipped_count, count(*) FILTER (prediction_tool_error <> '') AS prediction_tool_error_count,
+ round(avg(score), 6) AS validation_reward_mean, round(min(score), 6) AS validation_reward_min, round(max(score), 6) AS validation_reward_max, round(avg((illegal_turn3_tool_call_count > 0)::INT), 6) AS illegal_turn3_tool_call_ratio,
+ round(avg((m = lower(trim(offline_best_model)))::INT) FILTER (selected_model IS NOT NULL AND trim(offline_best_model) <> ''), 6) AS selected_model_offline_best_agreement_ratio, round(avg(rs), 6) AS selected_vs_reference_teacher_orig_mse_regret_mean, round(avg(rf), 6) AS final_vs_reference_teacher_orig_mse_regret_mean,
+ round(quantile_cont(orig_mse, 0.5) FILTER (ok), 6) AS orig_mse_p50, round(quantile_cont(orig_mse, 0.9) FILTER (ok), 6) AS orig_mse_p90, round(quantile_cont(rs, 0.5), 6) AS selected_vs_reference_teacher_orig_mse_regret_p50, round(quantile_cont(rs, 0.9), 6) AS selected_vs_reference_teacher_orig_mse_regret_p90, round(quantile_cont(response_token_len, 0.9), 6) AS response_token_len_p90,
+ CASE WHEN count(DISTINCT run_name) = 1 THEN max(run_name) ELSE '' END AS run_name, """ + ", ".join(f"round(avg({c}){f}, 6) AS {c}_mean" for c, f in _PLAIN.items()) + ", " + ", ".join(f"round(avg(({c})::INT), 6) AS {k}" for k, c in _SHARE.items())
+       + " FROM x GROUP BY 1) SELECT g.*, " + ", ".join(f"coalesce({k}_.t, '') AS {k}" for k in _LISTS) + " FROM g " + " ".join(f"LEFT JOIN {_list_sql(*v)} {k}_ USING (event_type)" for k, v in _LISTS.items()))
+def a17_validation_columns(spark, d):
+    rows = table(spark, d, "events").select("event_type", *(F.expr(v).alias(k) for k, v in _READ.items()))
+    return validation.validation_columns(rows, "event_type")
+
+
 @query(f"""WITH {_VAL}, s AS (SELECT event_type, round(avg(score), 6) AS score_mean, round(avg(orig_mse) FILTER (ok AND event_type <> 'click'), 6) AS orig_mse_mean FROM x GROUP BY 1) SELECT event_type, name, val AS value FROM (UNPIVOT s ON score_mean, orig_mse_mean INTO NAME name VALUE val)""")
 def a18_compact_summary(spark, d):
     s = audits.validation_row(_validation(spark, d, F.col("event_id"), F.col("value")), "event_type")
