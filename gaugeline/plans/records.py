@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import policy, text
-from ..operators import audits, validation
+from ..operators import audits, learners, validation
 from ..operators import selection as sel
 from ..operators.ordering import kept
 from ..sources.tables import model_errors, series, table
@@ -294,6 +294,28 @@ def a25_binary_audit(spark, d):
     return audits.binary_audit(table(spark, d, "labels"), F.col("doc_id") % 10 / 10.0, F.col("quality") == 1)
 
 
+def labelled_texts(spark, d):
+    """Labelled documents with the features of their texts and a split by id."""
+    split = F.when(F.col("doc_id") % 5 < 3, "train").when(F.col("doc_id") % 5 == 3, "val").otherwise("test")
+    docs = table(spark, d, "documents").select("doc_id", *(c.alias(k) for k, c in learners.text_features(F.col("text")).items()))
+    return table(spark, d, "labels").join(docs, "doc_id").withColumn("split", split)
+
+
+@query()
+def a25_trained_audit(spark, d):
+    features = list(learners.text_features(F.lit("")))
+    return learners.trained_audit(labelled_texts(spark, d), features, "quality", "split", "train", learners.models())
+
+
+@query("""SELECT split, count(*) AS n, round(avg(words), 6) AS words, round(avg(word_length), 6) AS word_length, round(avg(digits), 6) AS digits, round(avg(marks), 6) AS marks, round(avg(distinct_words), 6) AS distinct_words FROM (
+ SELECT CASE WHEN doc_id % 5 < 3 THEN 'train' WHEN doc_id % 5 = 3 THEN 'val' ELSE 'test' END AS split, ln(1 + len(w)) AS words, length(text) / len(w) AS word_length, len(regexp_extract_all(text, '[0-9]')) / length(text) AS digits,
+ len(regexp_extract_all(text, '[#*$%&|<>]')) / length(text) AS marks, len(list_distinct(list_transform(w, lambda x: lower(x)))) / len(w) AS distinct_words FROM (SELECT doc_id, text, regexp_extract_all(text, '[^ \t\n\x0b\f\r]+') AS w FROM documents JOIN labels USING (doc_id))) GROUP BY 1""")
+def a25_text_features(spark, d):
+    rows = labelled_texts(spark, d)
+    mean = lambda c: F.round(F.avg(c), 6).alias(c)
+    return rows.groupBy("split").agg(F.count("*").alias("n"), *map(mean, ("words", "word_length", "digits", "marks", "distinct_words")))
+
+
 @query("SELECT event_type, max(value) FILTER (event_id % 3 > 0) AS most, min(value) FILTER (event_id % 3 > 0) AS least FROM events GROUP BY 1")
 def a26_nan_safe(spark, d):
     v = F.when(F.col("event_id") % 3 == 0, float("nan")).otherwise(F.col("value"))

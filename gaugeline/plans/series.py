@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
-from ..operators import forecasts, kernels
+from ..operators import arima, forecasts, kernels
 from ..operators import windows as win
 from ..sources.tables import series, table
-from .queries import USERS, query
+from .queries import TYPES, USERS, query
 from .rewards import N, PAIRS, pairs, r
 
 XS = f"{USERS}, a AS (SELECT series_id, list(value ORDER BY pos) AS x FROM s GROUP BY 1)"
@@ -121,6 +121,62 @@ def p2_autoregression(spark, d):
     return f.select("series_id", F.size("forecast").alias("n"), F.round(arrays.mean(F.col("forecast")), 4).alias("mean"))
 
 
+def _eliminated(source: str, name: str, keys: str, regressors: list[str], target: str) -> str:
+    """SQL of one regression from sums ``a_b`` in ``source``: weights ``w_*`` and ``rss``, by elimination one regressor at a time."""
+    cell = lambda a, b: f"{a}_{b}" if _ORDER.index(a) <= _ORDER.index(b) else f"{b}_{a}"
+    columns, out = [*regressors, target], []
+    out.append(f"{name}0 AS (SELECT {keys}, {target}_{target} AS tt, " + ", ".join(f"{cell(r, c)} AS m_{r}_{c}" for r in regressors for c in columns) + ", " + ", ".join(f"{cell(r, target)} AS b_{r}" for r in regressors) + f" FROM {source})")
+    for i, p in enumerate(regressors):
+        cells = []
+        for r in regressors:
+            for c in columns:
+                new = f"m_{p}_{c} / nullif(m_{p}_{p}, 0)" if r == p else f"m_{r}_{c} - m_{r}_{p} * m_{p}_{c} / nullif(m_{p}_{p}, 0)"
+                cells.append(f"{new} AS m_{r}_{c}")
+        out.append(f"{name}{i + 1} AS (SELECT {keys}, tt, {', '.join(cells)}, {', '.join(f'b_{r}' for r in regressors)} FROM {name}{i})")
+    rss = " - ".join(["tt", *(f"m_{r}_{target} * b_{r}" for r in regressors)])
+    out.append(f"{name} AS (SELECT {keys}, {', '.join(f'm_{r}_{target} AS w_{r}' for r in regressors)}, {rss} AS rss FROM {name}{len(regressors)})")
+    return ", ".join(out)
+
+
+_LAGGED = [f"y{k}" for k in range(1, 6)]
+_ORDER = ["one", *_LAGGED, *(f"e{k}" for k in range(1, 6)), "y0", "bf", "lv", "st"]
+_TRIED = ((1, 1), (2, 1), (1, 2), (2, 2), (3, 1), (1, 3), (0, 1), (1, 0), (5, 0), (0, 5))
+
+
+def _sums_sql(names: list[str], table: str) -> str:
+    of = lambda n: "1.0::DOUBLE" if n == "one" else n
+    ordered = sorted(names, key=_ORDER.index)
+    sums = ", ".join(f"sum({of(a)} * {of(b)}) AS {a}_{b}" for i, a in enumerate(ordered) for b in ordered[i:])
+    return f"SELECT series_id, count(*) AS m, {sums} FROM {table} WHERE " + " AND ".join(f"{n} IS NOT NULL" for n in names if n != "one") + " GROUP BY 1"
+
+
+_W = "PARTITION BY series_id ORDER BY pos"
+ORDERS = f"""{TYPES}, sz AS (SELECT series_id, count(*) AS n, stddev_pop(value) AS sd FROM s GROUP BY 1), df AS (SELECT series_id, lag(value) OVER w AS lv, lag(value) OVER w - lag(value, 2) OVER w AS bf, value - lag(value) OVER w AS st FROM s WINDOW w AS ({_W})),
+du AS ({_sums_sql(["one", "bf", "lv", "st"], "df")}), {_eliminated("du", "dr", "series_id, m, lv_lv, one_one, one_bf, one_lv, bf_bf, bf_lv", ["one", "bf", "lv"], "st")},
+dv AS (SELECT series_id, m, w_lv, rss, (lv_lv - one_lv ** 2 / one_one) - (bf_lv - one_bf * one_lv / one_one) ** 2 / (bf_bf - one_bf ** 2 / one_one) AS vv FROM dr), dd AS (SELECT sz.*, CASE WHEN w_lv / sqrt(rss / (m - 3) / vv) < -2.86 THEN 0 ELSE 1 END AS d, w_lv / sqrt(rss / (m - 3) / vv) AS t FROM sz LEFT JOIN dv USING (series_id)),
+yy AS (SELECT series_id, d, pos - d AS pos, CASE WHEN d = 0 THEN value ELSE value - p END AS y0 FROM (SELECT *, lag(value) OVER ({_W}) AS p FROM s) JOIN dd USING (series_id) WHERE n >= 12 AND sd >= 1e-6 AND (d = 0 OR p IS NOT NULL)),
+yl AS (SELECT *, {", ".join(f"lag(y0, {k}) OVER w AS y{k}" for k in range(1, 6))} FROM yy WINDOW w AS ({_W})), ls AS ({_sums_sql(["one", *_LAGGED, "y0"], "yl")}), {_eliminated("ls", "lr", "series_id", ["one", *_LAGGED], "y0")},
+er AS (SELECT yl.*, y0 - w_one - {" - ".join(f"w_{c} * {c}" for c in _LAGGED)} AS e0 FROM yl JOIN lr USING (series_id)), el AS (SELECT *, {", ".join(f"lag(e0, {k}) OVER w AS e{k}" for k in range(1, 6))} FROM er WINDOW w AS ({_W})), es AS ({_sums_sql([c for c in _ORDER if c not in ("bf", "lv", "st")], "el")}),
+{", ".join(_eliminated("es", f"o{i}_", "series_id, m", ["one", *(f"y{k}" for k in range(1, p + 1)), *(f"e{k}" for k in range(1, q + 1))], "y0") for i, (p, q) in enumerate(_TRIED))},
+al AS ({" UNION ALL ".join(f"SELECT series_id, {i} AS i, {p} AS p, {q} AS q, m * ln(rss / m) + {2 * (p + q + 1)} AS aic FROM o{i}_ WHERE rss > 0" for i, (p, q) in enumerate(_TRIED))}), bs AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY aic, i) = 1)"""
+
+
+@query(f"WITH {ORDERS} SELECT series_id, n, round(t, 4) AS t_value, d FROM dd")
+def p2_unit_root(spark, d):
+    return arima.differencing(series(spark, d)).select("series_id", "n", F.round("t_value", 4).alias("t_value"), "d")
+
+
+@query(f"WITH {ORDERS} SELECT series_id, d, p, q, round(aic, 3) AS aic FROM bs JOIN dd USING (series_id)")
+def p2_order_choice(spark, d):
+    return arima.choose(series(spark, d)).select("series_id", "d", "p", "q", F.round("aic", 3).alias("aic"))
+
+
+@query(f"WITH {ORDERS} SELECT series_id, 'arima' AS method, d, p, q, 8 AS n FROM bs JOIN dd USING (series_id)")
+def p2_arima_forecast(spark, d):
+    f = arima.forecast(series(spark, d), 8)
+    return f.select("series_id", "method", "d", "p", "q", F.size(F.filter("forecast", lambda v: ~F.isnan(v))).alias("n"))
+
+
 @query("""SELECT event_id, coalesce(list_position(n, q), list_position(n, 'OT'), len(n)) - 1 AS target FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN ['a', 'OT', 'b'] WHEN 1 THEN ['a', 'b'] ELSE ['b', 'c', 'OT'] END AS n, CASE event_id % 2 WHEN 0 THEN 'b' END AS q FROM events)""")
 def p6_target_index(spark, d):
     e = F.col("event_id")

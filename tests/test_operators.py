@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeline import registry
 from gaugeline.functions import arrays, policy, scores, text
-from gaugeline.operators import forecasts, kernels, ordering, selection, windows
+from gaugeline.operators import arima, forecasts, kernels, learners, ordering, scans, selection, trajectories, windows
 from gaugeline.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -51,7 +51,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 #: Kernels that SQL doesn't express; they are tested below.
-NO_SQL = {"m8_change_points", "m11_peaks", "p2_autoregression"}
+NO_SQL = {"m8_change_points", "m11_peaks", "p2_autoregression", "a25_trained_audit"}
 
 
 def test_every_query_has_sql():
@@ -352,3 +352,132 @@ def test_sinks_refuse_bad_rows(spark, tmp_path):
 def _parquet(rows, folder):
     rows.write.parquet(f"{folder}/s")
     return f"{folder}/s"
+
+
+# --- scans, orders, gates ------------------------------------------------------------------------------------
+
+
+def test_scans_in_small_buckets_are_the_same(spark):
+    rng = np.random.default_rng(2)
+    x = {k: np.round(rng.normal(size=n), 1) for k, n in (("a", 203), ("b", 5), ("c", 1))}
+    rows = spark.createDataFrame([(k, i, float(v)) for k, xs in x.items() for i, v in enumerate(xs)], "series_id string, pos long, value double")
+    for f in (windows.features, windows.longest_monotone_run, windows.turning_points):
+        assert normal(f(rows, bucket=7).toPandas()) == normal(f(rows).toPandas())
+    assert normal(windows.moving_average(rows, 7, bucket=5).toPandas()) == normal(windows.moving_average(rows, 7).toPandas())
+    steps = np.sign(np.diff(x["a"]))
+    longest, run, before = 0, 0, 0.0
+    for s in steps:
+        run = run + 1 if s == 0 or s == before else 1
+        before = s or before
+        longest = max(longest, run)
+    got = windows.longest_monotone_run(rows, bucket=3).where("series_id = 'a'").first()
+    assert got["longest"] == longest
+
+
+def test_affine_scan_equals_the_loop(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.uniform(-1, 1, 700), rng.normal(size=700)
+    rows = spark.createDataFrame([("t", i, float(p), float(q)) for i, (p, q) in enumerate(zip(a, b))] + [("u", 0, 0.5, 2.0)], "series_id string, pos long, a double, b double")
+    got = {(r["series_id"], r["pos"]): r["y"] for r in scans.affine_suffix(rows, "a", "b", "y", width=8, levels=2).collect()}
+    y = 0.0
+    for i in range(699, -1, -1):
+        y = b[i] + a[i] * y
+        assert abs(got["t", i] - y) < 1e-9
+    assert got["u", 0] == 2.0 and len(got) == 701
+
+
+def test_long_trajectory_is_scanned_in_linear_work(spark):
+    n = 1_000_000
+    steps = spark.range(n).select(F.lit(1).alias("trajectory"), F.col("id").alias("step"), F.lit(1.0).alias("reward"), F.lit(0.0).alias("value"))
+    got = selection.gae(steps, 0.9, 0.8).where(F.col("step").isin(0, n - 1)).collect()
+    assert {r["step"]: r["advantage"] for r in got} == {0: round(1 / (1 - 0.72), 6), n - 1: 1.0}
+
+
+def test_downsampling_keeps_the_first_priority_rows(spark):
+    rows = spark.createDataFrame([(i, "local_refine" if i < 3 else "other" if i < 5 else "validated_keep", i % 2 == 0) for i in range(40)], "k long, kind string, first boolean")
+    keeps = lambda share: sorted(r["k"] for r in selection.kept_by_ratio(rows, "kind", "k", F.col("first"), share).collect() if r["k"] >= 5)
+    assert keeps(0.3) == [6, 8, 10, 12]  # floor of 3 * 0.7 / 0.3, which is just under 7, less 2
+    assert len(keeps(0.1)) == 25 and set(range(6, 40, 2)) <= set(keeps(0.1))
+    assert keeps(0.9) == [] and keeps(0.01) == list(range(5, 40))
+
+
+def test_orders_and_forecasts(spark):
+    rng = np.random.default_rng(8)
+    x = [0.0, 0.0]
+    for e in rng.normal(size=3000):
+        x.append(0.6 * x[-1] - 0.3 * x[-2] + e)
+    walk = np.cumsum(rng.normal(size=500))
+    data = {"ar": x, "walk": walk, "still": [3.0] * 50, "short": [1.0, 2.0, 5.0]}
+    rows = spark.createDataFrame([(k, i, float(v)) for k, xs in data.items() for i, v in enumerate(xs)], "series_id string, pos long, value double")
+    d = {r["series_id"]: r["d"] for r in arima.differencing(rows).collect()}
+    assert d["ar"] == 0 and d["walk"] == 1
+    chosen = {r["series_id"]: r for r in arima.choose(rows).collect()}
+    assert set(chosen) == {"ar", "walk"}
+    w = chosen["ar"]["w"]
+    psi = {(2, 0): w[1:3]}.get((chosen["ar"]["p"], chosen["ar"]["q"]))
+    assert psi is None or abs(psi[0] - 0.6) < 0.1
+    f = {r["series_id"]: r for r in arima.forecast(rows, 4).collect()}
+    assert f["still"]["forecast"] == [3.0] * 4 and f["short"]["forecast"] == [5.0] * 4 and f["short"]["method"] == "naive"
+    one = 0.6 * x[-1] - 0.3 * x[-2]
+    assert abs(f["ar"]["forecast"][0] - one) < 0.4 and abs(f["walk"]["forecast"][0] - walk[-1]) < 1.0 and f["ar"]["method"] == "arima"
+
+
+def test_refused_calls_cost_nothing(spark):
+    call = lambda p, t, n, m=None, w=True, dec="override": ("x", p, t, n, dec, m, w, None)
+    calls = [
+        call(0, 0, "route_time_series", "arima"), call(1, 0, "extract_data_quality"), call(2, 1, "extract_data_quality"), call(3, 1, "predict_time_series", "nobody"),
+        call(4, 1, "route_time_series", "arima", dec="?"), call(5, 2, "route_time_series", "arima", False), call(6, 2, "route_time_series", "arima", False),
+        call(7, 3, "route_time_series", "arima"), call(8, 3, "extract_event_summary"),
+    ]
+    df = spark.createDataFrame(calls, "series_id string, pos long, turn long, name string, decision string, model string, works boolean, stage string")
+    none = spark.createDataFrame([], "series_id string, required array<string>")
+    got = [(r["refused"], r["attempts"]) for r in trajectories.gated(df, none, 2, "patchtst").orderBy("pos").collect()]
+    assert got == [
+        ("routing_in_diagnostic_turn", 0), (None, 0), ("feature_tool_in_routing_turn", 0), ("invalid_model", 0), ("invalid_decision", 0), (None, 1), (None, 2),
+        ("retry_budget_spent", 2), ("feature_tool_in_routing_turn", 2),
+    ]
+    more = [(r["refused"], r["attempts"]) for r in trajectories.gated(df, none, 5, "patchtst").orderBy("pos").collect()]
+    assert more[7:] == [(None, 3), ("call_after_prediction", 3)]
+
+
+def test_upsert_log_survives_replay_and_compaction(spark, tmp_path):
+    from gaugeline.streaming import state
+
+    frame = lambda rows: spark.createDataFrame(rows, "k long, v string, seq long")
+    log, schema = state.UpsertLog(str(tmp_path / "t"), "k", "seq"), "k long, v string, seq long"
+    rows = lambda: sorted((r["k"], r["v"]) for r in log.current(spark, schema).collect())
+    log.store(frame([(1, "a", 0), (2, "b", 0)]), 0)
+    log.store(frame([(2, "c", 2), (2, "x", 1), (3, "d", 0)]), 1)
+    log.store(frame([(3, "e", 0)]), 2)
+    want = [(1, "a"), (2, "c"), (3, "e")]
+    assert rows() == want
+    log.compact(spark, schema)
+    assert rows() == want
+    log.store(frame([(3, "e", 0)]), 2)  # stored again
+    log.compact(spark, schema)
+    assert rows() == want and [r["k"] for r in log.pending(spark, frame([(3, "", 0), (9, "", 0)]), schema).collect()] == [9]
+
+
+def test_trained_audit_against_a_plain_fit(spark):
+    from gaugeline.plans.records import labelled_texts
+
+    features = ["size", "words", "word_length", "digits", "marks", "distinct_words"]
+    rows = labelled_texts(spark, "/root/testdata/sf0.01")
+    got = learners.trained_audit(rows, features, "quality", "split", "train", learners.models(trees=10, rounds=5)).toPandas()
+    data = rows.toPandas()
+    x = data[features].to_numpy(float)
+    train, test = (data["split"] == "train").to_numpy(), (data["split"] == "test").to_numpy()
+    x = np.where(np.isnan(x), np.nanmedian(x[train], 0), x)
+    x = np.c_[np.ones(len(x)), (x - x[train].mean(0)) / x[train].std(0, ddof=1)]
+    y = data["quality"].to_numpy(float)
+    w = np.where(y == 1, 1 / y[train].sum(), 1 / (1 - y[train]).sum())
+    beta = np.zeros(x.shape[1])
+    for _ in range(300):  # plain Newton steps on the weighted likelihood
+        p = 1 / (1 + np.exp(-np.clip(x[train] @ beta, -30, 30)))
+        h = (x[train] * (w[train] * p * (1 - p))[:, None]).T @ x[train] + 1e-9 * np.eye(len(beta))
+        beta += 0.5 * np.linalg.solve(h, x[train].T @ (w[train] * (y[train] - p)))
+    s, t = x[test] @ beta, y[test]
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in s[t == 1] for b in s[t == 0]])
+    mine = got[(got["model"] == "logistic_regression") & (got["split"] == "test")].iloc[0]
+    assert abs(mine["auc"] - auc) < 0.02 and mine["n"] == test.sum() and mine["positives"] == t.sum()
+    assert len(got) == 6 and (got[got["split"] == "test"]["auc"] > 0.6).all()
