@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 
 def kernel(names: tuple[str, ...], compute: Callable[[np.ndarray], tuple]) -> Callable[[Column], Column]:
@@ -45,7 +45,11 @@ def _spectrum(x: np.ndarray) -> tuple[float, float]:
 spectrum = kernel(("peak_freq", "spec_entropy"), _spectrum)
 
 
-def breakpoints(x: np.ndarray, penalty: float = 5.0, least: int = 2, jump: int = 5) -> list[int]:
+#: Places at which segments may end are multiples of this.
+JUMP = 5
+
+
+def breakpoints(x: np.ndarray, penalty: float = 5.0, least: int = 2, jump: int = JUMP) -> list[int]:
     """Ends of the segments of the penalised optimum: kernel costs with a Gaussian kernel.
 
     A segment costs its length minus the mean similarity within it; the kernel's width is
@@ -80,6 +84,17 @@ def breakpoints(x: np.ndarray, penalty: float = 5.0, least: int = 2, jump: int =
     return out[::-1]
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def break_places(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Where new segments start in each array; none in arrays of fewer than ten points."""
+    for arrays in batches:
+        found = []
+        for a in arrays:
+            x = np.nan_to_num(np.asarray([] if a is None else a, float), posinf=0, neginf=0)
+            found.append([int(p) for p in breakpoints(x)[:-1]] if len(x) >= 10 else [])
+        yield pd.Series(found)
+
+
 def _change_points(x: np.ndarray) -> tuple[float, float]:
     if len(x) < 10:
         return 0.0, 0.0

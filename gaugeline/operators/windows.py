@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.scores import ratio
+from . import kernels
 from .ordering import kept, quantiles
 from .scans import BUCKET, bucketed, inside, last_known, running_total
 
@@ -270,6 +271,45 @@ def moving_average(series: DataFrame, kernel: int, bucket: int = BUCKET) -> Data
     return out.select(*series.columns, "trend", "season")
 
 
+#: Points of one search for change points (made a multiple of ten, so that windows search one grid of places).
+SEARCHED = 520
+
+
+def change_points(series: DataFrame, width: int = SEARCHED) -> DataFrame:
+    """``series_id, pos``: where a new segment starts, found in windows of ``width`` points.
+
+    Windows start every half width; each is searched alone (its kernel is ``width`` squared and
+    no more) and owns the breaks of its middle half, the first one those before, the last one those
+    after.  So at a seam the window decides in which a break has a quarter width on both sides.  A
+    series of up to ``width`` points is one window, searched whole.
+    """
+    half = max(width // 10, 1) * kernels.JUMP
+    width = 2 * half
+    n = series.groupBy("series_id").agg(F.count("*").alias("n"))
+    r = series.select("series_id", F.col("pos").cast("long").alias("pos"), "value").join(n, "series_id")
+    last = F.greatest(F.ceil((F.col("n") - width) / F.lit(half)), F.lit(0)).cast("long")  # windows from 0 to this one
+    own = F.floor(F.col("pos") / half).cast("long")
+    r = r.withColumn("last", last).withColumn("w", F.explode(F.sequence(F.greatest(own - 1, F.lit(0).cast("long")), F.least(own, "last"))))
+    cells = F.array_sort(F.collect_list(F.struct("pos", "value")))  # width points at most
+    w = r.groupBy("series_id", "w", "last").agg(cells.alias("cells"))
+    found = w.select("series_id", "w", "last", F.explode(kernels.break_places(F.transform("cells", lambda c: c["value"]))).alias("at"))
+    quarter = width // 4
+    mine = ((F.col("at") >= quarter) | (F.col("w") == 0)) & ((F.col("at") < half + quarter) | (F.col("w") == F.col("last")))
+    return found.where(mine).select("series_id", (F.col("w") * half + F.col("at")).alias("pos"))
+
+
+def change_summary(series: DataFrame, width: int = SEARCHED, most: int = 5, bucket: int = BUCKET) -> DataFrame:
+    """``series_id, changepoint_count`` (``most`` at most) and ``changepoint_score``: the largest step between means of neighbouring segments."""
+    cuts = kept(change_points(series, width))
+    marked = series.select("series_id", F.col("pos").cast("long").alias("pos"), "value").join(cuts.withColumn("cut", F.lit(1)), ["series_id", "pos"], "left")
+    rows = running_total(bucketed(marked.withColumn("cut", F.coalesce("cut", F.lit(0))), bucket=bucket).drop("own"), "cut", "segment")
+    means = rows.groupBy("series_id", "segment").agg(F.avg("value").alias("mean"))  # a row a segment
+    jump = F.abs(F.col("mean") - F.lag("mean").over(Window.partitionBy("series_id").orderBy("segment")))
+    return means.withColumn("jump", jump).groupBy("series_id").agg(
+        F.least(F.count("*") - 1, F.lit(most)).cast("double").alias("changepoint_count"), F.coalesce(F.max("jump"), F.lit(0.0)).alias("changepoint_score")
+    )
+
+
 #: Where stamps are made from nothing: 2000-01-01, in microseconds.
 ANCHOR = 946684800000000
 

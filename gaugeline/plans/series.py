@@ -32,9 +32,22 @@ def m7_one_channel(spark, d):
     return series(spark, d, "user_id").select("series_id").distinct().select("series_id", F.lit(1.0).alias("pca_var_ratio"), F.lit(0.0).alias("mean_abs_corr"))
 
 
-@query()
+#: The penalised optimum by its definition: sums of the kernel over blocks of five points, then every last cut of every end.
+CUTS = f"""RECURSIVE {USERS}, a AS (SELECT series_id, list(value ORDER BY pos) AS x, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 10), v AS (SELECT series_id, n, unnest(x) AS y, generate_subscripts(x, 1) - 1 AS i FROM a),
+p AS (SELECT l.series_id, l.n, l.i, r.i AS j, (l.y - r.y) ** 2 AS d FROM v l JOIN v r USING (series_id)), md AS (SELECT series_id, CASE WHEN median(d) FILTER (i < j) > 0 THEN 1 / median(d) FILTER (i < j) ELSE 1.0 END AS g FROM p GROUP BY 1),
+k AS (SELECT series_id, i // 5 AS u, j // 5 AS w, sum(exp(-least(greatest(g * d, 0.01), 100))) AS t, sum(exp(-least(greatest(g * d, 0.01), 100))) FILTER (i = j) AS dg FROM p JOIN md USING (series_id) GROUP BY ALL),
+e AS (SELECT series_id, n, unnest(range(0, (n + 4) // 5 + 1)) AS b FROM a), c AS (SELECT l.series_id, l.n, l.b AS f, r.b AS e, least(r.b * 5, l.n) - l.b * 5 AS m FROM e l JOIN e r ON l.series_id = r.series_id AND l.b < r.b),
+ct AS (SELECT c.series_id, c.n, f, e, m, sum(dg) - sum(t) / any_value(m) AS cost FROM c JOIN k ON k.series_id = c.series_id AND u >= f AND u < e AND w >= f AND w < e GROUP BY c.series_id, c.n, f, e, m),
+cl AS (SELECT series_id, n, e, list(CASE WHEN m >= 2 THEN cost END ORDER BY f) AS costs FROM ct GROUP BY ALL),
+z AS (SELECT series_id, 0 AS e, [0.0::DOUBLE] AS best, [0] AS prev FROM a UNION ALL SELECT z.series_id, cl.e, list_append(best, list_min(o)), list_append(prev, list_position(o, list_min(o)) - 1) FROM (SELECT z.series_id, z.best, z.prev, cl.e, list_transform(range(1, cl.e + 1), lambda q: best[q] + costs[q] + 5) AS o FROM z JOIN cl ON cl.series_id = z.series_id AND cl.e = z.e + 1) z JOIN cl ON cl.series_id = z.series_id AND cl.e = z.e),
+fin AS (SELECT z.series_id, z.prev, z.e FROM z JOIN (SELECT series_id, max(e) AS e FROM z GROUP BY 1) USING (series_id, e)), bk AS (SELECT series_id, prev, e AS pl FROM fin UNION ALL SELECT series_id, prev, prev[pl + 1] FROM bk WHERE pl > 0),
+cp AS (SELECT series_id, pl * 5 AS pos FROM bk WHERE pl > 0 AND pl < (SELECT e FROM fin WHERE fin.series_id = bk.series_id))"""
+
+
+@query(f"""WITH {CUTS}, sg AS (SELECT s.series_id, s.pos, s.value, (SELECT count(*) FROM cp WHERE cp.series_id = s.series_id AND cp.pos <= s.pos) AS g FROM s), me AS (SELECT series_id, g, avg(value) AS m FROM sg GROUP BY ALL),
+j AS (SELECT *, abs(m - lag(m) OVER (PARTITION BY series_id ORDER BY g)) AS jump FROM me) SELECT series_id, least(count(*) - 1, 5)::DOUBLE AS changepoint_count, round(coalesce(max(jump), 0), 6) AS changepoint_score FROM j GROUP BY 1""")
 def m8_change_points(spark, d):
-    return whole(spark, d).select("series_id", kernels.change_points(F.col("x")).alias("c")).select("series_id", "c.*")
+    return win.change_summary(series(spark, d, "user_id")).withColumn("changepoint_score", F.round("changepoint_score", 6))
 
 
 @query()

@@ -51,7 +51,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 #: Kernels that SQL doesn't express; they are tested below.
-NO_SQL = {"m8_change_points", "m11_peaks", "p2_autoregression", "a25_trained_audit"}
+NO_SQL = {"m11_peaks", "p2_autoregression", "a25_trained_audit"}
 
 
 def test_every_query_has_sql():
@@ -481,3 +481,16 @@ def test_trained_audit_against_a_plain_fit(spark):
     mine = got[(got["model"] == "logistic_regression") & (got["split"] == "test")].iloc[0]
     assert abs(mine["auc"] - auc) < 0.02 and mine["n"] == test.sum() and mine["positives"] == t.sum()
     assert len(got) == 6 and (got[got["split"] == "test"]["auc"] > 0.6).all()
+
+
+def test_change_points_across_windows(spark):
+    rng = np.random.default_rng(6)
+    level = np.repeat([0.0, 8.0, -6.0, 4.0], [300, 255, 245, 400])
+    rows = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(level + rng.normal(size=1200) * 0.1)] + [("b", i, 1.0) for i in range(9)], "series_id string, pos long, value double")
+    found = {(r["series_id"], r["pos"]) for r in windows.change_points(rows, 120).collect()}
+    assert found == {("a", 300), ("a", 555), ("a", 800)}
+    got = {r["series_id"]: (r["changepoint_count"], r["changepoint_score"]) for r in windows.change_summary(rows, 120, bucket=100).collect()}
+    assert got["a"][0] == 3 and abs(got["a"][1] - 14) < 0.1 and got["b"] == (0, 0)
+    whole = kernels.breakpoints(np.array([r["value"] for r in rows.where("series_id = 'a' and pos < 400").orderBy("pos").collect()]))
+    one = {r["pos"] for r in windows.change_points(rows.where("series_id = 'a' and pos < 400")).collect()}
+    assert one == set(whole[:-1])
