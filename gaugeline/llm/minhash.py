@@ -8,11 +8,12 @@ their Jaccard similarity, however few shingles there are.  ``BANDS`` bands of ``
 are bucket keys.  A pair of similarity 0.8 misses all of them with a chance of
 (1 - 0.8**5)**64 = 1e-11; pairs above, with less.
 
-In a bucket the set of the least key is the hub; every set is proposed with one hub, that
-of most of its buckets: stars, so there are no more candidates than sets.  Stars are
-confirmed on the full sets, and what links is merged.  What stars leave open are pairs of
-different components that share a bucket: buckets that still hold several components are
-searched by the signature trees' exact bounds, in blocks, so that no link of a bucket is lost.
+In a bucket the set of the least hash is the hub; every set is proposed with up to ``HUBS``
+hubs, those of most of its buckets: stars, so candidates grow with the sets and not with a
+bucket's square.  Stars are confirmed on the full sets, and what links is merged.  Rounds with
+other hubs follow in the buckets that still hold several components, while enough of what they
+propose links.  What stars leave open are pairs of different components that share a bucket:
+these are searched by the signature trees' exact bounds, in blocks, so that no link of a bucket is lost.
 
 Documents of equal sets are one from the start; tasks hold no bucket beyond a block.
 
@@ -25,6 +26,8 @@ doc_id each get a row.  An empty table gives an empty table; further columns pla
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +39,10 @@ from .signature_tree import bitmap, components, distinct_sets, first_documents,
 WIDTH, PERCENT = 4, 80
 BANDS, ROWS = 64, 5
 BINS = BANDS * ROWS
+#: Hubs that a set is proposed with in a round of stars, and the share (one in so many) of proposed pairs that must link for another round.
+HUBS, FRUITFUL = 2, 4
+#: Bits of a set's bitmap a shingle at least: what the exact bounds see of a difference.
+BITS = 4
 #: Place of each bin in each bin's order of borrowing (row: the borrower).
 _ORDER = np.random.default_rng(0xB1).permuted(np.tile(np.arange(BINS, dtype=np.int16), (BINS, 1)), axis=1)
 _MULTIPLY = np.random.default_rng(0xB2).integers(0, 2**64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
@@ -72,7 +79,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 keys.append(set_key(s))
                 checks.append(set_check(s))
-                maps.append(bitmap(s) if len(s) else b"")
+                maps.append(bitmap(s, BITS) if len(s) else b"")
                 found.append(bands(signature(s)).view(np.int64) if len(s) else [])
             return [doc_ids, hashes, n, keys, checks, maps, found]
 
@@ -83,24 +90,30 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_texts(rows, ["text", "doc_id", "thash"], make, schema)
 
 
-def stars(buckets: DataFrame) -> DataFrame:
-    """``a, b`` (a < b): each set b of a bucket (token, skey) with one of its buckets' least sets, the one it shares most buckets with."""
-    hubs = buckets.groupBy("token").agg(F.min("skey").alias("a"), F.max("skey").alias("most")).where("a < most")
-    met = buckets.join(hubs.select("token", "a"), "token").where("skey <> a").select("skey", "a")
-    counted = met.repartition("skey").groupBy("skey", "a").agg(F.count("*").alias("n"))
-    best = counted.groupBy("skey").agg(F.min(F.struct((-F.col("n")).alias("n"), "a")).alias("hub"))
-    return best.select("hub.a", F.col("skey").alias("b"))
-
-
-def open_buckets(buckets: DataFrame, comps: DataFrame, maps: DataFrame) -> DataFrame:
-    """The buckets that hold several components, as the trees' search takes them."""
-    named = buckets.join(comps, "skey", "left").withColumn("comp", F.coalesce("comp", "skey"))
-    several = named.groupBy("token").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")
-    ).where("low < high")
-    of_set = named.join(several.select("token", "members"), "token").groupBy("skey", "comp").agg(
-        F.array_sort(F.collect_list(F.struct("token", "members"))).alias("in")  # BANDS at most
-    )
+def open_rows(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """``token, skey, comp`` of the buckets (token, skey) that hold several components."""
+    if comps is None:
+        named = rows.select("token", "skey", F.col("skey").alias("comp"))
+    else:
+        named = rows.select("token", "skey").join(comps, "skey", "left").select("token", "skey", F.coalesce("comp", "skey").alias("comp"))
+    several = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members"))
+    return named.join(several.where("low < high").select("token", "members"), "token")
+
+
+def stars(rows: DataFrame, turn: int) -> DataFrame:
+    """``a, b`` (a < b): each set of open buckets with up to ``HUBS`` of their hubs in other components, those it shares most buckets with."""
+    mark = F.xxhash64(F.lit(turn), "skey")
+    hubs = rows.groupBy("token").agg(F.min(F.struct(mark.alias("mark"), F.col("skey").alias("hub"), F.col("comp").alias("other"))).alias("h"))
+    met = rows.join(hubs.select("token", "h.hub", "h.other"), "token").where("comp <> other").select("skey", "hub")
+    counted = met.repartition("skey").groupBy("skey", "hub").agg(F.count("*").alias("n"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "hub"))), 1, HUBS)  # of BANDS at most
+    pairs = counted.groupBy("skey").agg(best.alias("best")).select("skey", F.explode("best.hub").alias("hub"))
+    return pairs.select(F.least("skey", "hub").alias("a"), F.greatest("skey", "hub").alias("b")).distinct()
+
+
+def for_search(rows: DataFrame, maps: DataFrame) -> DataFrame:
+    """Open buckets as the trees' search takes them."""
+    of_set = rows.groupBy("skey", "comp").agg(F.array_sort(F.collect_list(F.struct("token", "members"))).alias("in"))  # BANDS at most
     placed = of_set.join(maps, "skey").select("skey", "n", "comp", "bitmap", "in", F.posexplode("in").alias("at", "one"))
     earlier = F.slice(F.col("in")["token"], 1, "at").alias("earlier")
     return placed.select("one.token", "one.members", "skey", "n", "comp", "bitmap", earlier)
@@ -111,17 +124,24 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark = docs.sparkSession
     made, reps = keyed_sets(signatures(docs), "minhash-signatures")
     sets = materialize(distinct_sets(made, reps).where("n > 0").select("skey", "n", "bitmap", "bands"), "minhash-sets")
-    buckets = sets.select("skey", F.explode("bands").alias("token"))
-    tested = materialize(stars(buckets), "minhash-stars")
-    links = verify(tested, docs, reps, WIDTH, PERCENT)
-    comps = components(links)
-    free_shuffles(spark)
-    rest = materialize(open_buckets(buckets, comps, sets.select("skey", "n", "bitmap")), "minhash-open")
-    more = materialize(search(rest, False).join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-    drop_tables(spark, comps, tested, rest, sets)
+    rows, comps, links, tested = sets.select("skey", F.explode("bands").alias("token")), None, None, None
+    for turn in count():
+        old = [] if turn == 0 else [rows, comps]
+        rows = materialize(open_rows(rows, comps), "minhash-open")
+        pairs = stars(rows, turn)
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "minhash-stars")
+        found = verify(pairs, docs, reps, WIDTH, PERCENT)
+        tested, links = (pairs, found) if turn == 0 else (tested.union(pairs), links.union(found))
+        comps = components(links)
+        drop_tables(spark, *old)
+        free_shuffles(spark)
+        if found.count() * FRUITFUL < pairs.count() or pairs.isEmpty():
+            break
+    rest = materialize(for_search(open_rows(rows, comps), sets.select("skey", "n", "bitmap")), "minhash-open")
+    more = materialize(search(rest, False, PERCENT).join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
+    drop_tables(spark, comps, rows, rest, sets)
     further = verify(more, docs, reps, WIDTH, PERCENT)
     comps = components(links.union(further))
-    drop_tables(spark, more, links, further)
     return (made, *first_documents(reps, comps))
 
 

@@ -99,10 +99,10 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """Hashed token bitmap; a power of two bits, about two a shingle."""
+def bitmap(shingles: np.ndarray, each: int = 2) -> bytes:
+    """Hashed token bitmap; a power of two bits, at least ``each`` a shingle within the limits."""
     low, high = BITMAP_BITS
-    bits = min(high, max(low, 1 << (2 * len(shingles) - 1).bit_length()))
+    bits = min(high, max(low, 1 << (each * len(shingles) - 1).bit_length()))
     out = np.zeros(bits, np.uint8)
     out[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -149,12 +149,12 @@ def _bound(all_bits, any_bits, most):
     return most - np.bitwise_count(all_bits & ~any_bits).sum(-1, dtype=np.int64)
 
 
-def _may_link(low_a, high_a, all_a, any_a, low_b, high_b, all_b, any_b):
+def _may_link(low_a, high_a, all_a, any_a, low_b, high_b, all_b, any_b, percent=PERCENT):
     """False only where no set under a can link with one under b."""
-    ok = (100 * high_a >= PERCENT * low_b) & (100 * high_b >= PERCENT * low_a)
+    ok = (100 * high_a >= percent * low_b) & (100 * high_b >= percent * low_a)
     overlap = np.minimum(_bound(all_a, any_b, high_a), _bound(all_b, any_a, high_b))
-    # overlap >= 0.75 * union, and the union is at least what overlap leaves of both
-    return ok & (100 * overlap >= PERCENT * (low_a + low_b - overlap))
+    # overlap >= percent of the union, and the union is at least what overlap leaves of both
+    return ok & (100 * overlap >= percent * (low_a + low_b - overlap))
 
 
 class Tree:
@@ -178,7 +178,7 @@ class Tree:
         return LEAF if level == 1 else FAN
 
 
-def dual_traversal(a: Tree, b: Tree, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def dual_traversal(a: Tree, b: Tree, same: bool, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all leaf pairs of different components that may link.
 
     Depth first in slices, so that the bitmaps gathered at a time stay bounded.
@@ -196,7 +196,7 @@ def dual_traversal(a: Tree, b: Tree, same: bool) -> tuple[np.ndarray, np.ndarray
         keep = ~((own_a == own_b) & (own_a >= 0))
         if same and la == lb:
             keep &= (ia <= ib) if la else (ia < ib)
-        keep &= _may_link(low_a, high_a, all_a, any_a, low_b, high_b, all_b, any_b)
+        keep &= _may_link(low_a, high_a, all_a, any_a, low_b, high_b, all_b, any_b, percent)
         ia, ib = ia[keep], ib[keep]
         if not len(ia):
             continue
@@ -244,7 +244,7 @@ def _by_length(maps, n):
         yield np.flatnonzero(own), np.flatnonzero(longer)
 
 
-def propose(n, maps, comp, keys, block, first: bool, earlier=None, across: bool = False) -> list[tuple[int, int]]:
+def propose(n, maps, comp, keys, block, first: bool, earlier=None, across: bool = False, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Candidate pairs of keys of one bucket, within its one block or ``across`` two."""
     out, seen = [], [frozenset(e) for e in earlier or [()] * len(n)]
     comp = np.unique(comp, return_inverse=True)[1]  # from 0, so a node can say -1 for several
@@ -271,7 +271,7 @@ def propose(n, maps, comp, keys, block, first: bool, earlier=None, across: bool
                 continue
             trees = [(s, Tree(size[s], words[s], c[s])) for s in split]
             (s, a), (t, b) = trees[0], trees[-1]
-            x, y = (side[found] for side, found in zip((s, t), dual_traversal(a, b, len(trees) == 1)))
+            x, y = (side[found] for side, found in zip((s, t), dual_traversal(a, b, len(trees) == 1, percent)))
             place = at.tolist()
             new = [seen[place[i]].isdisjoint(seen[place[j]]) for i, j in zip(x.tolist(), y.tolist())]
             new = np.array(new, bool)
@@ -310,7 +310,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
 _ROW = ("own", "skey", "n", "comp", "bitmap", "earlier")
 
 
-def search(rows: DataFrame, first: bool) -> DataFrame:
+def search(rows: DataFrame, first: bool, percent: int = PERCENT) -> DataFrame:
     """Distinct candidate pairs of the buckets in ``rows`` (token, members, skey, n, comp, bitmap, earlier)."""
     if first:  # neighbours within a block are enough to merge families
         blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
@@ -328,7 +328,7 @@ def search(rows: DataFrame, first: bool) -> DataFrame:
             own, keys, n, comp, maps, earlier = zip(*group)
             pairs = propose(
                 np.array(n, np.int64), maps, np.array(comp, np.int64), np.array(keys, np.int64), np.array(own),
-                first, earlier, key[1] != key[2],
+                first, earlier, key[1] != key[2], percent,
             )
             return sorted(set(pairs))
 
