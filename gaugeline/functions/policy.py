@@ -29,15 +29,32 @@ def points(*rules: tuple[Column, float]) -> Column:
     return out
 
 
+# The tool that shows each feature.
+SHOWN_BY = {
+    "acf1": "extract_basic_statistics", "acf_seasonal": "extract_basic_statistics", "cusum": "extract_basic_statistics",
+    "changepoints": "extract_within_channel_dynamics", "peaks": "extract_within_channel_dynamics", "spacing_cv": "extract_within_channel_dynamics",
+    "monotone": "extract_within_channel_dynamics", "exceed": "extract_forecast_residuals", "quantization": "extract_data_quality",
+    "saturation": "extract_data_quality",
+}
+
+
+def masked_features(f: Column, visible: Column) -> Column:
+    """``f`` with null in place of what no tool in ``visible`` shows (all of it shows where ``visible`` is null)."""
+    shows = lambda name: visible.isNull() | F.array_contains(visible, SHOWN_BY[name])
+    return F.struct(*(F.when(shows(name), f[name]).alias(name) for name in SHOWN_BY))
+
+
+def _stressed(f: Column) -> Column:
+    return F.coalesce(f["saturation"] >= 0.08, F.lit(False)) | F.coalesce(f["quantization"] >= 0.24, F.lit(False))
+
+
 def model_scores(f: Column) -> Column:
-    """``struct`` of a score for each model from a struct of features."""
-    strong, seasonal = f["acf1"] >= 0.92, f["acf_seasonal"] >= 0.05
-    stressed = (f["saturation"] >= 0.08) | (f["quantization"] >= 0.24)
+    """``struct`` of a score for each model from a struct of features; a feature that isn't there (null) scores nothing."""
     return F.struct(
-        (0.10 + points((strong, 1.5), (~strong & (f["acf1"] >= 0.88), 0.75), (f["changepoints"] <= 1, 0.75), (f["exceed"] <= 0.05, 0.5))).alias("arima"),
-        (0.15 + points((f["peaks"].between(2, 5), 1.0), (f["spacing_cv"] <= 0.30, 0.75), (seasonal, 0.5))).alias("patchtst"),
+        (0.10 + points((f["acf1"] >= 0.92, 1.5), ((f["acf1"] < 0.92) & (f["acf1"] >= 0.88), 0.75), (f["changepoints"] <= 1, 0.75), (f["exceed"] <= 0.05, 0.5))).alias("arima"),
+        (0.15 + points((f["peaks"].between(2, 5), 1.0), (f["spacing_cv"] <= 0.30, 0.75), (f["acf_seasonal"] >= 0.05, 0.5))).alias("patchtst"),
         points((f["changepoints"] >= 2, 1.25), (f["cusum"] >= 70, 0.75), (f["monotone"] >= 0.10, 0.5)).alias("itransformer"),
-        (-0.50 + points((f["exceed"] >= 0.08, 0.75), (stressed, 0.5), ((f["peaks"] >= 6) & (f["spacing_cv"] >= 0.35), 0.5))).alias("chronos2"),
+        (-0.50 + points((f["exceed"] >= 0.08, 0.75), (_stressed(f), 0.5), ((f["peaks"] >= 6) & (f["spacing_cv"] >= 0.35), 0.5))).alias("chronos2"),
     )
 
 
@@ -49,11 +66,10 @@ def ranked(scores: Column) -> Column:
 
 
 def primary_model(f: Column, scores: Column) -> Column:
-    """The first rule that applies, else the best score."""
-    stressed = (f["saturation"] >= 0.08) | (f["quantization"] >= 0.24)
+    """The first rule that applies, else the best score; a rule over a feature that isn't there (null) doesn't apply."""
     wild = (f["exceed"] >= 0.085) & (f["peaks"] >= 6) & (f["spacing_cv"] >= 0.40)
     return (
-        F.when(stressed | wild, "chronos2")
+        F.when(_stressed(f) | F.coalesce(wild, F.lit(False)), "chronos2")
         .when((f["acf1"] >= 0.93) & (f["changepoints"] <= 1) & (f["exceed"] <= 0.05) & (f["peaks"] <= 4), "arima")
         .when((f["changepoints"] >= 3) & ((f["cusum"] >= 70) | (f["monotone"] >= 0.10)), "itransformer")
         .when(f["peaks"].between(2, 5) & (f["spacing_cv"] <= 0.30), "patchtst").otherwise(ranked(scores)[0]["model"])
@@ -62,7 +78,7 @@ def primary_model(f: Column, scores: Column) -> Column:
 
 def plan(f: Column) -> Column:
     """``struct(primary, runner_up, gap, tools)``: the model, its rival, and the tools that tell them apart."""
-    stressed = (f["saturation"] >= 0.08) | (f["quantization"] >= 0.24)
+    stressed = _stressed(f)
     eventful = (f["segments"] >= 4) | f["dominant"].isin("rise", "fall", "oscillation")
 
     def of(p: Column) -> Column:
@@ -81,6 +97,35 @@ def plan(f: Column) -> Column:
     return let(F.struct(scores.alias("scores"), primary_model(f, scores).alias("primary")), of)
 
 
+# What a plan says of its features, its decision and its tools.
+EVIDENCE = (
+    "strong short-lag autocorrelation", "repeatable local seasonality", "structural drift", "irregular residual excursions", "possible data-quality stress",
+)
+FOCUS = {
+    "extract_basic_statistics": "baseline autocorrelation and seasonal strength", "extract_within_channel_dynamics": "local peaks, changepoints, and slope persistence",
+    "extract_forecast_residuals": "linear predictability and residual stress", "extract_data_quality": "quantization, saturation, and corruption signals",
+    "extract_event_summary": "segment-level rise, fall, and oscillation patterns",
+}
+MIXED = "The window mixes stable and shifting behavior."
+BROADER = "I need a broader diagnostic pass to separate the competing temporal explanations before routing."
+MINIMUM = "I will gather the minimum evidence needed to establish a confident routing state."
+
+
+def rationale(f: Column, p: Column) -> Column:
+    """The plan's reason in words: up to three pieces of evidence, how sure it is, and what its tools look at.
+
+    ``p`` is a ``plan`` of the features ``f``.
+    """
+    seasonal = (f["acf_seasonal"] >= 0.05) | (f["peaks"].between(2, 5) & (f["spacing_cv"] <= 0.30))
+    tests = (f["acf1"] >= 0.88, seasonal, (f["changepoints"] >= 2) | (f["cusum"] >= 70), f["exceed"] >= 0.08, _stressed(f))
+    pattern = F.when(f["dominant"].isin("rise", "fall", "oscillation"), F.concat(f["dominant"], F.lit("-dominant event structure")))
+    found = F.array_compact(F.array(*(F.when(t, F.lit(e)) for t, e in zip(tests, EVIDENCE)), pattern))
+    opener = let(found, lambda e: F.when(F.size(e) == 0, MIXED).otherwise(F.concat(F.lit("The window shows "), F.array_join(F.slice(e, 1, 3), ", "), F.lit("."))))
+    focus = F.create_map(*(F.lit(x) for pair in FOCUS.items() for x in pair))
+    looks = F.array_join(F.transform(p["tools"], lambda t: F.coalesce(F.try_element_at(focus, t), F.replace(t, F.lit("_"), F.lit(" ")))), ", ")
+    return F.concat_ws(" ", opener, F.when((p["gap"] <= 0.75) & (p["runner_up"] != p["primary"]), BROADER).otherwise(MINIMUM), F.concat(F.lit("I will inspect "), looks, F.lit(".")))
+
+
 def batches(tools: Column, size: int) -> Column:
     """Known tools in their order, in groups of ``size``; the basic one where none is known."""
     own = F.filter(F.array(*map(F.lit, TOOLS)), lambda t: F.array_contains(tools, t))

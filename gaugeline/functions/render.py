@@ -24,6 +24,13 @@ def fixed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield values.map(lambda v: None if v is None else [f"{float(x):.4f}" for x in v])
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Every number of an array with one place."""
+    for values in batches:
+        yield values.map(lambda v: None if v is None else [f"{float(x):.1f}" for x in v])
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def evidence_numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Numbers with one place from 100 on, with four below."""
@@ -148,12 +155,34 @@ LABELS = {
 }
 
 
+#: Labels whose number has one place; all others have four.
+COUNTS = {"Changepoint Count", "Peak Count", "Segment Count", "Rise Events", "Fall Events", "Flat Events", "Oscillation Events"}
+PATTERNS = ("rise", "fall", "flat", "oscillation")
+
+
 def feature_text(title: str, numbers: Column) -> Column:
     """A titled list of labelled numbers (already written)."""
     lines = F.zip_with(F.array(*map(F.lit, LABELS[title])), numbers, lambda n, v: F.concat(F.lit("  "), n, F.lit(": "), v))
     return joined(f"{title}:", F.array_join(lines, "\n"))
 
 
+def tool_text(title: str, values: Column, pattern: Column | None = None) -> Column:
+    """A tool's features in words: counts with one place, others with four, and the leading pattern's name where one is given.
+
+    ``values`` has the title's features in order, nulls counting as 0.
+    """
+    whole = F.transform(values, lambda v: F.coalesce(v, F.lit(0.0)))
+    names = LABELS[title]
+    short = [i for i, n in enumerate(names) if n in COUNTS]
+    both = F.arrays_zip(fixed(whole).alias("four"), counts(whole).alias("one"))
+    written = F.transform(both, lambda v, i: F.when(i.isin(*short) if short else F.lit(False), v["one"]).otherwise(v["four"]))
+    text = feature_text(title, written)
+    if pattern is None:
+        return text
+    name = F.get(F.array(*map(F.lit, PATTERNS)), F.coalesce(pattern, F.lit(0)).cast("int"))
+    return joined(text, F.concat(F.lit("  Dominant Pattern: "), name))
+
+
 def target_answer(reflection: Column, decision: Column, forecast: Column, by_decision: bool) -> Column:
     """The assistant's last turn: a decision line or the whole forecast."""
     keep = F.coalesce(F.nullif(F.trim(F.coalesce(decision, F.lit(""))), F.lit("")), F.lit("keep_baseline"))

@@ -101,6 +101,21 @@ def with_reward(df: DataFrame, solution: str, truth: str, allow_recovery: bool)
     return df.withColumn("score", F.when(F.col("answer").isNull(), -1.0).otherwise(gains - losses))
 
 
+def with_compared_rewards(df: DataFrame, solution: str, truth: str) -> DataFrame:
+    """Adds the rewards of both protocols side by side: strict and recovered score, gap, modes and reasons, and line counts."""
+    names = {"score": "score", "mode": "parse_mode"}
+    own = df.columns
+    strict = with_reward(df, solution, truth, False)
+    strict = strict.select(*own, *(F.col(c).alias(f"strict_{n}") for c, n in names.items()), F.col("reason").alias("reject_reason"))
+    both = with_reward(strict, solution, truth, True)
+    lines = text.line_counts(F.col("scored"))[0]
+    return both.select(
+        *strict.columns, *(F.col(c).alias(f"recovered_{n}") for c, n in names.items()), (F.col("score") - F.col("strict_score")).alias("recovery_gap"),
+        F.col("clamp.applied").alias("clamped"), F.col("overrun_loss").alias("raw_overrun_penalty"), lines.alias("answer_line_count"),
+        F.col("expected").alias("expected_answer_line_count"), ((F.col("expected") > 0) & (lines >= F.col("expected"))).alias("wrote_expected_rows_before_stop"),
+    )
+
+
 def confusion(rows: DataFrame, predicted: Column, actual: Column) -> DataFrame:
     """Counts, precision, recall and F1; null where a denominator is zero."""
     n = lambda c: F.count(F.when(c, 1))

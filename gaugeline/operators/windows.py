@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..functions.scores import ratio
 from . import kernels
-from .ordering import kept, quantiles
+from .ordering import kept, numbered, quantiles
 from .scans import BUCKET, bucketed, inside, last_known, running_total
 
 
@@ -271,6 +271,35 @@ def moving_average(series: DataFrame, kernel: int, bucket: int = BUCKET) -> Data
     return out.select(*series.columns, "trend", "season")
 
 
+def residual_features(series: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Residuals of a first-order autoregression of each series: mean, largest, share beyond two deviations, lag-1
+    correlation, and the share of the largest tenth (all 0 for up to three points).
+
+    Fits are aggregates, neighbours come from buckets, and the largest tenth from places by range.
+    """
+    w = inside()
+    r = bucketed(series.select("series_id", F.col("pos").cast("long").alias("pos"), "value"), back=1, bucket=bucket)
+    r = r.withColumn("back", F.lag("value").over(w)).where("own and back is not null").drop("own", "bucket")
+    fit = r.groupBy("series_id").agg(
+        F.coalesce(F.regr_slope("value", "back"), F.lit(0.0)).alias("slope"), F.avg("value").alias("my"), F.avg("back").alias("mx"), F.count("*").alias("n")
+    )
+    e = r.join(fit, "series_id").select("series_id", "pos", "n", (F.col("value") - F.col("my") - F.col("slope") * (F.col("back") - F.col("mx"))).alias("e"))
+    e = kept(e)
+    base = e.groupBy("series_id").agg(F.avg("e").alias("mean"), F.stddev_pop("e").alias("sd"))
+    near = bucketed(e, back=1, bucket=bucket).withColumn("before", F.lag("e").over(w)).where("own").drop("own", "bucket")
+    j = near.join(base, "series_id")
+    at = numbered(e.withColumn("size", F.abs("e")).select("series_id", "pos", "size", "n"), "size", "pos", by=("series_id",))
+    top = at.groupBy("series_id").agg(F.sum(F.when(F.col("place") >= F.floor(0.9 * F.col("n")), F.col("size"))).alias("top"), F.sum("size").alias("all"))
+    dev = F.col("e") - F.col("mean")
+    found = j.groupBy("series_id").agg(
+        F.first("mean").alias("residual_mean"), F.max(F.abs("e")).alias("residual_max"), F.avg((F.abs("e") > 2 * (F.col("sd") + 1e-8)).cast("double")).alias("residual_exceed"),
+        ratio(F.sum(dev * (F.col("before") - F.col("mean"))), F.sum(dev * dev)).alias("residual_acf1"), F.first("n").alias("n"),
+    )
+    out = found.join(top, "series_id").withColumn("residual_concentration", F.col("top") / (F.col("all") + 1e-8))
+    names = ("residual_mean", "residual_max", "residual_exceed", "residual_acf1", "residual_concentration")
+    return out.select("series_id", *(F.when(F.col("n") > 2, F.coalesce(c, F.lit(0.0))).otherwise(0.0).alias(c) for c in names))
+
+
 #: Points of one search for change points (made a multiple of ten, so that windows search one grid of places).
 SEARCHED = 520
 

@@ -78,6 +78,36 @@ def t32_feature_text(spark, d):
     return e.select("event_id", render.feature_text("Data Quality", F.col("n")).alias("shown"))
 
 
+#: Features of each tool's text, by event, in the words that both engines share; the lists follow the labels.
+_TOLD = {
+    "Basic Statistics": ("value", "value / 2", "NULL", "0.125", "event_id % 7 / 16.0", "value / 8", "value * 3", "1.5"),
+    "Within-Channel Dynamics": ("event_id % 6", "value / 3", "value", "value * 2", "0.25", "event_id % 9", "value / 16", "0.5"),
+    "Forecast Residuals": ("-value / 100", "value", "event_id % 10 / 10.0", "0.75", "value / 1000"),
+    "Data Quality": ("event_id % 4 / 4.0", "0.0625", "0", "value / 5"),
+    "Event Summary": ("event_id % 8", "event_id % 5", "1", "2", "event_id % 3"),
+}
+
+
+def _told_sql(title: str) -> str:
+    lines = []
+    for name, value in zip(render.LABELS[title], _TOLD[title]):
+        lines.append(f"'  {name}: ' || printf('%.{1 if name in render.COUNTS else 4}f', coalesce(({value})::DOUBLE, 0))")
+    if title == "Event Summary":
+        lines.append("'  Dominant Pattern: ' || CASE event_id % 4 WHEN 0 THEN 'rise' WHEN 1 THEN 'fall' WHEN 2 THEN 'flat' ELSE 'oscillation' END")
+    return f"SELECT event_id, '{title}' AS title, '{title}:' || chr(10) || " + " || chr(10) || ".join(lines) + " AS shown FROM events"
+
+
+@query(" UNION ALL ".join(map(_told_sql, _TOLD)))
+def t32_tool_texts(spark, d):
+    out = None
+    for title, values in _TOLD.items():
+        pattern = F.col("event_id") % 4 if title == "Event Summary" else None
+        told = render.tool_text(title, F.array(*(F.expr(v).cast("double") for v in values)), pattern)
+        rows = table(spark, d, "events").select("event_id", F.lit(title).alias("title"), told.alias("shown"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("""SELECT event_id, '<think>' || chr(10) || 'I keep ' || event_type || chr(10) || '</think>' || chr(10) || '<answer>' || chr(10) || CASE WHEN event_id % 2 = 0 THEN 'decision=' || CASE WHEN event_id % 3 = 0 THEN 'keep_baseline' ELSE 'local_level_adjust' END ELSE '1.0' END || chr(10) || '</answer>' AS answer,
  '### Task' || chr(10) || event_type || CASE WHEN event_id % 2 = 0 THEN '' ELSE chr(10) || chr(10) || '### Evidence' || chr(10) || 'e' END AS prompt FROM events""")
 def t38_t39_prompts_and_targets(spark, d):
@@ -228,11 +258,43 @@ def s14_s15_phases(spark, d):
     return out
 
 
-@query("SELECT 'x.txt' AS file, sha256('a' || chr(10)) AS sha256, 2 AS length")
+@query("SELECT 'c_mktsegment=' || c_mktsegment AS folder, sha256(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS sha256, sum(length(c_name) + 1)::BIGINT AS length FROM customer GROUP BY c_mktsegment")
 def s18_digests(spark, d):
     path = files.scratch(spark, "text")
-    spark.createDataFrame([("a",)], "value string").coalesce(1).write.text(path)
-    return files.digests(spark, f"{path}/*.txt").select(F.lit("x.txt").alias("file"), "sha256", "length")
+    c = table(spark, d, "customer").repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "c_custkey")
+    c.select("c_mktsegment", "c_name").write.partitionBy("c_mktsegment").text(path)
+    return files.digests(spark, f"{path}/*/*.txt").select("folder", "sha256", "length")
+
+
+#: Metadata of the line items as a table of several channels, and what its contract asks.
+_CHANNELS = ("l_discount", "l_extendedprice", "l_quantity", "l_tax")
+
+
+@query("""SELECT * FROM (SELECT 'rows' AS field, count(*)::VARCHAR AS value FROM lineitem UNION ALL SELECT 'target_column', 'l_quantity' UNION ALL SELECT 'model_input_width', count(*)::VARCHAR FROM (DESCRIBE lineitem) WHERE column_type = 'DOUBLE'
+ UNION ALL SELECT 'observed_covariates', string_agg(column_name, ',' ORDER BY column_name) FROM (DESCRIBE lineitem) WHERE column_type = 'DOUBLE' AND column_name <> 'l_quantity'
+ UNION ALL SELECT 'refused', 'dataset_kind,pipeline_stage,observed_feature_columns,model_input_width')""")
+def s9_s12_s13_metadata(spark, d):
+    """Metadata of a table written, read back and held against its contracts; and which broken payloads they refuse."""
+    rows, path = table(spark, d, "lineitem"), files.scratch(spark, "metadata")
+    found = sorted(f.name for f in rows.schema if f.dataType.simpleString() == "double")
+    payload = {
+        "dataset_kind": "rl_jsonl", "pipeline_stage": "curated", "historical_data_protocol": "timestamped_named_rows", "target_column": "l_quantity",
+        "observed_feature_columns": found, "observed_covariates": [c for c in found if c != "l_quantity"], "model_input_width": len(found), "rows": rows.count(),
+    }
+    files.write_metadata(spark, payload, path)
+
+    def held(p: dict) -> dict:
+        files.check_metadata(p, {"rl_jsonl"}, {"curated", "raw"})
+        return files.check_multivariate(p, list(_CHANNELS), "l_quantity", "timestamped_named_rows")
+
+    back, refused = held(files.read_metadata(spark, path)), []
+    for field, value in (("dataset_kind", "x"), ("pipeline_stage", "x"), ("observed_feature_columns", found[::-1]), ("model_input_width", 1)):
+        try:
+            held({**back, field: value})
+        except ValueError:
+            refused.append(field)
+    shown = {**{k: back[k] for k in ("rows", "target_column", "model_input_width")}, "observed_covariates": ",".join(back["observed_covariates"]), "refused": ",".join(refused)}
+    return spark.createDataFrame([(k, str(v)) for k, v in shown.items()], "field string, value string")
 
 
 # --- streams and SQL functions -------------------------------------------------------------------------------------

@@ -45,6 +45,36 @@ def c8_c9_model_scores(spark, d):
     return s.select("event_id", *(F.round(f"s.{m}", 6).alias(m) for m in policy.MODELS), policy.primary_model(F.col("f"), F.col("s")).alias("primary_model"))
 
 
+#: Tools whose features show, by event; null: all.
+_SHOWN = "CASE event_id % 6 WHEN 0 THEN array('extract_basic_statistics') WHEN 1 THEN array('extract_within_channel_dynamics', 'extract_forecast_residuals') WHEN 2 THEN array('extract_data_quality') WHEN 3 THEN array('x') WHEN 4 THEN array('extract_basic_statistics', 'extract_within_channel_dynamics', 'extract_forecast_residuals') END"
+_MASKED = F_SQL + f""", sh AS (SELECT *, {_SHOWN.replace("array(", "[").replace(")", "]")} AS t FROM (SELECT f.* FROM f)), vis AS (SELECT *, t IS NULL OR list_contains(t, 'extract_basic_statistics') AS vb, t IS NULL OR list_contains(t, 'extract_within_channel_dynamics') AS vw, t IS NULL OR list_contains(t, 'extract_forecast_residuals') AS vr, t IS NULL OR list_contains(t, 'extract_data_quality') AS vq FROM sh),
+ms AS (SELECT *, 0.10 + CASE WHEN NOT vb THEN 0 WHEN acf1 >= 0.92 THEN 1.5 WHEN acf1 >= 0.88 THEN 0.75 ELSE 0 END + CASE WHEN vw AND changepoints <= 1 THEN 0.75 ELSE 0 END + CASE WHEN vr AND exceed <= 0.05 THEN 0.5 ELSE 0 END AS arima,
+ 0.15 + CASE WHEN vw AND peaks BETWEEN 2 AND 5 THEN 1 ELSE 0 END + CASE WHEN vw AND spacing_cv <= 0.30 THEN 0.75 ELSE 0 END + CASE WHEN vb AND acf_seasonal >= 0.05 THEN 0.5 ELSE 0 END AS patchtst,
+ CASE WHEN vw AND changepoints >= 2 THEN 1.25 ELSE 0 END + CASE WHEN vb AND cusum >= 70 THEN 0.75 ELSE 0 END + CASE WHEN vw AND monotone >= 0.10 THEN 0.5 ELSE 0 END AS itransformer,
+ -0.5 + CASE WHEN vr AND exceed >= 0.08 THEN 0.75 ELSE 0 END + CASE WHEN vq AND (saturation >= 0.08 OR quantization >= 0.24) THEN 0.5 ELSE 0 END + CASE WHEN vw AND peaks >= 6 AND spacing_cv >= 0.35 THEN 0.5 ELSE 0 END AS chronos2 FROM vis)"""
+
+
+@query(f"""WITH {_MASKED} SELECT event_id, round(arima, 6) AS arima, round(patchtst, 6) AS patchtst, round(itransformer, 6) AS itransformer, round(chronos2, 6) AS chronos2,
+ CASE WHEN (vq AND (saturation >= 0.08 OR quantization >= 0.24)) OR (vr AND vw AND exceed >= 0.085 AND peaks >= 6 AND spacing_cv >= 0.40) THEN 'chronos2' WHEN vb AND vw AND vr AND acf1 >= 0.93 AND changepoints <= 1 AND exceed <= 0.05 AND peaks <= 4 THEN 'arima'
+ WHEN vw AND changepoints >= 3 AND ((vb AND cusum >= 70) OR monotone >= 0.10) THEN 'itransformer' WHEN vw AND peaks BETWEEN 2 AND 5 AND spacing_cv <= 0.30 THEN 'patchtst'
+ ELSE CASE greatest(round(arima, 4), round(patchtst, 4), round(itransformer, 4), round(chronos2, 4)) WHEN round(arima, 4) THEN 'arima' WHEN round(patchtst, 4) THEN 'patchtst' WHEN round(itransformer, 4) THEN 'itransformer' ELSE 'chronos2' END END AS primary_model FROM ms""")
+def c8_c9_masked_scores(spark, d):
+    m = features(spark, d).withColumn("m", policy.masked_features(F.col("f"), F.expr(_SHOWN)))
+    s = m.withColumn("s", policy.model_scores(F.col("m")))
+    return s.select("event_id", *(F.round(f"s.{k}", 6).alias(k) for k in policy.MODELS), policy.primary_model(F.col("m"), F.col("s")).alias("primary_model"))
+
+
+@query(f"""WITH {PLAN}, ev AS (SELECT *, list_filter([CASE WHEN acf1 >= 0.88 THEN 'strong short-lag autocorrelation' END, CASE WHEN acf_seasonal >= 0.05 OR (peaks BETWEEN 2 AND 5 AND spacing_cv <= 0.30) THEN 'repeatable local seasonality' END, CASE WHEN changepoints >= 2 OR cusum >= 70 THEN 'structural drift' END,
+ CASE WHEN exceed >= 0.08 THEN 'irregular residual excursions' END, CASE WHEN saturation >= 0.08 OR quantization >= 0.24 THEN 'possible data-quality stress' END, CASE WHEN dominant <> 'flat' THEN dominant || '-dominant event structure' END], lambda e: e IS NOT NULL) AS e FROM tl)
+SELECT event_id, CASE WHEN len(e) = 0 THEN 'The window mixes stable and shifting behavior.' ELSE 'The window shows ' || array_to_string(e[:3], ', ') || '.' END || ' ' ||
+ CASE WHEN gap <= 0.75 THEN 'I need a broader diagnostic pass to separate the competing temporal explanations before routing.' ELSE 'I will gather the minimum evidence needed to establish a confident routing state.' END || ' I will inspect ' ||
+ array_to_string(list_transform(tools, lambda t: CASE t WHEN 'extract_basic_statistics' THEN 'baseline autocorrelation and seasonal strength' WHEN 'extract_within_channel_dynamics' THEN 'local peaks, changepoints, and slope persistence' WHEN 'extract_forecast_residuals' THEN 'linear predictability and residual stress'
+  WHEN 'extract_data_quality' THEN 'quantization, saturation, and corruption signals' ELSE 'segment-level rise, fall, and oscillation patterns' END), ', ') || '.' AS rationale FROM ev""")
+def c10_rationale(spark, d):
+    p = features(spark, d).withColumn("p", policy.plan(F.col("f")))
+    return p.select("event_id", policy.rationale(F.col("f"), F.col("p")).alias("rationale"))
+
+
 @query(f"WITH {PLAN} SELECT event_id, primary_model, runner_up, gap, array_to_string(tools, ',') AS tools, array_to_string(list_transform(range(0, (len(tools) + 1) // 2), lambda i: array_to_string(tools[2 * i + 1:2 * i + 2], '+')), ' ') AS batches FROM tl")
 def c10_c11_diagnostic_plan(spark, d):
     p = features(spark, d).withColumn("p", policy.plan(F.col("f")))

@@ -322,11 +322,15 @@ def a26_nan_safe(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(audits.nan_max(v).alias("most"), audits.nan_min(v).alias("least"))
 
 
-@query("""WITH m AS (SELECT s AS source, v AS var, k || '@' || n || t AS metric, v = CASE WHEN s = 'b' THEN 'reward' ELSE 'acc' END AND k <> 'std' AND n = 8 AS core FROM (VALUES ('a'), ('b')) a(s), (VALUES ('acc'), ('reward')) b(v), (VALUES ('mean'), ('best'), ('std')) c(k), (VALUES (4), (8)) d(n), (VALUES (''), ('/mean')) e(t) WHERE NOT (s = 'b' AND v = 'acc'))
-SELECT metric, CASE WHEN core THEN 'val-core' ELSE 'val-aux' END || '/' || source || '/' || var || '/' || metric AS name FROM m""")
+_METRIC = "CASE event_id % 3 WHEN 0 THEN 'mean@' WHEN 1 THEN 'best@' ELSE 'std@' END || CASE WHEN event_id % 2 = 0 THEN '4' ELSE '8' END || CASE WHEN event_id % 5 = 0 THEN '/mean' ELSE '' END"
+_VAR = "CASE WHEN event_type = 'click' OR user_id % 2 = 0 THEN 'reward' ELSE 'acc' END"
+
+
+@query(f"""WITH m AS (SELECT DISTINCT event_type AS source, {_VAR} AS var, {_METRIC} AS metric FROM events), n AS (SELECT *, regexp_extract(metric, '@([0-9]+)', 1)::INT AS k FROM m), c AS (SELECT *, max(k) OVER (PARTITION BY source, var) AS most, max((var = 'acc')::INT) OVER (PARTITION BY source) AS has FROM n)
+SELECT metric, CASE WHEN var = CASE WHEN has = 1 THEN 'acc' ELSE 'reward' END AND metric NOT LIKE 'std%' AND k = most THEN 'val-core' ELSE 'val-aux' END || '/' || source || '/' || var || '/' || metric AS name FROM c""")
 def a27_metric_names(spark, d):
-    rows = [(s, v, f"{k}@{n}{t}") for s in "ab" for v in ("acc", "reward") if (s, v) != ("b", "acc") for k in ("mean", "best", "std") for n in (4, 8) for t in ("", "/mean")]
-    return audits.metric_names(spark.createDataFrame(rows, "source string, var string, metric string")).select("metric", "name")
+    rows = table(spark, d, "events").select(F.col("event_type").alias("source"), F.expr(_VAR).alias("var"), F.expr(_METRIC).alias("metric")).distinct()
+    return audits.metric_names(rows).select("metric", "name")
 
 
 # --- ranks and windows -----------------------------------------------------------------------------------

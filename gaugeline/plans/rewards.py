@@ -171,3 +171,17 @@ def c6_c7_reward(spark, d):
     t = texts(spark, d, s=SOLUTION, truth=TRUTH.replace("[", "array(").replace("]", ")"))
     s = scores.with_reward(t, "s", "truth", True)
     return s.select("event_id", "mode", F.col("clamp.applied").alias("clamped"), r(F.col("score")).alias("score"), r(F.col("orig_mse"), 4).alias("orig_mse"))
+
+
+@query(f"""WITH {_clamped(REWARD)}, an AS (SELECT *, CASE WHEN reason IS NULL THEN body ELSE again END AS answer FROM modes),
+v AS (SELECT *, coalesce({_values("answer")}, []) AS pv3, len({_values("s")}) AS raw_len FROM an), qm AS (SELECT *, list_avg(list_transform(range(1, 4), lambda i: (pv3[i] - truth[i]) ** 2)) AS m FROM v),
+z AS (SELECT *, 0.1 + 0.6 / (1 + sqrt(m / greatest(list_stddev_pop(truth), 1e-8) ** 2)) AS gain, CASE WHEN clamped THEN 0.05 + 2 / 3.0 * 0.05 ELSE 0 END AS over_loss,
+ CASE WHEN mode NOT LIKE 'recovered%' THEN 0.0 WHEN reason = 'missing_answer_close_tag' THEN 0.03 WHEN reason LIKE 'missing_think%' THEN 0.05 WHEN reason IN ('missing_answer_block', 'missing_answer_open_tag', 'extra_text_outside_tags') THEN 0.06
+ WHEN reason LIKE 'invalid%' THEN CASE WHEN raw_len > 0 THEN greatest(0.06, CASE abs(raw_len - 3) WHEN 0 THEN 0 WHEN 1 THEN 0.03 WHEN 2 THEN 0.05 ELSE 0.08 END + CASE WHEN raw_len > 3 THEN least((raw_len - 3) / 3.0, 1) * 0.05 ELSE 0 END) ELSE 0.06 END ELSE 0.05 END AS rec FROM qm),
+w AS (SELECT *, CASE WHEN reason IS NULL THEN gain - over_loss ELSE -1 END AS strict, CASE WHEN answer IS NULL THEN -1 ELSE gain - over_loss - rec END AS recovered FROM z)
+SELECT event_id, round(strict, 6) AS strict_score, round(recovered, 6) AS recovered_score, round(recovered - strict, 6) AS recovery_gap, CASE WHEN reason IS NULL THEN 'strict_protocol' ELSE 'rejected_' || reason END AS strict_parse_mode, mode AS recovered_parse_mode, reason AS reject_reason, clamped, round(over_loss, 6) AS raw_overrun_penalty FROM w""")
+def c7_compared_rewards(spark, d):
+    t = texts(spark, d, s=SOLUTION, truth=TRUTH.replace("[", "array(").replace("]", ")"))
+    c = scores.with_compared_rewards(t, "s", "truth")
+    shown = ("strict_parse_mode", "recovered_parse_mode", "reject_reason", "clamped")
+    return c.select("event_id", *(r(F.col(k)).alias(k) for k in ("strict_score", "recovered_score", "recovery_gap", "raw_overrun_penalty")), *shown)

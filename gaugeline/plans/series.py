@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
-from ..operators import arima, forecasts, kernels
+from ..operators import arima, audits, forecasts, kernels
 from ..operators import windows as win
 from ..sources.tables import series, table
 from .queries import TYPES, USERS, query
@@ -57,11 +57,10 @@ def m11_peaks(spark, d):
 
 @query(f"""WITH {USERS}, l AS (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY pos) AS b FROM s), m AS (SELECT series_id, regr_slope(value, b) AS sl, regr_intercept(value, b) AS ic FROM l GROUP BY 1), e AS (SELECT series_id, pos, value - ic - sl * b AS e FROM l JOIN m USING (series_id) WHERE b IS NOT NULL),
 f AS (SELECT *, avg(e) OVER (PARTITION BY series_id) AS me, stddev_pop(e) OVER (PARTITION BY series_id) AS sd, lag(e) OVER (PARTITION BY series_id ORDER BY pos) AS pe, row_number() OVER (PARTITION BY series_id ORDER BY abs(e)) - 1 AS k, count(*) OVER (PARTITION BY series_id) AS n FROM e)
-SELECT series_id, round(max(abs(e)), 4) AS residual_max, round(avg((abs(e) > 2 * (sd + 1e-8))::INT), 6) AS residual_exceed, round(sum((e - me) * (pe - me)) / sum((e - me) * (e - me)), 5) AS residual_acf1, round(sum(abs(e)) FILTER (k >= floor(0.9 * n)) / (sum(abs(e)) + 1e-8), 5) AS residual_concentration FROM f GROUP BY 1""")
+SELECT series_id, 0.0 AS residual_mean, round(max(abs(e)), 4) AS residual_max, round(avg((abs(e) > 2 * (sd + 1e-8))::INT), 6) AS residual_exceed, round(sum((e - me) * (pe - me)) / sum((e - me) * (e - me)), 5) AS residual_acf1, round(sum(abs(e)) FILTER (k >= floor(0.9 * n)) / (sum(abs(e)) + 1e-8), 5) AS residual_concentration FROM f GROUP BY 1""")
 def m12_residuals(spark, d):
-    w = whole(spark, d).select("series_id", kernels.residuals(F.col("x")).alias("e"))
-    return w.select("series_id", r(F.col("e.residual_max"), 4).alias("residual_max"), r(F.col("e.residual_exceed")).alias("residual_exceed"),
-                    r(F.col("e.residual_acf1"), 5).alias("residual_acf1"), r(F.col("e.residual_concentration"), 5).alias("residual_concentration"))
+    e = win.residual_features(series(spark, d, "user_id"))
+    return e.select("series_id", *(r(F.col(c), n).alias(c) for c, n in (("residual_mean", 6), ("residual_max", 4), ("residual_exceed", 6), ("residual_acf1", 5), ("residual_concentration", 5))))
 
 
 @query(f"""WITH {PAIRS}, d AS (SELECT series_id, start, x, list_transform(range(1, {N}), lambda i: x[i + 1] - x[i]) AS dd FROM w), t AS (SELECT *, 1.5 * list_stddev_pop(dd) + 1e-6 AS th, 0.05 * list_stddev_pop(x) + 1e-6 AS sl FROM d),
@@ -78,8 +77,8 @@ def m16_event_segments(spark, d):
 @query("SELECT user_id AS series_id, round(sum(CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE value END), 4) AS total, count(*) FILTER (event_id % 4 > 1) AS finite FROM events GROUP BY 1")
 def m17_sanitized(spark, d):
     v = F.when(F.col("event_id") % 4 == 0, float("nan")).when(F.col("event_id") % 4 == 1, float("inf")).otherwise(F.col("value"))
-    x = table(spark, d, "events").groupBy(F.col("user_id").alias("series_id")).agg(F.collect_list(v).alias("x"))
-    return x.select("series_id", F.round(arrays.total(arrays.sanitized(F.col("x"))), 4).alias("total"), F.size(arrays.finite(F.col("x"))).cast("long").alias("finite"))
+    x = table(spark, d, "events").select(F.col("user_id").alias("series_id"), audits.finite(v).alias("v"))
+    return x.groupBy("series_id").agg(F.round(F.sum(F.coalesce("v", F.lit(0.0))), 4).alias("total"), F.count("v").alias("finite"))
 
 
 # --- time stamps --------------------------------------------------------------------------------------------

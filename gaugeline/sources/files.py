@@ -151,6 +151,7 @@ def phase_rows(rows: DataFrame, phase: str | None, training: bool, stage: str =
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and length of every file."""
+    """SHA-256 and length of every file, with its name and its folder's."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), "length")
+    parts = F.split("path", "/")
+    return files.select(F.element_at(parts, -1).alias("file"), F.element_at(parts, -2).alias("folder"), F.sha2("content", 256).alias("sha256"), "length")
