@@ -178,10 +178,14 @@ def good_shape(answer: Column, expected: Column) -> Column:
 
 
 def shape_reason(answer: Column, expected: Column) -> Column:
-    parts, values = lines(answer), forecast_values(answer)
-    n, m, e = F.size(parts), F.size(values), expected.cast("string")
+    parts = lines(answer)
+    return _shape_reason(F.size(parts), F.size(forecast_values(answer)), line_format(parts), expected)
+
+
+def _shape_reason(n: Column, m: Column, kind: Column, expected: Column) -> Column:
+    """The reason from the counts of lines and values and the lines' format."""
+    e = expected.cast("string")
     wrong = lambda what, k: F.concat(F.lit(f"invalid_answer_shape:{what}="), k.cast("string"), F.lit(",expected="), e)
-    kind = line_format(parts)
     return (
         F.when(n == 0, "empty_answer_block").when(n != expected, wrong("lines", n)).when(m != expected, wrong("values", m))
         .when(kind == "mixed", "invalid_answer_shape:mixed_line_formats")
@@ -235,16 +239,19 @@ def after_close(s: Column | str) -> Column:
 
 def strict_reason(s: Column | str, expected: Column) -> Column:
     """Why a text isn't think block, answer block and nothing else; null where it is."""
-    c = column(s)
+    body = strict_answer(s)
+    return _strict_reason(column(s), good_shape(body, expected), shape_reason(body, expected))
+
+
+def _strict_reason(c: Column, good: Column, why: Column) -> Column:
+    """The reason of a text whose answer block has a good shape, or not and ``why``."""
     think, no_think, answer, no_answer = (has(c, t) for t in ("<think>", "</think>", "<answer>", "</answer>"))
-    whole = rf"(?s)^\s*{THINK}\s*{ANSWER}\s*$"
-    body = strip(F.regexp_extract(c, whole, 2))
     return (
         F.when(c.isNull(), "empty_solution")
         .when(think & ~no_think, "missing_think_close_tag").when(no_think & ~think, "missing_think_open_tag")
         .when(answer & ~no_answer, "missing_answer_close_tag").when(no_answer & ~answer, "missing_answer_open_tag")
         .when(~answer & ~no_answer, "missing_answer_block").when(~think & ~no_think, "missing_think_block")
-        .when(~c.rlike(whole), "extra_text_outside_tags").when(~good_shape(body, expected), shape_reason(body, expected))
+        .when(~c.rlike(rf"(?s)^\s*{THINK}\s*{ANSWER}\s*$"), "extra_text_outside_tags").when(~good, why)
     )
 
 
@@ -277,7 +284,12 @@ def protocol(df: DataFrame, s: str, expected: str, allow_recovery: bool) -> Data
     calls don't recover.  Intermediate columns are staged, so none is computed twice.
     """
     c, n = F.col(s), F.greatest(F.col(expected).cast("int"), F.lit(1))
-    df = df.withColumns({"reason": strict_reason(c, F.col(expected)), "_strict": strict_answer(c)})
+    df = df.withColumn("_strict", strict_answer(c))
+    df = df.withColumns({"_parts": lines("_strict"), "_m": F.size(forecast_values("_strict"))})
+    df = df.withColumns({"_n": F.size("_parts"), "_kind": line_format(F.col("_parts"))})
+    good = (F.col("_n") == F.col(expected)) & (F.col("_m") == F.col(expected)) & F.col("_kind").isin("numeric_only", "timestamp_value")
+    why = _shape_reason(F.col("_n"), F.col("_m"), F.col("_kind"), F.col(expected))
+    df = df.withColumn("reason", _strict_reason(c, good, why)).drop("_parts", "_n", "_m", "_kind")
     mode = F.when(F.col("reason").isNull(), "strict_protocol").otherwise(F.concat(F.lit("rejected_"), "reason"))
     if not allow_recovery:
         return df.withColumns({"mode": mode, "answer": F.when(F.col("reason").isNull(), F.col("_strict"))}).drop("_strict")
