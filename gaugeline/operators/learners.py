@@ -10,9 +10,10 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch
 from . import audits
 from .ordering import kept
 
@@ -54,7 +55,14 @@ def fit(train: DataFrame, features: list[str], label: str, classifiers: dict) ->
     ]
     ready = Pipeline(stages=prepare).fit(rows)
     made = kept(ready.transform(rows).select("scaled", "label", "weight"))
-    return {name: (ready, c.fit(made)) for name, c in classifiers.items()}
+    return {name: (ready, _stored(c.fit(made))) for name, c in classifiers.items()}
+
+
+def _stored(model):
+    """The model written and read back: without its training summary, which holds the session and can't go to tasks."""
+    path = scratch(SparkSession.active(), "model")
+    model.write().overwrite().save(path)
+    return type(model).load(path)
 
 
 def scored(rows: DataFrame, fitted) -> DataFrame:
