@@ -280,10 +280,10 @@ def step_budget(absolute: Column, configured: Column, attempts: Column) -> Colum
 def batch_divisor(total: Column, target: Column) -> Column:
     """The divisor of ``total`` nearest to ``target``, the larger one of two as near."""
     t = F.greatest(F.lit(1), F.least(target, total))
-    return let(t, lambda want: F.array_sort(F.transform(
-        F.filter(F.sequence(F.lit(1).cast("long"), total.cast("long")), lambda d: total % d == 0),
-        lambda d: F.struct(F.abs(d - want).alias("gap"), (-d).alias("size")),
-    ))[0]["size"] * -1)
+    n = total.cast("long")
+    small = F.filter(F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt(n)).cast("long")), lambda d: n % d == 0)  # each with its counterpart
+    every = F.flatten(F.transform(small, lambda d: F.array(d, F.call_function("div", n, d))))
+    return let(t, lambda want: F.array_sort(F.transform(every, lambda d: F.struct(F.abs(d - want).alias("gap"), (-d).alias("size"))))[0]["size"] * -1)
 
 
 def can_still_pass(successes: list[Column], seen: Column, total: Column, threshold: float) -> Column:

@@ -215,7 +215,7 @@ def s3_s4_jsonl_keyed(spark, d):
     kind = F.when(F.col("event_type") == "click", 1000).when(F.col("event_type") == "view", 1001).otherwise(-1)
     rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.col("user_id")).alias("sample_index"), kind.alias("index"))
     path = files.scratch(spark, "jsonl")
-    files.write_jsonl(rows.orderBy("event_id").coalesce(1), path)
+    files.write_jsonl(rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id"), path)  # files in the order of their names
     back = files.read_lines(spark, path, "event_id long, sample_index long, index long")
     return files.keyed(back, "sample_index", "index").select("_key", "event_id")
 
@@ -224,7 +224,7 @@ def s3_s4_jsonl_keyed(spark, d):
 def s5_jsonl_positional(spark, d):
     rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, 7).alias("index"))
     path = files.scratch(spark, "jsonl")
-    files.write_jsonl(rows.orderBy("event_id").coalesce(1), path)
+    files.write_jsonl(rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id"), path)  # files in the order of their names
     back = files.read_lines(spark, path, "event_id long, index long")
     return files.keyed(back, "index", default_to_line=True).select("_key", "event_id")
 

@@ -46,9 +46,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects with ``line``, the zero-based number among the lines that aren't blank, in file order."""
-    raw = spark.read.text(path).select("value", "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    raw = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
     raw = raw.where(F.trim("value") != "")
-    placed = numbered(raw, "file_name", "file_block_start", "at", name="line")
+    placed = numbered(raw, "file_path", "file_block_start", "at", name="line")
     return placed.select("line", F.from_json("value", schema).alias("o")).select("line", "o.*")
 
 
