@@ -143,6 +143,47 @@ def evidence_card(tools: Column, groups: dict[str, list[tuple[str, int]]], numbe
     )
 
 
+# The fields of the routing card by tool, as (label, feature).
+CARD_FIELDS = {
+    "extract_basic_statistics": (("acf1", "acf1"), ("acf_seasonal", "acf_seasonal"), ("cusum_max", "cusum")),
+    "extract_within_channel_dynamics": (
+        ("changepoints", "changepoints"), ("peak_count", "peaks"), ("peak_spacing_cv", "spacing_cv"), ("monotone_duration", "monotone"),
+    ),
+    "extract_forecast_residuals": (("residual_exceed_ratio", "exceed"),),
+    "extract_data_quality": (("quantization_score", "quantization"), ("saturation_ratio", "saturation")),
+    "extract_event_summary": (("dominant_pattern", "dominant"),),
+}
+
+
+def routing_card(features: Column, ran: Column) -> Column:
+    """The evidence card of all tool groups from a struct of features; ``ran`` are the tools that have shown theirs."""
+    numeric = [f for fields in CARD_FIELDS.values() for _, f in fields if f != "dominant"]
+    written = F.concat(evidence_numbers(F.array(*(features[f] for f in numeric))), F.array(features["dominant"]))
+    place = {f: i for i, f in enumerate([*numeric, "dominant"])}
+    return evidence_card(ran, {t: [(n, place[f]) for n, f in fields] for t, fields in CARD_FIELDS.items()}, written)
+
+
+def refinement_card(model: Column, tools: Column, keep: Column, signals: Column, edits: Column, may_keep: Column, said: dict[str, str]) -> Column:
+    """What speaks for the forecast as it is and for each edit (array of struct(edit, signals)), and what may be decided.
+
+    ``said`` describes edits; others read as their names.
+    """
+    listed = lambda c, none: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise(none)
+    words = F.create_map(*(F.lit(x) for pair in said.items() for x in pair))
+    line = lambda e: F.concat(
+        F.lit("- "), e["edit"], F.lit("="), F.coalesce(F.try_element_at(words, e["edit"]), F.replace(e["edit"], F.lit("_"), F.lit(" "))),
+        F.lit("; support=["), listed(e["signals"], "none"), F.lit("]"),
+    )
+    options = F.concat(F.transform(edits, lambda e: e["edit"]), F.when(may_keep, F.array(F.lit("keep_baseline"))).otherwise(F.array().cast("array<string>")))
+    support = F.when(F.size(edits) > 0, F.concat(F.lit("edit_support:\n"), F.array_join(F.transform(edits, line), "\n"))).otherwise("candidate_adjustments=[none]")
+    return joined(
+        "### Refinement Evidence Card", F.when(F.coalesce(model, F.lit("")) != "", F.concat(F.lit("selected_model="), model)),
+        F.concat(F.lit("observed_tools=["), listed(tools, "none"), F.lit("]")), F.concat(F.lit("keep_support=["), listed(keep, "none"), F.lit("]")),
+        F.concat(F.lit("support_signals=["), listed(signals, "evidence_consistent"), F.lit("]")), support,
+        F.concat(F.lit("decision_options=["), F.array_join(options, ", "), F.lit("]")), F.concat(F.lit("keep_baseline_allowed="), F.when(may_keep, "yes").otherwise("no")),
+    )
+
+
 # Titles and labels of the feature texts.
 LABELS = {
     "Basic Statistics": ("Median", "MAD", "ACF(1)", "ACF(seasonal)", "Peak Frequency", "Spectral Entropy", "CUSUM Max", "Quantile Kurtosis"),

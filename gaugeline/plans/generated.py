@@ -11,7 +11,7 @@ from ..sources import files
 from ..sources.tables import series, table
 from ..streaming import features as streams
 from ..streaming import state
-from .policies import PLAN, features
+from .policies import F_SQL, PLAN, features
 from .queries import CURRICULUM, TYPES, USERS, query
 from .rewards import EDITS, N, PAIRS, pairs, r
 
@@ -72,6 +72,43 @@ def t31_evidence_card(spark, d):
     return e.select("event_id", render.evidence_card(ran, groups, F.col("n")).alias("card"))
 
 
+_RAN = "CASE event_id % 5 WHEN 0 THEN array('extract_basic_statistics') WHEN 1 THEN array('extract_event_summary', 'extract_data_quality') WHEN 2 THEN cast(array() as array<string>) WHEN 3 THEN array('extract_within_channel_dynamics', 'extract_forecast_residuals') ELSE array('extract_basic_statistics', 'extract_within_channel_dynamics', 'extract_forecast_residuals', 'extract_data_quality', 'extract_event_summary') END"
+_RAN_SQL = _RAN.replace("cast(array() as array<string>)", "[]::VARCHAR[]").replace("array(", "[").replace("')", "']")
+_NUM = lambda c: f"CASE WHEN abs({c}) >= 100 THEN printf('%.1f', {c}) ELSE printf('%.4f', {c}) END"
+
+
+def _card_sql(tool: str) -> str:
+    fields = " || ', ' || ".join(f"'{n}=' || " + (f if f == "dominant" else _NUM(f)) for n, f in render.CARD_FIELDS[tool])
+    return f"CASE WHEN list_contains(ran, '{tool}') THEN chr(10) || '- {tool}: ' || {fields} ELSE '' END"
+
+
+@query(f"""WITH {F_SQL}, q AS (SELECT *, {_RAN_SQL} AS ran FROM f) SELECT event_id, '### Routing Evidence Card' || chr(10) || 'observed_tools=[' || CASE WHEN len(ran) = 0 THEN 'none' ELSE array_to_string(ran, ', ') END || ']' || chr(10) || 'tool_fields:' || {" || ".join(map(_card_sql, render.CARD_FIELDS))}
+ || chr(10) || 'missing_tool_groups=[' || coalesce(nullif(array_to_string(list_filter({list(render.CARD_FIELDS)}, lambda t: NOT list_contains(ran, t)), ', '), ''), 'none') || ']' AS card FROM q""")
+def t31_routing_card(spark, d):
+    return features(spark, d).select("event_id", render.routing_card(F.col("f"), F.expr(_RAN)).alias("card"))
+
+
+_SAID = {"local_level_adjust": "shift the level", "local_slope_adjust": "turn the slope"}
+
+
+@query(f"""WITH q AS (SELECT event_id, event_type, {_RAN_SQL} AS ran, event_id % 2 = 0 AS may FROM events) SELECT event_id, '### Refinement Evidence Card' || CASE WHEN event_id % 7 = 0 THEN '' ELSE chr(10) || 'selected_model=' || event_type END || chr(10) || 'observed_tools=[' || CASE WHEN len(ran) = 0 THEN 'none' ELSE array_to_string(ran, ', ') END || ']'
+ || chr(10) || 'keep_support=[' || CASE WHEN may THEN 'stable' ELSE 'none' END || ']' || chr(10) || 'support_signals=[' || CASE WHEN event_id % 3 = 0 THEN 'drift, shift' ELSE 'evidence_consistent' END || ']' || chr(10) ||
+ CASE event_id % 3 WHEN 0 THEN 'edit_support:' || chr(10) || '- local_level_adjust=shift the level; support=[shift]' || chr(10) || '- isolated_spike_smoothing=isolated spike smoothing; support=[none]' WHEN 1 THEN 'edit_support:' || chr(10) || '- local_slope_adjust=turn the slope; support=[drift, shift]' ELSE 'candidate_adjustments=[none]' END
+ || chr(10) || 'decision_options=[' || array_to_string(list_concat(CASE event_id % 3 WHEN 0 THEN ['local_level_adjust', 'isolated_spike_smoothing'] WHEN 1 THEN ['local_slope_adjust'] ELSE []::VARCHAR[] END, CASE WHEN may THEN ['keep_baseline'] ELSE []::VARCHAR[] END), ', ') || ']' || chr(10) || 'keep_baseline_allowed=' || CASE WHEN may THEN 'yes' ELSE 'no' END AS card FROM q""")
+def t31_refinement_card(spark, d):
+    e, none = F.col("event_id"), F.array().cast("array<string>")
+    edit = lambda name, *s: F.struct(F.lit(name).alias("edit"), (F.array(*map(F.lit, s)) if s else none).alias("signals"))
+    edits = (
+        F.when(e % 3 == 0, F.array(edit("local_level_adjust", "shift"), edit("isolated_spike_smoothing"))).when(e % 3 == 1, F.array(edit("local_slope_adjust", "drift", "shift")))
+        .otherwise(F.array().cast("array<struct<edit:string,signals:array<string>>>"))
+    )
+    card = render.refinement_card(
+        F.when(e % 7 != 0, F.col("event_type")), F.expr(_RAN), F.when(e % 2 == 0, F.array(F.lit("stable"))).otherwise(none),
+        F.when(e % 3 == 0, F.array(F.lit("drift"), F.lit("shift"))).otherwise(none), edits, e % 2 == 0, _SAID,
+    )
+    return table(spark, d, "events").select("event_id", card.alias("card"))
+
+
 @query("SELECT event_id, 'Data Quality:' || chr(10) || '  Quantization Score: ' || printf('%.4f', value) || chr(10) || '  Saturation Ratio: 0.2500' || chr(10) || '  Constant Channel Ratio: 0.0000' || chr(10) || '  Dropout Ratio: ' || printf('%.4f', value / 3) AS shown FROM events")
 def t32_feature_text(spark, d):
     e = table(spark, d, "events").withColumn("n", render.fixed(F.array("value", F.lit(0.25), F.lit(0.0), F.col("value") / 3)))
