@@ -54,7 +54,7 @@ def quantiles(rows: DataFrame, value: str, qs: tuple[float, ...], by: tuple[str,
         low, high = F.floor(spot), F.ceil(spot)
         at = lambda p: F.max(F.when(F.col("_p") == p, F.col("_v")))
         share = F.max(spot - low)
-        out.append((at(low) * (1 - share) + at(high) * share if not nearest else at(low)).alias(f"q{i}"))
+        out.append((at(low) + (at(high) - at(low)) * share if not nearest else at(low)).alias(f"q{i}"))  # equal neighbours give their value exactly
     wanted = F.lit(False)
     for q in qs:
         spot = F.greatest(F.ceil(F.col("_n") * q) - 1, F.lit(0)) if nearest else (F.col("_n") - 1) * F.lit(float(q))

@@ -494,3 +494,11 @@ def test_change_points_across_windows(spark):
     whole = kernels.breakpoints(np.array([r["value"] for r in rows.where("series_id = 'a' and pos < 400").orderBy("pos").collect()]))
     one = {r["pos"] for r in windows.change_points(rows.where("series_id = 'a' and pos < 400")).collect()}
     assert one == set(whole[:-1])
+
+
+def test_quantiles_between_equal_neighbours(spark):
+    """Between equal neighbours stands their value itself, not one a last bit below, or ties at a cut change their band."""
+    values = [round(0.9 + i * 0.000707, 6) for i in range(60)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values) for _ in range(3 + i % 6)], "g int, v double")
+    q = ordering.quantiles(rows, "v", (1 / 3, 2 / 3), ("g",)).collect()
+    assert len(q) == 60 and all(r["q0"] == r["q1"] == values[r["g"]] for r in q)
