@@ -81,20 +81,28 @@ def plan(f: Column) -> Column:
     stressed = _stressed(f)
     eventful = (f["segments"] >= 4) | f["dominant"].isin("rise", "fall", "oscillation")
 
-    def of(p: Column) -> Column:
+    def rivalled(p: Column) -> Column:
         rival = F.filter(ranked(p["scores"]), lambda r: r["model"] != p["primary"])[0]
-        gap = F.coalesce(*(F.when(p["primary"] == m, p["scores"][m]) for m in MODELS)) + rival["loss"]
+        own = F.coalesce(*(F.when(p["primary"] == m, p["scores"][m]) for m in MODELS))
+        return F.struct(p["primary"].alias("primary"), own.alias("own"), rival.alias("rival"))
+
+    def compared(p: Column) -> Column:
+        return F.struct(p["primary"].alias("primary"), p["rival"]["model"].alias("runner_up"), (p["own"] + p["rival"]["loss"]).alias("gap"))
 
+    def of(p: Column) -> Column:
         def needed(tool: str) -> Column:
             asks = lambda model: model.isin(*(m for m in MODELS if tool in NEEDS[m]))
             extra = {"extract_basic_statistics": F.lit(True), "extract_data_quality": stressed, "extract_event_summary": eventful}
-            return asks(p["primary"]) | ((gap <= 0.75) & asks(rival["model"])) | extra.get(tool, F.lit(False))
+            return asks(p["primary"]) | ((p["gap"] <= 0.75) & asks(p["runner_up"])) | extra.get(tool, F.lit(False))
 
         tools = F.array_compact(F.array(*(F.when(needed(t), F.lit(t)) for t in TOOLS)))
-        return F.struct(p["primary"].alias("primary"), rival["model"].alias("runner_up"), gap.alias("gap"), tools.alias("tools"))
+        return F.struct(p["primary"].alias("primary"), p["runner_up"].alias("runner_up"), p["gap"].alias("gap"), tools.alias("tools"))
 
-    scores = model_scores(f)
-    return let(F.struct(scores.alias("scores"), primary_model(f, scores).alias("primary")), of)
+    # Every step is bound: the ranking of the models is found once a row.
+    p = let(model_scores(f), lambda s: F.struct(s.alias("scores"), primary_model(f, s).alias("primary")))
+    for step in (rivalled, compared, of):
+        p = let(p, step)
+    return p
 
 
 # What a plan says of its features, its decision and its tools.
@@ -128,8 +136,8 @@ def rationale(f: Column, p: Column) -> Column:
 
 def batches(tools: Column, size: int) -> Column:
     """Known tools in their order, in groups of ``size``; the basic one where none is known."""
-    own = F.filter(F.array(*map(F.lit, TOOLS)), lambda t: F.array_contains(tools, t))
-    own = F.when(F.size(own) == 0, F.array(F.lit(TOOLS[0]))).otherwise(own)
+    known = let(tools, lambda own: F.filter(F.array(*map(F.lit, TOOLS)), lambda t: F.array_contains(own, t)))
+    own = let(known, lambda v: F.when(F.size(v) == 0, F.array(F.lit(TOOLS[0]))).otherwise(v))
     size = max(1, size)
     return let(own, lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size)), lambda i: F.slice(v, (i * size + 1).cast("int"), F.lit(size))))
 

@@ -28,10 +28,10 @@ def stage_rows(samples: DataFrame, tools: Column, per_batch: int, last: str = "r
 
 def bank_rows(samples: DataFrame, tools: Column, per_batch: int, final_only: bool) -> DataFrame:
     """Stage rows of a candidate bank: the final choice alone, or all stages before it."""
-    rows = stage_rows(samples, tools, per_batch, "final_select")
     if not final_only:
-        return rows
-    return rows.where("stage = 'final_select'").withColumns({"turn_count": F.lit(1), "stage_order": F.lit(0)})
+        return stage_rows(samples, tools, per_batch, "final_select")
+    row = {"turn_count": F.lit(1), "stage_order": F.lit(0), "stage": F.lit("final_select"), "batch": F.lit(-1), "tools": F.array().cast("array<string>")}
+    return samples.withColumns(row)  # one a sample, whatever its tools
 
 
 def candidates(samples: DataFrame, forecasts: str, history: str, default: str) -> DataFrame:
