@@ -79,12 +79,22 @@ def with_reward(df: DataFrame, solution: str, truth: str, allow_recovery: bool)
     The answer is first clamped to the expected number of stamped lines; an answer that
     neither protocol accepts scores -1.
     """
+    return _rewarded(_clamped(df, solution, truth), truth, allow_recovery)
+
+
+def _clamped(df: DataFrame, solution: str, truth: str) -> DataFrame:
+    """What both protocols score alike: the number of values expected, the clamped text and its number of values."""
     size = F.size(truth)
     df = df.withColumn("expected", size).withColumn("clamp", text.clamp(solution, F.col("expected")))
     df = df.withColumn("scored", F.when(size > 0, F.col("clamp.text")).otherwise(F.col(solution)))
+    return df.withColumn("raw_len", F.size(text.forecast_values("scored")))
+
+
+def _rewarded(df: DataFrame, truth: str, allow_recovery: bool) -> DataFrame:
+    """``with_reward`` of a clamped text."""
     df = text.protocol(df, "scored", "expected", allow_recovery)
     df = df.withColumn("pred", F.coalesce(text.forecast_values("answer"), F.array().cast("array<double>")))
-    df = df.withColumn("raw_len", F.size(text.forecast_values("scored"))).withColumn("pred_len", F.size("pred"))
+    df = df.withColumn("pred_len", F.size("pred"))
     p, t, n, e = F.col("pred"), F.col(truth), F.col("pred_len"), F.col("expected")
     recovered = F.col("mode").startswith("recovered_")
     over = F.col("clamp.applied") & (e > 0) & (F.col("clamp.raw_lines") > e)
@@ -104,13 +114,14 @@ def with_reward(df: DataFrame, solution: str, truth: str, allow_recovery: bool)
 def with_compared_rewards(df: DataFrame, solution: str, truth: str) -> DataFrame:
     """Adds the rewards of both protocols side by side: strict and recovered score, gap, modes and reasons, and line counts."""
     names = {"score": "score", "mode": "parse_mode"}
-    own = df.columns
-    strict = with_reward(df, solution, truth, False)
-    strict = strict.select(*own, *(F.col(c).alias(f"strict_{n}") for c, n in names.items()), F.col("reason").alias("reject_reason"))
-    both = with_reward(strict, solution, truth, True)
+    clamped = _clamped(df, solution, truth)
+    told = ("strict_score", "strict_parse_mode", "reject_reason")
+    strict = _rewarded(clamped, truth, False)
+    strict = strict.select(*clamped.columns, *(F.col(c).alias(n) for c, n in zip(("score", "mode", "reason"), told)))
+    both = _rewarded(strict, truth, True)
     lines = text.line_counts(F.col("scored"))[0]
     return both.select(
-        *strict.columns, *(F.col(c).alias(f"recovered_{n}") for c, n in names.items()), (F.col("score") - F.col("strict_score")).alias("recovery_gap"),
+        *df.columns, *told, *(F.col(c).alias(f"recovered_{n}") for c, n in names.items()), (F.col("score") - F.col("strict_score")).alias("recovery_gap"),
         F.col("clamp.applied").alias("clamped"), F.col("overrun_loss").alias("raw_overrun_penalty"), lines.alias("answer_line_count"),
         F.col("expected").alias("expected_answer_line_count"), ((F.col("expected") > 0) & (lines >= F.col("expected"))).alias("wrote_expected_rows_before_stop"),
     )

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .arrays import let
+
 # Patterns of the formats read.
 NUMBER = r"-?\d+(?:\.\d+)?"
 STAMP = r"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}"
@@ -61,12 +63,11 @@ def text_field(s: Column | str, name: str) -> Column:
 
 def history_block(s: Column | str) -> Column:
     """What follows the marker on its own line, else the inline marker, else the whole text; trimmed."""
-    c = strip(column(s))
     own = r"(?is)^(?:.*?\n)??Historical Data:[ \t]*(?:\n(.*))?$"
     inline = r"(?is)^(?:.*?\n)??Historical Data:[ \t]*([^\n].*)$"
-    return strip(
+    return let(strip(column(s)), lambda c: strip(
         F.when(c.rlike(own), F.regexp_extract(c, own, 1)).when(c.rlike(inline), F.regexp_extract(c, inline, 1)).otherwise(c)
-    )
+    ))
 
 
 def task_type(s: Column | str) -> Column:
@@ -88,10 +89,20 @@ def parse_line(line: Column, target: Column) -> Column:
     several values of one name the last counts; its first place keeps the order.
     """
     stamped = rf"^({STAMP})(?:\s+|$)(.*)$"
-    stamp = found(line, stamped)
     body = strip(F.when(line.rlike(stamped), F.regexp_extract(line, stamped, 2)).otherwise(line))
-    names, numbers = F.regexp_extract_all(body, F.lit(NAMED), F.lit(1)), F.regexp_extract_all(body, F.lit(NAMED), F.lit(2))
-    pairs = F.arrays_zip(names.alias("name"), numbers.alias("number"))
+
+    def split(body: Column) -> Column:
+        names, numbers = F.regexp_extract_all(body, F.lit(NAMED), F.lit(1)), F.regexp_extract_all(body, F.lit(NAMED), F.lit(2))
+        scalar = F.regexp_extract(body, rf"({NUMBER})$", 1).try_cast("double")
+        return F.struct(found(line, stamped).alias("stamp"), names.alias("names"), numbers.alias("numbers"), scalar.alias("scalar"))
+
+    return let(let(body, split), lambda v: _valued(v, target))
+
+
+def _valued(v: Column, target: Column) -> Column:
+    """``parse_line`` of a line split into stamp, names, their numbers and the number at its end."""
+    names, scalar = v["names"], v["scalar"]
+    pairs = F.arrays_zip(names.alias("name"), v["numbers"].alias("number"))
     distinct = F.array_distinct(names)
 
     def last(name: Column) -> Column:
@@ -104,11 +115,10 @@ def parse_line(line: Column, target: Column) -> Column:
         F.when(target.isNotNull(), pick(F.coalesce(target, F.lit("")))), pick(F.lit("target")), pick(F.lit("OT")),
         last(F.get(names, F.lit(0))),
     )
-    scalar = F.regexp_extract(body, rf"({NUMBER})$", 1).try_cast("double")
     named = F.size(names) > 0
     fallback = F.array(F.coalesce(target, F.lit("target")))
     return F.struct(
-        stamp.alias("stamp"), F.when(named, chosen).otherwise(scalar).alias("value"),
+        v["stamp"].alias("stamp"), F.when(named, chosen).otherwise(scalar).alias("value"),
         F.when(named, distinct).otherwise(fallback).alias("names"),
         F.when(named, F.transform(distinct, last)).otherwise(F.array(scalar)).alias("numbers"),
     )
@@ -116,7 +126,7 @@ def parse_line(line: Column, target: Column) -> Column:
 
 def records(s: Column | str, target: Column) -> Column:
     """Parsed lines of a prompt's history, in order, skipped lines left out."""
-    return F.filter(F.transform(lines(history_block(s)), lambda x: parse_line(x, target)), lambda r: r["value"].isNotNull())
+    return let(target, lambda t: F.filter(F.transform(lines(history_block(s)), lambda x: parse_line(x, t)), lambda r: r["value"].isNotNull()))
 
 
 # --- forecast lines (T8-T12, T17-T19, D4) ---------------------------------------------------------
@@ -203,18 +213,22 @@ def _without(c: Column, *tags: str) -> Column:
 def forecast_block(s: Column | str) -> Column:
     """First run of forecast lines, prose before it skipped; empty lines don't end it.  Empty: none."""
     parts = lines(_without(column(s), "<|im_end|>", "<answer>", "</answer>"))
-    good = lambda x: is_stamped(x) | x.rlike(rf"^{LOOSE}$")
-    start = F.array_position(F.transform(parts, good), F.lit(True)).cast("int")
-    rest = F.when(start > 0, F.slice(parts, start, F.size(parts))).otherwise(F.array().cast("array<string>"))
-    stop = F.array_position(F.transform(rest, good), F.lit(False)).cast("int")
-    return F.when(stop > 0, F.slice(rest, F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(rest)
+    marked = F.transform(parts, lambda x: F.struct(x.alias("line"), (is_stamped(x) | x.rlike(rf"^{LOOSE}$")).alias("good")))
+    place = lambda v, good: F.array_position(F.transform(v, lambda m: m["good"]), F.lit(good)).cast("int")
+    rest = let(marked, lambda v: let(place(v, True), lambda n: F.when(n > 0, F.slice(v, n, F.size(v))).otherwise(F.slice(v, 1, 0))))
+    run = let(rest, lambda v: let(place(v, False), lambda n: F.when(n > 0, F.slice(v, F.lit(1), F.greatest(n - 1, F.lit(0)))).otherwise(v)))
+    return F.transform(run, lambda m: m["line"])
 
 
-def is_plain_block(s: Column | str) -> Column:
+def plain_block(s: Column | str) -> Column:
+    """The forecast block of a text that is nothing else; null: it has none, or more."""
     c = column(s)
     text = _without(c, "<|im_end|>", "<think>", "</think>", "<answer>", "</answer>")
-    block = forecast_block(c)
-    return (F.size(block) > 0) & (lines(text) == block)
+    return let(forecast_block(c), lambda block: F.when((F.size(block) > 0) & (lines(text) == block), block))
+
+
+def is_plain_block(s: Column | str) -> Column:
+    return plain_block(s).isNotNull()
 
 
 def line_counts(s: Column) -> tuple[Column, Column]:
@@ -293,7 +307,7 @@ def protocol(df: DataFrame, s: str, expected: str, allow_recovery: bool) -> Data
     mode = F.when(F.col("reason").isNull(), "strict_protocol").otherwise(F.concat(F.lit("rejected_"), "reason"))
     if not allow_recovery:
         return df.withColumns({"mode": mode, "answer": F.when(F.col("reason").isNull(), F.col("_strict"))}).drop("_strict")
-    df = df.withColumns({"_block": answer_block(c), "_plain": F.when(is_plain_block(c), F.array_join(forecast_block(c), "\n")).otherwise("")})
+    df = df.withColumns({"_block": answer_block(c), "_plain": F.coalesce(F.array_join(plain_block(c), "\n"), F.lit(""))})
     df = df.withColumn("_plain", F.when(F.col("_plain") == F.col("_block"), "").otherwise(F.col("_plain")))
     df = df.withColumns({f"{k}_{part}": f(F.col(k)) for k in ("_block", "_plain") for part, f in (("lines", lines), ("values", forecast_values))})
     df = df.withColumns({f"{k}_stamped": line_format(F.col(f"{k}_lines")) == "timestamp_value" for k in ("_block", "_plain")})
@@ -322,32 +336,45 @@ def clamp(s: Column | str, expected: Column) -> Column:
     """``struct(applied, reason, raw_lines, valid_lines, discarded, text)``: the answer cut to ``expected`` stamped lines."""
     c = column(s)
     shape = rf"(?s)^\s*{THINK}\s*<answer>(.*)$"
-    tail = F.regexp_extract(c, shape, 2)
-    body = F.substring_index(tail, "</answer>", 1)
-    trailing = F.when(has(tail, "</answer>"), strip(F.regexp_extract(tail, r"(?s)^.*?</answer>(.*)$", 1))).otherwise("")
-    raw = lines(body)
-    stop = F.array_position(F.transform(raw, is_stamped), F.lit(False)).cast("int")
-    valid = F.when(stop > 0, stop - 1).otherwise(F.size(raw))
-    exact = (valid == expected) & (F.size(raw) == expected) & has(c, "</answer>") & strip(c).endswith("</answer>")
-    reason = (
-        F.when(c.isNull(), "empty_solution").when(expected <= 0, "non_positive_expected_len")
-        .when(has(c, "<tool_call>") | has(c, "</tool_call>"), "tool_call_payload")
-        .when(~c.rlike(shape), "missing_think_answer_prefix").when(~trailing.isin("", "<|im_end|>"), "unexpected_trailing_text")
-        .when(valid < expected, "insufficient_valid_timestamp_prefix").when(exact, "already_exact")
-        .otherwise("truncate_after_expected_timestamp_rows")
-    )
-    applied = reason == "truncate_after_expected_timestamp_rows"
-    counted = reason.isin("insufficient_valid_timestamp_prefix", "already_exact") | applied
-    kept = F.array_join(F.slice(raw, F.lit(1), F.greatest(expected.cast("int"), F.lit(1))), "\n")
-    rebuilt = F.concat(
-        F.lit("<think>"), strip(F.regexp_extract(c, shape, 1)), F.lit("</think>\n\n<answer>\n"), kept, F.lit("\n</answer>")
-    )
-    return F.struct(
-        applied.alias("applied"), reason.alias("reason"), F.when(counted, F.size(raw)).otherwise(0).cast("long").alias("raw_lines"),
-        F.when(counted, valid).otherwise(0).cast("long").alias("valid_lines"),
-        F.when(applied, valid - expected).otherwise(0).cast("long").alias("discarded"),
-        F.when(applied, rebuilt).otherwise(c).alias("text"),
-    )
+
+    def split(tail: Column) -> Column:
+        trailing = F.when(has(tail, "</answer>"), strip(F.regexp_extract(tail, r"(?s)^.*?</answer>(.*)$", 1))).otherwise("")
+        return F.struct(trailing.alias("trailing"), lines(F.substring_index(tail, "</answer>", 1)).alias("raw"))
+
+    def counted(v: Column) -> Column:
+        stop = F.array_position(F.transform(v["raw"], is_stamped), F.lit(False)).cast("int")
+        valid = let(stop, lambda n: F.when(n > 0, n - 1).otherwise(F.size(v["raw"])))
+        return F.struct(v["trailing"].alias("trailing"), v["raw"].alias("raw"), valid.alias("valid"))
+
+    def judged(v: Column) -> Column:
+        exact = (v["valid"] == expected) & (F.size(v["raw"]) == expected) & has(c, "</answer>") & strip(c).endswith("</answer>")
+        reason = (
+            F.when(c.isNull(), "empty_solution").when(expected <= 0, "non_positive_expected_len")
+            .when(has(c, "<tool_call>") | has(c, "</tool_call>"), "tool_call_payload")
+            .when(~c.rlike(shape), "missing_think_answer_prefix").when(~v["trailing"].isin("", "<|im_end|>"), "unexpected_trailing_text")
+            .when(v["valid"] < expected, "insufficient_valid_timestamp_prefix").when(exact, "already_exact")
+            .otherwise("truncate_after_expected_timestamp_rows")
+        )
+        return F.struct(v["raw"].alias("raw"), v["valid"].alias("valid"), reason.alias("reason"))
+
+    def result(v: Column) -> Column:
+        applied = v["reason"] == "truncate_after_expected_timestamp_rows"
+        counts = v["reason"].isin("insufficient_valid_timestamp_prefix", "already_exact") | applied
+        kept = F.array_join(F.slice(v["raw"], F.lit(1), F.greatest(expected.cast("int"), F.lit(1))), "\n")
+        rebuilt = F.concat(
+            F.lit("<think>"), strip(F.regexp_extract(c, shape, 1)), F.lit("</think>\n\n<answer>\n"), kept, F.lit("\n</answer>")
+        )
+        return F.struct(
+            applied.alias("applied"), v["reason"].alias("reason"), F.when(counts, F.size(v["raw"])).otherwise(0).cast("long").alias("raw_lines"),
+            F.when(counts, v["valid"]).otherwise(0).cast("long").alias("valid_lines"),
+            F.when(applied, v["valid"] - expected).otherwise(0).cast("long").alias("discarded"),
+            F.when(applied, rebuilt).otherwise(c).alias("text"),
+        )
+
+    out = F.regexp_extract(c, shape, 2)
+    for step in (split, counted, judged, result):
+        out = let(out, step)
+    return out
 
 
 # --- decisions and candidates (T20-T22, T25, C31) -----------------------------------------------------
@@ -407,33 +434,44 @@ def tool_calls(s: Column | str, allowed: Column, max_calls: int | None = None) -
     """
     c = F.coalesce(column(s), F.lit(""))
 
-    def read(block: Column) -> Column:
-        payload = strip(block)
-        keys = F.json_object_keys(F.when(payload.rlike(r"(?s)^\{.*\}$"), payload))
-        name = strip(F.coalesce(F.get_json_object(payload, "$.name"), F.lit("")))
-        arguments = F.get_json_object(payload, "$.arguments")
-        dict_like = arguments.isNull() | strip(arguments).startswith("{")
-        valid = F.try_parse_json(payload).isNotNull()
+    def judged(v: Column) -> Column:
+        valid = F.try_parse_json(v["payload"]).isNotNull()
+        dict_like = v["arguments"].isNull() | strip(v["arguments"]).startswith("{")
         state = (
-            F.when(~valid | keys.isNull(), "bad_json").when(name == "", "no_name")
-            .when((F.size(allowed) > 0) & ~F.array_contains(allowed, name), "bad_name")
+            F.when(~valid | v["keys"].isNull(), "bad_json").when(v["name"] == "", "no_name")
+            .when((F.size(allowed) > 0) & ~F.array_contains(allowed, v["name"]), "bad_name")
             .when(~dict_like, "bad_arguments").otherwise("call")
         )
-        return F.struct(state.alias("state"), name.alias("name"))
+        return F.struct(state.alias("state"), v["name"].alias("name"))
 
-    every = F.transform(F.regexp_extract_all(c, F.lit(TOOL_CALL), F.lit(1)), read)
-    if max_calls is not None:
+    def read(payload: Column) -> Column:
+        return F.struct(
+            payload.alias("payload"), F.json_object_keys(F.when(payload.rlike(r"(?s)^\{.*\}$"), payload)).alias("keys"),
+            strip(F.coalesce(F.get_json_object(payload, "$.name"), F.lit(""))).alias("name"), F.get_json_object(payload, "$.arguments").alias("arguments"),
+        )
+
+    def looked_at(every: Column) -> Column:
+        if max_calls is None:
+            return every
         places = F.filter(F.transform(every, lambda b, i: F.when(b["state"] == "call", i + 1)), lambda i: i.isNotNull())
         last = F.get(places, F.lit(max(max_calls, 1) - 1))
-        every = F.slice(every, F.lit(1), F.coalesce(last.cast("int"), F.greatest(F.size(every), F.lit(1))))
-    count = lambda state: F.size(F.filter(every, lambda b: b["state"] == state)).cast("long").alias
-    names = lambda *states: F.array_join(F.transform(F.filter(every, lambda b: b["state"].isin(*states)), lambda b: b["name"]), "->")
-    return F.struct(
-        strip(F.regexp_replace(c, TOOL_CALL, "")).alias("content"), F.size(every).cast("long").alias("blocks"),
-        count("bad_json")("bad_json"), count("no_name")("no_name"), count("bad_name")("bad_name"),
-        count("bad_arguments")("bad_arguments"), count("call")("calls"),
-        names("bad_name", "bad_arguments", "call").alias("names"), names("bad_name", "bad_arguments").alias("bad_names"),
-    )
+        return F.slice(every, F.lit(1), F.coalesce(last.cast("int"), F.greatest(F.size(every), F.lit(1))))
+
+    def summary(every: Column) -> Column:
+        count = lambda state: F.size(F.filter(every, lambda b: b["state"] == state)).cast("long").alias
+        names = lambda *states: F.array_join(F.transform(F.filter(every, lambda b: b["state"].isin(*states)), lambda b: b["name"]), "->")
+        return F.struct(
+            strip(F.regexp_replace(c, TOOL_CALL, "")).alias("content"), F.size(every).cast("long").alias("blocks"),
+            count("bad_json")("bad_json"), count("no_name")("no_name"), count("bad_name")("bad_name"),
+            count("bad_arguments")("bad_arguments"), count("call")("calls"),
+            names("bad_name", "bad_arguments", "call").alias("names"), names("bad_name", "bad_arguments").alias("bad_names"),
+        )
+
+    # Each step's array is bound once: a lambda's body is computed anew wherever its column is named.
+    every = F.regexp_extract_all(c, F.lit(TOOL_CALL), F.lit(1))
+    for step in (strip, read, judged):
+        every = F.transform(every, step)
+    return let(let(every, looked_at), summary)
 
 
 def tool_message(name: Column, arguments: Column) -> Column:

@@ -502,3 +502,30 @@ def test_quantiles_between_equal_neighbours(spark):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values) for _ in range(3 + i % 6)], "g int, v double")
     q = ordering.quantiles(rows, "v", (1 / 3, 2 / 3), ("g",)).collect()
     assert len(q) == 60 and all(r["q0"] == r["q1"] == values[r["g"]] for r in q)
+
+
+def named_times(df, made, name: str) -> int:
+    """How often the plan of a column names a function: a lambda's body is computed anew wherever its column is named."""
+    return df.select(made.alias("x"))._jdf.queryExecution().analyzed().toString().lower().count(f"{name}(")
+
+
+def test_tool_calls_are_read_once(spark):
+    df = spark.createDataFrame([("<tool_call>{\"name\": \"a\"}</tool_call>",)], "s string")
+    assert named_times(df, text.tool_calls("s", F.array(F.lit("a")), 2), "json_object_keys") == 1
+
+
+def test_history_lines_are_split_once(spark):
+    df = spark.createDataFrame([("Historical Data:\na=1",)], "s string")
+    made = text.records("s", text.text_field("s", "Target Column"))
+    assert named_times(df, made, "regexp_extract_all") == 2 and named_times(df, made, "split") == 1
+
+
+def test_plans_rank_models_once(spark):
+    f = F.struct(*(F.lit(0.5).alias(k) for k in ("acf1", "acf_seasonal", "cusum", "changepoints", "peaks", "spacing_cv", "monotone", "exceed", "quantization", "saturation", "segments")), F.lit("flat").alias("dominant"))
+    assert named_times(spark.range(1), policy.plan(f), "array_sort") == 2  # the best model, and its rival
+
+
+def test_clamped_lines_are_judged_once(spark):
+    df = spark.createDataFrame([("<think>x</think><answer>1</answer>",)], "s string")
+    assert named_times(df, text.clamp("s", F.lit(3)), "split") == 1
+    assert named_times(df, text.plain_block("s"), "split") == 2  # lines of the block, lines of the text
