@@ -16,56 +16,89 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 WINDOWS = "series_id string, start long, history array<double>, future array<double>"
 
 
+#: Microseconds of event time whose rows wait together, arriving rows dealt at once, and windows of one output frame.
+SPAN, DEALT, FRAME = 3_600_000_000, 65_536, 4096
+
+
 class CountWindows(StatefulProcessor):
     """Every ``history`` values and the ``horizon`` after them, of each series in order of (time, id).
 
     Rows wait until the watermark has passed them, since an earlier one may still come; a
     timer wakes them.  Then they enter a ring of the last ``history + horizon - 1`` values.
-    State of a series: that ring, and the rows of the span that the watermark allows to be late.
+    State of a series: that ring, and the rows of the span that the watermark allows to be late,
+    in pieces of ``SPAN``.  One piece and one frame of windows are in memory at a time.
     """
 
-    def __init__(self, history: int, horizon: int):
-        self.history, self.horizon = history, horizon
+    def __init__(self, history: int, horizon: int, span: int = SPAN):
+        self.history, self.horizon, self.span = history, horizon, span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.ring = handle.getValueState("ring", "n long, values array<double>")
-        self.waiting = handle.getListState("waiting", "us long, id long, value double")
+        self.waiting = handle.getMapState("waiting", "span long, part long", "us array<long>, id array<long>, value array<double>")
+        self.parts = handle.getMapState("parts", "span long", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = None
+        last, held, counts = None, [], {}
         for frame in rows:
-            if key[0] is not None:
-                us = frame["us"].tolist()
-                self.waiting.appendList(list(zip(us, frame["id"].tolist(), frame["value"].tolist())))
-                last = max(us + [last] if last is not None else us)
+            if key[0] is not None and len(frame):
+                held.append(frame)
+                last = max(int(frame["us"].max()), last if last is not None else int(frame["us"].max()))
+                if sum(map(len, held)) >= DEALT:
+                    self._wait(pd.concat(held), counts)
+                    held = []
+        if held:
+            self._wait(pd.concat(held), counts)
+        for span, parts in counts.items():
+            self.parts.updateValue((span,), (parts,))
         if last is not None:
             self.handle.registerTimer(last // 1000 + 1)
         return iter(())
 
+    def _wait(self, rows: pd.DataFrame, counts: dict[int, int]) -> None:
+        """Rows into the pieces of their times; ``counts`` has the parts of each piece met so far."""
+        for span, piece in rows.groupby(rows["us"] // self.span):
+            if span not in counts:
+                counts[span] = self.parts.getValue((span,))[0] if self.parts.containsKey((span,)) else 0
+            self.waiting.updateValue((span, counts[span]), tuple(piece[c].tolist() for c in ("us", "id", "value")))
+            counts[span] += 1
+
+    def _take(self, span: int) -> list[tuple]:
+        """The rows of one piece, which leave the state."""
+        rows = []
+        for part in range(self.parts.getValue((span,))[0]):
+            rows += zip(*self.waiting.getValue((span, part)))
+            self.waiting.removeKey((span, part))
+        self.parts.removeKey((span,))
+        return sorted(rows)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        ready = [r for r in rows if r[0] // 1000 < passed]
-        rest = rows[len(ready):]
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        if not ready:
-            return
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due = sorted(k[0] for k in self.parts.keys() if k[0] * self.span < passed)
         n, values = self.ring.get() if self.ring.exists() else (0, [])
-        size, held = self.history + self.horizon, list(values)
-        out = []
-        for _, _, value in ready:
-            held.append(value)
-            n += 1
-            if len(held) == size:
-                out.append((key[0], n - size, held[:self.history], held[self.history:]))
-                held = held[1:]
+        size, held, out = self.history + self.horizon, list(values), []
+        for span in due:
+            rows = self._take(span)
+            ready = [r for r in rows if r[0] // 1000 * 1000 < passed]
+            if rest := rows[len(ready):]:  # of the piece that the watermark stands in
+                self.waiting.updateValue((span, 0), tuple(map(list, zip(*rest))))
+                self.parts.updateValue((span,), (1,))
+            for _, _, value in ready:
+                held.append(value)
+                n += 1
+                if len(held) == size:
+                    out.append((key[0], n - size, held[:self.history], held[self.history:]))
+                    held = held[1:]
+                if len(out) == FRAME:
+                    yield self._frame(out)
+                    out = []
         self.ring.update((n, held))
         if out:
-            yield pd.DataFrame(out, columns=["series_id", "start", "history", "future"])
+            yield self._frame(out)
+
+    @staticmethod
+    def _frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["series_id", "start", "history", "future"])
 
     def close(self) -> None:
         pass

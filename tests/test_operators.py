@@ -12,6 +12,7 @@ from gaugeline import registry
 from gaugeline.functions import arrays, policy, scores, text
 from gaugeline.operators import arima, forecasts, kernels, learners, ordering, scans, selection, trajectories, windows
 from gaugeline.sources import files
+from gaugeline.streaming import state
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -529,3 +530,67 @@ def test_clamped_lines_are_judged_once(spark):
     df = spark.createDataFrame([("<think>x</think><answer>1</answer>",)], "s string")
     assert named_times(df, text.clamp("s", F.lit(3)), "split") == 1
     assert named_times(df, text.plain_block("s"), "split") == 2  # lines of the block, lines of the text
+
+
+class _Value:
+    """A value state in memory."""
+
+    held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+class _Map(dict):
+    """A map state in memory."""
+
+    containsKey, getValue, removeKey = dict.__contains__, dict.__getitem__, dict.__delitem__
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+
+class _Handle:
+    def __init__(self):
+        self.maps = []
+
+    def getValueState(self, *_):
+        return _Value()
+
+    def getMapState(self, *_):
+        self.maps.append(_Map())
+        return self.maps[-1]
+
+    def registerTimer(self, ms):
+        self.timer = ms
+
+
+class _Timers:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_count_windows_hold_a_piece_and_a_frame(spark):
+    """Waiting rows are kept by spans of time and windows leave in frames of bounded size, in order, late rows included."""
+    n, minute = 20_000, 60_000_000
+    order = np.random.default_rng(5).permutation(n)
+    rows = pd.DataFrame({"us": order * minute, "id": order, "value": order.astype(float)})
+    handle, of = _Handle(), state.CountWindows(24, 8)
+    of.init(handle)
+    list(of.handleInputRows(("a",), iter([rows[:9000], rows[9000:]]), None))
+    assert max(len(v[0]) for v in handle.maps[0].values()) <= 60  # one hour
+    frames = list(of.handleExpiredTimer(("a",), _Timers(12_345 * 60_000 + 1), None))
+    assert max(map(len, frames)) <= state.FRAME and sum(len(v[0]) for v in handle.maps[0].values()) == n - 12_346
+    frames += list(of.handleExpiredTimer(("a",), _Timers(n * 60_000), None))
+    made = pd.concat(frames)
+    assert made["start"].tolist() == list(range(n - 31)) and not handle.maps[0]
+    assert made["history"].str[0].tolist() == list(range(n - 31)) and made["future"].str[-1].tolist() == list(range(31, n))
