@@ -3,8 +3,8 @@
 The patterns find assignments to secret-like names, access keys and long hex
 runs.  The novelty rule takes further tokens in a sensitive context and measures
 their marginal compressed bytes: zstandard is primed with a dictionary of
-identifiers, those of source code in general and those learned from a bounded
-sample of the corpus, followed by the code around the candidate.  A candidate that
+identifiers, those of source code in general and those counted over the whole
+corpus, followed by the code around the candidate.  A candidate that
 still costs many bytes per character cannot be predicted from either, so it is
 reported as ``novel``.
 
@@ -83,25 +83,34 @@ NOVELTY = 0.75
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z_-]{3,}(?![A-Za-z0-9+/])")
 
 
-def learn_identifiers(docs: DataFrame, rows: int = 1024, size: int = 8192) -> str:
+#: Distinct words that a task counts before it hands them on.
+COUNTED = 200_000
+
+
+def learn_identifiers(docs: DataFrame, size: int = 8192) -> str:
     """Dictionary text: the corpus's own identifiers, then the common ones.
 
     Identifiers are letters, "_" and "-" only (a secret with a digit can't enter whole)
-    and stand in two texts at least of the documents whose ids come first by a hash, whole
-    texts of any length.  Tasks count them; ``size`` characters at most reach the driver;
-    the most frequent stand last, nearest to what is measured.
+    and stand in two texts at least of all documents, whole texts of any length.  Tasks
+    count them; ``size`` characters at most reach the driver; the most frequent stand
+    last, nearest to what is measured.
     """
 
+    def rows(found: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
     def count(batches):
+        found = Counter()
         for batch in batches:
-            found = Counter(w for text in batch.column(0).to_pylist() if text for w in set(_IDENTIFIER.findall(text)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
-
-    mark = F.xxhash64("doc_id")
-    last = docs.select(mark.alias("mark")).orderBy("mark").limit(rows).agg(F.max("mark")).first()[0]
-    if last is None:
-        return IDENTIFIERS
-    counts = docs.where(mark <= last).select("text").mapInArrow(count, "word string, n long")
+            for text in batch.column(0).to_pylist():
+                if text:
+                    found.update(set(_IDENTIFIER.findall(text)))
+                if len(found) >= COUNTED:
+                    yield rows(found)
+                    found.clear()
+        yield rows(found)
+
+    counts = docs.select("text").mapInArrow(count, "word string, n long")
     often = counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1 and length(word) < 64")
     out, left = [], size
     for row in often.orderBy(F.desc("n"), "word").limit(size // 5).collect():  # four letters and a gap at least

@@ -725,3 +725,12 @@ def test_pipeline(spark):
         docs = stage(spark, docs, "/root/testdata/sf0.001")
         assert docs.columns == columns, name
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == docs.count()
+
+
+def test_identifiers_are_counted_over_all_documents(spark):
+    """A word of two late documents counts as one of the first ones does."""
+    texts = [f"only_here_{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]}{'ABCDEFG'[i // 600]} common_word" for i in range(4000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    marks = [r[0] for r in df.orderBy(F.xxhash64("doc_id")).select("doc_id").collect()]
+    late = df.withColumn("text", F.when(F.col("doc_id").isin(marks[-2:]), "late_identifier").otherwise(F.col("text")))
+    assert "late_identifier" in secret_scan.learn_identifiers(late).split()
