@@ -454,6 +454,30 @@ def test_fit_takes_whole_rows(spark, monkeypatch):
     assert len(seen) == 6 and all(list(r[0]) in want for r in seen)  # six whole rows; a seventh would pass the bound
 
 
+def test_fit_covers_rows_beyond_the_first(spark):
+    rows = [(i, f"w{i % 7} " + ("fine" if i % 2 else f"rude{i % 5}") + (f" late{i % 3}" if i % 3 else ""), "s", "x") for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    rated = [(i, (i + (i * i % 11 < 4)) % 2, int(i * i % 13 == 1)) for i in range(300)]
+    lab = spark.createDataFrame(rated, "doc_id long, quality int, toxic int")
+    few, low = ordinal.train(df, lab, 5)
+    every, same = ordinal.train(df, lab)
+    assert all(few[ordinal.bucket(w)] for w in [b"fine", *(b"rude%d" % i for i in range(5)), b"late1", b"late2"])
+    y = [ordinal.grade(q, t) for _, q, t in rated]
+    made = [ordinal.features(r[1]) for r in rows]
+    k = [len(b) for b, _ in made]
+    data = (np.array(y), np.repeat(np.arange(300), k), np.concatenate([np.array(b) for b, _ in made]),
+            np.repeat([ordinal.weight(n) for n in k], k), np.array([s for _, s in made]), ordinal.RIDGE)
+    assert ordinal.loss(few, *data) == pytest.approx(ordinal.loss(every, *data), rel=0.02) and low == pytest.approx(same, abs=0.02)
+    total = ordinal.sums(few, *data[:-1])
+    assert total[-2] / ordinal.UNIT / 300 == pytest.approx(ordinal.loss(few, *data[:-1], 0), abs=1e-5) and total[-1] == 300
+
+
+def test_value_at_a_place(spark):
+    v = [0.5, 0.25, 0.25, 0.1 + 0.2, 0.3, 1e-9, 1.0, 0.9999999999999999]
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    assert [ordinal.value_at(df, i) for i in range(len(v))] == sorted(v)
+
+
 def test_secrets_in_one_long_run_take_linear_time():
     import time
 
