@@ -54,6 +54,8 @@ BLOCK = 1024
 #: there; where more would be needed a pair comes twice and is made distinct.
 EARLIER = 16
 LEAF, FAN = 16, 8
+#: Sets of a bucket that are paired one by one: arrays and a tree cost more than so few pairs.
+FEW = 12
 #: Bytes of bitmaps that a traversal gathers at a time.
 GATHERED = 32 << 20
 NEIGHBOURS = 32
@@ -279,6 +281,44 @@ def propose(n, maps, comp, keys, block, first: bool, earlier=None, across: bool
     return [(x, y) if x < y else (y, x) for x, y in out if x != y]
 
 
+def _folded_to(bits: int, size: int, to: int) -> int:
+    """A bitmap of ``size`` bits cut to ``to`` of them, both powers of two."""
+    while size > to:
+        size //= 2
+        bits = (bits & ((1 << size) - 1)) | (bits >> size)
+    return bits
+
+
+def propose_few(n, maps, comp, keys, first: bool, earlier, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """``propose`` for a bucket of ``FEW`` sets at most in one block: the same bounds on whole numbers, pair by pair."""
+    order = sorted(range(len(n)), key=lambda i: (n[i], keys[i]))
+    bits = [int.from_bytes(m, "little") for m in maps]
+    out = []
+    for place, i in enumerate(order):
+        best, near = None, 0.0
+        for j in reversed(order[:place]):
+            if 100 * n[j] < percent * n[i]:  # sizes ascend: all before are smaller yet
+                break
+            if keys[i] == keys[j] or (not first and comp[i] == comp[j]):
+                continue
+            x, y, own, other = bits[i], bits[j], len(maps[i]), len(maps[j])
+            if own != other:
+                size = 8 * min(own, other)
+                x, y = _folded_to(x, 8 * own, size), _folded_to(y, 8 * other, size)
+            both = (x & y).bit_count()
+            overlap = min(n[i] - x.bit_count(), n[j] - y.bit_count()) + both  # as in _bound
+            if 100 * overlap < percent * (n[i] + n[j] - overlap):
+                continue
+            if not first:
+                if not earlier[i] or not earlier[j] or set(earlier[i]).isdisjoint(earlier[j]):
+                    out.append((keys[i], keys[j]))
+            elif overlap / n[i] > near:
+                best, near = j, overlap / n[i]
+        if best is not None:
+            out.append((keys[i], keys[best]))
+    return [(x, y) if x < y else (y, x) for x, y in out]
+
+
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -326,12 +366,18 @@ def search(rows: DataFrame, first: bool, percent: int = PERCENT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(group, key):
             own, keys, n, comp, maps, earlier = zip(*group)
+            if len(group) <= FEW and key[1] == key[2]:
+                return propose_few(n, maps, comp, keys, first, earlier, PERCENT if first else percent)
             pairs = propose(
                 np.array(n, np.int64), maps, np.array(comp, np.int64), np.array(keys, np.int64), np.array(own),
                 first, earlier, key[1] != key[2], percent,
             )
             return sorted(set(pairs))
 
+        def made(found):
+            a, b = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIRS)
+
         held, key = [], None
         for batch in batches:
             found = []
@@ -341,9 +387,9 @@ def search(rows: DataFrame, first: bool, percent: int = PERCENT) -> DataFrame:
                         found += emit(held, key)
                     held, key = [], (token, i, j)
                 held.append(row)
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], schema=PAIRS)
+            yield made(found)
         if len(held) > 1:
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in emit(held, key)], schema=PAIRS)
+            yield made(emit(held, key))
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = keyed.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "skey")

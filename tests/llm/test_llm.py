@@ -387,6 +387,30 @@ def test_tree_finds_every_link():
     assert want and want <= got
 
 
+def test_few_sets_are_paired_as_by_the_tree():
+    rng = np.random.default_rng(5)
+    linked = found = 0
+    for _ in range(200):
+        size, sets = int(rng.choice([1, 60, 127, 150, 700])), []
+        family = rng.integers(0, 2**63, size, dtype=np.uint64)
+        for _ in range(rng.integers(2, signature_tree.FEW + 1)):
+            keep = family[rng.random(size) > rng.choice([0, 0.05, 0.2])]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(1, 2 + size // 6), dtype=np.uint64)])))
+        n, maps, keys = list(map(len, sets)), list(map(signature_tree.bitmap, sets)), rng.permutation(len(sets)).tolist()
+        comp, earlier = rng.integers(0, 4, len(sets)).tolist(), [rng.integers(0, 9, rng.integers(0, 3)).tolist() for _ in sets]
+        got = set(signature_tree.propose_few(n, maps, comp, keys, False, earlier))
+        old = signature_tree.propose(np.array(n), maps, np.array(comp), np.array(keys), np.zeros(len(sets)), False, earlier)
+        want = {
+            tuple(sorted((keys[i], keys[j]))) for i in range(len(sets)) for j in range(i)
+            if comp[i] != comp[j] and not set(earlier[i]) & set(earlier[j]) and shingles.linked(sets[i], sets[j])
+        }
+        assert want <= got <= set(old)
+        once = signature_tree.propose_few(n, maps, keys, keys, True, earlier)
+        assert len(once) < len(sets) and set(once) <= set(signature_tree.propose_few(n, maps, keys, keys, False, [[]] * len(sets)))
+        linked, found = linked + len(want), found + len(got)
+    assert linked > 500 and found < 2 * linked
+
+
 def test_classifier_on_held_out_rows(spark, empty):
     bad = ["idiot", "scum"]
     rows, labels = [], []
