@@ -4,11 +4,15 @@ Frequent phrases of up to ``LONGEST`` words grow to the right as in PrefixSpan:
 
 1. Two count-min sketches (fixed size, never underestimating) tell what can't be frequent:
    one of all words and neighbouring pairs of a language, one of the longer sequences that
-   hold possible pairs only.  No frequent phrase holds what one of them rules out.
-2. Projection: every occurrence of a possible word is a pointer with what may still
-   follow it, up to ``LONGEST`` words and the first impossible sequence.  Tasks add up equal
-   ones and the table is dealt by sorted ranges, so a prefix's pointers lie together, one
-   task a prefix; a prefix that holds a third of all rows is cut over several ranges.
+   hold possible pairs only and of the words that stand in such pairs.  No frequent phrase
+   holds what one of them rules out.
+2. Projection: every occurrence of a word that may stand in a frequent pair is a pointer with
+   what may still follow it, up to ``LONGEST`` words and the first impossible sequence; words
+   of no such pair are in no phrase and no cut.  Tasks add up equal pointers, as many tasks as
+   the cluster has slots: each sends every frequent sequence about once, so with a task a
+   split the rows would grow as splits times sequences.  The table is dealt by sorted ranges,
+   so a prefix's pointers lie together, one task a prefix; a prefix that holds a third of all
+   rows is cut over several ranges.
 3. Growth: the pointers of a prefix are grouped by the word that follows, supports are
    added up, and frequent groups grow on, depth first.  A prefix cut by the edge of a
    range or of a chunk is handed on whatever its support; sums over the edges decide.
@@ -55,6 +59,8 @@ _TABLE = bytes.maketrans(
 )
 _INSIDE = np.ones(256, bool)
 _INSIDE[[0, 10]] = False
+#: Tells a word that stands in a pair from the word itself.
+_PAIRED = seed("paired")
 
 
 def prepared(text: str | None) -> bytes:
@@ -88,7 +94,6 @@ class Words:
         self.near = piece[1:] == piece[:-1]
         self.pairs = mixed(mixed(self.words[:-1] * _A) + self.words[1:])
 
-
     def linked(self, bits: np.ndarray, width: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each word: whether it may be frequent, and whether with the next one."""
         single, pair = possible(bits, self.words, width, depth), np.zeros(len(self.words), bool)
@@ -96,6 +101,10 @@ class Words:
         pair[at[possible(bits, self.pairs[at], width, depth)]] = True
         return single, pair
 
+    def paired(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the words at some places as words of a pair."""
+        return mixed(self.words[at] + _PAIRED)
+
     def longer(self, pair: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Starts and hashes of the sequences of 3 to ``LONGEST`` words all of whose pairs may be frequent."""
         at = np.flatnonzero(pair)
@@ -120,6 +129,7 @@ def _by_lang(langs: list[str], texts: list[str | None]):
 def project(rows: DataFrame, least: int = LEAST, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
     """``lang, key, n``: how often each sequence of words follows a pointer; ``key`` null counts all words."""
     context = rows.sparkSession.sparkContext
+    rows = rows.coalesce(context.defaultParallelism)
 
     def count_pairs():
         def apply(langs, texts, sketch):
@@ -134,7 +144,9 @@ def project(rows: DataFrame, least: int = LEAST, width: int = WIDTH, depth: int
     def count_longer():
         def apply(langs, texts, sketch):
             for w, _ in _by_lang(langs, texts):
-                for _, hashes in w.longer(w.linked(short.value, width, depth)[1]):
+                pair = w.linked(short.value, width, depth)[1]
+                sketch.add(w.paired(np.flatnonzero(pair | np.r_[False, pair[:-1]])))
+                for _, hashes in w.longer(pair):
                     sketch.add(hashes)
 
         return apply
@@ -155,6 +167,9 @@ def project(rows: DataFrame, least: int = LEAST, width: int = WIDTH, depth: int
             for w, lang in _by_lang(*(c.to_pylist() for c in batch.columns)):
                 totals[lang] += len(w.words)
                 single, pair = w.linked(short.value, width, depth)
+                first = np.flatnonzero(single)
+                single[first] = possible(long_.value, w.paired(first), width, depth)
+                pair[:-1] &= single[:-1] & single[1:]
                 more = pair.astype(np.int64)  # words that follow, at most
                 for k, (at, hashes) in enumerate(w.longer(pair), 2):
                     at = at[possible(long_.value, hashes, width, depth)]
@@ -214,7 +229,7 @@ class Growth:
 
 
 def supports(projected: DataFrame, least: int = LEAST) -> DataFrame:
-    """``lang, phrase, words, f`` of every phrase with ``least`` occurrences or more."""
+    """``lang, phrase, words, f`` of every phrase with ``least`` occurrences or more (single words: those of possible pairs)."""
     parts = int(projected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = projected.where("key is not null").repartitionByRange(parts, "lang", "key").sortWithinPartitions("lang", "key")
 

@@ -217,6 +217,17 @@ def test_phrases(docs, monkeypatch, chunk):
         assert rows_of(phrases.mine(docs, least, ranks)) == want and want
 
 
+def test_projection_sends_words_of_pairs_once_a_slot(spark):
+    configure(spark)
+    texts = [". ".join(["alone", f"rare{i}", "new york city", "new. york", f"u{i} lone"]) for i in range(160)]
+    rows = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(40)
+    keys = [r["key"] for r in phrases.project(rows, 20).where("key is not null").collect()]
+    assert {bytes(k) for k in keys} == {b"new\x00york\x00city", b"york\x00city", b"new", b"york", b"city"}
+    assert len(keys) <= 5 * spark.sparkContext.defaultParallelism
+    found = {r["phrase"]: r["f"] for r in phrases.supports(phrases.project(rows, 20), 20).collect()}
+    assert found == {"new": 320, "york": 320, "city": 160, "new york": 160, "york city": 160, "new york city": 160}
+
+
 def test_growth_hands_on_what_an_edge_cuts():
     keys = [b"a", b"a\x00b", b"a\x00b\x00c", b"b"]
     got = {k: f for k, _, f in phrases.Growth(keys, [1, 2, 3, 1], 5, False, False).run()}
